@@ -4,23 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontamination import contamination
 from .exact_dedup import exact_duplicates
+from .license_scan import license_digest, scan_licenses
+from .secret_scan import scan_secrets, secret_digest
 from .sharding import uniform_shards
+from .simhash import near_duplicates
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir))
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(scan_licenses(_documents(spark, sf_dir)))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digest(scan_secrets(_documents(spark, sf_dir)))
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return uniform_shards(_documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("key")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op7_shards, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op5_licenses, op6_secrets, op7_shards, op8_decontamination, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
