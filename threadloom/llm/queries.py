@@ -7,19 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .license_scan import license_digest, scan_licenses
+from .packing import pack
 from .secret_scan import scan_secrets, secret_digest
 from .sharding import uniform_shards
 from .simhash import near_duplicates
+from .token_counts import length_histogram, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(token_counts(_documents(spark, sf_dir)))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_documents(spark, sf_dir)))
 
@@ -40,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op5_licenses, op6_secrets, op7_shards, op8_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_packing, op5_licenses, op6_secrets, op7_shards, op8_decontamination, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
