@@ -29,8 +29,9 @@ CAPACITY = 2048
 END = b"\0\0\0\0"
 ROUNDS = 600  # of pricing at most, each with up to CONTENTS contents
 CONTENTS = 12
-STEP = 0.5  # most that one content adds to the covered share of a length
-AHEAD = 1.0  # a length this far ahead of the least covered one is priced at nothing for now
+STEP = 0.05  # most that one content adds to the covered share of a length
+AHEAD = 0.1  # a length this far ahead of the least covered one is priced at nothing for now
+RATE = 0.02  # a length at that limit has lost this share of its price
 ENOUGH = 6.0  # times that every length is covered before multiplicities are scaled
 WASTE = 0  # tokens that a content may leave free; worse ones are left to best fit
 Plan = list[tuple[dict[int, int], int]]
@@ -86,7 +87,7 @@ def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Plan:
         least = share[lengths].min()
         if least >= ENOUGH:
             break
-        weight = np.where(share <= least + AHEAD, np.arange(len(need)) * np.exp(-(np.minimum(share, 1e9) - least)), -1e300)
+        weight = np.where(share <= least + AHEAD, np.arange(len(need)) * np.exp(-RATE * (np.minimum(share, 1e9) - least) / AHEAD), -1e300)
         prices = Prices(weight, capacity)
         open_now = np.where(share <= least + AHEAD, need, 0)
         for first in lengths[np.lexsort((-lengths, share[lengths]))][:CONTENTS].tolist():
