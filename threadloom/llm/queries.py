@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
+from .language_id import fit, identify
 from .license_scan import license_digest, scan_licenses
 from .packing import pack
 from .secret_scan import scan_secrets, secret_digest
@@ -30,6 +31,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return identify(docs, fit(docs))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(scan_licenses(_documents(spark, sf_dir)))
 
@@ -50,7 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_packing, op5_licenses, op6_secrets, op7_shards, op8_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_packing, op4_language_id, op5_licenses, op6_secrets, op7_shards, op8_decontamination, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
