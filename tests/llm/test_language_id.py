@@ -90,7 +90,7 @@ def test_odd_rows(odd, odd_rows, empty, spark):
 
 def test_gibberish_is_rejected(spark, sf):
     rng = random.Random(7)
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")  # enough documents to calibrate on
     noise = " ".join("".join(rng.choice("qxzjkwvyqx") for _ in range(8)) for _ in range(400))
     frame = spark.createDataFrame([(1, noise)], "doc_id long, text string")
     assert identify(frame, fit(docs)).first().rejected
