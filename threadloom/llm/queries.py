@@ -8,6 +8,7 @@ from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .language_id import fit, identify
 from .license_scan import license_digest, scan_licenses
+from .lm_score import score_documents
 from .packing import pack
 from .secret_scan import scan_secrets, secret_digest
 from .sharding import uniform_shards
@@ -52,11 +53,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("key")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_packing, op4_language_id, op5_licenses, op6_secrets, op7_shards, op8_decontamination, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_packing, op4_language_id, op5_licenses, op6_secrets, op7_shards, op8_decontamination, op9_lm_score, op10_exact_dedup)}
 
 ORACLES = {
     "op10_exact_dedup": """
