@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, quoted, texts_of, to_arrow_schema
+from .common import chunks, materialise, quoted, texts_of, to_arrow_schema
 from .encoder import default_path, encoder
 
 RANGE = 1024  # lengths of one range
@@ -39,7 +39,8 @@ def token_counts(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 
 def length_histogram(counts: DataFrame) -> DataFrame:
     """n_tokens, n_docs, docs_at_least, tokens_at_least, truncated_tokens (total if every document is cut to n_tokens)."""
-    lengths = counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("range", F.floor(F.col("n_tokens") / RANGE))
+    lengths = counts.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    lengths = materialise(lengths.withColumn("range", F.floor(F.col("n_tokens") / RANGE)), "lengths")  # so texts are encoded once
     tokens: Column = F.col("n_tokens") * F.col("n_docs")
     totals = lengths.groupBy("range").agg(F.sum("n_docs").alias("docs"), F.sum(tokens).alias("tokens"))
     above, all_ranges = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
