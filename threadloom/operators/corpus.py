@@ -47,7 +47,7 @@ def furniture(pages: DataFrame, document: str, page: str, text: str, share: floa
 
 def whole_days(later: Column, earlier: Column) -> Column:
     """Elapsed days, floored (not midnights crossed)."""
-    return F.floor((F.unix_micros(later) - F.unix_micros(earlier)) / DAY_MICROS)
+    return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / DAY_MICROS)
 
 
 def previous_within(df: DataFrame, keys: list[str], ts: str, ident: str, days: int = GAP_DAYS) -> DataFrame:
