@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from threadloom.llm.components import components
+from threadloom.operators.components import components
 from threadloom.llm.simhash import drop_near_duplicates, links, near_duplicates
 
 

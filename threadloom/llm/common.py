@@ -3,36 +3,19 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Arrow batches are gathered up to this many bytes before vectorised work on them begins.
-CHUNK_BYTES = 16 << 20
-
+from ..operators.worktables import materialise, work_folder
 
-def work_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir. It is set here only where it is unset and the master is local."""
-    conf = spark.sparkContext.getConf()
-    folder = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not conf.get("spark.master", "").startswith("local") or "cluster" in conf.get("spark.master", ""):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["CHUNK_BYTES", "chunks", "crc_remainder", "joined", "materialise", "per_process", "quoted", "row_type", "texts_of", "to_arrow_schema", "whole_row", "work_folder"]
 
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table of the shared work folder and read it again: its lineage ends there."""
-    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Arrow batches are gathered up to this many bytes before vectorised work on them begins.
+CHUNK_BYTES = 16 << 20
 
 
 def quoted(name: str) -> str:

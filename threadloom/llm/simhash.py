@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import components
 from .common import chunks, materialise, quoted, row_type, texts_of, to_arrow_schema, whole_row
-from .components import components
 from .words import tokens
 
 SHINGLE = 3
