@@ -1,6 +1,6 @@
 """Named queries over the driver tables, each beside its SQL twin."""
 
-from . import corpus, search
+from . import corpus, ontology, search
 from .common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "search"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "ontology", "search"]

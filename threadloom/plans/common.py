@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+    """Literal rows as a local relation: through Arrow no job is needed to make them."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(arrow.names, r, strict=True)) for r in rows], schema=arrow))
 
 
 def sql_values(rows: list[tuple], *names: str) -> str:
