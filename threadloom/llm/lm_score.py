@@ -292,7 +292,7 @@ def train(vocabulary: DataFrame) -> Model:
     schema = to_arrow_schema(blocks)
     summed = seen.mapInArrow(lambda it: _count(it, schema, given_held.value), blocks).groupBy("at").applyInArrow(_sum_blocks, blocks)
     zeros, ones = np.zeros((K, 1 << SLOT_BITS), np.float32), np.zeros((K, 1 << SLOT_BITS), np.float32)
-    for r in summed.toLocalIterator():  # a fixed number of slots, whatever the corpus
+    for r in summed.collect():  # a fixed number of slots, whatever the corpus
         k, at = divmod(r["at"], 1 << SLOT_BITS)
         zeros[k, at : at + BLOCK], ones[k, at : at + BLOCK] = np.frombuffer(r["zeros"], np.float32), np.frombuffer(r["ones"], np.float32)
     given = vocabulary.sparkSession.sparkContext.broadcast((held, *without_one(zeros, ones)))
@@ -300,7 +300,7 @@ def train(vocabulary: DataFrame) -> Model:
     learnt_schema = to_arrow_schema(learnt)
     total, weights, met, hits = 0.0, np.zeros((GATES, K)), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
     rows = seen.mapInArrow(lambda it: _learn(it, learnt_schema, *given.value), learnt)
-    for r in rows.toLocalIterator():  # one small row a task
+    for r in rows.collect():  # one small row a task
         total += r["n"]
         weights, met, hits = weights + np.frombuffer(r["weights"]).reshape(weights.shape), met + np.frombuffer(r["met"]).reshape(met.shape), hits + np.frombuffer(r["hits"]).reshape(hits.shape)
     weights = weights / total if total else first_weights()
