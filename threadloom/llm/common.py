@@ -15,7 +15,7 @@ from ..operators.worktables import materialise, work_folder
 __all__ = ["CHUNK_BYTES", "chunks", "crc_remainder", "joined", "materialise", "per_process", "quoted", "row_type", "texts_of", "to_arrow_schema", "whole_row", "work_folder"]
 
 #: Arrow batches are gathered up to this many bytes before vectorised work on them begins.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def quoted(name: str) -> str:

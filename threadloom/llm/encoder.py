@@ -16,7 +16,7 @@ import numpy as np
 from .common import per_process
 
 DEFAULT = "word_bpe_49k.json"
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 _LETTERS = bytes([*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 _PLAIN = bytes([9, 10, 13, *range(32, 127)]) + _LETTERS
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")

@@ -27,6 +27,8 @@ from .common import chunks, materialise, quoted, row_type, texts_of, to_arrow_sc
 
 #: Distinct content bytes that one bucket may hold in memory before it is partitioned.
 BUCKET_BYTES = 96 << 20
+#: Input that a map task folds at once.
+FOLD_BYTES = 16 << 20
 FANOUT_BITS = 4
 DEEPEST = 64 // FANOUT_BITS
 NO_ID = -(1 << 63)
@@ -74,7 +76,7 @@ def _signed(h: int) -> int:
 
 def _fold(batches: Iterator[pa.RecordBatch], schema: pa.Schema, text: str | None) -> Iterator[pa.RecordBatch]:
     """Map side: one row per document; the best row of each group of copies in a chunk also carries the group."""
-    for batch in chunks(batches):
+    for batch in chunks(batches, FOLD_BYTES):
         payload = batch.column("payload")
         contents = texts_of(payload.field(text) if text else payload)
         ids = [NO_ID if x is None else x for x in batch.column("doc_id").to_pylist()]
