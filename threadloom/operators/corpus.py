@@ -70,14 +70,15 @@ def overlap_links(messages: DataFrame, days: int = GAP_DAYS, chars: int = PROBE_
     messages: id, ts, quoted (lower-cased, null where a header already links the message), body. Candidates share
     the probe's first whole words, an equi-join; containment is verified on them only.
     """
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"[^\s]+"), F.lit(0))
-    grams = lambda a: F.when(F.size(a) >= shingle, F.transform(F.sequence(F.lit(1), F.size(a) - (shingle - 1)), lambda i: F.xxhash64(F.array_join(F.slice(a, i, shingle), " "))))
+    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    gram = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(shingle)])
     probes = messages.where(F.col("quoted").isNotNull()).select("id", "ts", F.substring("quoted", 1, chars).alias("probe"))
     # the first and last word of a probe may be cut
-    whole = probes.withColumn("words", F.slice(words("probe"), 2, shingle)).where(F.size("words") == shingle)
-    keyed = whole.select("id", "ts", "probe", F.xxhash64(F.array_join("words", " ")).alias("gram"))
-    bodies = messages.select(F.col("id").alias("other"), F.col("ts").alias("other_ts"), F.lower("body").alias("body"))
-    placed = bodies.select("other", "other_ts", "body", F.explode(F.array_distinct(grams(words("body")))).alias("gram"))
+    whole = probes.withColumn("w", words("probe")).where(F.size("w") >= shingle + 1)
+    keyed = whole.select("id", "ts", "probe", gram(F.col("w"), F.lit(1)).alias("gram"))
+    bodies = messages.select(F.col("id").alias("other"), F.col("ts").alias("other_ts"), F.lower("body").alias("body")).withColumn("w", words("body"))
+    every = F.transform(F.sequence(F.lit(0), F.size("w") - shingle), lambda i: gram(F.col("w"), i))
+    placed = bodies.where(F.size("w") >= shingle).select("other", "other_ts", "body", F.explode(F.array_distinct(every)).alias("gram"))
     met = keyed.join(placed, "gram").where((F.col("other_ts") < F.col("ts")) & (whole_days(F.col("ts"), F.col("other_ts")) <= days) & F.contains("body", F.col("probe")))
     return met.groupBy("id").agg(F.min(F.struct("other_ts", "other")).alias("first")).select("id", F.col("first.other").alias("other"))
 
