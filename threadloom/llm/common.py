@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,17 @@ def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterat
                 held, size = [], 0
     if held:
         yield joined(held)
+        held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Hand memory that a Python worker no longer uses back to the machine: workers outlive tasks, and an executor has several."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library has no such call
+        pass
 
 
 def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:

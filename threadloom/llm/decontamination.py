@@ -37,6 +37,7 @@ ITEM_BYTES = 24 << 20
 
 INDEX = T.StructType().add("segment", "string").add("doc_ids", T.ArrayType(T.LongType())).add("keys", T.ArrayType(T.LongType())).add("lengths", "binary").add("terms", "binary").add("counts", "binary").add("deltas", "binary")
 SPAN = T.StructType().add("item_id", "string").add("start", "long").add("end", "long")
+DIGEST = T.StructType().add("doc_id", "long").add("key", "long").add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
 HITS = T.StructType().add("segment", "string").add("place", "integer").add("doc_id", "long").add("key", "long").add("n_words", "long").add("spans", T.ArrayType(SPAN))
 
 
@@ -157,17 +158,22 @@ def _search(batches: Iterator[pa.RecordBatch], schema: pa.Schema, found: Windows
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, text_col: str = "text", id_col: str = "item_id", item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """One row per document with the merged spans of each item's matching windows."""
+def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, text_col: str = "text", id_col: str = "item_id", item_bytes: int = ITEM_BYTES, digest: bool = False) -> DataFrame:
+    """One row per document with the merged spans of each item's matching windows (digest: with their digest instead).
+
+    The digest of a benchmark of one block is made in the worker that searches, so a task needs one Python worker.
+    """
     spark = index.sparkSession
     slim = items.select(F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * size // item_bytes) if size > item_bytes else 1)
-    schema, parts = to_arrow_schema(HITS), []
+    schema, digest_schema, parts = to_arrow_schema(HITS), to_arrow_schema(DIGEST), []
     for b in range(blocks):
         block = slim.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else slim
         found = Windows([(r.id, r.text.encode()) for r in block.distinct().orderBy("id", "text").toLocalIterator()], window)
         given = spark.sparkContext.broadcast(found)
+        if digest and blocks == 1:
+            return index.mapInArrow(lambda it, given=given: _digest(_search(it, schema, given.value, slop), digest_schema), DIGEST)
         parts.append(index.mapInArrow(lambda it, given=given: _search(it, schema, given.value, slop), HITS))
     if blocks == 1:
         return parts[0]
@@ -175,7 +181,8 @@ def search(index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int =
     for part in parts[1:]:
         every = every.unionByName(part)
     one = lambda c: F.first(c).alias(c)
-    return every.groupBy("segment", "place").agg(one("doc_id"), one("key"), one("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+    whole = every.groupBy("segment", "place").agg(one("doc_id"), one("key"), one("n_words"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return whole.mapInArrow(lambda it: _digest(it, digest_schema), DIGEST) if digest else whole
 
 
 def _digest(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -193,9 +200,7 @@ def _digest(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    out = T.StructType().add("doc_id", "long").add("key", "long").add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items_sha256", "string").add("contaminated", "boolean")
-    schema = to_arrow_schema(out)
-    return search(build_index(docs), items, window).mapInArrow(lambda it: _digest(it, schema), out)
+    return search(build_index(docs), items, window, digest=True)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
