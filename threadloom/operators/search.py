@@ -29,12 +29,18 @@ class LexicalIndex:
     lengths: DataFrame  # id, length
 
 
-def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], keys_unique: bool = False) -> LexicalIndex:
-    """Index some columns; the first row of an id counts (keys_unique: there is only one)."""
+def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], keys_unique: bool = False, terms: DataFrame | None = None) -> LexicalIndex:
+    """Index some columns; the first row of an id counts (keys_unique: there is only one).
+
+    terms: column `term` of what will be asked; other postings are then not built, so a search of a store without a
+    written index groups only what it needs.
+    """
     rows = docs if keys_unique else first_of_each(docs, id_col, F.monotonically_increasing_id())
     cells = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), X.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("words")) for f in fields])).alias("cell")).select("id", "cell.*")
     lengths = cells.groupBy("id").agg(F.sum(F.size("words")).alias("length"))
     placed = cells.select("id", "field", F.posexplode("words").alias("position", "term"))
+    if terms is not None:
+        placed = placed.join(terms.select("term").distinct(), "term", "left_semi")
     postings = placed.groupBy("field", "term", "id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
     return LexicalIndex(postings, lengths)
 
@@ -76,6 +82,10 @@ def phrases_of(queries: DataFrame) -> DataFrame:
     return once.groupBy("query", "terms").agg(F.min("phrase").alias("phrase"))
 
 
+def terms_of(phrases: DataFrame) -> DataFrame:
+    return phrases.select(F.explode("terms").alias("term")).distinct()
+
+
 def cosine(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """query, id, score for normalised query vectors (query, vector) broadcast in a bounded batch."""
     if queries.limit(10_001).count() > 10_000:

@@ -25,3 +25,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table in so few files that most cores would idle (such as one file of one row group) is dealt out by its keys; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if 4 * df.rdd.getNumPartitions() <= cores else df

@@ -34,8 +34,9 @@ FUSED = """fused AS (SELECT query, id, sum(w / (60 + rank)) AS score, min({{'l':
 
 
 def lexical(spark: SparkSession, sf: str) -> DataFrame:
-    index = S.build_index(table(spark, sf, "documents"), "doc_id", ["text"], keys_unique=True)
-    return S.bm25(index, S.phrases_of(values(spark, "query int, text string", TEXTS)), {"text": 1.0})
+    phrases = S.phrases_of(values(spark, "query int, text string", TEXTS))
+    index = S.build_index(table(spark, sf, "documents"), "doc_id", ["text"], keys_unique=True, terms=S.terms_of(phrases))
+    return S.bm25(index, phrases, {"text": 1.0})
 
 
 def dense(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,8 +78,9 @@ WEIGHTED = [(1, 0, ["src3"]), (1, 1, ["ertion"]), (1, 2, ["fr"]), (2, 0, ["de"])
     bm25 AS (SELECT query, doc_id AS id, sum(CASE WHEN ln((stats.n - df.n + 0.5) / (df.n + 0.5)) <= 0 THEN 1e-6 ELSE ln((stats.n - df.n + 0.5) / (df.n + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / mean))) AS score
         FROM freq JOIN df USING (query, phrase) JOIN len USING (doc_id), stats GROUP BY ALL), {RANKED.format('bm25', 50)} SELECT query, id, score, rank FROM bm25_r""")
 def i2_bm25_weighted(spark, sf):
-    index = S.build_index(table(spark, sf, "documents"), "doc_id", ["text", "lang", "source"], keys_unique=True)
-    found = S.bm25(index, values(spark, "query int, phrase int, terms array<string>", WEIGHTED), {"text": 1.0, "lang": 4.0, "source": 0.0})
+    phrases = values(spark, "query int, phrase int, terms array<string>", WEIGHTED)
+    index = S.build_index(table(spark, sf, "documents"), "doc_id", ["text", "lang", "source"], keys_unique=True, terms=S.terms_of(phrases))
+    found = S.bm25(index, phrases, {"text": 1.0, "lang": 4.0, "source": 0.0})
     return S.ranked(found, 50).select("query", "id", "score", "rank")
 
 
@@ -88,8 +90,9 @@ PAIRS = [(1, 0, ["of", "the"]), (2, 0, ["the", "the", "of"]), (3, 0, ["de", "la"
 @query(f"""WITH {TOK}, q AS (SELECT * FROM {sql_values(PAIRS, "query", "phrase", "terms")}), parts AS (SELECT query, len(terms) AS size, unnest(terms) AS term, generate_subscripts(terms, 1) - 1 AS off FROM q),
     runs AS (SELECT query, size, doc_id, pos - off AS start FROM parts JOIN tok USING (term) GROUP BY ALL HAVING count(*) = size) SELECT query, doc_id AS id, count(*) AS n FROM runs GROUP BY ALL""")
 def i2_phrase(spark, sf):
-    index = S.build_index(table(spark, sf, "documents"), "doc_id", ["text"], keys_unique=True)
-    return S.occurrences(index, values(spark, "query int, phrase int, terms array<string>", PAIRS)).select("query", "id", F.col("n").cast("long").alias("n"))
+    phrases = values(spark, "query int, phrase int, terms array<string>", PAIRS)
+    index = S.build_index(table(spark, sf, "documents"), "doc_id", ["text"], keys_unique=True, terms=S.terms_of(phrases))
+    return S.occurrences(index, phrases).select("query", "id", F.col("n").cast("long").alias("n"))
 
 
 @query(f"WITH {COSINE}, {RANKED.format('cosine', 10)} SELECT query, id, score, rank FROM cosine_r")
