@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.worktables import spread
 from .decontamination import contamination
 from .exact_dedup import exact_duplicates
 from .language_id import fit, identify
@@ -17,7 +18,7 @@ from .token_counts import length_histogram, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
