@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .components import components
+from .worktables import global_rank
 
 DAY_MICROS = 86_400_000_000
 # Fixed values of threading and page cleaning.
@@ -92,7 +93,7 @@ def threads(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def numbered_threads(members: DataFrame) -> DataFrame:
     """Adds thread_no by earliest message (undated first) and the member's 1-based index. members: thread, id, ts."""
     first = members.groupBy("thread").agg(F.min(F.struct(F.col("ts").isNotNull(), "ts", "id")).alias("first"))
-    numbers = first.select("thread", (F.row_number().over(Window.orderBy("first", "thread")) - 1).alias("thread_no"))  # one row a thread
+    numbers = global_rank(first, "n", "first", "thread").select("thread", (F.col("n") - 1).alias("thread_no"))
     w = Window.partitionBy("thread").orderBy(F.asc_nulls_first("ts"), "id")
     return members.join(numbers, "thread").withColumn("index", F.row_number().over(w))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import corpus as C
+from ..operators.worktables import global_rank
 from .common import query, sql_values, table, values
 
 SUBJECT = "concat(CASE event_id % 4 WHEN 0 THEN 'Re: ' WHEN 1 THEN 'FWD: re : ' WHEN 2 THEN ' [LIST] Aw: ' ELSE '' END, event_type, '  Issue ', user_id, CASE WHEN event_id % 3 = 0 THEN ' (was: old\nthing)' ELSE '' END)"
@@ -236,7 +237,8 @@ def a3_a4_mentions(spark, sf):
 def j14_chronology(spark, sf):
     """Rows whose entities hold a concept, oldest first, undated ones before all."""
     rows = table(spark, sf, "events").select("event_id", F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string"))).alias("entities"), F.when(F.col("event_id") % 11 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("date"))
-    return rows.where(F.array_contains("entities", "u3")).select("event_id", F.row_number().over(Window.orderBy(F.coalesce("date", F.lit("")), "event_id")).alias("place"))
+    held = rows.where(F.array_contains("entities", "u3")).select("event_id", F.coalesce("date", F.lit("")).alias("date"))
+    return global_rank(held, "place", "date", "event_id").select("event_id", "place")
 
 
 @query(rf"WITH d AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'))) AS e FROM documents) SELECT doc_id, len(e) AS concepts, row_number() OVER (ORDER BY len(e), doc_id) AS place FROM d WHERE list_contains(e, 'thention') ORDER BY 3 LIMIT 3")
