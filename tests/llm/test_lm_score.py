@@ -75,6 +75,12 @@ def test_scores_follow_from_the_tables(spark, small):
     assert frequent > -3 > rare
 
 
+def test_frequent_tokens_by_histogram(spark):
+    vocabulary = spark.createDataFrame([(b"a", 9), (b"b", 7), (b"c", 7), (b"d", 2)], "token binary, c long")
+    assert [lm_score.least_count(vocabulary, n) for n in (1, 2, 3, 4, 9)] == [9, 9, 7, 2, 2]
+    assert lm_score.least_count(vocabulary.where("c > 99"), 5) > 10**12
+
+
 def test_contexts_and_slots():
     bits = Bits([b"abcab", b"ab"])
     same = bits.contexts[ORDERS.index(12)]

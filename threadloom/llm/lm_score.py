@@ -282,11 +282,22 @@ def hash_of(word: bytes) -> int:
     return zlib.crc32(word)
 
 
+def least_count(vocabulary: DataFrame, most: int) -> int:
+    """The least count for which no more than `most` tokens have it or a larger one: by a histogram of counts, so no task meets all tokens."""
+    above, least = 0, 1 << 62
+    for r in vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(most).collect():
+        above += r["n"]
+        if above > most:
+            break
+        least = r["c"]
+    return least
+
+
 def train(vocabulary: DataFrame) -> Model:
     """vocabulary: token and its count c in the training documents."""
     seen = vocabulary.where("c > 0")
-    frequent = seen.orderBy(F.desc("c"), "token").limit(HEAVY).toArrow()  # a fixed number of rows
-    held = held_slots(frequent.column("token").to_pylist(), frequent.column("c").to_numpy())
+    frequent = sorted(((r["c"], r["token"]) for r in seen.where(F.col("c") >= least_count(seen, HEAVY)).collect()), key=lambda x: (-x[0], x[1]))  # HEAVY rows at most
+    held = held_slots([bytes(w) for _, w in frequent], np.array([c for c, _ in frequent], np.int64))
     given_held = vocabulary.sparkSession.sparkContext.broadcast(held)
     blocks = T.StructType().add("at", "long").add("zeros", "binary").add("ones", "binary")
     schema = to_arrow_schema(blocks)
