@@ -99,3 +99,14 @@ def test_streams(spark, tmp_path):
         out[name] = spark.table(name).collect()
     assert sorted(r.message_id for r in out["firsts"]) == ["1", "2", "3", "4"]
     assert sorted(r.messages for r in out["sessions"] if r.subject == "a") == [1, 3]
+
+
+def test_work_tables(spark):
+    from threadloom.operators import worktables as W
+
+    df = spark.createDataFrame([(i, f"k{i % 5}") for i in range(60)], "i int, k string").repartition(6)
+    placed = W.global_rank(df, "place", "k", "i").collect()
+    assert [r.place for r in sorted(placed, key=lambda r: (r.k, r.i))] == list(range(1, 61))
+    assert W.spread(df.coalesce(1), "i").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    table = W.materialise(df, "t")
+    assert table.count() == 60 and W.drop_work_tables(spark) >= 1 and W.drop_work_tables(spark) == 0

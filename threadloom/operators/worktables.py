@@ -21,10 +21,23 @@ def work_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_written: list[str] = []
+
+
+def drop_work_tables(spark: SparkSession) -> int:
+    """Delete the work tables that this driver wrote; results that still read them must be written before."""
+    conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _written:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table of the shared work folder and read it again: its lineage ends there."""
     path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
