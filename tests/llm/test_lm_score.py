@@ -93,3 +93,22 @@ def test_contexts_and_slots():
 def test_untrained_model_is_even():
     flat = Model(np.zeros((K, 1 << lm_score.SLOT_BITS), np.uint16), *(np.zeros((K, 1 << lm_score.SLOT_BITS), np.float32) for _ in range(2)), Mixer(np.zeros((GATES, K)), np.full((256, lm_score.BUCKETS), 0.5)))
     assert np.allclose(flat.log10([b"ab", b""]), [-24 * math.log10(2), -8 * math.log10(2)])
+
+
+def test_weights_are_learnt_from_all_batches(spark):
+    """A call on one Arrow batch moves no weight by more than 0.1; what follows in a task and in a round goes on from there."""
+    words = [(f"{'ab' if i % 3 else 'x'}{i * 7919 % 99991:x}".encode(), 1 + i % 5) for i in range(60_000)]
+    weights = train(spark.createDataFrame(words, "token binary, c long").coalesce(1)).mixer.weights
+    assert np.abs(weights - lm_score.first_weights()).max() > 0.1
+
+
+def test_batches_of_a_task_are_one_pass():
+    words, times = [str(i * 7919).encode() for i in range(6000)], np.ones(6000, np.int64)
+    zeros, ones, held = (np.zeros((K, 1 << lm_score.SLOT_BITS), t) for t in (np.float32, np.float32, np.uint16))
+    lm_score.count_slots(words, times.astype(np.float64), held, zeros, ones)
+    given = (held, *lm_score.without_one(zeros, ones))
+    whole, parts = [(lm_score.first_weights(), lm_score.first_squares()) for _ in range(2)]
+    lm_score.learn(words, times, *given, *whole)
+    for at in range(0, 6000, 2000):
+        lm_score.learn(words[at : at + 2000], times[at : at + 2000], *given, *parts)
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])

@@ -12,7 +12,8 @@ That makes the work distributed: segments of text are coded by their own distinc
 segments; every distinct token of the corpus is scored once; counts and scores go back to the segments that hold the
 token. Nothing that grows with the corpus comes to the driver: the model is a fixed number of slots (SLOT_BITS).
 While the mixing weights learn, a token's own occurrence is taken off the counts, so rare tokens teach what new
-ones need. Tasks learn on their share of tokens; their weights are averaged by the tokens that they saw.
+ones need. A task learns online through all of its share of tokens; each gate's weights are averaged by what the tasks
+met there, and ROUNDS such passes go on from one another. The refining map is taken from the last one.
 
 Defined cases: null and empty texts are the end token alone; a document with null doc_id trains and isn't held out;
 repeated rows count each; without any training document all counts are zero and every bit has chance 1/2; an empty
@@ -45,6 +46,7 @@ DELTA = 0.4  # added to both counts of a slot
 BUCKETS = 33  # of log-odds from -8 to 8
 SEGMENT_BYTES = 8 << 20
 STEP = 0.02
+ROUNDS = 2  # passes over the training tokens
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,9 +158,13 @@ def without_one(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.stack([p[0] for p in parts], axis=1), np.stack([p[1] for p in parts], axis=1)
 
 
-def learn(words: list[bytes], times: np.ndarray, held: np.ndarray, odds_of: np.ndarray, level_of: np.ndarray, batch: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Online pass over tokens: mixing weights, and the refining map's bits and ones."""
-    weights, squares = first_weights(), np.full((GATES, K), 1e-6)
+def first_squares() -> np.ndarray:
+    return np.full((GATES, K), 1e-6)
+
+
+def learn(words: list[bytes], times: np.ndarray, held: np.ndarray, odds_of: np.ndarray, level_of: np.ndarray, weights: np.ndarray, squares: np.ndarray, batch: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Online pass over tokens: moves mixing weights and squares on; gives what each gate met, and the refining map's bits and ones."""
+    seen = np.zeros(GATES)
     met, hits = np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
     for at in range(0, len(words), batch):
         bits = Bits(words[at : at + batch])
@@ -175,6 +181,7 @@ def learn(words: list[bytes], times: np.ndarray, held: np.ndarray, odds_of: np.n
             mixed = sum(weights[gate, k] * o for k, o in enumerate(odds))
             error = (bit - _squash(mixed)) * weight
             total = np.bincount(gate, weight, len(weights))
+            seen += total
             cell = partial * BUCKETS + _bucket(mixed)
             met += np.bincount(cell, weight, 256 * BUCKETS).reshape(256, BUCKETS)
             hits += np.bincount(cell, weight * bit, 256 * BUCKETS).reshape(256, BUCKETS)
@@ -182,7 +189,7 @@ def learn(words: list[bytes], times: np.ndarray, held: np.ndarray, odds_of: np.n
                 slope = np.bincount(gate, error * o, len(weights)) / np.maximum(total, 1e-9)
                 squares[:, k] += slope**2
                 weights[:, k] += STEP * slope / np.sqrt(squares[:, k])
-    return weights, met, hits
+    return seen, met, hits
 
 
 class Model:
@@ -264,22 +271,15 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("at")[:1], pa.array([add("zeros")], pa.binary()), pa.array([add("ones")], pa.binary())], names=["at", "zeros", "ones"])
 
 
-def _learn(batches: Iterator[pa.RecordBatch], schema: pa.Schema, held: np.ndarray, odds: np.ndarray, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
-    weight, weights, met, hits = 0.0, np.zeros((GATES, K)), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
+def _learn(batches: Iterator[pa.RecordBatch], schema: pa.Schema, held: np.ndarray, odds: np.ndarray, levels: np.ndarray, weights: np.ndarray, squares: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+    """Goes on from the given weights and squares through all batches; the refining map is given in the last round."""
+    weights, squares, seen, met, hits = weights.copy(), squares.copy(), np.zeros(GATES), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
     for batch in batches:
-        words, times = batch.column("token").to_pylist(), batch.column("c").to_numpy()
-        order = np.argsort([hash_of(w) for w in words], kind="stable")  # the same order whichever way rows came
-        w, m, h = learn([words[i] for i in order], times[order], held, odds, levels)
-        n = float(times.sum())
-        weights, met, hits, weight = weights + n * w, met + m, hits + h, weight + n
-    if weight:
-        yield pa.RecordBatch.from_arrays([pa.array([weight]), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (weights, met, hits))], schema=schema)
-
-
-def hash_of(word: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(word)
+        s, m, h = learn(batch.column("token").to_pylist(), batch.column("c").to_numpy(), held, odds, levels, weights, squares)
+        seen, met, hits = seen + s, met + m, hits + h
+    if seen.any():
+        parts = (seen, seen[:, None] * weights, seen[:, None] * squares, *((met, hits) if last else (None, None)))
+        yield pa.RecordBatch.from_arrays([pa.array([None if x is None else x.tobytes()], pa.binary()) for x in parts], schema=schema)
 
 
 def least_count(vocabulary: DataFrame, most: int) -> int:
@@ -307,14 +307,19 @@ def train(vocabulary: DataFrame) -> Model:
         k, at = divmod(r["at"], 1 << SLOT_BITS)
         zeros[k, at : at + BLOCK], ones[k, at : at + BLOCK] = np.frombuffer(r["zeros"], np.float32), np.frombuffer(r["ones"], np.float32)
     given = vocabulary.sparkSession.sparkContext.broadcast((held, *without_one(zeros, ones)))
-    learnt = T.StructType().add("n", "double").add("weights", "binary").add("met", "binary").add("hits", "binary")
+    learnt = T.StructType().add("seen", "binary").add("weights", "binary").add("squares", "binary").add("met", "binary").add("hits", "binary")
     learnt_schema = to_arrow_schema(learnt)
-    total, weights, met, hits = 0.0, np.zeros((GATES, K)), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
-    rows = seen.mapInArrow(lambda it: _learn(it, learnt_schema, *given.value), learnt)
-    for r in rows.collect():  # one small row a task
-        total += r["n"]
-        weights, met, hits = weights + np.frombuffer(r["weights"]).reshape(weights.shape), met + np.frombuffer(r["met"]).reshape(met.shape), hits + np.frombuffer(r["hits"]).reshape(hits.shape)
-    weights = weights / total if total else first_weights()
+    weights, squares, met, hits = first_weights(), first_squares(), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
+    mixed = seen.sortWithinPartitions(F.crc32("token"), "token")  # the same order whichever way rows came
+    for n in range(ROUNDS):
+        last = n == ROUNDS - 1
+        total, sums = np.zeros(GATES), np.zeros((2, GATES, K))
+        rows = mixed.mapInArrow(lambda it, at=(weights, squares, last): _learn(it, learnt_schema, *given.value, *at), learnt)
+        for r in rows.collect():  # one small row a task
+            total, sums = total + np.frombuffer(r["seen"]), sums + np.stack([np.frombuffer(r[x]).reshape(GATES, K) for x in ("weights", "squares")])
+            if last:
+                met, hits = met + np.frombuffer(r["met"]).reshape(met.shape), hits + np.frombuffer(r["hits"]).reshape(hits.shape)
+        weights, squares = (np.where(total[:, None] > 0, x / np.maximum(total, 1e-9)[:, None], old) for x, old in zip(sums, (weights, squares), strict=True))
     centre = _squash((np.arange(BUCKETS) / 2 - 8)[None, :])
     given.unpersist()
     given_held.unpersist()
