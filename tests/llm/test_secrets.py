@@ -3,7 +3,7 @@ import random
 import re
 from collections import Counter
 
-from threadloom.llm.secret_scan import battery, encoding, least_bins, scan_secrets, secret_digest
+from threadloom.llm.secret_scan import battery, candidates, encoding, inferred, least_bins, scan_secrets, secret_digest
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -53,3 +53,17 @@ def test_battery_and_control():
     assert battery("0123456789abcdef" * 3, alphabet)["joint"] < 1e-3 or battery("0123456789abcdef" * 3, alphabet)["serial"] < 1e-3
     assert encoding("deadbeef00112233")[0] == "hex" and encoding("only_letters_here") is None and encoding("1234567890123456") is None
     assert least_bins([(0, 200, 1), (0, -1, 50), (1, 10, 1), (1, -1, 10**6)]) == {0: 200}
+
+
+def test_runs_without_a_digit_are_tested(spark):
+    rng = random.Random(4)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    keys = [key(lower, 32), key(lower.upper(), 40), key(lower + lower.upper(), 24)]
+    words = "Donaudampfschifffahrtsgesellschaft internationalisation anticonstitutionnellement desoxirribonucleico someVeryLongIdentifierName only_letters_here path/to/some/other/file"
+    numbers = "4952935900253052 12345678901234567890"
+    rows = [(k, f"key {run} end") for k, run in enumerate(keys)] + [(9, f"{words} {numbers}")]
+    got = {r.doc_id: r.spans for r in secret_digest(scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {0: "random:4:36", 1: "random:4:44", 2: "random:4:28", 9: ""}
+    assert len(candidates(numbers, [])) == 2  # each counts as a test
+    assert [inferred(x)[0] for x in ("abcdefghijklmnopqrst", "ABCDEFGHIJKLMNOPQRST", "abcdefghijKLMNOPQRST", "1234567890123456")] == ["lower", "upper", "letters", "hex"]
