@@ -86,3 +86,30 @@ def test_quotations_are_found_but_not_paraphrases(spark):
     assert found("it is what it is, after all these years of work.") == {(1, 13)}
     assert found('said: "it') == {(1, 6)} and found("it is what it was after all these years") == set() and found("") == set()
     assert Q.closest("abcdef", "xbcdx") == 0.6 and Q.closest("", "a") == 0.0
+
+
+def test_closest_candidates_come_from_whole_texts(spark, sf):
+    import re
+    from difflib import SequenceMatcher
+
+    from threadloom.plans import QUERIES
+
+    docs = [(1, "one two three four five six seven eight nine ten eleven twelve thirteen so it was a fine day"), (2, "far away a cat sat"), (3, "nothing"), (4, None)]
+    items = [(7, "as i say so it was a fine day"), (8, "cat sat"), (9, "of a b c remarkable")]
+    got = Q.candidates(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, phrase string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 7), (2, 8)]
+    texts, phrases = ({r[0]: r[1] or "" for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()} for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
+
+    def features(text):
+        w = re.findall(r"[^\W_]+", text.lower())
+        return {x for x in w if len(x) > 7} | {" ".join(w[k : k + 4]) for k in range(len(w) - 3)}
+
+    f = {i: features(p) for i, p in phrases.items()}
+    want = {(d, i) for d, t in texts.items() for i in (lambda own: [i for i in f if own & f[i]])(features(t))}
+    rows = {(r.doc_id, r.item_id): r.score for r in QUERIES["x20_closest"](spark, sf).collect()}
+    assert set(rows) == want and want
+    norm = lambda s: re.sub(r"\s+([.,;:?!])", r"\1", re.sub(r"\s+", " ", s)).strip().lower()
+    plain = [k for k in sorted(rows) if (texts[k[0]] + phrases[k[1]]).isascii()][:20]
+    for d, i in plain:
+        a, b = norm(phrases[i]), norm(texts[d])
+        assert rows[d, i] == round(SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b)).size / len(a), 3)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +17,7 @@ from .worktables import materialise
 ELISION = r"\s*(?:\.\.\.|…|\[[^\]]*\])\s*"
 FRAGMENT_WORDS, PAD, PARTIAL_CHARS = 4, 60, 25
 GRAM = 5
+TERM_LETTERS, RUN = 7, 4  # what a text and a phrase must share to be compared
 
 
 def _locate(part: Column, text: Column, start: Column) -> Column:
@@ -71,7 +71,11 @@ def closest(text: str, phrase: str) -> float:
     """Share of the phrase that the text holds as one run of characters."""
     norm = lambda s: re.sub(r"\s+([.,;:?!])", r"\1", re.sub(r"\s+", " ", s.translate(str.maketrans(X.TYPOGRAPHIC, X.PLAIN)))).strip().lower()
     a, b = norm(phrase), norm(text)
-    return round(SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b)).size / len(a), 3) if a and b else 0.0
+    best = 0
+    for i in range(len(a)):
+        while i + best < len(a) and a[i : i + best + 1] in b:
+            best += 1
+    return round(best / len(a), 3) if a and b else 0.0
 
 
 @F.pandas_udf(T.DoubleType())
@@ -80,6 +84,18 @@ def closest_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series([closest(t or "", p or "") for t, p in zip(texts, phrases, strict=True)])
 
 
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id for all texts (doc_id, text) and phrases (item_id, phrase; few enough to broadcast) that share, anywhere
+    in either, a term of more than TERM_LETTERS letters or RUN tokens in a row; a phrase of fewer tokens is shared whole."""
+    features = lambda words: F.explode(F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) > TERM_LETTERS), F.when(F.size(words) >= RUN, F.transform(F.sequence(F.lit(1), F.size(words) - RUN + 1), lambda k: F.array_join(F.slice(words, k, RUN), " "))).otherwise(F.array().cast("array<string>")))))
+    d, i = docs.select("doc_id", X.tokens("text").alias("w")), items.select("item_id", X.tokens("phrase").alias("w"))
+    met = d.select("doc_id", features(F.col("w")).alias("f")).join(F.broadcast(i.select("item_id", features(F.col("w")).alias("f"))), "f").select("doc_id", "item_id")
+    padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    short = i.where((F.size("w") > 0) & (F.size("w") < RUN)).select("item_id", padded(F.col("w")).alias("p"))
+    whole = d.select("doc_id", padded(F.col("w")).alias("t")).join(F.broadcast(short), F.contains("t", "p")).select("doc_id", "item_id")
+    return met.unionByName(whole).distinct()
+
+
 def first_hits(found: DataFrame, order: str) -> DataFrame:
     """The first text in order that holds each phrase."""
     w = Window.partitionBy("phrase_id").orderBy(order, "text_id")

@@ -55,9 +55,9 @@ def x18_elided(spark, sf):
 @query()
 def x20_closest(spark, sf):
     """How much of each benchmark passage each of its candidate documents holds as one run (tested against difflib)."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", F.explode(F.array_distinct(F.slice(X.tokens("text"), 1, 12))).alias("term"))
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("phrase"), F.explode(F.array_distinct(F.slice(X.tokens("text"), 1, 3))).alias("term")).where(F.length("term") > 7)
-    return docs.join(items, "term").select("doc_id", "item_id", "text", "phrase").distinct().select("doc_id", "item_id", Q.closest_udf("text", "phrase").alias("score"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("phrase"))
+    return Q.candidates(docs, items).join(docs, "doc_id").join(F.broadcast(items), "item_id").select("doc_id", "item_id", Q.closest_udf("text", "phrase").alias("score"))
 
 
 MAIL = "concat(text, chr(10), '-- ', chr(10), 'sent from afar')"
