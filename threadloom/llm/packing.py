@@ -1,19 +1,24 @@
-"""Best-fit packing by a configuration linear program over the length histogram.
-
-The program's rows are the lengths 1 to 2047, however many documents there are, so it is solved on the driver: multiplicative
-weights price the lengths (lengths that lag behind in coverage gain weight) and a knapsack dynamic program finds the
-best sequence contents under these prices. The fractional multiplicities are rounded down; what is left is packed by
-best fit, also by length. Pieces are then placed by their rank among the pieces of
-their length: a range of ranks goes to the same slot of a range of sequences, so nothing but the plan is sent out.
-
-Defined cases: null and empty texts are the single id 0; a longer document is cut into 2048-token pieces; repeated
-rows are packed each; an empty table gives an empty result.
+"""Packing by a configuration linear program over the length histogram.
+
+The program has a row for each length (1 to 2047, however many documents there are) and a column for each content of a
+sequence, so it is solved on the driver. Multiplicative weights price the lengths: every share of a length that is covered
+lowers its price by a constant factor, and a knapsack dynamic program over a working set of the lengths that lag most finds,
+for each open length, the best content that holds it. What the columns cover sums to the fractional solution.
+It is then rounded: columns of large multiplicity are rounded down, those below one up as far as pieces are left, and the
+program is solved again for the rest until columns find nothing more. The few pieces that no column takes go by best fit.
+Pieces are placed by their rank among the pieces of their length: a range of ranks goes to the same slot of a
+range of sequences, so nothing but the plan is sent out.
+
+Defined cases: null and empty texts are the single id 0; a longer document, however long, is cut into 2048-token pieces;
+repeated rows are packed each; ties in price fall as the seeded order of the lengths has it; an empty table gives an empty
+result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -27,78 +32,109 @@ from .encoder import default_path, encoder
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-ROUNDS = 600  # of pricing at most, each with up to CONTENTS contents
-CONTENTS = 12
-STEP = 0.05  # most that one content adds to the covered share of a length
-AHEAD = 0.1  # a length this far ahead of the least covered one is priced at nothing for now
-RATE = 0.02  # a length at that limit has lost this share of its price
-ENOUGH = 6.0  # times that every length is covered before multiplicities are scaled
-WASTE = 0  # tokens that a content may leave free; worse ones are left to best fit
+ROUNDS = 90  # of pricing at most, each time that the program is solved
+WORKING = 192  # lengths that a round's knapsack draws on, those that lag most; every open length gets a column all the same
+STEP = 0.6  # share of what a column could still cover that a round gives it
+RATE = 0.5  # a length whose whole need is covered has its price lowered by exp(-RATE)
+LONG = 0.5  # a piece as long as a sequence is priced this share higher a token, for short pieces fill gaps later
+SOLVED = 0.01  # share of the tokens that may stay uncovered when the rounds end
+WASTE = (0.0, 0.0, 0.0, 1 / 256, 1 / 32, 1.0)  # share of a sequence that a column may leave free, as solving goes on
 Plan = list[tuple[dict[int, int], int]]
 
 
-class Prices:
-    """The knapsack program for one set of prices: best value and the length taken last, for each capacity."""
-
-    def __init__(self, value: np.ndarray, capacity: int):
-        best, self.taken = np.zeros(capacity + 1, np.float64), np.zeros(capacity + 1, np.int64)
-        for room in range(1, capacity + 1):
-            sums = value[1 : room + 1] + best[room - 1 :: -1] if room == capacity else value[1 : room + 1] + best[:room][::-1]
-            k = int(sums.argmax())
-            if sums[k] > best[room - 1]:
-                best[room], self.taken[room] = sums[k], k + 1
-            else:
-                best[room] = best[room - 1]
-
-    def content(self, capacity: int, first: int, left: np.ndarray) -> dict[int, int]:
-        """A best content that holds `first`, within what is left of each length; gaps are filled by best fit."""
-        out, room = {first: 1}, capacity - first
-        have = lambda size: left[size] - out.get(size, 0) >= 1
-        while room > 0:
-            size = int(self.taken[room])
-            if not size:
-                room_next = room - 1
-                if not self.taken[:room].any():
-                    break
-                room = room_next
-                continue
-            if not have(size):
-                break
-            out[size] = out.get(size, 0) + 1
-            room -= size
-        room = capacity - sum(k * n for k, n in out.items())
-        while room > 0:
-            fits = np.flatnonzero(left[1 : room + 1] >= 1) + 1
-            fits = [s for s in fits[::-1][:64].tolist() if have(s)]
-            if not fits:
-                break
-            out[fits[0]] = out.get(fits[0], 0) + 1
-            room -= fits[0]
-        return out
+class Columns(NamedTuple):
+    """A fractional solution: column k holds times[k] pieces of lengths[k] and is used x[k] times."""
+
+    x: np.ndarray
+    lengths: list[np.ndarray]
+    times: list[np.ndarray]
+    uncovered: np.ndarray  # pieces of each length that no column covers
+
 
+class Solution(NamedTuple):
+    program: Plan  # contents from the program's columns
+    rest: Plan  # contents from best fit
+    objective: float  # of the first fractional solution, uncovered lengths filled up by columns of one length
 
-def fractional(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> Plan:
-    """Multiplicative weights for the program; multiplicities are scaled so that no length is covered twice."""
-    need = counts.astype(np.float64)
-    lengths = np.flatnonzero(need)
-    covered, found = np.zeros_like(need), {}
+
+def _items(counts: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Knapsack items: for each length, multiples that can make up any number of pieces that there are."""
+    own, times = [], []
+    for size in lengths.tolist():
+        n, k = min(int(counts[size]), capacity // size), 1
+        while n:
+            k = min(k, n)
+            own.append(size)
+            times.append(k)
+            n, k = n - k, 2 * k
+    return np.array(own, np.int64), np.array(times, np.int64), np.array(own, np.int64) * np.array(times, np.int64)
+
+
+def knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best value of items (each at most once) for each room, and by [item, room] whether the item was taken."""
+    best, taken = np.zeros(capacity + 1), np.zeros((len(sizes), capacity + 1), bool)
+    for k, (size, value) in enumerate(zip(sizes.tolist(), values.tolist(), strict=True)):
+        with_it = best[: capacity + 1 - size] + value
+        np.greater(with_it, best[size:], out=taken[k, size:])
+        np.maximum(with_it, best[size:], out=best[size:])
+    return best, taken
+
+
+def _contents(counts: np.ndarray, first: np.ndarray, working: np.ndarray, price: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each length of `first` the best content that holds it: (free room), (column, length, times) sorted by column."""
+    own, times, sizes = _items(counts, working, capacity)
+    order = rng.permutation(len(sizes))
+    own, times, sizes = own[order], times[order], sizes[order]
+    _, taken = knapsack(sizes, price[own] * times, capacity)
+    rooms, column, length, n = capacity - first, [np.arange(len(first))], [first], [np.ones(len(first), np.int64)]
+    for k in range(len(sizes) - 1, -1, -1):
+        hit = np.flatnonzero(taken[k, rooms])
+        if len(hit):
+            rooms[hit] -= sizes[k]
+            column.append(hit)
+            length.append(np.full(len(hit), own[k]))
+            n.append(np.full(len(hit), times[k]))
+    names, at = np.unique(np.concatenate(column) * (capacity + 1) + np.concatenate(length), return_inverse=True)
+    return rooms, names // (capacity + 1), names % (capacity + 1), np.bincount(at, np.concatenate(n)).astype(np.int64)
+
+
+def fractional(counts: np.ndarray, capacity: int, waste: float = 0.0, rounds: int = ROUNDS, seed: int = 0) -> Columns:
+    """Multiplicative weights for the program; no length is covered beyond its need."""
+    rng, need, sizes = np.random.default_rng(seed), counts.astype(np.float64), np.arange(capacity + 1)
+    left, x, held, multiples = need.copy(), [], [], []
+    lengths = np.flatnonzero(counts)
     for _ in range(rounds):
-        share = np.where(need > 0, covered / np.maximum(need, 1), np.inf)
-        least = share[lengths].min()
-        if least >= ENOUGH:
+        first = lengths[left[lengths] > 1e-6 * need[lengths]]
+        if not len(first) or left @ sizes <= SOLVED * (need @ sizes):
             break
-        weight = np.where(share <= least + AHEAD, np.arange(len(need)) * np.exp(-RATE * (np.minimum(share, 1e9) - least) / AHEAD), -1e300)
-        prices = Prices(weight, capacity)
-        open_now = np.where(share <= least + AHEAD, need, 0)
-        for first in lengths[np.lexsort((-lengths, share[lengths]))][:CONTENTS].tolist():
-            content = prices.content(capacity, first, open_now)
-            step = STEP * min(need[s] / n for s, n in content.items())
-            key = tuple(sorted(content.items()))
-            found[key] = found.get(key, 0.0) + step
-            for s, n in content.items():
-                covered[s] += step * n
-    most = (covered[lengths] / need[lengths]).max()
-    return [(dict(k), x / most) for k, x in found.items()]
+        share = left[first] / need[first]
+        price = np.zeros(capacity + 1)
+        price[first] = first * (1 + LONG * first / capacity) * np.exp(RATE * (share - 1))
+        working = first[np.argsort(-share - 0.5 * rng.random(len(first)))[:WORKING]]
+        rooms, column, length, times = _contents(counts, first, working, price, capacity, rng)
+        bounds, fits = np.searchsorted(column, np.arange(len(first) + 1)).tolist(), (rooms <= waste * capacity).tolist()
+        for k in range(len(first) - 1, -1, -1):  # the longest first
+            own, n = length[bounds[k] : bounds[k + 1]], times[bounds[k] : bounds[k + 1]]
+            most = float((left[own] / n).min()) if fits[k] and (n <= counts[own]).all() else 0.0
+            if most > 1e-6:
+                step = STEP * most if most > 0.02 * float((need[own] / n).min()) else most
+                left[own] -= step * n
+                x.append(step)
+                held.append(own)
+                multiples.append(n)
+    return Columns(np.array(x), held, multiples, np.maximum(left, 0))
+
+
+def rounded(columns: Columns, left: np.ndarray) -> Plan:
+    """Whole multiplicities, largest columns first; `left` loses the pieces that they hold."""
+    plan = []
+    for k in np.argsort(-columns.x, kind="stable").tolist():
+        own, n = columns.lengths[k], columns.times[k]
+        times = min(max(int(columns.x[k]), 1), int((left[own] // n).min()))
+        if times > 0:
+            left[own] -= times * n
+            plan.append((dict(zip(own.tolist(), n.tolist(), strict=True)), times))
+    return plan
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> Plan:
@@ -150,18 +186,37 @@ def best_fit(counts: np.ndarray, capacity: int) -> Plan:
     return [({s: content.count(s) for s in set(content)}, times) for content, times in done.items()]
 
 
+def solve_parts(counts: np.ndarray, capacity: int = CAPACITY) -> Solution:
+    """Rounded solutions of the program, solved again for what is left, then best fit.
+
+    Should that take more sequences than best fit alone, the columns found last are given up, twice as many each time.
+    """
+    left, program, objective, sizes = counts.astype(np.int64).copy(), [], 0.0, np.arange(capacity + 1)
+    for step, waste in enumerate(WASTE):
+        while left.any():
+            columns = fractional(left, capacity, waste, seed=step)
+            if not program:
+                alone = columns.uncovered[1:] / (capacity // np.maximum(sizes[1:], 1))
+                objective = float(columns.x.sum() + alone.sum())
+            before = left @ sizes
+            program += rounded(columns, left)
+            if left @ sizes > 0.8 * before:
+                break
+    rest, given_up = best_fit(left, capacity), 1
+    most = sum(n for _, n in best_fit(counts.astype(np.int64), capacity))
+    while program and sum(n for _, n in program) + sum(n for _, n in rest) > most:
+        for content, n in program[-given_up:]:
+            for size, k in content.items():
+                left[size] += k * n
+        program, given_up = program[:-given_up], 2 * given_up
+        rest = best_fit(left, capacity)
+    return Solution(program, rest, objective)
+
+
 def solve(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
     """Contents (length -> how often) with whole multiplicities that use exactly counts[length] pieces of each length."""
-    left, plan = counts.astype(np.int64).copy(), []
-    if not left.any():
-        return plan
-    for content, x in fractional(left, capacity):
-        times = min(int(x), *(int(left[s] // n) for s, n in content.items()))
-        if times > 0 and capacity - sum(s * n for s, n in content.items()) <= WASTE:
-            plan.append((content, times))
-            for s, n in content.items():
-                left[s] -= n * times
-    return plan + best_fit(left, capacity)
+    found = solve_parts(counts, capacity)
+    return found.program + found.rest
 
 
 class Placement:
