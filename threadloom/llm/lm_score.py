@@ -1,23 +1,25 @@
-"""Language-model scores by logistic context mixing.
-
-A text is the sequence of its tokens (each closed by a terminator byte) and one end, predicted bit by bit. Six predictors
-look a bit up under hashed contexts of the last 1, 2, 3, 4, 6 and 12 bytes of the token; their log-odds are mixed with
-weights that are gated by the longest context seen and the bit's place, learnt online by gradient steps, and the
-mixture is refined by an adaptive map from (partial byte, log-odds) to observed frequency. Contexts stay within a token, so all
-that training needs of the corpus are its token counts, and a token costs the same wherever it stands. Short contexts share
-hashed slots freely; the slots of long ones are given to the contexts of the HEAVY most frequent tokens and carry a check,
-so a context that isn't held is seen to be unknown. All tokens are counted in the slots that are held.
-
-That makes the work distributed: segments of text are coded by their own distinct tokens; counts are summed over
-segments; every distinct token of the corpus is scored once; counts and scores go back to the segments that hold the
-token. Nothing that grows with the corpus comes to the driver: the model is a fixed number of slots (SLOT_BITS).
-While the mixing weights learn, a token's own occurrence is taken off the counts, so rare tokens teach what new
-ones need. A task learns online through all of its share of tokens; each gate's weights are averaged by what the tasks
-met there, and ROUNDS such passes go on from one another. The refining map is taken from the last one.
-
-Defined cases: null and empty texts are the end token alone; a document with null doc_id trains and isn't held out;
-repeated rows count each; without any training document all counts are zero and every bit has chance 1/2; an empty
-table gives an empty result.
+"""Language-model scores by online logistic context mixing, over words and, for new words, over their bytes.
+
+A text is the sequence of its tokens and one end. Each token is coded by binary decisions, from the longest context down:
+has it been met after the two tokens before it; after the one before it; at all. A decision that says yes is followed by the
+token's share among what was met there; a token that was never met is spelt bit by bit. Every bit, decision or spelt, is
+predicted by several predictors, each of which looks counts up under another hashed context (WAYS contexts of counts,
+history and runs for decisions; the last 1 to 5 bytes for spelt bits). Their log-odds are mixed with weights that a gate
+chooses; the weights are learnt by online gradient steps, and the mixture is refined by an adaptive map from (gate, log-odds)
+to observed frequency. While a text is coded, its weights go on learning from what was coded of it before (at bits 32, 64, 128
+and so on) and begin anew with the next text, so a score doesn't depend on how rows are dealt out.
+
+What is gathered from the corpus grows with it and stays distributed: counts of tokens and of two and three tokens in a row.
+Segments of text send their distinct n-grams, as sorted hashes in compressed blocks, to buckets (as many as the input needs);
+buckets sum them and send the counts back. Hashes are wide enough that an n-gram takes another's count in less than one case of
+16,000, whatever the input's size. Only the model of mixing and spelling, of a fixed number of slots, meets on the driver,
+summed in a tree. A training text's own occurrences are taken off all counts that predict it, so training and held-out texts
+are scored alike.
+
+Defined cases: null and empty texts are the end alone; a document with null doc_id trains and isn't held out; repeated rows
+count each; very long texts make a segment of their own and are scored whole; without any training document nothing is known and
+every bit has chance 1/2; ties don't occur, for nothing is ranked; an empty table gives an empty result; further columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -26,9 +28,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,28 +40,66 @@ from pyspark.sql import types as T
 from .common import chunks, crc_remainder, materialise, quoted, texts_of, to_arrow_schema
 from .words import tokens
 
-ORDERS = (1, 2, 3, 4, 6, 12)
-K = len(ORDERS)
-CHECKED = 3  # from the fourth predictor on, slots carry checks
-HEAVY = 40_000  # tokens at most whose contexts hold checked slots
-SLOT_BITS = 20
-BLOCK = 1 << 16  # slots that are summed as one row
+SEGMENT_BYTES = 6 << 20
+BUCKET_ENTRIES = 1 << 20  # n-grams or tokens of segments that a bucket has about
+SPARE_BITS = 14  # of an n-gram's hash beyond the number of tokens
 DELTA = 0.4  # added to both counts of a slot
 BUCKETS = 33  # of log-odds from -8 to 8
-SEGMENT_BYTES = 8 << 20
 STEP = 0.02
-ROUNDS = 2  # passes over the training tokens
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_F1, _F2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BEGIN = np.uint64(0x632BE59BD9B4E019)
+_SALTS = np.arange(1, 8, dtype=np.uint64) * _F2
 
 
-@dataclass
-class Mixer:
-    weights: np.ndarray  # by gate
-    refined: np.ndarray  # chance of a 1 by partial byte and bucket
+def _squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
+
+
+def _bucket(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint((x + 8) * 2), 0, BUCKETS - 1).astype(np.int64)
+
+
+def _centres() -> np.ndarray:
+    return _squash((np.arange(BUCKETS) / 2 - 8)[None, :])
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers >= 0 in as few bytes each as the largest needs, byte by byte of all, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << 8 * w)
+    raw = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width, size = data[0], int.from_bytes(data[1:9], "little")
+    raw = np.frombuffer(pa.decompress(data[9:], decompressed_size=size, codec="zstd", asbytes=True) if size else b"", np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64 if width < 8 else np.uint64)
+
+
+def packed_words(words: list[bytes]) -> bytes:
+    raw = b"\n".join(words)  # a token holds no line break
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked_words(data: bytes, n: int) -> list[bytes]:
+    size = int.from_bytes(data[:8], "little")
+    raw = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return raw.split(b"\n") if n else []
+
+
+# ---- spelling of new words ---------------------------------------------------------------------------------------
+
+ORDERS = (1, 2, 3, 4, 5)
+K = len(ORDERS)
+SLOT_BITS = 20
+BLOCK = 1 << 16  # slots that are summed as one row
+#: How often a slot was met: never, less than 3 times, less than 30 times, more often.
+LEVELS = (1e-9, 3.0, 30.0)
+SPELL_GATES = (K + 1) * (len(LEVELS) + 1) * 8
 
 
 class Bits:
-    """The bits of some tokens with the slots of their contexts."""
+    """The bits of some tokens, each closed by a terminator, with the slots of their contexts."""
 
     def __init__(self, words: list[bytes]):
         flat = np.frombuffer(b"".join([w + b"\n" for w in words]), np.uint8)
@@ -70,60 +112,30 @@ class Bits:
         before, self.contexts = np.ones(len(flat), np.uint64), []
         code = np.concatenate([[np.uint64(0)], self.byte[:-1] + np.uint64(1)]) if len(flat) else self.byte
         for n in range(1, max(ORDERS) + 1):
-            own = np.concatenate([before[:1], before[:-1]]) * _FACTOR + code
+            own = np.concatenate([before[:1], before[:-1]]) * _F1 + code
             own[first] = np.uint64(7)  # the begin of a token stands for all that lies before it
             if n in ORDERS:
-                self.contexts.append((own + np.uint64(n)) * _FACTOR)
+                self.contexts.append((own + np.uint64(n)) * _F1)
             before = own
 
-    def steps(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-        """For each of the eight bits: its place, partial bytes, the bits, and slots and checks in each predictor."""
+    def steps(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """For each of the eight bits: its place, partial bytes, the bits, and slots in each predictor."""
         partial = np.ones(len(self.byte), np.uint64)
         for place in range(8):
             bit = (self.byte >> np.uint64(7 - place)) & np.uint64(1)
-            hashes = [(c ^ (partial << np.uint64(32))) * _FACTOR for c in self.contexts]
-            slots = [(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for h in hashes]
-            checks = [((h >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1) if k >= CHECKED else None for k, h in enumerate(hashes)]
-            yield place, partial.astype(np.int64), bit.astype(np.int64), slots, checks
+            slots = [((c ^ (partial << np.uint64(32))) * _F1 >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for c in self.contexts]
+            yield place, partial.astype(np.int64), bit.astype(np.int64), slots
             partial = (partial << np.uint64(1)) | bit
 
 
-def held_slots(words: list[bytes], times: np.ndarray) -> np.ndarray:
-    """Checks of the slots that the contexts of frequent tokens hold (0: free); of two contexts the more frequent one stays."""
-    out = np.zeros((K, 1 << SLOT_BITS), np.uint16)
-    if not words:
-        return out
-    bits = Bits(words)
-    weight = times[bits.owner].astype(np.float64)
-    wanted: list[list[np.ndarray]] = [[] for _ in range(K)]
-    for _, _, _, slots, checks in bits.steps():
-        for k in range(CHECKED, K):
-            wanted[k].append(slots[k].astype(np.uint64) << np.uint64(16) | checks[k])
-    for k in range(CHECKED, K):
-        names, of = np.unique(np.concatenate(wanted[k]), return_inverse=True)
-        order = np.argsort(np.bincount(of, np.tile(weight, 8)), kind="stable")
-        out[k, (names[order] >> np.uint64(16)).astype(np.int64)] = (names[order] & np.uint64(0xFFFF)).astype(np.uint16)
-    return out
-
-
-def count_slots(words: list[bytes], times: np.ndarray, held: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> None:
-    """Adds the tokens' bits to the counts of all predictors' slots."""
-    bits = Bits(words)
-    weight = times[bits.owner]
-    for _, _, bit, slots, checks in bits.steps():
+def count_slots(words: list[bytes], counts: np.ndarray) -> None:
+    """Adds the tokens' bits to counts[predictor, 2 * slot + bit]."""
+    for _, _, bit, slots in Bits(words).steps():
         for k, slot in enumerate(slots):
-            own = weight if k < CHECKED else np.where(held[k][slot] == checks[k], weight, 0.0)
-            both = np.bincount(2 * slot + bit, own, 2 << SLOT_BITS)
-            zeros[k] += both[::2]
-            ones[k] += both[1::2]
+            counts[k] += np.bincount(2 * slot + bit, minlength=2 << SLOT_BITS)
 
 
-#: How often a slot was met: never, less than 3 times, less than 30 times, more often.
-LEVELS = (1e-9, 3.0, 30.0)
-GATES = (K + 1) * (len(LEVELS) + 1) * 8
-
-
-def _gate(levels: list[np.ndarray], place: int) -> np.ndarray:
+def _spell_gate(levels: list[np.ndarray], place: int) -> np.ndarray:
     """Chooses the weights: by the longest context met, how often it was met, and the bit's place."""
     seen = np.zeros(len(levels[0]), np.int64)
     for k, level in enumerate(levels):
@@ -131,254 +143,491 @@ def _gate(levels: list[np.ndarray], place: int) -> np.ndarray:
     return seen * 8 + place
 
 
-def first_weights() -> np.ndarray:
+def spell_weights() -> np.ndarray:
     """Before learning, the longest context met is trusted most."""
     out = np.zeros((K + 1, len(LEVELS) + 1, 8, K))
     for k in range(K):
         out[k + 1, :, :, k], out[k + 1, :, :, max(0, k - 1)] = 0.8, 0.2 if k else 0.8
-    return out.reshape(GATES, K)
-
-
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -12, 12)))
-
+    return out.reshape(SPELL_GATES, K)
 
-def _bucket(x: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint((x + 8) * 2), 0, BUCKETS - 1).astype(np.int64)
 
+def spell_tables(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds and levels by [predictor, way, slot]: ways are all counts, and those without one 0 or one 1."""
+    odds, levels = [], []
+    zeros, ones = counts[:, ::2], counts[:, 1::2]
+    for z, o in ((zeros, ones), (np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0))):
+        odds.append(np.log((o + DELTA) / (z + DELTA)).astype(np.float32))
+        levels.append(np.searchsorted(np.array(LEVELS), z + o, side="right").astype(np.int8))
+    return np.stack(odds, axis=1), np.stack(levels, axis=1)
 
-def tables(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds and level of every slot."""
-    return np.log((ones + np.float32(DELTA)) / (zeros + np.float32(DELTA))), np.searchsorted(np.array(LEVELS, np.float32), zeros + ones, side="right").astype(np.int8)
-
-
-def without_one(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same for counts from which one met bit is taken: [predictor, bit, slot]."""
-    parts = [tables(np.maximum(zeros - 1, 0), ones), tables(zeros, np.maximum(ones - 1, 0))]
-    return np.stack([p[0] for p in parts], axis=1), np.stack([p[1] for p in parts], axis=1)
 
+@dataclass
+class Spelling:
+    odds: np.ndarray
+    levels: np.ndarray
+    weights: np.ndarray
+    refined: np.ndarray  # chance of a 1 by partial byte and bucket
 
-def first_squares() -> np.ndarray:
-    return np.full((GATES, K), 1e-6)
+    def log10(self, words: list[bytes], known: np.ndarray) -> np.ndarray:
+        """log10 of each token's chance; the one occurrence of a known token doesn't help to predict it."""
+        out = np.zeros(len(words))
+        if not words:
+            return out
+        bits = Bits(words)
+        cost, own = np.zeros(len(bits.byte)), known[bits.owner]
+        for place, partial, bit, slots in bits.steps():
+            way = np.where(own, 1 + bit, 0)
+            odds = [self.odds[k][way, slot] for k, slot in enumerate(slots)]
+            gate = _spell_gate([self.levels[k][way, slot] for k, slot in enumerate(slots)], place)
+            mixed = sum(self.weights[gate, k] * o for k, o in enumerate(odds))
+            p = np.clip((_squash(mixed) + self.refined[partial, _bucket(mixed)]) / 2, 1e-6, 1 - 1e-6)
+            cost += np.log10(np.where(bit == 1, p, 1 - p))
+        return np.add.reduceat(cost, bits.starts)
 
 
-def learn(words: list[bytes], times: np.ndarray, held: np.ndarray, odds_of: np.ndarray, level_of: np.ndarray, weights: np.ndarray, squares: np.ndarray, batch: int = 2000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Online pass over tokens: moves mixing weights and squares on; gives what each gate met, and the refining map's bits and ones."""
-    seen = np.zeros(GATES)
-    met, hits = np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
+def learn_spelling(words: list[bytes], odds_of: np.ndarray, level_of: np.ndarray, weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, met: np.ndarray, hits: np.ndarray, batch: int = 2000) -> None:
+    """Online pass over known tokens, each predicted without its own occurrence: moves all the given arrays on."""
     for at in range(0, len(words), batch):
-        bits = Bits(words[at : at + batch])
-        weight = times[at : at + batch][bits.owner].astype(np.float64)
-        for place, partial, bit, slots, checks in bits.steps():
-            odds, levels = [], []
-            for k, slot in enumerate(slots):
-                odds.append(odds_of[k][bit, slot])
-                levels.append(level_of[k][bit, slot])
-                if k >= CHECKED:
-                    known = held[k][slot] == checks[k]
-                    odds[k], levels[k] = odds[k] * known, levels[k] * known
-            gate = _gate(levels, place)
+        for place, partial, bit, slots in Bits(words[at : at + batch]).steps():
+            odds = [odds_of[k][1 + bit, slot] for k, slot in enumerate(slots)]
+            gate = _spell_gate([level_of[k][1 + bit, slot] for k, slot in enumerate(slots)], place)
             mixed = sum(weights[gate, k] * o for k, o in enumerate(odds))
-            error = (bit - _squash(mixed)) * weight
-            total = np.bincount(gate, weight, len(weights))
+            error, total = bit - _squash(mixed), np.bincount(gate, minlength=len(weights))
             seen += total
             cell = partial * BUCKETS + _bucket(mixed)
-            met += np.bincount(cell, weight, 256 * BUCKETS).reshape(256, BUCKETS)
-            hits += np.bincount(cell, weight * bit, 256 * BUCKETS).reshape(256, BUCKETS)
+            met += np.bincount(cell, minlength=met.size).reshape(met.shape)
+            hits += np.bincount(cell, bit, met.size).reshape(met.shape)
             for k, o in enumerate(odds):
-                slope = np.bincount(gate, error * o, len(weights)) / np.maximum(total, 1e-9)
+                slope = np.bincount(gate, error * o, len(weights)) / np.maximum(total, 1)
                 squares[:, k] += slope**2
                 weights[:, k] += STEP * slope / np.sqrt(squares[:, k])
-    return seen, met, hits
 
 
-class Model:
-    """Log-odds of every slot, mixing weights and the refining map."""
+# ---- decisions about words ---------------------------------------------------------------------------------------
+
+WAYS = 6  # predictors of a decision
+WAY_BITS = 14
+GATES = 3 * 4 * 4
+ADAPT = 0.3  # step of a text's own weights
+FIRST_STOP = 32  # decisions of a text after which its weights are first moved on
+
+
+class Decisions:
+    """The decisions of some texts in order: text, bit, gate, slots of each predictor; and the chance of what isn't decided.
+
+    c1, c2, c3: training counts of the 1, 2 and 3 tokens that end at each place; lengths: tokens of each text with its end;
+    trains: whether a text is one of the training texts; spelt: log10 chance of a new word's spelling.
+    """
+
+    def __init__(self, c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, spelt: np.ndarray, lengths: np.ndarray, trains: np.ndarray, n_train: int, n_docs: int):
+        starts, text = np.cumsum(lengths) - lengths, np.repeat(np.arange(len(lengths)), lengths)
+        own = trains[text].astype(np.int64)
+        before = lambda x, start: _shifted(x, starts, start)
+        n1, n2 = np.maximum(before(c1, n_docs) - own, 0), np.maximum(before(c2, n_docs) - own, 0)
+        k1, k2, k3 = (np.maximum(c - own, 0) for c in (c1, c2, c3))
+        k2, k3 = np.minimum(k2, n1), np.minimum(k3, n2)  # a hash may take another n-gram's count
+        level = np.where(k3 > 0, 0, np.where(k2 > 0, 1, np.where(k1 > 0, 2, 3)))
+        share = np.choose(np.minimum(level, 2), (k3 / np.maximum(n2, 1), k2 / np.maximum(n1, 1), k1 / np.maximum(n_train - own, 1)))
+        self.rest = np.where(level == 3, spelt, np.log10(np.where(level == 3, 1.0, share)))
+        h1 = before(level, 3)
+        h2 = before(h1, 3)
+        h3 = before(h2, 3)
+        place = np.arange(len(level))
+        last = np.maximum.accumulate(np.where(level > 0, place, -1)) if len(level) else place  # of places up to here
+        run = place - 1 - np.maximum(before(last, -1), starts[text] - 1)
+        asked = np.stack([n2 > 0, (level > 0) & (n1 > 0), level > 1], axis=1)
+        at = np.flatnonzero(asked.ravel())
+        at, kind = at // 3, at % 3
+        self.text, self.bit, self.place = text[at], (level[at] == kind).astype(np.int64), at
+        q1, q2 = _size(n1)[at], _size(n2)[at]
+        q, past = np.where(kind == 0, q2, q1), (h1[at], h2[at], h3[at])
+        self.gate = (kind * 4 + past[0]) * 4 + np.minimum(q, 3)
+        contexts = (q, (past[0] * 4 + past[1]) * 4 + past[2], (q * 4 + past[0]) * 4 + past[1], n1[at], (q2 * 64 + q1) * 4 + past[0], _size(run)[at] * 64 + q)
+        self.slots = [((c * 3 + kind).astype(np.uint64) * _F1 + _SALTS[way] >> np.uint64(64 - WAY_BITS)).astype(np.int64) for way, c in enumerate(contexts)]
+        self.texts, self.starts = len(lengths), starts
+
+
+def _shifted(x: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+    """What stands one place before, within each text; `start` before its first place."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[starts] = start
+    return out
 
-    def __init__(self, held: np.ndarray, zeros: np.ndarray, ones: np.ndarray, mixer: Mixer):
-        self.held = held
-        self.odds, self.level = tables(zeros, ones)
-        self.mixer = mixer
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the chance of each token with its terminator."""
-        out = np.zeros(len(words))
-        if not words:
+def _size(n: np.ndarray) -> np.ndarray:
+    """Number of binary digits."""
+    return np.frexp(n.astype(np.float64))[1].astype(np.int64)
+
+
+class Learner:
+    """State of an online pass over decisions: counts of slots, weights, and what the refining map met."""
+
+    def __init__(self, weights: np.ndarray, squares: np.ndarray, counts: np.ndarray | None):
+        self.weights, self.squares, self.fixed = weights.copy(), squares.copy(), counts
+        self.counts = np.zeros((WAYS, 2 << WAY_BITS), np.int64)
+        self.seen, self.met, self.hits = np.zeros(GATES), np.zeros((GATES, BUCKETS)), np.zeros((GATES, BUCKETS))
+
+    def learn(self, own: Decisions, block: int = 1 << 14) -> None:
+        counts = self.counts if self.fixed is None else self.fixed
+        for at in range(0, len(own.bit), block):
+            bit, gate, slots = own.bit[at : at + block], own.gate[at : at + block], [s[at : at + block] for s in own.slots]
+            odds = [np.log((counts[k][2 * s + 1] + DELTA) / (counts[k][2 * s] + DELTA)) for k, s in enumerate(slots)]
+            mixed = sum(self.weights[gate, k] * o for k, o in enumerate(odds))
+            error, total = bit - _squash(mixed), np.bincount(gate, minlength=GATES)
+            self.seen += total
+            cell = gate * BUCKETS + _bucket(mixed)
+            self.met += np.bincount(cell, minlength=GATES * BUCKETS).reshape(GATES, BUCKETS)
+            self.hits += np.bincount(cell, bit, GATES * BUCKETS).reshape(GATES, BUCKETS)
+            for k, o in enumerate(odds):
+                slope = np.bincount(gate, error * o, GATES) / np.maximum(total, 1)
+                self.squares[:, k] += slope**2
+                self.weights[:, k] += STEP * slope / np.sqrt(self.squares[:, k])
+                if self.fixed is None:
+                    self.counts[k] += np.bincount(2 * slots[k] + bit, minlength=2 << WAY_BITS)
+
+
+@dataclass
+class Mixing:
+    odds: np.ndarray  # by predictor and slot
+    weights: np.ndarray  # by gate
+    refined: np.ndarray  # chance of yes by gate and bucket
+
+    def log10(self, own: Decisions) -> np.ndarray:
+        """log10 chance of each text. A text's weights move on at its 32nd, 64th, 128th decision and so on."""
+        out = np.add.reduceat(own.rest, own.starts) if own.texts else np.zeros(0)
+        n = len(own.bit)
+        if not n:
             return out
-        bits = Bits(words)
-        cost = np.zeros(len(bits.byte))
-        weights = self.mixer.weights
-        for place, partial, bit, slots, checks in bits.steps():
-            odds = [self.odds[k][slot] for k, slot in enumerate(slots)]
-            levels = [self.level[k][slot] for k, slot in enumerate(slots)]
-            for k in range(CHECKED, K):
-                known = self.held[k][slots[k]] == checks[k]
-                odds[k], levels[k] = odds[k] * known, levels[k] * known
-            gate = _gate(levels, place)
-            mixed = sum(weights[gate, k] * o for k, o in enumerate(odds))
-            p = np.clip((_squash(mixed) + self.mixer.refined[partial, _bucket(mixed)]) / 2, 1e-6, 1 - 1e-6)
-            cost += np.log10(np.where(bit == 1, p, 1 - p))
-        return np.add.reduceat(cost, bits.starts)
+        key = own.text * GATES + own.gate
+        there = np.bincount(key) > 0
+        names, pair = np.flatnonzero(there), (np.cumsum(there) - 1)[key]
+        weights = self.weights[names % GATES]
+        nth = np.arange(n) - np.searchsorted(own.text, np.arange(own.texts))[own.text]
+        stop = _size(nth // FIRST_STOP)
+        order = np.argsort(stop, kind="stable")
+        ends = np.searchsorted(stop[order], np.arange(stop.max() + 2))
+        cost = np.zeros(n)
+        for a, z in zip(ends[:-1], ends[1:], strict=True):
+            at = order[a:z]
+            bit, to = own.bit[at], pair[at]
+            odds = [self.odds[k][s[at]] for k, s in enumerate(own.slots)]
+            mixed = sum(weights[to, k] * o for k, o in enumerate(odds))
+            p = np.clip((_squash(mixed) + self.refined[own.gate[at], _bucket(mixed)]) / 2, 1e-6, 1 - 1e-6)
+            cost[at] = np.log10(np.where(bit == 1, p, 1 - p))
+            error, met = bit - _squash(mixed), np.bincount(to, minlength=len(names)) + FIRST_STOP
+            for k, o in enumerate(odds):
+                weights[:, k] += ADAPT * np.bincount(to, error * o, len(names)) / met
+        return out + np.bincount(own.text, cost, own.texts)
 
 
-# ---- segments ----------------------------------------------------------------------------------------------------
+# ---- distributed counts ------------------------------------------------------------------------------------------
 
-SEGMENT = T.StructType().add("segment", "long").add("code", "integer").add("token", "binary").add("train", "long").add("doc_ids", T.ArrayType(T.LongType())).add("held", T.ArrayType(T.BooleanType())).add("lengths", "binary").add("codes", "binary").add("sizes", "binary")
+SEGMENT = T.StructType().add("segment", "long").add("n_tokens", "long").add("n_distinct", "long").add("doc_ids", T.ArrayType(T.LongType())).add("held", T.ArrayType(T.BooleanType())).add("lengths", "binary").add("sizes", "binary").add("codes", "binary").add("words", "binary").add("train", "binary")
+SENT = T.StructType().add("bucket", "long").add("segment", "long").add("n", "long").add("names", "binary").add("train", "binary")
+VOCABULARY = T.StructType().add("bucket", "long").add("n_train", "long").add("n_types", "long").add("n", "long").add("words", "binary").add("counts", "binary").add("segments", T.ArrayType(T.LongType())).add("members", T.ArrayType(T.BinaryType()))
+VALUES = T.StructType().add("segment", "long").add("kind", "integer").add("bucket", "long").add("counts", "binary").add("spelt", "binary")
+COUNTED = T.StructType().add("doc_ids", T.ArrayType(T.LongType())).add("held", T.ArrayType(T.BooleanType())).add("lengths", "binary").add("sizes", "binary").add("c1", "binary").add("c2", "binary").add("c3", "binary").add("spelt", "binary")
+OUT = T.StructType().add("doc_id", "long").add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double").add("bits_per_byte", "double")
+
+
+def _batch(schema: pa.Schema, *rows: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A row for each segment (code -1) and one for each of its distinct tokens."""
+    """Texts as numbers: a row for each segment, with its distinct tokens."""
     from pyspark import TaskContext
 
     task = TaskContext.get().partitionId()
     for number, batch in enumerate(chunks(batches, SEGMENT_BYTES)):
-        lists = [tokens(t) for t in texts_of(batch.column("text"))]
-        held = batch.column("held").to_pylist()
         code: defaultdict[bytes, int] = defaultdict()
         code.default_factory = code.__len__
-        assert code[b""] == 0  # the end
+        code[b""]  # the end of a text is number 0
+        lists, sizes = [], []
+        for text in texts_of(batch.column("text")):
+            own = tokens(text)
+            own.append(b"")
+            lists.append(own)
+            sizes.append(sum(map(len, own)) + len(own))
+        held = batch.column("held").to_pylist()
         lengths = np.array([len(x) for x in lists], np.int64)
-        codes = np.fromiter(map(code.__getitem__, chain.from_iterable(lists)), np.int32, int(lengths.sum()))
-        trains = ~np.array(held, bool)
-        train = np.bincount(codes[np.repeat(trains, lengths)], minlength=len(code))
-        train[0] += trains.sum()
-        sizes = np.array([sum(map(len, x)) + len(x) + 1 for x in lists], np.int64)
-        segment, n = task << 24 | number, len(code)
-        kind = codes.astype(np.uint16) if n <= 1 << 16 else codes
-        head = [[segment], [-1], [None], [None], [batch.column("doc_ids").to_pylist()], [held], [lengths.tobytes()], [kind.tobytes()], [sizes.tobytes()]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(head, schema, strict=True)], schema=schema)
-        names = list(code)
-        for at in range(0, n, 50_000):
-            part = names[at : at + 50_000]
-            m = len(part)
-            rows = [pa.array(np.full(m, segment, np.int64)), pa.array(np.arange(at, at + m, dtype=np.int32)), pa.array(part, pa.binary()), pa.array(train[at : at + m].astype(np.int64)), *(pa.nulls(m, f.type) for f in list(schema)[4:])]
-            yield pa.RecordBatch.from_arrays(rows, schema=schema)
-
-
-def _count(batches: Iterator[pa.RecordBatch], schema: pa.Schema, held: np.ndarray) -> Iterator[pa.RecordBatch]:
-    zeros, ones = np.zeros((K, 1 << SLOT_BITS), np.float32), np.zeros((K, 1 << SLOT_BITS), np.float32)
-    for batch in batches:
-        count_slots(batch.column("token").to_pylist(), batch.column("c").to_numpy().astype(np.float64), held, zeros, ones)
-    for k in range(K):
-        for at in range(0, 1 << SLOT_BITS, BLOCK):
-            z, o = zeros[k, at : at + BLOCK], ones[k, at : at + BLOCK]
-            if z.any() or o.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k * (1 << SLOT_BITS) + at], pa.int64()), pa.array([z.tobytes()], pa.binary()), pa.array([o.tobytes()], pa.binary())], schema=schema)
-
-
-def _sum_blocks(table: pa.Table) -> pa.Table:
-    add = lambda c: np.sum([np.frombuffer(x, np.float32) for x in table.column(c).to_pylist()], axis=0).tobytes()
-    return pa.Table.from_arrays([table.column("at")[:1], pa.array([add("zeros")], pa.binary()), pa.array([add("ones")], pa.binary())], names=["at", "zeros", "ones"])
-
-
-def _learn(batches: Iterator[pa.RecordBatch], schema: pa.Schema, held: np.ndarray, odds: np.ndarray, levels: np.ndarray, weights: np.ndarray, squares: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
-    """Goes on from the given weights and squares through all batches; the refining map is given in the last round."""
-    weights, squares, seen, met, hits = weights.copy(), squares.copy(), np.zeros(GATES), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
-    for batch in batches:
-        s, m, h = learn(batch.column("token").to_pylist(), batch.column("c").to_numpy(), held, odds, levels, weights, squares)
-        seen, met, hits = seen + s, met + m, hits + h
-    if seen.any():
-        parts = (seen, seen[:, None] * weights, seen[:, None] * squares, *((met, hits) if last else (None, None)))
-        yield pa.RecordBatch.from_arrays([pa.array([None if x is None else x.tobytes()], pa.binary()) for x in parts], schema=schema)
-
-
-def least_count(vocabulary: DataFrame, most: int) -> int:
-    """The least count for which no more than `most` tokens have it or a larger one: by a histogram of counts, so no task meets all tokens."""
-    above, least = 0, 1 << 62
-    for r in vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("c")).limit(most).collect():
-        above += r["n"]
-        if above > most:
-            break
-        least = r["c"]
-    return least
-
-
-def train(vocabulary: DataFrame) -> Model:
-    """vocabulary: token and its count c in the training documents."""
-    seen = vocabulary.where("c > 0")
-    frequent = sorted(((r["c"], r["token"]) for r in seen.where(F.col("c") >= least_count(seen, HEAVY)).collect()), key=lambda x: (-x[0], x[1]))  # HEAVY rows at most
-    held = held_slots([bytes(w) for _, w in frequent], np.array([c for c, _ in frequent], np.int64))
-    given_held = vocabulary.sparkSession.sparkContext.broadcast(held)
-    blocks = T.StructType().add("at", "long").add("zeros", "binary").add("ones", "binary")
-    schema = to_arrow_schema(blocks)
-    summed = seen.mapInArrow(lambda it: _count(it, schema, given_held.value), blocks).groupBy("at").applyInArrow(_sum_blocks, blocks)
-    zeros, ones = np.zeros((K, 1 << SLOT_BITS), np.float32), np.zeros((K, 1 << SLOT_BITS), np.float32)
-    for r in summed.collect():  # a fixed number of slots, whatever the corpus
-        k, at = divmod(r["at"], 1 << SLOT_BITS)
-        zeros[k, at : at + BLOCK], ones[k, at : at + BLOCK] = np.frombuffer(r["zeros"], np.float32), np.frombuffer(r["ones"], np.float32)
-    given = vocabulary.sparkSession.sparkContext.broadcast((held, *without_one(zeros, ones)))
-    learnt = T.StructType().add("seen", "binary").add("weights", "binary").add("squares", "binary").add("met", "binary").add("hits", "binary")
-    learnt_schema = to_arrow_schema(learnt)
-    weights, squares, met, hits = first_weights(), first_squares(), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
-    mixed = seen.sortWithinPartitions(F.crc32("token"), "token")  # the same order whichever way rows came
-    for n in range(ROUNDS):
-        last = n == ROUNDS - 1
-        total, sums = np.zeros(GATES), np.zeros((2, GATES, K))
-        rows = mixed.mapInArrow(lambda it, at=(weights, squares, last): _learn(it, learnt_schema, *given.value, *at), learnt)
-        for r in rows.collect():  # one small row a task
-            total, sums = total + np.frombuffer(r["seen"]), sums + np.stack([np.frombuffer(r[x]).reshape(GATES, K) for x in ("weights", "squares")])
-            if last:
-                met, hits = met + np.frombuffer(r["met"]).reshape(met.shape), hits + np.frombuffer(r["hits"]).reshape(hits.shape)
-        weights, squares = (np.where(total[:, None] > 0, x / np.maximum(total, 1e-9)[:, None], old) for x, old in zip(sums, (weights, squares), strict=True))
-    centre = _squash((np.arange(BUCKETS) / 2 - 8)[None, :])
-    given.unpersist()
-    given_held.unpersist()
-    return Model(held, zeros, ones, Mixer(weights, (hits + 2 * centre) / (met + 2)))
+        codes = np.fromiter(map(code.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
+        train = np.bincount(codes[np.repeat(~np.array(held, bool), lengths)], minlength=len(code))
+        yield _batch(schema, (task << 24 | number, len(codes), len(code), batch.column("doc_ids").to_pylist(), held, packed(lengths), packed(np.array(sizes)), packed(codes), packed_words(list(code)), packed(train)))
+
+
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> np.uint64(29))) * _F1 + b
+    x = (x ^ (x >> np.uint64(32))) * _F2
+    return x ^ (x >> np.uint64(29))
+
+
+def ngrams(words: list[bytes], codes: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the two and of the three tokens that end at each place (all places of two, then all of three), of `width` bits."""
+    own = _hashes(words)[codes]
+    starts = np.cumsum(lengths) - lengths
+    one = _shifted(own, starts, _BEGIN)
+    two = _shifted(one, starts, _BEGIN)
+    pair = _mixed(one, own)
+    return np.concatenate([pair, _mixed(_mixed(two, one) + np.uint64(1), own)]) >> np.uint64(64 - width)
+
+
+def _send_words(batches: Iterator[pa.RecordBatch], schema: pa.Schema, buckets: int) -> Iterator[pa.RecordBatch]:
+    for row in chain.from_iterable(b.to_pylist() for b in batches):
+        words, train = unpacked_words(row["words"], row["n_distinct"]), unpacked(row["train"])
+        to = _hashes(words) % np.uint64(buckets)
+        order = np.argsort(to, kind="stable")
+        ends = np.searchsorted(to[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+        parts = [(b, order[a:z]) for b, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+        for at in range(0, len(parts), 64):
+            yield _batch(schema, *((b, row["segment"], len(own), packed_words([words[i] for i in own.tolist()]), packed(train[own])) for b, own in parts[at : at + 64]))
+
+
+def _gather_words(table: pa.Table) -> pa.Table:
+    """The distinct tokens of a bucket with their counts, and which of them each segment holds."""
+    code: defaultdict[bytes, int] = defaultdict()
+    code.default_factory = code.__len__
+    rows = sorted(table.to_pylist(), key=lambda r: r["segment"])
+    members = [np.fromiter(map(code.__getitem__, unpacked_words(r["names"], r["n"])), np.int64, r["n"]) for r in rows]
+    counts = np.zeros(len(code), np.int64)
+    for own, r in zip(members, rows, strict=True):
+        counts[own] += unpacked(r["train"])
+    row = (rows[0]["bucket"], int(counts.sum()), int((counts > 0).sum()), len(code), packed_words(list(code)), packed(counts), [r["segment"] for r in rows], [packed(m) for m in members])
+    return pa.Table.from_batches([_batch(to_arrow_schema(VOCABULARY), row)])
 
 
-def _score(batches: Iterator[pa.RecordBatch], schema: pa.Schema, model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 20_000):
-            part = batch.slice(at, 20_000)
-            yield pa.RecordBatch.from_arrays([part.column("token"), part.column("c"), pa.array(model.log10(part.column("token").to_pylist()))], schema=schema)
+def _send_ngrams(batches: Iterator[pa.RecordBatch], schema: pa.Schema, buckets: int, width: int) -> Iterator[pa.RecordBatch]:
+    """A segment's distinct n-grams in order, cut into buckets: differences of neighbours, and training counts."""
+    for row in chain.from_iterable(b.to_pylist() for b in batches):
+        lengths = unpacked(row["lengths"])
+        names = ngrams(unpacked_words(row["words"], row["n_distinct"]), unpacked(row["codes"]), lengths, width)
+        trains = np.repeat(~np.array(row["held"], bool), lengths)
+        names = np.sort(names << np.uint64(1) | np.concatenate([trains, trains]).astype(np.uint64))
+        train, names = (names & np.uint64(1)).astype(np.int64), names >> np.uint64(1)
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+        names, train = names[first], np.add.reduceat(train, first)
+        least = _bounds(buckets, width)
+        ends = np.searchsorted(names, least).tolist()
+        parts = [(b, a, z) for b, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
+        for at in range(0, len(parts), 64):
+            yield _batch(schema, *((b, row["segment"], z - a, packed(np.diff(names[a:z], prepend=least[b])), packed(train[a:z])) for b, a, z in parts[at : at + 64]))
 
 
-OUT = T.StructType().add("doc_id", "long").add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double").add("bits_per_byte", "double")
+def _bounds(buckets: int, width: int) -> np.ndarray:
+    """The least hash of each bucket, and what lies beyond the last."""
+    return np.array([(k << width) // buckets for k in range(buckets)] + [min(1 << width, (1 << 64) - 1)], np.uint64)
+
+
+def _gather_ngrams(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    names = np.concatenate([np.cumsum(unpacked(r["names"]).astype(np.uint64), dtype=np.uint64) for r in rows])
+    _, of = np.unique(names, return_inverse=True)
+    counts = np.bincount(of, np.concatenate([unpacked(r["train"]) for r in rows])).astype(np.int64)[of]
+    ends = np.cumsum([0, *(r["n"] for r in rows)])
+    return pa.Table.from_batches([_batch(to_arrow_schema(VALUES), *((r["segment"], 1, r["bucket"], packed(counts[a:z]), None) for r, a, z in zip(rows, ends[:-1], ends[1:], strict=True)))])
+
+
+def _spell(batches: Iterator[pa.RecordBatch], schema: pa.Schema, model: Spelling) -> Iterator[pa.RecordBatch]:
+    """Sends counts, and the chance of the spelling where it may be asked for, back to the segments."""
+    for row in chain.from_iterable(b.to_pylist() for b in batches):
+        words, counts = unpacked_words(row["words"], row["n"]), unpacked(row["counts"])
+        spelt, rare = np.zeros(len(words), np.float32), np.flatnonzero(counts <= 1)
+        for at in range(0, len(rare), 20_000):
+            own = rare[at : at + 20_000]
+            spelt[own] = model.log10([words[i] for i in own.tolist()], counts[own] > 0)
+        parts = list(zip(row["segments"], row["members"], strict=True))
+        for at in range(0, len(parts), 64):
+            members = [(s, unpacked(m)) for s, m in parts[at : at + 64]]
+            yield _batch(schema, *((s, 0, row["bucket"], packed(counts[m]), packed(spelt[m].view(np.uint32))) for s, m in members))
+
+
+def _counted(word_buckets: int, buckets: int, width: int):
+    """Puts what the buckets sent back in the places of a segment's tokens."""
+
+    def place(heads: pa.Table, values: pa.Table) -> pa.Table:
+        (head,) = heads.to_pylist()
+        sent = sorted(values.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        words, codes, lengths = unpacked_words(head["words"], head["n_distinct"]), unpacked(head["codes"]), unpacked(head["lengths"])
+        order = np.argsort(_hashes(words) % np.uint64(word_buckets), kind="stable")
+        of_word, spelt = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint32)
+        of_word[order] = np.concatenate([unpacked(r["counts"]) for r in sent if r["kind"] == 0])
+        spelt[order] = np.concatenate([unpacked(r["spelt"]) for r in sent if r["kind"] == 0])
+        _, at = np.unique(ngrams(words, codes, lengths, width), return_inverse=True)
+        longer = np.concatenate([unpacked(r["counts"]) for r in sent if r["kind"] == 1])[at]
+        rare = of_word[codes] <= 1
+        row = (head["doc_ids"], head["held"], head["lengths"], head["sizes"], packed(of_word[codes]), packed(longer[: len(codes)]), packed(longer[len(codes) :]), packed(spelt[codes][rare]))
+        return pa.Table.from_batches([_batch(to_arrow_schema(COUNTED), row)])
+
+    return place
+
+
+def _parts(row: dict, n_train: int, n_docs: int) -> tuple[np.ndarray, np.ndarray, Decisions]:
+    c1, c2, c3, lengths = (unpacked(row[x]) for x in ("c1", "c2", "c3", "lengths"))
+    spelt = np.zeros(len(c1))
+    spelt[c1 <= 1] = unpacked(row["spelt"]).astype(np.uint32).view(np.float32)
+    return c1, lengths, Decisions(c1, c2, c3, spelt, lengths, ~np.array(row["held"], bool), n_train, n_docs)
+
+
+# ---- learning ----------------------------------------------------------------------------------------------------
+
+STATE = T.StructType().add("part", "long").add("name", "string").add("value", "binary")
+
+
+def _sum_state(table: pa.Table) -> pa.Table:
+    """Sums one array of a model's state, counts in whole numbers and others in doubles."""
+    total = sum((_unstated(x) for x in table.column("value").to_pylist()), start=0)
+    return pa.Table.from_arrays([table.column("part")[:1], table.column("name")[:1], pa.array([_stated(total)], pa.binary())], names=["part", "name", "value"])
+
+
+def _stated(x: np.ndarray) -> bytes:
+    return b"n" + packed(x.ravel()) if x.dtype.kind in "iu" else b"x" + packed(np.ascontiguousarray(x, np.float64).ravel().view(np.uint64))
+
+
+def _unstated(x: bytes) -> np.ndarray:
+    return unpacked(x[1:]).astype(np.int64) if x[:1] == b"n" else unpacked(x[1:]).astype(np.uint64).view(np.float64)
+
 
+def _summed(df: DataFrame, work) -> dict[str, np.ndarray]:
+    """Sums the arrays that `work` makes of each partition, in a tree: no group meets more than about the root of the number of tasks."""
+    from pyspark import TaskContext
 
-def _documents(schema: pa.Schema, n_train: int, distinct: int):
-    """Scores of a segment's documents from the values of its distinct tokens."""
+    groups, schema = max(1, ceil(df.rdd.getNumPartitions() ** 0.5)), to_arrow_schema(STATE)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, value in work(batches):
+            yield _batch(schema, (TaskContext.get().partitionId() % groups, name, _stated(value)))
+
+    first = df.mapInArrow(each, STATE).groupBy("part", "name").applyInArrow(_sum_state, STATE)
+    whole = first.withColumn("part", F.lit(0).cast("long")).groupBy("part", "name").applyInArrow(_sum_state, STATE)
+    return {r["name"]: _unstated(bytes(r["value"])) for r in whole.collect()}  # a model of fixed size
+
+
+def _known_words(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[list[bytes]]:
+    for row in chain.from_iterable(b.to_pylist() for b in batches):
+        counts = unpacked(row["counts"])
+        words = [w for w, c in zip(unpacked_words(row["words"], row["n"]), counts.tolist(), strict=True) if c]
+        for at in range(0, len(words), most):
+            yield words[at : at + most]
+
+
+def fit_spelling(vocabulary: DataFrame) -> Spelling:
+    """Every token of the training texts counts once: what is spelt later are tokens that are not among them."""
+
+    def count(batches):
+        counts, any_word = np.zeros((K, 2 << SLOT_BITS), np.int64), False
+        for words in _known_words(batches):
+            count_slots(words, counts)
+            any_word = True
+        if any_word:
+            for k in range(K):
+                for at in range(0, 2 << SLOT_BITS, BLOCK):
+                    if counts[k, at : at + BLOCK].any():
+                        yield f"{k}:{at}", counts[k, at : at + BLOCK]
+
+    counts = np.zeros((K, 2 << SLOT_BITS))
+    for name, value in _summed(vocabulary, count).items():
+        k, at = map(int, name.split(":"))
+        counts[k, at : at + BLOCK] = value
+    odds, levels = spell_tables(counts)
+    given = vocabulary.sparkSession.sparkContext.broadcast((odds, levels))
+
+    def learn(batches):
+        state = spell_weights(), np.full((SPELL_GATES, K), 1e-6), np.zeros(SPELL_GATES), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
+        for words in _known_words(batches):
+            learn_spelling(words, *given.value, *state)
+        weights, _, seen, met, hits = state
+        if seen.any():
+            yield from {"weights": weights * seen[:, None], "seen": seen, "met": met, "hits": hits}.items()
+
+    found = _summed(vocabulary, learn)
+    given.unpersist()
+    weights, met, hits = spell_weights(), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
+    if found:
+        seen = found["seen"][:, None]
+        weights = np.where(seen > 0, found["weights"].reshape(weights.shape) / np.maximum(seen, 1), weights)
+        met, hits = found["met"].reshape(met.shape), found["hits"].reshape(met.shape)
+    return Spelling(odds, levels, weights, (hits + 2 * _centres()) / (met + 2))
+
+
+def fit_mixing(counted: DataFrame, n_train: int, n_docs: int) -> Mixing:
+    """Two online passes over the training texts: one fills the predictors' slots, one goes on with what all tasks counted."""
+    weights, squares, counts, found = np.full((GATES, WAYS), 0.3), np.full((GATES, WAYS), 1e-6), None, {}
+    for _ in range(2):
+        state = counted.sparkSession.sparkContext.broadcast((weights, squares, counts))
+
+        def learn(batches, given=state):
+            own = Learner(*given.value)
+            for row in chain.from_iterable(b.to_pylist() for b in batches):
+                own.learn(_of_training(_parts(row, n_train, n_docs)[2], ~np.array(row["held"], bool)))
+            if own.seen.any():
+                yield from {"weights": own.weights * own.seen[:, None], "squares": own.squares * own.seen[:, None], "seen": own.seen, "counts": own.counts, "met": own.met, "hits": own.hits}.items()
+
+        found = _summed(counted, learn)
+        if not found:
+            break
+        seen = found["seen"][:, None]
+        weights, squares = (np.where(seen > 0, found[x].reshape(old.shape) / np.maximum(seen, 1), old) for x, old in (("weights", weights), ("squares", squares)))
+        counts = found["counts"].reshape(WAYS, -1) if counts is None else counts
+    counts = np.zeros((WAYS, 2 << WAY_BITS)) if counts is None else counts
+    met, hits = (found[x].reshape(GATES, BUCKETS) if found else np.zeros((GATES, BUCKETS)) for x in ("met", "hits"))
+    return Mixing(np.log((counts[:, 1::2] + DELTA) / (counts[:, ::2] + DELTA)), weights, (hits + 2 * _centres()) / (met + 2))
 
-    def score(heads: pa.Table, values: pa.Table) -> pa.Table:
-        parts = []
-        code = values.column("code").to_numpy()
-        c, lp = np.zeros(len(code), np.int64), np.zeros(len(code))
-        c[code], lp[code] = values.column("c").to_numpy(), values.column("lp").to_numpy()
-        base, known = np.log10((c + 1) / (n_train + 1.0 * (distinct + 1))), (c > 0).astype(np.int64)
-        for head in heads.to_pylist():
-            lengths = np.frombuffer(head["lengths"], np.int64)
-            raw = head["codes"]
-            own = np.frombuffer(raw, np.uint16 if len(raw) == 2 * lengths.sum() else np.int32)
-            full = np.flatnonzero(lengths)
-            at = np.cumsum(lengths[full]) - lengths[full]
 
-            def each(value: np.ndarray, own=own, full=full, at=at, n=len(lengths)) -> np.ndarray:
-                out = np.full(n, value[0])  # the end
-                if len(full):
-                    out[full] += np.add.reduceat(value[own], at)
-                return out
+def _of_training(own: Decisions, trains: np.ndarray) -> Decisions:
+    keep = trains[own.text]
+    own.bit, own.gate, own.slots = own.bit[keep], own.gate[keep], [s[keep] for s in own.slots]
+    return own
 
-            total = each(lp)
-            sizes = np.frombuffer(head["sizes"], np.int64)
-            columns = [head["doc_ids"], head["held"], lengths + 1, each(known), np.full(len(lengths), n_train), each(base), total, -total / np.log10(2) / sizes]
-            parts.append(pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
 
-    return score
+@dataclass
+class Model:
+    """What scoring needs beside the counts: sums over the training texts, and the mixing of decisions."""
+
+    n_train: int
+    n_types: int
+    n_docs: int
+    mixing: Mixing
+
+
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, Model]:
+    """Counts at the places of all texts, as a work table, and the model of the training texts."""
+    schemas = {kind: to_arrow_schema(kind) for kind in (SEGMENT, SENT, VALUES)}
+    slim = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_ids"), (crc_remainder(quoted(id_col), 7) == 2).alias("held"), F.col(quoted(text_col)).alias("text"))
+    segments = materialise(slim.mapInArrow(lambda it: _segments(it, schemas[SEGMENT]), SEGMENT), "segments")
+    n_tokens, n_distinct, n_docs = segments.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
+    least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    word_buckets, buckets = max(least, ceil(n_distinct / BUCKET_ENTRIES)), max(least, ceil(2 * n_tokens / BUCKET_ENTRIES))
+    width = min(63, ceil(log2(2 * n_tokens + 2)) + SPARE_BITS)
+    sent = segments.select("segment", "n_distinct", "words", "train").mapInArrow(lambda it: _send_words(it, schemas[SENT], word_buckets), SENT)
+    vocabulary = materialise(sent.groupBy("bucket").applyInArrow(_gather_words, VOCABULARY), "vocabulary")
+    n_train, n_types = vocabulary.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
+    spelling = docs.sparkSession.sparkContext.broadcast(fit_spelling(vocabulary.select("n", "words", "counts")))
+    of_words = vocabulary.mapInArrow(lambda it: _spell(it, schemas[VALUES], spelling.value), VALUES)
+    sent = segments.select("segment", "n_distinct", "held", "lengths", "codes", "words").mapInArrow(lambda it: _send_ngrams(it, schemas[SENT], buckets, width), SENT)
+    of_ngrams = sent.groupBy("bucket").applyInArrow(_gather_ngrams, VALUES)
+    values = of_words.unionAll(of_ngrams)
+    counted = segments.drop("train").groupBy("segment").cogroup(values.groupBy("segment")).applyInArrow(_counted(word_buckets, buckets, width), COUNTED)
+    counted = materialise(counted, "counted")
+    return counted, Model(n_train, n_types, n_docs, fit_mixing(counted, n_train, n_docs))
+
+
+def _score(batches: Iterator[pa.RecordBatch], schema: pa.Schema, model: Model) -> Iterator[pa.RecordBatch]:
+    for row in chain.from_iterable(b.to_pylist() for b in batches):
+        c1, lengths, own = _parts(row, model.n_train, model.n_docs)
+        total = model.mixing.log10(own)
+        base = np.add.reduceat(np.log10((c1 + 1) / (model.n_train + 1.0 * (model.n_types + 1))), own.starts)
+        known = np.add.reduceat((c1 > 0).astype(np.int64), own.starts)
+        columns = [row["doc_ids"], row["held"], lengths, known, np.full(len(lengths), model.n_train), base, total, -total / np.log10(2) / unpacked(row["sizes"])]
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
-    segment_schema = to_arrow_schema(SEGMENT)
-    slim = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_ids"), (crc_remainder(quoted(id_col), 7) == 2).alias("held"), F.col(quoted(text_col)).alias("text"))
-    segments = materialise(slim.mapInArrow(lambda it: _segments(it, segment_schema), SEGMENT), "segments")
-    named = segments.where("code >= 0").select("segment", "code", "token", "train")
-    vocabulary = materialise(named.groupBy("token").agg(F.sum("train").alias("c")), "vocabulary")
-    n_train, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    model = docs.sparkSession.sparkContext.broadcast(train(vocabulary))
-    valued = T.StructType().add("token", "binary").add("c", "long").add("lp", "double")
-    valued_schema = to_arrow_schema(valued)
-    scored = vocabulary.mapInArrow(lambda it: _score(it, valued_schema, model.value), valued)
-    values = named.select("segment", "code", "token").join(scored, "token").select("segment", "code", "c", "lp")
-    heads = segments.where("code = -1").select(F.col("segment").alias("part"), "doc_ids", "held", "lengths", "codes", "sizes")
-    return heads.groupBy("part").cogroup(values.groupBy("segment")).applyInArrow(_documents(to_arrow_schema(OUT), n_train, distinct), OUT)
+    counted, model = fit(docs, text_col, id_col)
+    given, schema = docs.sparkSession.sparkContext.broadcast(model), to_arrow_schema(OUT)
+    return counted.mapInArrow(lambda it: _score(it, schema, given.value), OUT)
