@@ -7,7 +7,7 @@ from zlib import crc32
 import numpy as np
 
 from threadloom.llm import lm_score
-from threadloom.llm.lm_score import BUCKETS, GATES, LEVELS, ORDERS, WAY_BITS, WAYS, Bits, Decisions, K, Learner, Mixing, Spelling, count_slots, fit, fit_spelling, packed, score_documents, spell_tables, unpacked
+from threadloom.llm.lm_score import BUCKETS, GATES, LEVELS, ORDERS, WAY_BITS, WAYS, Bits, Decisions, K, Learner, Mixing, Spelling, count_slots, fit, fit_spelling, packed, score_documents, unpacked
 
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -77,7 +77,7 @@ def slow_score(c, spelt, trains, n_train, n_docs, model):
             own = q[2] if kind == 0 else q[1]
             gate, bit = (kind * 4 + past[0]) * 4 + min(own, 3), int(level == kind)
             ways = (own, (past[0] * 4 + past[1]) * 4 + past[2], (own * 4 + past[0]) * 4 + past[1], n[1], (q[2] * 64 + q[1]) * 4 + past[0], run.bit_length() * 64 + own)
-            slots = [((x * 3 + kind) * 0x9E3779B97F4A7C15 + (w + 1) * 0xC2B2AE3D27D4EB4F) % (1 << 64) >> (64 - WAY_BITS) for w, x in enumerate(ways)]
+            slots = [((x * 3 + kind) * 0x9E3779B1 + (w + 1) * 0x85EBCA77) % (1 << 32) >> (32 - WAY_BITS) for w, x in enumerate(ways)]
             odds = [model.odds[w, s] for w, s in enumerate(slots)]
             if nth and stop_of(nth) != stop_of(nth - 1):
                 for g, changed in changes.items():
@@ -163,19 +163,19 @@ def test_spelling_follows_from_its_tables(spark, small):
                 for k in range(K):
                     z, o = whole[k][2 * slots[k][i]], whole[k][2 * slots[k][i] + 1]
                     z, o = (max(z - (known and not bit[i]), 0), max(o - (known and bit[i]), 0))
-                    odds.append(float(np.float32(math.log((o + lm_score.DELTA) / (z + lm_score.DELTA)))))
+                    odds.append(round(1000 * min(max(math.log((o + lm_score.DELTA) / (z + lm_score.DELTA)), -8), 8)) / 1000)
                     if z + o > 0:
                         seen, level = k + 1, sum(z + o >= x for x in LEVELS)
                 gate = (seen * (len(LEVELS) + 1) + level) * 8 + place
                 p = chance(sum(w * x for w, x in zip(model.weights[gate], odds, strict=True)), model.refined[partial[i]])
                 total += math.log10(p if bit[i] else 1 - p)
-        assert math.isclose(model.log10([word], np.array([known]))[0], total, rel_tol=1e-5), word
+        assert math.isclose(model.log10([word], np.array([known]))[0], total, rel_tol=1e-3), word  # log-odds are held in thousandths
     again = fit_spelling(vocabulary_of(spark, counts))
-    assert np.allclose(model.weights, again.weights) and np.array_equal(model.odds, again.odds)
+    assert np.allclose(model.weights, again.weights) and model.counts == again.counts
 
 
 def test_untrained_models_are_even():
-    flat = Spelling(*spell_tables(np.zeros((K, 2 << lm_score.SLOT_BITS))), np.zeros((lm_score.SPELL_GATES, K)), np.full((256, BUCKETS), 0.5))
+    flat = Spelling(np.zeros((K, 2 << lm_score.SLOT_BITS)), np.zeros((lm_score.SPELL_GATES, K)), np.full((256, BUCKETS), 0.5))
     assert np.allclose(flat.log10([b"ab", b""], np.zeros(2, bool)), [-24 * math.log10(2), -8 * math.log10(2)])
     own = Decisions(*np.zeros((3, 3), np.int64), np.full(3, -1.0), np.array([2, 1]), np.zeros(2, bool), 0, 0)
     even = Mixing(np.zeros((WAYS, 1 << WAY_BITS)), np.zeros((GATES, WAYS)), np.full((GATES, BUCKETS), 0.5))

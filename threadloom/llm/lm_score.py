@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import chain
 from math import ceil, log2
 
@@ -48,7 +49,8 @@ BUCKETS = 33  # of log-odds from -8 to 8
 STEP = 0.02
 _F1, _F2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BEGIN = np.uint64(0x632BE59BD9B4E019)
-_SALTS = np.arange(1, 8, dtype=np.uint64) * _F2
+_F32 = np.uint32(0x9E3779B1)
+_SALTS = np.arange(1, 8, dtype=np.uint32) * np.uint32(0x85EBCA77)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -94,7 +96,7 @@ K = len(ORDERS)
 SLOT_BITS = 20
 BLOCK = 1 << 16  # slots that are summed as one row
 #: How often a slot was met: never, less than 3 times, less than 30 times, more often.
-LEVELS = (1e-9, 3.0, 30.0)
+LEVELS = (1, 3, 30)
 SPELL_GATES = (K + 1) * (len(LEVELS) + 1) * 8
 
 
@@ -130,17 +132,9 @@ class Bits:
 
 def count_slots(words: list[bytes], counts: np.ndarray) -> None:
     """Adds the tokens' bits to counts[predictor, 2 * slot + bit]."""
-    for _, _, bit, slots in Bits(words).steps():
-        for k, slot in enumerate(slots):
-            counts[k] += np.bincount(2 * slot + bit, minlength=2 << SLOT_BITS)
-
-
-def _spell_gate(levels: list[np.ndarray], place: int) -> np.ndarray:
-    """Chooses the weights: by the longest context met, how often it was met, and the bit's place."""
-    seen = np.zeros(len(levels[0]), np.int64)
-    for k, level in enumerate(levels):
-        seen = np.where(level > 0, (k + 1) * (len(LEVELS) + 1) + level, seen)
-    return seen * 8 + place
+    steps = [(bit, slots) for _, _, bit, slots in Bits(words).steps()]
+    for k in range(K):
+        counts[k] += np.bincount(np.concatenate([2 * slots[k] + bit for bit, slots in steps]), minlength=2 << SLOT_BITS)
 
 
 def spell_weights() -> np.ndarray:
@@ -151,22 +145,47 @@ def spell_weights() -> np.ndarray:
     return out.reshape(SPELL_GATES, K)
 
 
-def spell_tables(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-odds and levels by [predictor, way, slot]: ways are all counts, and those without one 0 or one 1."""
-    odds, levels = [], []
-    zeros, ones = counts[:, ::2], counts[:, 1::2]
-    for z, o in ((zeros, ones), (np.maximum(zeros - 1, 0), ones), (zeros, np.maximum(ones - 1, 0))):
-        odds.append(np.log((o + DELTA) / (z + DELTA)).astype(np.float32))
-        levels.append(np.searchsorted(np.array(LEVELS), z + o, side="right").astype(np.int8))
-    return np.stack(odds, axis=1), np.stack(levels, axis=1)
+def spell_tables(counts: np.ndarray) -> np.ndarray:
+    """Log-odds in thousandths, times four, and levels, as one number by [predictor, way, slot].
+
+    The ways are all counts, and those without one 0 or without one 1.
+    """
+    out = np.zeros((K, 3, 1 << SLOT_BITS), np.int16)
+    for k in range(K):
+        zeros, ones = counts[k, ::2].astype(np.float32), counts[k, 1::2].astype(np.float32)
+        less = np.maximum(zeros - 1, 0), np.maximum(ones - 1, 0)
+        log = [np.log(x + np.float32(DELTA)) for x in (zeros, ones, *less)]
+        for way, (z, o, total) in enumerate(((0, 1, zeros + ones), (2, 1, less[0] + ones), (0, 3, zeros + less[1]))):
+            odds = np.rint(1000 * np.clip(log[o] - log[z], -8, 8)).astype(np.int16)
+            out[k, way] = odds * np.int16(4) + sum((total >= x).astype(np.int16) for x in LEVELS)
+    return out
+
+
+def _spell_mix(tables: np.ndarray, way: np.ndarray, slots: list[np.ndarray], place: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Gates, mixed log-odds and each predictor's log-odds."""
+    found = [tables[k][way, slot] for k, slot in enumerate(slots)]
+    odds = [(x >> 2) * np.float32(0.001) for x in found]
+    seen = np.zeros(len(way), np.int64)
+    for k, x in enumerate(found):
+        level = x & 3
+        seen = np.where(level > 0, (k + 1) * (len(LEVELS) + 1) + level, seen)
+    gate = seen * 8 + place  # the longest context met, how often it was met, and the bit's place
+    return gate, sum(weights[gate, k] * o for k, o in enumerate(odds)), odds
 
 
-@dataclass
 class Spelling:
-    odds: np.ndarray
-    levels: np.ndarray
-    weights: np.ndarray
-    refined: np.ndarray  # chance of a 1 by partial byte and bucket
+    """Counts of all slots with their log-odds and levels; only the counts, compressed, go from place to place."""
+
+    def __init__(self, counts: np.ndarray, weights: np.ndarray, refined: np.ndarray):
+        self.counts = [packed(x.astype(np.int64)) for x in counts]
+        self.weights, self.refined = weights, refined  # the chance of a 1 by partial byte and bucket
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "tables"}
+
+    @cached_property
+    def tables(self) -> np.ndarray:
+        return spell_tables(np.stack([unpacked(x) for x in self.counts]))
 
     def log10(self, words: list[bytes], known: np.ndarray) -> np.ndarray:
         """log10 of each token's chance; the one occurrence of a known token doesn't help to predict it."""
@@ -176,22 +195,17 @@ class Spelling:
         bits = Bits(words)
         cost, own = np.zeros(len(bits.byte)), known[bits.owner]
         for place, partial, bit, slots in bits.steps():
-            way = np.where(own, 1 + bit, 0)
-            odds = [self.odds[k][way, slot] for k, slot in enumerate(slots)]
-            gate = _spell_gate([self.levels[k][way, slot] for k, slot in enumerate(slots)], place)
-            mixed = sum(self.weights[gate, k] * o for k, o in enumerate(odds))
+            _, mixed, _ = _spell_mix(self.tables, np.where(own, 1 + bit, 0), slots, place, self.weights)
             p = np.clip((_squash(mixed) + self.refined[partial, _bucket(mixed)]) / 2, 1e-6, 1 - 1e-6)
             cost += np.log10(np.where(bit == 1, p, 1 - p))
         return np.add.reduceat(cost, bits.starts)
 
 
-def learn_spelling(words: list[bytes], odds_of: np.ndarray, level_of: np.ndarray, weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, met: np.ndarray, hits: np.ndarray, batch: int = 2000) -> None:
+def learn_spelling(words: list[bytes], tables: np.ndarray, weights: np.ndarray, squares: np.ndarray, seen: np.ndarray, met: np.ndarray, hits: np.ndarray, batch: int = 2000) -> None:
     """Online pass over known tokens, each predicted without its own occurrence: moves all the given arrays on."""
     for at in range(0, len(words), batch):
         for place, partial, bit, slots in Bits(words[at : at + batch]).steps():
-            odds = [odds_of[k][1 + bit, slot] for k, slot in enumerate(slots)]
-            gate = _spell_gate([level_of[k][1 + bit, slot] for k, slot in enumerate(slots)], place)
-            mixed = sum(weights[gate, k] * o for k, o in enumerate(odds))
+            gate, mixed, odds = _spell_mix(tables, 1 + bit, slots, place, weights)
             error, total = bit - _squash(mixed), np.bincount(gate, minlength=len(weights))
             seen += total
             cell = partial * BUCKETS + _bucket(mixed)
@@ -226,24 +240,28 @@ class Decisions:
         n1, n2 = np.maximum(before(c1, n_docs) - own, 0), np.maximum(before(c2, n_docs) - own, 0)
         k1, k2, k3 = (np.maximum(c - own, 0) for c in (c1, c2, c3))
         k2, k3 = np.minimum(k2, n1), np.minimum(k3, n2)  # a hash may take another n-gram's count
-        level = np.where(k3 > 0, 0, np.where(k2 > 0, 1, np.where(k1 > 0, 2, 3)))
-        share = np.choose(np.minimum(level, 2), (k3 / np.maximum(n2, 1), k2 / np.maximum(n1, 1), k1 / np.maximum(n_train - own, 1)))
-        self.rest = np.where(level == 3, spelt, np.log10(np.where(level == 3, 1.0, share)))
+        level = (np.int8(3) - (k1 > 0)) * (k2 == 0) * (k3 == 0) + ((k2 > 0) & (k3 == 0))
+        over, under = np.where(level == 0, k3, np.where(level == 1, k2, k1)), np.where(level == 0, n2, np.where(level == 1, n1, n_train - own))
+        new = level == 3
+        self.rest = np.log10(np.where(new, 1, over) / np.where(new, 1, under))
+        self.rest[new] = spelt[new]
         h1 = before(level, 3)
         h2 = before(h1, 3)
         h3 = before(h2, 3)
-        place = np.arange(len(level))
-        last = np.maximum.accumulate(np.where(level > 0, place, -1)) if len(level) else place  # of places up to here
-        run = place - 1 - np.maximum(before(last, -1), starts[text] - 1)
+        place = np.arange(len(level), dtype=np.int32)
+        last = np.maximum.accumulate(np.where(level > 0, place, np.int32(-1))) if len(level) else place  # of places up to here
+        run = place - 1 - np.maximum(before(last, -1), (starts - 1).astype(np.int32)[text])
         asked = np.stack([n2 > 0, (level > 0) & (n1 > 0), level > 1], axis=1)
         at = np.flatnonzero(asked.ravel())
-        at, kind = at // 3, at % 3
-        self.text, self.bit, self.place = text[at], (level[at] == kind).astype(np.int64), at
-        q1, q2 = _size(n1)[at], _size(n2)[at]
-        q, past = np.where(kind == 0, q2, q1), (h1[at], h2[at], h3[at])
-        self.gate = (kind * 4 + past[0]) * 4 + np.minimum(q, 3)
-        contexts = (q, (past[0] * 4 + past[1]) * 4 + past[2], (q * 4 + past[0]) * 4 + past[1], n1[at], (q2 * 64 + q1) * 4 + past[0], _size(run)[at] * 64 + q)
-        self.slots = [((c * 3 + kind).astype(np.uint64) * _F1 + _SALTS[way] >> np.uint64(64 - WAY_BITS)).astype(np.int64) for way, c in enumerate(contexts)]
+        at, kind = np.divmod(at.astype(np.uint32 if len(level) < 1 << 30 else np.uint64), 3)
+        kind = kind.astype(np.uint32)
+        self.text, self.bit = text[at], (level[at] == kind).astype(np.int64)
+        past = (h1.astype(np.uint32), h2.astype(np.uint32), h3.astype(np.uint32))
+        q1, q2 = _size(n1), _size(n2)
+        q, history, pair = np.where(kind == 0, q2[at], q1[at]), past[0] * 16 + past[1] * 4 + past[2], past[0] * 4 + past[1]
+        self.gate = ((kind * 4 + past[0][at]) * 4 + np.minimum(q, 3)).astype(np.int64)
+        contexts = (q, history[at], q * 16 + pair[at], n1.astype(np.uint32)[at], ((q2 * 64 + q1) * 4 + past[0])[at], _size(run)[at] * 64 + q)
+        self.slots = [((c * np.uint32(3) + kind) * _F32 + _SALTS[way] >> np.uint32(32 - WAY_BITS)).astype(np.int64) for way, c in enumerate(contexts)]
         self.texts, self.starts = len(lengths), starts
 
 
@@ -257,7 +275,7 @@ def _shifted(x: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
 
 def _size(n: np.ndarray) -> np.ndarray:
     """Number of binary digits."""
-    return np.frexp(n.astype(np.float64))[1].astype(np.int64)
+    return np.frexp(n.astype(np.float64))[1].astype(np.uint32)
 
 
 class Learner:
@@ -304,7 +322,7 @@ class Mixing:
         names, pair = np.flatnonzero(there), (np.cumsum(there) - 1)[key]
         weights = self.weights[names % GATES]
         nth = np.arange(n) - np.searchsorted(own.text, np.arange(own.texts))[own.text]
-        stop = _size(nth // FIRST_STOP)
+        stop = _size(nth // FIRST_STOP).astype(np.int64)
         order = np.argsort(stop, kind="stable")
         ends = np.searchsorted(stop[order], np.arange(stop.max() + 2))
         cost = np.zeros(n)
@@ -533,25 +551,24 @@ def fit_spelling(vocabulary: DataFrame) -> Spelling:
     for name, value in _summed(vocabulary, count).items():
         k, at = map(int, name.split(":"))
         counts[k, at : at + BLOCK] = value
-    odds, levels = spell_tables(counts)
-    given = vocabulary.sparkSession.sparkContext.broadcast((odds, levels))
+    weights, met, hits = spell_weights(), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
+    given = vocabulary.sparkSession.sparkContext.broadcast(Spelling(counts, weights, met))
 
     def learn(batches):
         state = spell_weights(), np.full((SPELL_GATES, K), 1e-6), np.zeros(SPELL_GATES), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
         for words in _known_words(batches):
-            learn_spelling(words, *given.value, *state)
+            learn_spelling(words, given.value.tables, *state)
         weights, _, seen, met, hits = state
         if seen.any():
             yield from {"weights": weights * seen[:, None], "seen": seen, "met": met, "hits": hits}.items()
 
     found = _summed(vocabulary, learn)
     given.unpersist()
-    weights, met, hits = spell_weights(), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
     if found:
         seen = found["seen"][:, None]
         weights = np.where(seen > 0, found["weights"].reshape(weights.shape) / np.maximum(seen, 1), weights)
         met, hits = found["met"].reshape(met.shape), found["hits"].reshape(met.shape)
-    return Spelling(odds, levels, weights, (hits + 2 * _centres()) / (met + 2))
+    return Spelling(counts, weights, (hits + 2 * _centres()) / (met + 2))
 
 
 def fit_mixing(counted: DataFrame, n_train: int, n_docs: int) -> Mixing:
