@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import json
 import re
+from struct import pack
 
 import numpy as np
 
 from .common import per_process
 
 DEFAULT = "word_bpe_49k.json"
-KEPT_PIECES = 200_000
+KEPT_PIECES = 250_000  # of a generation; the one before stays too, so frequent pieces are never lost
 _LETTERS = bytes([*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
 _PLAIN = bytes([9, 10, 13, *range(32, 127)]) + _LETTERS
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -44,20 +45,27 @@ class Encoder:
         split = ((parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
         self.fast = [x["type"] for x in (parts.get("normalizer") or {}).get("normalizers", [])] == _NORMALIZERS and split.get("pattern") == {"Regex": _SPLIT} and split.get("behavior") == "Removed"
         self.kept: dict[str, bytes] = {}
+        self.kept_before: dict[str, bytes] = {}
         self.kept_words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE))], "<u4").tobytes()
+        ids = self.words_before.get(word)
+        if ids is None:
+            own = [t.id for t in self.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE))]
+            ids = pack(f"<{len(own)}I", *own)
         if len(self.kept_words) >= KEPT_PIECES:
-            self.kept_words.clear()
+            self.words_before, self.kept_words = self.kept_words, {}
         self.kept_words[word] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
-        known = self.kept_words
-        ids = b"".join([known.get(w) or self._word(w) for w in _PIECE.findall(piece)])
+        ids = self.kept_before.get(piece)
+        if ids is None:
+            known = self.kept_words
+            ids = known.get(piece) or self._word(piece) if piece.isalpha() else b"".join([known.get(w) or self._word(w) for w in _PIECE.findall(piece)])
         if len(self.kept) >= KEPT_PIECES:
-            self.kept.clear()
+            self.kept_before, self.kept = self.kept, {}
         self.kept[piece] = ids
         return ids
 
