@@ -113,10 +113,10 @@ def test_scores_equal_a_plain_loop(spark, odd_rows, monkeypatch):
     for doc, text in rows:
         texts_of.setdefault(doc, []).append(text)
     for row in counted.collect():
-        c1, lengths, own = lm_score._parts(row, model.n_train, model.n_docs)
-        c2, c3, spelt, ends = unpacked(row["c2"]), unpacked(row["c3"]), np.zeros(len(c1)), np.cumsum(lengths)
+        c1, c2, c3, lengths = (unpacked(row[x]) for x in ("c1", "c2", "c3", "lengths"))
+        spelt, ends = np.zeros(len(c1)), np.cumsum(lengths)
         spelt[c1 <= 1] = unpacked(row["spelt"]).astype(np.uint32).view(np.float32)
-        got = model.mixing.log10(own)
+        got = np.concatenate([model.mixing.log10(own) for _, _, _, own in lm_score._groups(row, model.n_train, model.n_docs, 5000)])
         for k, (doc, a, z) in enumerate(zip(row["doc_ids"], ends - lengths, ends, strict=True)):
             counts = [x[a:z].tolist() for x in (c1, c2, c3)]
             want = []
@@ -133,14 +133,9 @@ def test_scores_do_not_depend_on_how_rows_are_dealt_out(spark, odd):
     take = lambda n: sorted((r.doc_id or 0, r.n_tokens, r.base_score) for r in score_documents(odd.repartition(n)).collect())
     assert take(1) == take(4)
     counted, model = fit(odd)
-    for row in counted.collect():  # a text alone and among others
-        c1, lengths, own = lm_score._parts(row, model.n_train, model.n_docs)
-        whole, starts = model.mixing.log10(own), np.cumsum(lengths) - lengths
-        spelt = np.zeros(len(c1))
-        spelt[c1 <= 1] = unpacked(row["spelt"]).astype(np.uint32).view(np.float32)
-        for k, (a, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
-            alone = Decisions(c1[a : a + n], unpacked(row["c2"])[a : a + n], unpacked(row["c3"])[a : a + n], spelt[a : a + n], lengths[k : k + 1], ~np.array(row["held"][k : k + 1]), model.n_train, model.n_docs)
-            assert math.isclose(model.mixing.log10(alone)[0], whole[k], rel_tol=1e-9)
+    for row in counted.collect():  # texts alone and together
+        whole, alone = (np.concatenate([model.mixing.log10(own) for _, _, _, own in lm_score._groups(row, model.n_train, model.n_docs, n)]) for n in (1 << 18, 1))
+        assert np.allclose(whole, alone, rtol=1e-9)
 
 
 def vocabulary_of(spark, counts):
@@ -196,7 +191,7 @@ def test_texts_that_occur_twice_are_told_apart(spark):
 def test_a_pass_goes_on_through_all_texts():
     rng = np.random.default_rng(1)
     make = lambda: Decisions(*rng.integers(0, 3, (3, 4000)), np.zeros(4000), np.full(40, 100), np.ones(40, bool), 9000, 40)
-    own = Learner(np.full((GATES, WAYS), 0.3), np.full((GATES, WAYS), 1e-6), None)
+    own = Learner(np.full((GATES, WAYS), 0.3))
     first, second = make(), make()
     own.learn(first)
     before = own.weights.copy()

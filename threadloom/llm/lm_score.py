@@ -4,7 +4,7 @@ A text is the sequence of its tokens and one end. Each token is coded by binary
 has it been met after the two tokens before it; after the one before it; at all. A decision that says yes is followed by the
 token's share among what was met there; a token that was never met is spelt bit by bit. Every bit, decision or spelt, is
 predicted by several predictors, each of which looks counts up under another hashed context (WAYS contexts of counts,
-history and runs for decisions; the last 1 to 5 bytes for spelt bits). Their log-odds are mixed with weights that a gate
+history and runs for decisions; the last 1, 2, 3 and 5 bytes for spelt bits). Their log-odds are mixed with weights that a gate
 chooses; the weights are learnt by online gradient steps, and the mixture is refined by an adaptive map from (gate, log-odds)
 to observed frequency. While a text is coded, its weights go on learning from what was coded of it before (at bits 32, 64, 128
 and so on) and begin anew with the next text, so a score doesn't depend on how rows are dealt out.
@@ -42,12 +42,14 @@ from .common import chunks, crc_remainder, materialise, quoted, texts_of, to_arr
 from .words import tokens
 
 SEGMENT_BYTES = 6 << 20
+GROUP_TOKENS = 1 << 18  # of a segment's texts whose decisions are held at once
 BUCKET_ENTRIES = 1 << 20  # n-grams or tokens of segments that a bucket has about
 SPARE_BITS = 14  # of an n-gram's hash beyond the number of tokens
 DELTA = 0.4  # added to both counts of a slot
 BUCKETS = 33  # of log-odds from -8 to 8
 STEP = 0.02
 _F1, _F2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SPACE = b" \t\n\v\f\r"
 _BEGIN = np.uint64(0x632BE59BD9B4E019)
 _F32 = np.uint32(0x9E3779B1)
 _SALTS = np.arange(1, 8, dtype=np.uint32) * np.uint32(0x85EBCA77)
@@ -91,7 +93,7 @@ def unpacked_words(data: bytes, n: int) -> list[bytes]:
 
 # ---- spelling of new words ---------------------------------------------------------------------------------------
 
-ORDERS = (1, 2, 3, 4, 5)
+ORDERS = (1, 2, 3, 5)
 K = len(ORDERS)
 SLOT_BITS = 20
 BLOCK = 1 << 16  # slots that are summed as one row
@@ -281,16 +283,15 @@ def _size(n: np.ndarray) -> np.ndarray:
 class Learner:
     """State of an online pass over decisions: counts of slots, weights, and what the refining map met."""
 
-    def __init__(self, weights: np.ndarray, squares: np.ndarray, counts: np.ndarray | None):
-        self.weights, self.squares, self.fixed = weights.copy(), squares.copy(), counts
-        self.counts = np.zeros((WAYS, 2 << WAY_BITS), np.int64)
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.squares, self.counts = weights.copy(), np.full((GATES, WAYS), 1e-6), np.zeros((WAYS, 2 << WAY_BITS), np.int64)
         self.seen, self.met, self.hits = np.zeros(GATES), np.zeros((GATES, BUCKETS)), np.zeros((GATES, BUCKETS))
 
     def learn(self, own: Decisions, block: int = 1 << 14) -> None:
-        counts = self.counts if self.fixed is None else self.fixed
+        """Predicts block after block with what was counted before, then counts it and moves the weights on."""
         for at in range(0, len(own.bit), block):
             bit, gate, slots = own.bit[at : at + block], own.gate[at : at + block], [s[at : at + block] for s in own.slots]
-            odds = [np.log((counts[k][2 * s + 1] + DELTA) / (counts[k][2 * s] + DELTA)) for k, s in enumerate(slots)]
+            odds = [np.log((self.counts[k][2 * s + 1] + DELTA) / (self.counts[k][2 * s] + DELTA)) for k, s in enumerate(slots)]
             mixed = sum(self.weights[gate, k] * o for k, o in enumerate(odds))
             error, total = bit - _squash(mixed), np.bincount(gate, minlength=GATES)
             self.seen += total
@@ -301,8 +302,7 @@ class Learner:
                 slope = np.bincount(gate, error * o, GATES) / np.maximum(total, 1)
                 self.squares[:, k] += slope**2
                 self.weights[:, k] += STEP * slope / np.sqrt(self.squares[:, k])
-                if self.fixed is None:
-                    self.counts[k] += np.bincount(2 * slots[k] + bit, minlength=2 << WAY_BITS)
+                self.counts[k] += np.bincount(2 * slots[k] + bit, minlength=2 << WAY_BITS)
 
 
 @dataclass
@@ -367,7 +367,7 @@ def _segments(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[
             own = tokens(text)
             own.append(b"")
             lists.append(own)
-            sizes.append(sum(map(len, own)) + len(own))
+            sizes.append(len(text.translate(None, _SPACE)) + len(own))  # every token's bytes and one more
         held = batch.column("held").to_pylist()
         lengths = np.array([len(x) for x in lists], np.int64)
         codes = np.fromiter(map(code.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
@@ -484,11 +484,15 @@ def _counted(word_buckets: int, buckets: int, width: int):
     return place
 
 
-def _parts(row: dict, n_train: int, n_docs: int) -> tuple[np.ndarray, np.ndarray, Decisions]:
+def _groups(row: dict, n_train: int, n_docs: int, most: int = GROUP_TOKENS) -> Iterator[tuple[slice, np.ndarray, np.ndarray, Decisions]]:
+    """A segment's texts, some at a time: which, their tokens' counts, their lengths, their decisions."""
     c1, c2, c3, lengths = (unpacked(row[x]) for x in ("c1", "c2", "c3", "lengths"))
-    spelt = np.zeros(len(c1))
+    spelt, trains, ends = np.zeros(len(c1), np.float32), ~np.array(row["held"], bool), np.cumsum(lengths)
     spelt[c1 <= 1] = unpacked(row["spelt"]).astype(np.uint32).view(np.float32)
-    return c1, lengths, Decisions(c1, c2, c3, spelt, lengths, ~np.array(row["held"], bool), n_train, n_docs)
+    cuts = [*np.unique((ends - 1) // most, return_index=True)[1].tolist(), len(lengths)]
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        at = slice(int(ends[a] - lengths[a]), int(ends[z - 1]))
+        yield slice(a, z), c1[at], lengths[a:z], Decisions(c1[at], c2[at], c3[at], spelt[at], lengths[a:z], trains[a:z], n_train, n_docs)
 
 
 # ---- learning ----------------------------------------------------------------------------------------------------
@@ -572,26 +576,22 @@ def fit_spelling(vocabulary: DataFrame) -> Spelling:
 
 
 def fit_mixing(counted: DataFrame, n_train: int, n_docs: int) -> Mixing:
-    """Two online passes over the training texts: one fills the predictors' slots, one goes on with what all tasks counted."""
-    weights, squares, counts, found = np.full((GATES, WAYS), 0.3), np.full((GATES, WAYS), 1e-6), None, {}
-    for _ in range(2):
-        state = counted.sparkSession.sparkContext.broadcast((weights, squares, counts))
-
-        def learn(batches, given=state):
-            own = Learner(*given.value)
-            for row in chain.from_iterable(b.to_pylist() for b in batches):
-                own.learn(_of_training(_parts(row, n_train, n_docs)[2], ~np.array(row["held"], bool)))
-            if own.seen.any():
-                yield from {"weights": own.weights * own.seen[:, None], "squares": own.squares * own.seen[:, None], "seen": own.seen, "counts": own.counts, "met": own.met, "hits": own.hits}.items()
-
-        found = _summed(counted, learn)
-        if not found:
-            break
+    """An online pass over the training texts: each task goes through its share; counts are summed, each gate's weights averaged by what the tasks met."""
+
+    def learn(batches):
+        own = Learner(np.full((GATES, WAYS), 0.3))
+        for row in chain.from_iterable(b.to_pylist() for b in batches):
+            trains = ~np.array(row["held"], bool)
+            for texts, _, _, decisions in _groups(row, n_train, n_docs):
+                own.learn(_of_training(decisions, trains[texts]))
+        if own.seen.any():
+            yield from {"weights": own.weights * own.seen[:, None], "seen": own.seen, "counts": own.counts, "met": own.met, "hits": own.hits}.items()
+
+    weights, counts, met, hits = np.full((GATES, WAYS), 0.3), np.zeros((WAYS, 2 << WAY_BITS)), np.zeros((GATES, BUCKETS)), np.zeros((GATES, BUCKETS))
+    if found := _summed(counted, learn):
         seen = found["seen"][:, None]
-        weights, squares = (np.where(seen > 0, found[x].reshape(old.shape) / np.maximum(seen, 1), old) for x, old in (("weights", weights), ("squares", squares)))
-        counts = found["counts"].reshape(WAYS, -1) if counts is None else counts
-    counts = np.zeros((WAYS, 2 << WAY_BITS)) if counts is None else counts
-    met, hits = (found[x].reshape(GATES, BUCKETS) if found else np.zeros((GATES, BUCKETS)) for x in ("met", "hits"))
+        weights = np.where(seen > 0, found["weights"].reshape(weights.shape) / np.maximum(seen, 1), weights)
+        counts, met, hits = (found[x].reshape(old.shape) for x, old in (("counts", counts), ("met", met), ("hits", hits)))
     return Mixing(np.log((counts[:, 1::2] + DELTA) / (counts[:, ::2] + DELTA)), weights, (hits + 2 * _centres()) / (met + 2))
 
 
@@ -635,12 +635,13 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
 
 def _score(batches: Iterator[pa.RecordBatch], schema: pa.Schema, model: Model) -> Iterator[pa.RecordBatch]:
     for row in chain.from_iterable(b.to_pylist() for b in batches):
-        c1, lengths, own = _parts(row, model.n_train, model.n_docs)
-        total = model.mixing.log10(own)
-        base = np.add.reduceat(np.log10((c1 + 1) / (model.n_train + 1.0 * (model.n_types + 1))), own.starts)
-        known = np.add.reduceat((c1 > 0).astype(np.int64), own.starts)
-        columns = [row["doc_ids"], row["held"], lengths, known, np.full(len(lengths), model.n_train), base, total, -total / np.log10(2) / unpacked(row["sizes"])]
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+        sizes = unpacked(row["sizes"])
+        for texts, c1, lengths, own in _groups(row, model.n_train, model.n_docs):
+            total = model.mixing.log10(own)
+            base = np.add.reduceat(np.log10((c1 + 1) / (model.n_train + 1.0 * (model.n_types + 1))), own.starts)
+            known = np.add.reduceat((c1 > 0).astype(np.int64), own.starts)
+            columns = [row["doc_ids"][texts], row["held"][texts], lengths, known, np.full(len(lengths), model.n_train), base, total, -total / np.log10(2) / sizes[texts]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
