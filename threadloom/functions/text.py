@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Typographic marks and their plain forms, reply prefixes, months, apparatus headings.
+# Typographic marks and their plain forms, reply prefixes, months, apparatus headings; patterns of issue
+# numbers, digest banners, identifiers, dates, quote marks and attributions.
 TYPOGRAPHIC, PLAIN = "‘’‚′“”„″", "''''\"\"\"\""
 REPLY_PREFIXES = ("re", "fwd", "aw", "fw", "sv", "vs", "antw")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -13,6 +14,13 @@ APPARATUS = ("works cited", "bibliography", "references", "further reading", "se
 ISSUE = r"(?i)\bissues?(?:[ \t]+[:#]?[ \t]*|[:#][ \t]*)(\d{1,4}(?!\d)(?!\s*(?:st|nd|rd|th)\b))"
 DIGEST = r"(?i)\bdigest,?\s*vol\.?\s*\d+,?\s*issue\s*\d+"
 IDENTIFIER = r"\b([EP]\d{1,3})(?:\.\d)?i?\b"
+NUMERIC_DATE = r"\b(\d{1,2})[/.](\d{1,2})[/.]((?:19|20)\d{2})\b"
+YEAR = r"\b(19[89]\d|20[0-5]\d)\b"
+DAY = r"\b(\d{1,2})(?:st|nd|rd|th)?\b"
+LEAD_MARKS = r"^(\s*[>|]+)+\s?"
+QUOTED_LINE = r"^\s*(>|\|(?!.*\|)(?=\s*\S))"
+SAID = r"(?:wrote:|writes:|schrieb:?|escribi[oó]:?|ha scritto:?|a écrit|schreef)"
+FORWARDED = r"-{2,}\s*Original Message"
 
 
 def col(c: Column | str) -> Column:
@@ -77,36 +85,35 @@ def heading_issues(text: Column | str, most: int = 8) -> Column:
 def meeting_key(date: Column | str) -> Column:
     """Sortable (undated, year, month, day) of a free-form date: numeric ones are read day first, 99 stands for unknown."""
     d = F.coalesce(col(date), F.lit(""))
-    numeric = r"\b(\d{1,2})[/.](\d{1,2})[/.]((?:19|20)\d{2})\b"
-    year = F.regexp_extract(d, r"\b(19[89]\d|20[0-5]\d)\b", 1)
+    year = F.regexp_extract(d, YEAR, 1)
     month = F.lit(99)
     for n, name in reversed(list(enumerate(MONTHS, 1))):
         month = F.when(F.contains(F.lower(d), F.lit(name)), F.lit(n)).otherwise(month)
-    days = F.transform(F.regexp_extract_all(d, F.lit(r"\b(\d{1,2})(?:st|nd|rd|th)?\b"), F.lit(1)), lambda x: x.cast("int"))
+    days = F.transform(F.regexp_extract_all(d, F.lit(DAY), F.lit(1)), lambda x: x.cast("int"))
     day = F.try_element_at(F.filter(days, lambda x: (x != F.pmod(year.cast("int"), F.lit(100))) & x.between(1, 31)), F.lit(1))
     key = lambda *parts: F.struct(*[p.cast("int").alias(n) for p, n in zip(parts, ("undated", "year", "month", "day"), strict=True)])
-    part = lambda k: F.regexp_extract(d, numeric, k)
-    return F.when(d.rlike(numeric), key(F.lit(0), part(3), part(2), part(1))).when(year == "", key(F.lit(1), F.lit(9999), F.lit(99), F.lit(99))).otherwise(key(F.lit(0), year, month, F.coalesce(day, F.lit(99))))
+    part = lambda k: F.regexp_extract(d, NUMERIC_DATE, k)
+    return F.when(d.rlike(NUMERIC_DATE), key(F.lit(0), part(3), part(2), part(1))).when(year == "", key(F.lit(1), F.lit(9999), F.lit(99), F.lit(99))).otherwise(key(F.lit(0), year, month, F.coalesce(day, F.lit(99))))
 
 
 def quote_depth(line: Column | str) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(col(line), r"^(\s*[>|]+)+\s?", 0), r"[^>|]", ""))
+    return F.length(F.regexp_replace(F.regexp_extract(col(line), LEAD_MARKS, 0), r"[^>|]", ""))
 
 
 def unquoted(line: Column | str) -> Column:
-    return F.regexp_replace(col(line), r"^(\s*[>|]+)+\s?", "")
+    return F.regexp_replace(col(line), LEAD_MARKS, "")
 
 
 def is_quoted(line: Column | str) -> Column:
     """`>` opens a quotation; `|` does if content follows and no second `|` does."""
-    return col(line).rlike(r"^\s*(>|\|(?!.*\|)(?=\s*\S))")
+    return col(line).rlike(QUOTED_LINE)
 
 
 def is_attribution(line: Column | str) -> Column:
     """The line that introduces a quotation, in six languages."""
     bare = F.trim(col(line))
-    original = bare.rlike(r"(?i)-{2,}\s*Original Message")
-    said = bare.rlike(r"(?i)(wrote:|writes:|schrieb:?|escribi[oó]:?|ha scritto:?|a écrit|schreef)")
+    original = bare.rlike(f"(?i){FORWARDED}")
+    said = bare.rlike(f"(?i){SAID}")
     return (bare != "") & (F.length(bare) <= 200) & (original | (said & bare.endswith(":")))
 
 
