@@ -12,7 +12,7 @@ and so on) and begin anew with the next text, so a score doesn't depend on how r
 What is gathered from the corpus grows with it and stays distributed: counts of tokens and of two and three tokens in a row.
 Segments of text send their distinct n-grams, as sorted hashes in compressed blocks, to buckets (as many as the input needs);
 buckets sum them and send the counts back. Hashes are wide enough that an n-gram takes another's count in less than one case of
-16,000, whatever the input's size. Only the model of mixing and spelling, of a fixed number of slots, meets on the driver,
+1,000, whatever the input's size. Only the model of mixing and spelling, of a fixed number of slots, meets on the driver,
 summed in a tree. A training text's own occurrences are taken off all counts that predict it, so training and held-out texts
 are scored alike.
 
@@ -44,7 +44,8 @@ from .words import tokens
 SEGMENT_BYTES = 6 << 20
 GROUP_TOKENS = 1 << 18  # of a segment's texts whose decisions are held at once
 BUCKET_ENTRIES = 1 << 20  # n-grams or tokens of segments that a bucket has about
-SPARE_BITS = 14  # of an n-gram's hash beyond the number of tokens
+SPARE_BITS = 10  # of an n-gram's hash beyond the number of n-grams
+MOST_PARTITIONS = 100_000  # of an exchange by segment or bucket
 DELTA = 0.4  # added to both counts of a slot
 BUCKETS = 33  # of log-odds from -8 to 8
 STEP = 0.02
@@ -67,11 +68,15 @@ def _centres() -> np.ndarray:
     return _squash((np.arange(BUCKETS) / 2 - 8)[None, :])
 
 
+def _compressed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers >= 0 in as few bytes each as the largest needs, byte by byte of all, compressed."""
     width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << 8 * w)
     raw = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    return bytes([width]) + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return bytes([width]) + len(raw).to_bytes(8, "little") + _compressed(raw)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -82,7 +87,7 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def packed_words(words: list[bytes]) -> bytes:
     raw = b"\n".join(words)  # a token holds no line break
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _compressed(raw)
 
 
 def unpacked_words(data: bytes, n: int) -> list[bytes]:
@@ -464,7 +469,7 @@ def _spell(batches: Iterator[pa.RecordBatch], schema: pa.Schema, model: Spelling
             yield _batch(schema, *((s, 0, row["bucket"], packed(counts[m]), packed(spelt[m].view(np.uint32))) for s, m in members))
 
 
-def _counted(word_buckets: int, buckets: int, width: int):
+def _counted(word_buckets: int, width: int):
     """Puts what the buckets sent back in the places of a segment's tokens."""
 
     def place(heads: pa.Table, values: pa.Table) -> pa.Table:
@@ -616,19 +621,21 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
     schemas = {kind: to_arrow_schema(kind) for kind in (SEGMENT, SENT, VALUES)}
     slim = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_ids"), (crc_remainder(quoted(id_col), 7) == 2).alias("held"), F.col(quoted(text_col)).alias("text"))
     segments = materialise(slim.mapInArrow(lambda it: _segments(it, schemas[SEGMENT]), SEGMENT), "segments")
-    n_tokens, n_distinct, n_docs = segments.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
+    n_segments, n_tokens, n_distinct, n_docs = segments.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_distinct"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0))).first()
     least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     word_buckets, buckets = max(least, ceil(n_distinct / BUCKET_ENTRIES)), max(least, ceil(2 * n_tokens / BUCKET_ENTRIES))
     width = min(63, ceil(log2(2 * n_tokens + 2)) + SPARE_BITS)
     sent = segments.select("segment", "n_distinct", "words", "train").mapInArrow(lambda it: _send_words(it, schemas[SENT], word_buckets), SENT)
-    vocabulary = materialise(sent.groupBy("bucket").applyInArrow(_gather_words, VOCABULARY), "vocabulary")
+    dealt = lambda df, key, n: df.repartition(max(1, min(n, MOST_PARTITIONS)), key).groupBy(key)  # noqa: E731, one key a task or little more
+    vocabulary = materialise(dealt(sent, "bucket", word_buckets).applyInArrow(_gather_words, VOCABULARY), "vocabulary")
     n_train, n_types = vocabulary.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
     spelling = docs.sparkSession.sparkContext.broadcast(fit_spelling(vocabulary.select("n", "words", "counts")))
     of_words = vocabulary.mapInArrow(lambda it: _spell(it, schemas[VALUES], spelling.value), VALUES)
     sent = segments.select("segment", "n_distinct", "held", "lengths", "codes", "words").mapInArrow(lambda it: _send_ngrams(it, schemas[SENT], buckets, width), SENT)
-    of_ngrams = sent.groupBy("bucket").applyInArrow(_gather_ngrams, VALUES)
+    of_ngrams = dealt(sent, "bucket", buckets).applyInArrow(_gather_ngrams, VALUES)
     values = of_words.unionAll(of_ngrams)
-    counted = segments.drop("train").groupBy("segment").cogroup(values.groupBy("segment")).applyInArrow(_counted(word_buckets, buckets, width), COUNTED)
+    heads = dealt(segments.drop("train"), "segment", n_segments)
+    counted = heads.cogroup(dealt(values, "segment", n_segments)).applyInArrow(_counted(word_buckets, width), COUNTED)
     counted = materialise(counted, "counted")
     return counted, Model(n_train, n_types, n_docs, fit_mixing(counted, n_train, n_docs))
 
