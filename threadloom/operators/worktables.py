@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Spark's setting that removes the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def work_folder(spark: SparkSession) -> str:
     """The shared folder of spark.checkpoint.dir. It is set here only where it is unset and the master is local."""
     conf = spark.sparkContext.getConf()
@@ -35,8 +39,13 @@ def drop_work_tables(spark: SparkSession) -> int:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table of the shared work folder and read it again: its lineage ends there."""
-    path = f"{work_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    spark = df.sparkSession
+    path, before = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}", spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the exchanges that made the table are of no further use
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
