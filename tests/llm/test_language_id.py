@@ -3,6 +3,11 @@ from collections import Counter, defaultdict
 from math import log2
 from zlib import crc32
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from threadloom.llm import language_id
 from threadloom.llm.language_id import BEGIN, END, Models, drop_rejected, fit, identify, letters, raw_words
 
 
@@ -88,12 +93,81 @@ def test_odd_rows(odd, odd_rows, empty, spark):
     assert {r.lang_pred for r in identify(odd, fit(empty)).collect()} == {"und"}
 
 
+def noise(rng, words):
+    return " ".join("".join(rng.choice("qxzjkwvyqx") for _ in range(8)) for _ in range(words))
+
+
 def test_gibberish_is_rejected(spark, sf):
+    """Long and short noise, whether its nearest language has many labelled rows or few."""
     rng = random.Random(7)
-    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")  # enough documents to calibrate on
-    noise = " ".join("".join(rng.choice("qxzjkwvyqx") for _ in range(8)) for _ in range(400))
-    frame = spark.createDataFrame([(1, noise)], "doc_id long, text string")
-    assert identify(frame, fit(docs)).first().rejected
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    frame = spark.createDataFrame([(n, noise(rng, n)) for n in (400, 60, 25)], "doc_id long, text string")
+    got = identify(frame, fit(docs)).collect()
+    assert all(r.rejected and r.score < 0.05 for r in got)
+    few = docs.where("lang = 'en' OR doc_id % 40 = 0")  # a few rows of the other languages
+    assert all(r.rejected for r in identify(frame, fit(few)).collect())
+
+
+@pytest.mark.parametrize("lang", ["de", "en", "es", "fr"])
+def test_a_language_that_was_not_learnt_is_rejected(spark, sf, lang):
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    models = fit(docs.withColumn("lang", F.when(F.col("lang") != lang, F.col("lang"))))
+    assert lang not in models.languages
+    got = identify(docs, models).join(docs.select("doc_id", "lang"), "doc_id").select("rejected", "score", (F.col("lang") == lang).alias("foreign")).collect()
+    foreign, known = [r for r in got if r.foreign], [r for r in got if not r.foreign]
+    assert sum(r.rejected for r in foreign) >= 0.9 * len(foreign) and sum(r.score for r in foreign) < 0.15 * len(foreign)
+    assert sum(r.rejected for r in known) <= 0.005 * len(known)
+
+
+def test_calibration_by_its_definition():
+    """Few rows lean on all rows; the limit lies where the fitted tail leaves the share of false rejections."""
+    rng = np.random.default_rng(3)
+    models = Models({x: Counter({"ab": 2, "ba": 1, x * 3: 4}) for x in "cde"})
+    own = np.array([0] * 900 + [1] * 90 + [2])
+    symbols = rng.integers(50, 3000, len(own))
+    mine = 2 + 0.1 * own + rng.normal(0, 0.1, len(own)) + rng.normal(0, 1, len(own)) / np.sqrt(symbols)
+    cross = np.stack([np.where(own == k, mine, mine + 1.5) for k in range(3)], axis=1)
+    models.calibrate(own, cross, symbols, np.ones(len(own)))
+    assert abs(models.mean[0] - 2) < 0.03 and abs(models.mean[2] - (mine[-1] + 20 * mine.mean()) / 21) < 1e-9
+    z = np.sort(models.distance(own, mine, symbols))
+    top = z[-int(language_id.TAIL * len(z)) :]
+    tail = ((top - top[0]).sum() + 1) / len(top)
+    assert np.isclose(models.limit, max(top[0], 1) + tail * np.log(len(top) / len(z) / language_id.FALSE_REJECTIONS))
+    assert models.limit < 25 and (models.distance(np.array([2]), np.array([5.0]), np.array([200])) > models.limit).all()
+
+
+def test_many_labels(spark):
+    """A dirty label column: the most frequent labels are learnt."""
+    rows = [(i, f"some words of label {i % 400} here", "en" if i % 3 else f"x{i}") for i in range(900)]
+    models = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_languages=5)
+    assert len(models.languages) == 5 and "en" in models.languages
+
+
+def slow_prediction(models, counts, text):
+    """Language and cross-entropies word by word from the definition."""
+    words = [letters(w) for w in raw_words(text.encode())]
+    bits = {lang: sum(slow_costs(counts, lang, w, models.order) for w in words if w) / max(1, sum(len(w) + 1 for w in words if w)) for lang in counts}
+    return min(sorted(bits), key=bits.get), bits
+
+
+def test_predictions_equal_the_definition():
+    rng = random.Random(16)
+    counts = {lang: Counter({"".join(rng.choice(own) for _ in range(rng.randrange(1, 6))): rng.randrange(1, 9) for _ in range(40)}) for lang, own in (("aa", "abcdeé"), ("bb", "cdefgß"), ("cc", "xyzab"))}
+    models = Models(counts, 3)
+    texts = [" ".join(rng.choice(list(counts[rng.choice(list(counts))])) for _ in range(rng.randrange(1, 12))) for _ in range(60)] + ["", "12 !"]
+    models.mean, models.between, models.symbol, models.limit, models.tail, models.sharpness = np.array([2.0, 2.1, 2.2]), np.full(3, 0.1), np.full(3, 1.5), 1.0, 0.5, 3.0
+    found = models.predict([t.encode() for t in texts])
+    for text, lang, score, cross, rejected in zip(texts, *found, strict=True):
+        n = sum(len(letters(w)) + 1 for w in raw_words(text.encode()) if letters(w))
+        if not n:
+            assert (lang, score, bool(rejected)) == ("und", 0.0, True)
+            continue
+        want, bits = slow_prediction(models, counts, text)
+        k = models.languages.index(want)
+        z = (bits[want] - models.mean[k]) / (0.1 + 1.5 / n) ** 0.5
+        likely = 1 / sum(np.exp(-3.0 * (b - bits[want])) for b in bits.values())
+        assert lang == want and abs(cross - bits[want]) < 1e-3
+        assert abs(score - likely * np.exp(-max(z - 1.0, 0) / 0.5)) < 2e-2 and (bool(rejected) == (z > 1.0 or cross > models.most) or abs(z - 1) < 1e-2)
 
 
 def test_letters():

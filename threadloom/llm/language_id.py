@@ -1,17 +1,23 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Words of a bounded sample of labelled documents (TRAIN_DOCS whole documents a language) give the counts of character
-n-grams up to ORDER within words; their begin and end are symbols too. All languages share one sorted array of
-n-gram hashes and one of context hashes, beside matrices of discounted probabilities and interpolation weights, so one
-binary search serves every language. A document goes to the language with the least cross-entropy per symbol. A tenth
-of the sample is kept from the counts to calibrate: how fast confidence grows with the lead over other languages, and
-which cross-entropy is still usual for a language (beyond it a text is rejected, with more room for short texts).
-
-Words are scored once for each chunk of input, so cost follows distinct words.
-
-Defined cases: null text and text without letters are `und` with score 0; languages that tie are taken in
-alphabetical order; rows with null doc_id train and are not held out; without any labelled row everything is `und`;
-rows with null lang don't train; repeated rows count each.
+Words of a bounded sample of labelled documents (TRAIN_DOCS whole documents a language, MOST_LANGUAGES languages) give the
+counts of character n-grams up to ORDER within words; their begin and end are symbols too. All languages share one sorted
+array of n-gram hashes and one of context hashes, beside matrices of discounted probabilities and interpolation weights, so
+one binary search serves every language. A document goes to the language with the least cross-entropy per symbol.
+
+Rejection is calibrated by cross-fitting: each half of the sample is scored by models of the other half. That gives, for each
+language, the usual cross-entropy, how far documents stray from it and how far their words do, so that short texts have more
+room; languages with few rows lean on all languages' rows, so none is without a bound. The limit on the standardised distance is
+where an exponential tail, fitted to the largest twentieth of the calibration rows, leaves FALSE_REJECTIONS of the texts of known
+languages. The same rows give how fast confidence grows with the lead over other languages. A rejected text keeps its
+nearest language as prediction, with a score that falls to zero beyond the limit.
+
+Words are scored once for each chunk of input, so cost follows distinct words; very long texts are scored whole.
+
+Defined cases: null text and text without letters are `und` with score 0 and rejected; languages that tie are taken in
+alphabetical order; rows with null doc_id train and are not held out; without any labelled row, and so with an empty table to
+learn from, everything is `und`; an empty table gives an empty result; rows with null lang don't train; repeated rows count
+each; further columns, whatever their names, are kept by drop_rejected and not read otherwise.
 """
 
 from __future__ import annotations
@@ -31,9 +37,11 @@ from .common import chunks, crc_remainder, materialise, quoted, row_type, texts_
 ORDER = 5
 TRAIN_DOCS = 1500  # labelled documents a language that the models are fitted on (expected number of a hashed sample)
 BEGIN, END = "\x02", "\x03"
+MOST_LANGUAGES = 256  # the most frequent labels that are learnt
 UND = "und"
-SPREADS = 12.0  # standard deviations above a language's usual cross-entropy at which a text is rejected
-SYMBOL_VARIANCE = 6.0  # of one symbol's cost in bits: the spread of a mean over few symbols
+FALSE_REJECTIONS = 1e-4  # share of texts of known languages beyond the limit of rejection
+TAIL = 0.05  # share of the calibration rows that the tail is fitted to
+PRIOR_ROWS = 20  # weight of all languages' rows beside a language's own
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _WORD = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -84,8 +92,10 @@ class Models:
             found.append(self._train(list(counts[lang]), np.array(list(counts[lang].values()), np.float64)))
         self.grams, self.alpha = self._merge([(g, a) for g, a, _, _ in found], 0.0)
         self.contexts, self.weight = self._merge([(c, w) for _, _, c, w in found], 1.0)
-        self.usual = np.full((len(self.languages), 2), [1e9, 1.0])
-        self.sharpness = 10.0
+        n = len(self.languages)
+        self.most = -np.log2(self.floor)  # bits of a symbol that nothing is known about: no text may cost more
+        self.mean, self.between, self.symbol = np.full(n, self.most), np.zeros(n), np.ones(n)
+        self.limit, self.tail, self.sharpness = 0.0, 1.0, 10.0
 
     def _train(self, words: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         own = Grams(words)
@@ -147,8 +157,8 @@ class Models:
         symbols[full] = own.ends - own.starts - 1
         return out, symbols
 
-    def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per symbol of each text in each language, and its number of symbols."""
+    def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cross-entropy per symbol of each text in each language, its number of symbols, and a symbol's variance as its words tell."""
         lists = [raw_words(t) for t in texts]
         code: defaultdict[bytes, int] = defaultdict()
         code.default_factory = code.__len__
@@ -156,78 +166,109 @@ class Models:
         codes = np.fromiter(map(code.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
         names = list(code)
         parts = [self.costs([letters(w) for w in names[at : at + 20_000]]) for at in range(0, len(names), 20_000)]
-        total, symbols = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        total, symbols, variance = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)))
         full = np.flatnonzero(lengths)
         if len(full):
             bits, sizes = np.concatenate([p[0] for p in parts]).astype(np.float64), np.concatenate([p[1] for p in parts])
             starts = np.concatenate([[0], np.cumsum(lengths[full])[:-1]])
-            symbols[full] = np.add.reduceat(sizes[codes], starts)
+            own = sizes[codes]
+            symbols[full] = np.add.reduceat(own, starts)
             for k in range(len(self.languages)):
-                total[full, k] = np.add.reduceat(bits[:, k][codes], starts)
-        return total / np.maximum(symbols, 1)[:, None], symbols
+                cost = bits[:, k][codes]
+                total[full, k] = np.add.reduceat(cost, starts)
+                mean = total[full, k] / np.maximum(symbols[full], 1)
+                variance[full, k] = np.add.reduceat((cost - np.repeat(mean, lengths[full]) * own) ** 2, starts)
+        return total / np.maximum(symbols, 1)[:, None], symbols, variance / np.maximum(symbols, 1)[:, None]
+
+    def distance(self, language: np.ndarray, cross: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """How far texts are from what is usual for a language, in standard deviations for their length."""
+        return (cross - self.mean[language]) / np.sqrt(self.between[language] + self.symbol[language] / np.maximum(symbols, 1))
+
+    def calibrate(self, own: np.ndarray, cross: np.ndarray, symbols: np.ndarray, variance: np.ndarray) -> None:
+        """From held-out rows: their language, cross-entropies in all languages (infinite where a half has no model), length, a symbol's variance."""
+        mine = cross[np.arange(len(own)), own]
+        ok = (symbols > 0) & np.isfinite(mine)
+        own, cross, symbols, variance, mine = own[ok], cross[ok], symbols[ok], variance[ok], mine[ok]
+        if not len(own):
+            return
+        n = np.bincount(own, minlength=len(self.languages))
+        add = lambda x: np.bincount(own, x, len(self.languages))
+        self.mean = (add(mine) + PRIOR_ROWS * mine.mean()) / (n + PRIOR_ROWS)
+        self.symbol = (add(variance) + PRIOR_ROWS * variance.mean()) / (n + PRIOR_ROWS)
+        noise = self.symbol[own] / symbols
+        near = (mine - self.mean[own]) ** 2 - noise
+        lean = max(float(near.mean()), 0.0) + 1e-4
+        self.between = np.maximum(add(near) + PRIOR_ROWS * lean, 0) / (n + PRIOR_ROWS) + (mine.mean() - self.mean) ** 2 * PRIOR_ROWS / (n + PRIOR_ROWS) + 1e-4
+        z = np.sort(self.distance(own, mine, symbols))
+        top = z[-max(1, int(TAIL * len(z))) :]
+        self.tail = float(((top - top[0]).sum() + 1.0) / len(top))
+        self.limit = max(float(top[0]), 1.0) + self.tail * float(np.log(len(top) / len(z) / FALSE_REJECTIONS))
+        lead = cross - mine[:, None]
+        costs = [(np.log(np.exp(np.clip(-s * lead, -700, 700)).sum(axis=1)).sum(), s) for s in (1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 20.0, 30.0)]
+        self.sharpness = min(costs)[1]  # under which the rows' languages are likeliest
 
     def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy and whether the text is rejected."""
-        cross, symbols = self.documents(texts)
+        cross, symbols, _ = self.documents(texts)
         if not self.languages:
             return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
         best = cross.argmin(axis=1)
         least = cross[np.arange(len(texts)), best]
-        score = np.where(symbols > 0, 1 / np.exp(np.maximum(-self.sharpness * (cross - least[:, None]), -700)).sum(axis=1), 0.0)
-        mean, spread = self.usual[best].T
-        rejected = (symbols == 0) | (least > mean + SPREADS * np.sqrt(spread**2 + SYMBOL_VARIANCE / np.maximum(symbols, 1)))
+        beyond = np.maximum(self.distance(best, least, symbols) - self.limit, 0)
+        rejected = (symbols == 0) | (beyond > 0) | (least > self.most)
+        likely = 1 / np.exp(np.maximum(-self.sharpness * (cross - least[:, None]), -700)).sum(axis=1)
+        score = np.where(symbols > 0, likely * np.exp(-np.minimum(beyond / self.tail, 700)), 0.0)
         return [self.languages[b] if n else UND for b, n in zip(best.tolist(), symbols.tolist(), strict=True)], score, least, rejected
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
-        counts: dict[str, Counter] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch.column("text")), strict=True):
-            counts.setdefault(lang, Counter()).update(map(letters, raw_words(text)))
-        rows = [(lang, w, n) for lang, own in counts.items() for w, n in own.items() if w]
+        counts: dict[tuple[str, int], Counter] = {}
+        for lang, half, text in zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), texts_of(batch.column("text")), strict=True):
+            counts.setdefault((lang, half), Counter()).update(map(letters, raw_words(text)))
+        rows = [(*key, w, n) for key, own in counts.items() for w, n in own.items() if w]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def _calibrate(batches: Iterator[pa.RecordBatch], schema: pa.Schema, models: Models) -> Iterator[pa.RecordBatch]:
+def _cross_fit(batches: Iterator[pa.RecordBatch], schema: pa.Schema, languages: list[str], halves: list[Models]) -> Iterator[pa.RecordBatch]:
+    """Rows of each half by the models of the other one."""
     for batch in chunks(batches):
-        cross, symbols = models.documents(texts_of(batch.column("text")))
-        own = np.array([models.languages.index(x) if x in models.languages else -1 for x in batch.column("lang").to_pylist()])
-        ok = (own >= 0) & (symbols >= 50)
-        yield pa.RecordBatch.from_arrays([pa.array(own[ok].astype(np.int32)), pa.array(cross[ok].tolist(), schema.field("cross").type)], schema=schema)
-
-
-def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, order: int = ORDER) -> Models:
+        for half, models in enumerate(reversed(halves)):
+            part = batch.filter(pa.array(np.array(batch.column("half").to_pylist()) == half))
+            if part.num_rows:
+                found, symbols, variance = models.documents(texts_of(part.column("text")))
+                cross = np.full((part.num_rows, len(languages)), np.inf)
+                at = [languages.index(x) for x in models.languages]
+                cross[:, at] = found
+                all_variance = np.zeros_like(cross)
+                all_variance[:, at] = variance
+                own = np.array([languages.index(x) for x in part.column("lang").to_pylist()])
+                columns = [own, list(cross), symbols, all_variance[np.arange(len(own)), own]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, order: int = ORDER, most_languages: int = MOST_LANGUAGES) -> Models:
     """Models from the documents whose crc32 of doc_id leaves no remainder 2 by 4."""
     usable = docs.where((crc_remainder(quoted(id_col), 4) != 2) & F.col(quoted(lang_col)).isNotNull() & F.col(quoted(text_col)).isNotNull())
     usable = usable.select(F.col(quoted(lang_col)).alias("lang"), F.col(quoted(text_col)).alias("text"), F.xxhash64(quoted(id_col)).alias("h"))
-    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
-    if not sizes:
-        return Models({}, order)
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, train_docs / n))])
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     chance = F.pmod("h", F.lit(1_000_000)) / 1_000_000.0
-    sample = materialise(usable.where(chance < share[F.col("lang")]).select("lang", "text", (F.pmod(F.shiftright("h", 24), F.lit(10)) == 0).alias("kept")), "languages")
-    out = T.StructType().add("lang", "string").add("word", "string").add("n", "long")
+    sample = usable.join(F.broadcast(sizes), "lang").where(chance < train_docs / F.col("n"))  # most_languages rows at most are broadcast
+    sample = materialise(sample.select("lang", "text", F.pmod(F.shiftright("h", 24), F.lit(2)).cast("int").alias("half")), "languages")
+    out = T.StructType().add("lang", "string").add("half", "integer").add("word", "string").add("n", "long")
     schema = to_arrow_schema(out)
-    few = sample.groupBy("lang").agg(F.count_if(~F.col("kept")).alias("n")).where("n < 50")  # too few to spare any
-    counted = sample.join(F.broadcast(few), "lang", "left").where("NOT kept OR n IS NOT NULL").select("lang", "text")
-    words = counted.mapInArrow(lambda it: _word_counts(it, schema), out).groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word")
-    counts: dict[str, Counter] = {}
+    words = sample.mapInArrow(lambda it: _word_counts(it, schema), out).groupBy("lang", "half", "word").agg(F.sum("n").alias("n")).orderBy("lang", "half", "word")
+    counts: list[dict[str, Counter]] = [{}, {}, {}]
     for r in words.toArrow().to_pylist():  # bounded by the sample
-        counts.setdefault(r["lang"], Counter())[r["word"]] = r["n"]
-    models = Models(counts, order)
-    given = docs.sparkSession.sparkContext.broadcast(models)
-    measured = T.StructType().add("own", "integer").add("cross", T.ArrayType(T.DoubleType()))
-    measured_schema = to_arrow_schema(measured)
-    rows = sample.where("kept").mapInArrow(lambda it: _calibrate(it, measured_schema, given.value), measured).orderBy("own", "cross").collect()
-    for k in range(len(models.languages)):
-        own = np.array([r["cross"][k] for r in rows if r["own"] == k])
-        if len(own) >= 20:
-            models.usual[k] = own.mean(), max(own.std(), 0.05)
-    if len(rows) >= 20:  # the sharpness under which the calibration documents' languages are likeliest
-        cross, own = np.array([r["cross"] for r in rows]), np.array([r["own"] for r in rows])
-        lead = cross - cross[np.arange(len(own)), own][:, None]
-        costs = [(np.log(np.exp(np.clip(-s * lead, -700, 700)).sum(axis=1)).sum(), s) for s in (1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 20.0, 30.0)]
-        models.sharpness = min(costs)[1]
+        for own in (counts[r["half"]], counts[2]):
+            own.setdefault(r["lang"], Counter())[r["word"]] += r["n"]
+    *halves, models = (Models(own, order) for own in counts)
+    if models.languages:
+        given, measured = docs.sparkSession.sparkContext.broadcast(halves), T.StructType().add("own", "integer").add("cross", T.ArrayType(T.DoubleType())).add("symbols", "long").add("variance", "double")
+        measured_schema, languages = to_arrow_schema(measured), models.languages
+        known = sample.where(F.col("lang").isin(languages))  # a label may stand on texts without letters only
+        rows = known.mapInArrow(lambda it: _cross_fit(it, measured_schema, languages, given.value), measured).orderBy("own", "symbols", "cross").collect()
+        models.calibrate(np.array([r["own"] for r in rows], np.int64), np.array([r["cross"] for r in rows]).reshape(-1, len(languages)), np.array([r["symbols"] for r in rows]), np.array([r["variance"] for r in rows]))
     return models
 
 
