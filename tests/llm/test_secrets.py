@@ -1,9 +1,10 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
-from threadloom.llm.secret_scan import battery, candidates, encoding, inferred, least_bins, scan_secrets, secret_digest
+from threadloom.llm.secret_scan import ALL_ENCODINGS, BATTERY, DIGITS, FALSE_DISCOVERIES, LENGTH_CLASSES, LETTERS, LOWER, MORE_LETTERS, STAY, UPPER, battery, candidates, inferred, least_bins, scan_secrets, secret_digest
 
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -51,7 +52,7 @@ def test_battery_and_control():
     tries = [battery("".join(rng.choice(alphabet) for _ in range(48)), alphabet)["joint"] for _ in range(400)]
     assert sum(p < 0.05 for p in tries) < 45
     assert battery("0123456789abcdef" * 3, alphabet)["joint"] < 1e-3 or battery("0123456789abcdef" * 3, alphabet)["serial"] < 1e-3
-    assert encoding("deadbeef00112233")[0] == "hex" and encoding("only_letters_here") is None and encoding("1234567890123456") is None
+    assert inferred("deadbeef00112233")[0] == "hex" and inferred("DEADBEEF00112233")[0] == "HEX" and inferred("a.b") is None
     assert least_bins([(0, 200, 1), (0, -1, 50), (1, 10, 1), (1, -1, 10**6)]) == {0: 200}
 
 
@@ -67,3 +68,81 @@ def test_runs_without_a_digit_are_tested(spark):
     assert got == {0: "random:4:36", 1: "random:4:44", 2: "random:4:28", 9: ""}
     assert len(candidates(numbers, [])) == 2  # each counts as a test
     assert [inferred(x)[0] for x in ("abcdefghijklmnopqrst", "ABCDEFGHIJKLMNOPQRST", "abcdefghijKLMNOPQRST", "1234567890123456")] == ["lower", "upper", "letters", "hex"]
+
+
+def slow_spans(texts):
+    """Spans of random runs straight from the definitions: the battery, the evidence against text, then Benjamini and Hochberg by class of length."""
+
+    def joint(run, alphabet):
+        n, k = len(run), len(alphabet)
+        v = [alphabet.index(c) for c in run]
+        cells = max(2, min(k, n // 4))
+        chi = 0.0
+        for cell in range(cells):
+            symbols = [x for x in range(k) if x * cells // k == cell]
+            expected = n * len(symbols) / k
+            chi += (sum(x in symbols for x in v) - expected) ** 2 / expected
+        z = ((chi / (cells - 1)) ** (1 / 3) - 1 + 2 / (9 * (cells - 1))) / math.sqrt(2 / (9 * (cells - 1)))
+        ps = [0.5 * math.erfc(z / math.sqrt(2))]
+        high = [2 * x >= k for x in v]
+        a, b = sum(high), n - sum(high)
+        if a and b:
+            mean = 1 + 2 * a * b / n
+            runs = 1 + sum(x != y for x, y in zip(high, high[1:], strict=False))
+            ps.append(math.erfc(abs(runs - mean) / math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1))) / math.sqrt(2)))
+        else:
+            ps.append(2.0 ** (1 - n))
+        c = [x - (k - 1) / 2 for x in v]
+        ps.append(math.erfc(abs(sum(x * y for x, y in zip(c, c[1:], strict=False)) / ((k * k - 1) / 12 * math.sqrt(n - 1))) / math.sqrt(2)))
+        x = -sum(math.log(max(p, 1e-300)) for p in ps)
+        return math.exp(-x) * (1 + x + x * x / 2)
+
+    def evidence(run, alphabet):
+        kinds = [LOWER, UPPER, DIGITS, "+/-_"]
+        best = -math.inf
+        for k, share in enumerate((LETTERS, *MORE_LETTERS)):
+            if k and not run.isalpha():
+                break
+            chance = {x: p / sum(share) for letters in (LOWER, UPPER) for x, p in zip(letters, share, strict=True)} | dict.fromkeys(DIGITS, 0.1) | dict.fromkeys("+/-_", 0.25)
+            best = max(best, sum(math.log(chance[x]) for x in run))
+        text = best - math.log(4)
+        for x, y in zip(run, run[1:], strict=False):
+            same = next(i for i, own in enumerate(kinds) if x in own) == next(i for i, own in enumerate(kinds) if y in own)
+            text += math.log(STAY if same else (1 - STAY) / 3)
+        return max(0.0, (-len(run) * math.log(len(alphabet)) - text) / math.log(10))
+
+    tests = []
+    for doc, text in texts:
+        base = brute_spans(text)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", text or ""):
+            run = m[0].rstrip("=")
+            alphabet = next((a for _, a in ALL_ENCODINGS if set(run) <= set(a)), None)
+            if alphabet and not any(a < m.end() and m.start() < z for _, a, z in base):
+                size = sum(len(run) > most for most in LENGTH_CLASSES)
+                e = evidence(run, alphabet)
+                bin_ = min(399, int(10 * e)) if e > 0 and joint(run, alphabet) >= BATTERY else -1
+                tests.append((doc, m.start(), m.end(), size, bin_))
+    found = {(doc, *s) for doc, text in texts for s in brute_spans(text)}
+    for size in range(len(LENGTH_CLASSES) + 1):
+        own = [t for t in tests if t[3] == size]
+        levels = [b for b in {t[4] for t in own} if b > 0 and 10 ** (-b / 10) <= FALSE_DISCOVERIES * sum(t[4] >= b for t in own) / len(own)]
+        found |= {(doc, "random", a, z) for doc, a, z, _, b in own if levels and b >= min(levels)}
+    return found
+
+
+def brute_spans(text):
+    text = text or ""
+    own = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    own += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return own + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+
+
+def test_spans_equal_the_definitions(spark, small):
+    rng = random.Random(9)
+    key = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    words = "internationalisation Donaudampfschifffahrt some_identifier_name_v12 4952935900253052 aaaaaaaaaaaaaaaaaaaaaaaa/x path/to/some/file/name2"
+    rows = [(r.doc_id, r.text) for r in small.collect()]
+    rows += [(10_000 + i, f"é {words} {key(UPPER + LOWER + DIGITS, rng.randrange(16, 70))} {key(UPPER + '234567', 32)}== {key(LOWER, rng.randrange(16, 30))} key={key(DIGITS + 'ABCDEF', 40)}") for i in range(60)]
+    got = {(r.doc_id, *s.split(":")) for r in secret_digest(scan_secrets(spark.createDataFrame(rows, "doc_id long, text string"))).collect() for s in filter(None, r.spans.split(","))}
+    want = {(doc, kind, str(a), str(z)) for doc, kind, a, z in slow_spans(rows)}
+    assert got == want and sum(x[1] == "random" for x in want) > 60

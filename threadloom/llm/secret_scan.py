@@ -7,10 +7,12 @@ run is ordinary text, 1 / (likelihood under uniform symbols / likelihood under a
 candidates that pass the battery are reported where a Benjamini-Hochberg bound holds within their class of lengths, so
 the many short runs of a corpus can't hide, or stand in for, the few long ones. The bound needs only a histogram of
 p-values by length class, which has a fixed size. Runs of letters alone are tested in their own alphabets, against words
-of four languages; digits alone are tested as hex, where nothing tells them from an ordinary number.
+of four languages; digits alone are tested as hex, where nothing tells them from an ordinary number. Runs of fewer than
+LEAST_RUN characters are no candidates: no test could tell so few symbols from text.
 
-Defined cases: null text is empty; empty text has no spans; offsets count code points, ends are exclusive; repeated
-rows are each scanned and each counted as tests.
+Defined cases: null text is empty; empty text has no spans; very long texts are scanned whole; offsets count code points, ends
+are exclusive; spans that begin together stand in the order of KINDS; repeated rows are each scanned and each counted as tests; an
+empty table gives an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more: the same as dropping shorter runs
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST_RUN = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_-]{{{LEAST_RUN},}}={{0,2}}")
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the narrowest alphabet on, in the order in which values are numbered.
@@ -66,14 +69,6 @@ LENGTH_CLASSES = (24, 32, 48, 64)  # upper bounds; longer runs are a class of th
 BINS = 400  # of -log10 p, a tenth each
 
 
-def encoding(run: str) -> tuple[str, str] | None:
-    """The narrowest encoding of a run that mixes digits with others; see inferred() for words and numbers."""
-    own = set(run)
-    if not own & set(DIGITS) or own <= set(DIGITS):
-        return None
-    return next(((name, alphabet) for name, alphabet in ENCODINGS if own <= set(alphabet)), None)
-
-
 def inferred(run: str) -> tuple[str, str] | None:
     """The narrowest encoding of any run, be it of letters or digits alone: the tests tell words and numbers apart."""
     own = set(run)
