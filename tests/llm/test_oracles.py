@@ -1,0 +1,18 @@
+"""The queries of the subpackage that SQL can express against their SQL, on the smallest tables."""
+
+from collections import Counter
+
+import duckdb
+import pytest
+
+from threadloom.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_equals_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got, want = QUERIES[name](spark, sf), con.sql(ORACLES[name])
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(map(tuple, got.select(*want.columns).collect())) == Counter(want.fetchall())
