@@ -58,4 +58,7 @@ def test_large_populations():
 
 def test_write(spark, small, tmp_path):
     back = write_shards(small, f"file://{tmp_path}/out", shards=3)
+    clashing = small.limit(9).selectExpr("doc_id", "text", "lang AS shard", "source AS slot", "n_chars AS __id", "lang AS __slot")
+    again = write_shards(clashing, f"file://{tmp_path}/again", shards=2)
+    assert set(again.columns) == {*clashing.columns, "shard_", "slot_"} and Counter(map(tuple, again.select(*clashing.columns).collect())) == Counter(map(tuple, clashing.collect()))
     assert back.count() == small.count() and {r.shard for r in back.select("shard").distinct().collect()} == {0, 1, 2}

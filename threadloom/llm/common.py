@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..operators.worktables import materialise, work_folder
 
-__all__ = ["CHUNK_BYTES", "chunks", "crc_remainder", "joined", "materialise", "per_process", "quoted", "row_type", "texts_of", "to_arrow_schema", "whole_row", "work_folder"]
+__all__ = ["CHUNK_BYTES", "chunks", "crc_remainder", "free_name", "joined", "materialise", "per_process", "quoted", "row_type", "texts_of", "to_arrow_schema", "whole_row", "work_folder"]
 
 #: Arrow batches are gathered up to this many bytes before vectorised work on them begins.
 CHUNK_BYTES = 4 << 20
@@ -28,6 +28,14 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(quoted(c)) for c in df.columns])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have yet, in any case: the given one, else with underscores behind it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_type(df: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
 

@@ -9,9 +9,11 @@ extra words (proximity).
 
 The benchmark is broadcast only up to ITEM_BYTES of text; a larger one is searched in blocks of that size.
 
-Defined cases: null or wordless text has no words, no hits and isn't contaminated; wordless items have no windows;
-repeated items count once by id; a null item id counts as the id ""; repeated documents are each judged; an empty
-benchmark contaminates nothing.
+Defined cases: null, empty or wordless text has no words, no hits and isn't contaminated; wordless items have no windows;
+repeated items count once by id; a null item id counts as the id ""; repeated documents are each judged; a very long text
+makes a segment of its own and is searched whole; terms that are equally rare are taken in the order of the window; an empty
+benchmark contaminates nothing, and an empty table gives an empty result; further columns, whatever their names, are kept by
+drop_contaminated and not read otherwise.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, materialise, quoted, texts_of, to_arrow_schema
+from .common import chunks, materialise, quoted, texts_of, to_arrow_schema, whole_row
 from .words import words
 
 WINDOW = 10
@@ -198,12 +200,14 @@ def _digest(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
         yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, key, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return search(build_index(docs), items, window, digest=True)
+    return search(build_index(docs, text_col, id_col), items, window, digest=True)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns."""
-    bad = contamination(docs, items, window).where("contaminated").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left_anti")
+    bad = contamination(docs, items, window, text_col, id_col).where("contaminated").select("doc_id", "key").distinct()
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("own_id"), F.xxhash64(quoted(text_col)).alias("own_key"), whole_row(docs).alias("row"))
+    kept = rows.join(bad, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("key")), "left_anti")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

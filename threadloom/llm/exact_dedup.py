@@ -8,7 +8,8 @@ same way, recursively.
 
 Defined cases: null text equals empty text; of equal texts the row with the largest doc_id stays (a null doc_id
 is smaller than any other; among rows that tie, exactly one stays); an empty table gives an empty result; columns
-beside doc_id and text are carried along whatever their names.
+beside doc_id and text are carried along whatever their names; empty texts are equal to each other, and very long ones are
+compared whole.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ FOLD_BYTES = 16 << 20
 FANOUT_BITS = 4
 DEEPEST = 64 // FANOUT_BITS
 NO_ID = -(1 << 63)
+ROW_BYTES = 128  # that a bucket keeps of each row beside its content
 
 
 class OpenTable:
@@ -121,6 +123,7 @@ class _Bucket:
             self.ids.append(NO_ID if doc is None else doc)
             self.n.append(n)
             self.of.append(e)
+            self.bytes += ROW_BYTES
             if new:
                 self.bytes += len(content)
                 self.best.append(k)

@@ -9,8 +9,10 @@ The matrix is never stored. It is the leaves of a binary tree over the partition
 left half are drawn by a generator that is seeded by the node, so a task computes its own row in log(partitions)
 steps from the prefix sums of the partition sizes alone.
 
-Defined cases: null text has no bytes (size 8, crc 0); null or repeated doc_id are rows like any other; an empty
-table gives an empty result. Rows are placed by position, so repeated rows get slots of their own.
+Defined cases: null and empty text has no bytes (size 8, crc 0); a very long text is one row like any other; null or repeated
+doc_id are rows like any other; rows are placed by position, so repeated rows and ties get slots of their own; an empty
+table gives an empty result; further columns, whatever their names, are not read, and write_shards keeps them (its own columns
+shard and slot get underscores behind them where the table has such names).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, quoted, to_arrow_schema
+from .common import free_name, materialise, quoted, to_arrow_schema, whole_row
 
 SHARDS = 24
 #: Rows of one block at most: one task permutes a block.
@@ -153,13 +155,14 @@ def uniform_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 7, block_r
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 7, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Write whole rows as path/shard=k, in slot order within each file. Needs unique, non-null ids."""
+    """Write whole rows as path/shard=k, in slot order within each file, beside their slot. Needs unique, non-null ids."""
     if docs.where(F.col(quoted(id_col)).isNull()).limit(1).count() or docs.groupBy(quoted(id_col)).count().where("count > 1").limit(1).count():
         raise ValueError(f"{id_col} must be unique and not null to join placements to rows")
-    place = uniform_shards(docs, shards, seed, text_col=text_col, id_col=id_col).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    rows = docs.join(place, F.col(quoted(id_col)) == F.col("__id")).drop("__id")
-    rows = rows.repartition("__shard", (F.col("__slot") / BLOCK_ROWS).cast("long")).sortWithinPartitions("__shard", "__slot")
-    rows.withColumnRenamed("__shard", "shard").withColumnRenamed("__slot", "slot").write.partitionBy("shard").parquet(path)
+    place = uniform_shards(docs, shards, seed, text_col=text_col, id_col=id_col).select("doc_id", "shard", "slot")
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), whole_row(docs).alias("row")).join(place, "doc_id")
+    rows = rows.repartition("shard", (F.col("slot") / BLOCK_ROWS).cast("long")).sortWithinPartitions("shard", "slot")
+    shard, slot = free_name(docs, "shard"), free_name(docs, "slot")
+    rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], F.col("slot").alias(slot), F.col("shard").alias(shard)).write.partitionBy(shard).parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

@@ -9,9 +9,11 @@ one-wildcard variants of what they don't share yet (the other 32 bits as two hal
 that at most 11 bits are free, so a group has a proven bound of 2,048. Each group emits a spanning forest of its links,
 never all pairs, which keeps every component.
 
-Defined cases: null and wordless text has fingerprint zero and links like any other; one or two words form one
-shingle; repeated rows share a component; a component without any doc_id has component_id null; an empty table gives
-an empty result.
+Defined cases: null, empty and wordless text has fingerprint zero and links like any other; one or two words form one
+shingle; very long texts are counted whole, some shingles at a time; a bit that exactly half the hashes set is 0; repeated rows
+share a component; a component without any doc_id has component_id null, and of rows that tie for its smallest doc_id one
+stays; an empty table gives an empty result; further columns, whatever their names, are kept by drop_near_duplicates and not
+read otherwise.
 """
 
 from __future__ import annotations

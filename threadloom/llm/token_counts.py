@@ -4,8 +4,9 @@ Documents are aggregated by encoded length, so what follows has one row per dist
 there are. Suffix sums over the lengths then answer totals, quantiles and truncated totals for every context limit. They are
 taken in two steps, over ranges of lengths and within each range, so no task gathers all lengths.
 
-Defined cases: null and empty texts have 0 tokens and count as documents; repeated rows count each; an empty table
-gives an empty histogram.
+Defined cases: null and empty texts have 0 tokens and count as documents; very long texts are encoded whole; documents that tie
+in length share a row; repeated rows count each; an empty table gives an empty histogram; further columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -54,11 +55,14 @@ def length_histogram(counts: DataFrame) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """context, docs_over (longer than it), total_tokens, truncated_tokens for each limit, from the histogram alone."""
-    asked = F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("context")
-    own = histogram.select("n_tokens", "n_docs", asked)
-    over = F.when(F.col("n_tokens") > F.col("context"), F.col("n_docs")).otherwise(0)
-    return own.groupBy("context").agg(F.sum(over).alias("docs_over"), F.sum(F.col("n_tokens") * F.col("n_docs")).alias("total_tokens"), F.sum(F.least("n_tokens", "context") * F.col("n_docs")).alias("truncated_tokens"))
+    """context, docs_over (longer than it), total_tokens, truncated_tokens for each limit: one pass that finds, for every limit, the suffix sums of the least length beyond it."""
+    sums = F.struct("docs_at_least", "tokens_at_least")
+    beyond = [F.min_by(sums, F.when(F.col("n_tokens") > x, F.col("n_tokens"))).alias(f"at{k}") for k, x in enumerate(limits)]
+    found = histogram.agg(F.max("tokens_at_least").alias("total"), *beyond).where("total IS NOT NULL")  # one row
+    over = lambda k, name: F.coalesce(F.col(f"at{k}.{name}"), F.lit(0).cast("long"))
+    cut = lambda k, x: F.col("total") - over(k, "tokens_at_least") + over(k, "docs_at_least") * F.lit(x).cast("long")
+    rows = [F.struct(F.lit(int(x)).cast("long").alias("context"), over(k, "docs_at_least").alias("docs_over"), F.col("total").alias("total_tokens"), cut(k, x).alias("truncated_tokens")) for k, x in enumerate(limits)]
+    return found.select(F.inline(F.array(*rows)))
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
