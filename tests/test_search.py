@@ -20,7 +20,7 @@ def index(spark):
     return S.build_index(docs, "id", FIELDS)
 
 
-@pytest.mark.parametrize("text", ["thesaurus", "E55 types", "vocabularies thesaurus", "a-thesaurus", "carl nothing", '"quoted" of* NEAR(', ""])
+@pytest.mark.parametrize("text", ["naive", "Naïve NAMES", "thesaurus", "E55 types", "vocabularies thesaurus", "a-thesaurus", "carl nothing", '"quoted" of* NEAR(', ""])
 def test_bm25_equals_sqlite(spark, index, text):
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE t USING fts5(subject, from_name, body, entities, tokenize='unicode61')")
@@ -84,3 +84,5 @@ def test_expansion():
     assert L.expand("about E55", labels, ids) == ["Type"]
     assert L.expand("a time span", labels, ids) == ["E52"]  # the longer label claims its words
     assert L.expand("the type E55", labels, ids) == []  # nothing that the query holds already
+    assert L.expand("E55.1 and P25i", labels | {"P25": ["moved"]}, ids) == ["Type", "moved"]  # suffixes fold into the base
+    assert L.expand("in timespans", labels, ids) == [] and L.expand("spanning E99 span", labels, ids) == []

@@ -40,10 +40,21 @@ def test_rdf_files_and_schema(spark, tmp_path):
 
 
 def test_xml_links(spark, tmp_path):
-    (tmp_path / "d.xml").write_text("<doc><in_class>K22: Thing</in_class><was_made_by><in_class>K12</in_class><note>text<kind_of_note><in_class>K55</in_class></kind_of_note></note></was_made_by><note>a</note><note>b</note></doc>")
+    (tmp_path / "d.xml").write_text("<set><item><in_class>K22: Thing</in_class><was_made_by><in_class>K12: Making</in_class><note>text<kind_of_note><in_class>K55: Kind</in_class></kind_of_note></note></was_made_by><note>a</note><note>b</note><size><value>3</value><unit><in_class>K58. Unit</in_class></unit></size></item><other/></set>")
     rows = {r.link: r for r in R.read_xml_links(spark, f"file://{tmp_path}/*.xml").collect()}
-    assert (rows["doc/was_made_by"].subject, rows["doc/was_made_by"].name, rows["doc/was_made_by"].object) == ("K22", "was made by", "K12")
-    assert rows["doc/was_made_by/note/kind_of_note"].via_property == "note" and "doc/note[2]" in rows and rows["doc/was_made_by/note"].object is None
+    made = rows["item[K22]/was_made_by"]
+    assert (made.subject, made.name, made.object) == ("K22", "was made by", "K12") and not any(k.endswith(("value", "unit")) for k in rows)
+    assert rows["item[K22]/was_made_by/note/kind_of_note"].via_property == "note" and "item[K22]/note[2]" in rows and rows["item[K22]/was_made_by/note"].object is None
+    uses = {(r.path, r.id, r.label) for r in R.read_class_uses(spark, f"file://{tmp_path}/*.xml").collect()}
+    assert uses == {("/item", "K22", "Thing"), ("/item/was_made_by", "K12", "Making"), ("/item/was_made_by/note/kind_of_note", "K55", "Kind"), ("/item/size/unit", "K58", "Unit")}
+
+
+def test_json_ld():
+    doc = {"@context": {"m": "http://m/", "made": {"@id": "m:R8_made"}, "@vocab": "http://v/"}, "@id": "m:a", "@type": "m:K12", "made": {"@id": "m:v", "@type": ["m:K22"], "label": {"@value": "Vase", "@language": "de"}}, "size": [3, {"@list": ["x", "y"]}]}
+    rows = list(R.json_ld(json.dumps(doc)))
+    kind = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
+    assert set(rows) == {("http://m/a", kind, "http://m/K12", False), ("http://m/a", "http://m/R8_made", "http://m/v", False), ("http://m/v", kind, "http://m/K22", False), ("http://m/v", "http://v/label", "Vase", True), ("http://m/a", "http://v/size", "3", True)} | {r for r in rows if r[0].startswith("_:j") or r[2].startswith("_:j")}
+    assert next(r[2].language for r in rows if r[2] == "Vase") == "de"
 
 
 def test_docx(spark, tmp_path):

@@ -90,6 +90,7 @@ def test_quotations_are_found_but_not_paraphrases(spark):
 
 def test_closest_candidates_come_from_whole_texts(spark, sf):
     import re
+    import unicodedata
     from difflib import SequenceMatcher
 
     from threadloom.plans import QUERIES
@@ -101,7 +102,7 @@ def test_closest_candidates_come_from_whole_texts(spark, sf):
     texts, phrases = ({r[0]: r[1] or "" for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()} for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
 
     def features(text):
-        w = re.findall(r"[^\W_]+", text.lower())
+        w = re.findall(r"[^\W_]+", "".join(c for c in unicodedata.normalize("NFD", text.lower()) if not unicodedata.combining(c)))
         return {x for x in w if len(x) > 7} | {" ".join(w[k : k + 4]) for k in range(len(w) - 3)}
 
     f = {i: features(p) for i, p in phrases.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,13 +25,25 @@ SAID = r"(?:wrote:|writes:|schrieb:?|escribi[oó]:?|ha scritto:?|a écrit|schree
 FORWARDED = r"-{2,}\s*Original Message"
 
 
+#: Small Latin letters that are a letter of a to z with marks, and those letters.
+_MARKED = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, [*range(0xDF, 0x250), *range(0x1E00, 0x1F00)]) if c.islower() and len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii()}
+MARKED, BARE = "".join(_MARKED), "".join(_MARKED.values())
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def folded(text: Column | str) -> Column:
+    """Lower case, without the marks of Latin letters."""
+    low = F.lower(col(text))
+    bare = F.regexp_replace(F.translate(low, MARKED, BARE), r"\p{Mn}+", "")
+    return F.when(low.rlike(r"[^\x00-\x7F]"), bare).otherwise(low)
+
+
 def tokens(text: Column | str) -> Column:
-    """Lower-cased runs of letters and digits, in order."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Runs of letters and digits, in order, lower-cased and without marks: `naïve` is `naive`."""
+    return F.regexp_extract_all(folded(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def collapsed(text: Column | str) -> Column:
@@ -76,10 +90,45 @@ def identifiers(text: Column | str, pattern: str = IDENTIFIER) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), F.lit(1))))
 
 
-def heading_issues(text: Column | str, most: int = 8) -> Column:
-    """Issue numbers of a heading such as `Issue 172, 173`, in order."""
+def known_and_former(ids: Column, known: Column) -> Column:
+    """Identifiers split into those of the model and others: struct of current and historical."""
+    return F.struct(F.array_intersect(ids, known).alias("current"), F.array_except(ids, known).alias("historical"))
+
+
+def bare_number(text: Column | str) -> Column:
+    """The number that a heading such as `204: done` begins with, else null."""
+    return F.regexp_extract(col(text), r"^\s*(\d{1,4})\s*[:.)]\s*\S", 1).try_cast("int")
+
+
+def heading_issues(text: Column | str, registered: Column | None = None, most: int = 8) -> Column:
+    """Issue numbers of a heading such as `Issue 172, 173`, in order; registered: whether bare_number is known as an issue."""
     run = F.regexp_extract(col(text), r"(?i)^\s*issues?\s*[:#]?\s*((?:\d{1,4})(?:\s*(?:,|&|and|/)\s*\d{1,4})*)", 1)
-    return F.slice(F.transform(F.regexp_extract_all(run, F.lit(r"\d{1,4}"), F.lit(0)), lambda n: n.cast("int")), 1, most)
+    named = F.slice(F.transform(F.regexp_extract_all(run, F.lit(r"\d{1,4}"), F.lit(0)), lambda n: n.cast("int")), 1, most)
+    return named if registered is None else F.when((F.size(named) == 0) & registered, F.array(bare_number(text))).otherwise(named)
+
+
+def leading_id(raw: Column | str) -> Column:
+    """The identifier at the begin of any spelling (`e22_Object`, `P14.1`), without suffixes; null if there is none."""
+    ident = F.regexp_replace(F.replace(F.upper(F.trim(col(raw))), F.lit("LRM "), F.lit("LRM-")), r"\.\d$", "")
+    return F.nullif(F.regexp_extract(ident, r"^([A-Z]{1,4}(?:-[A-Z])?\d{1,3})", 1), F.lit(""))
+
+
+def day_of(date: Column | str) -> Column:
+    return F.coalesce(F.substring(col(date), 1, 10), F.lit("??????????"))
+
+
+def quotations(prose: Column | str, words: int = 5) -> Column:
+    """Quoted spans of 25 to 400 characters and at least five words; a mark opens after a space or bracket and closes before a space or a stop."""
+    marked = F.regexp_extract_all(col(prose), F.lit(r"""(?:(?<=^)|(?<=[\s(\[]))(?:'[^']{25,400}'|"[^"]{25,400}"|“[^”]{25,400}”)(?=$|[\s.,;:)\]?!])"""), F.lit(0))
+    spans = F.transform(marked, lambda m: F.trim(F.substring(m, 2, F.length(m) - 2)))
+    return F.filter(spans, lambda s: F.size(F.split(s, r"\s+")) >= words)
+
+
+def reference_entries(citations: Column | str) -> Column:
+    """Citations that are a text or an object with id and quote, as structs (from a JSON array)."""
+    own = F.from_json(col(citations), "array<string>")
+    is_object = lambda c: F.startswith(F.trim(c), F.lit("{"))
+    return F.transform(own, lambda c: F.struct(F.when(is_object(c), F.get_json_object(c, "$.id")).otherwise(c).alias("id"), F.when(is_object(c), F.get_json_object(c, "$.quote")).alias("quote")))
 
 
 def meeting_key(date: Column | str) -> Column:

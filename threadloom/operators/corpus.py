@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.cleaning import COUNTERS, clean_body_udf
 from .components import components
-from .worktables import global_rank
+from .worktables import global_rank, materialise
 
 DAY_MICROS = 86_400_000_000
 # Fixed values of threading and page cleaning.
@@ -39,13 +40,73 @@ def repeated_paragraphs(paragraphs: DataFrame, doc: str, text: str) -> DataFrame
 
 
 def furniture(pages: DataFrame, document: str, page: str, text: str, share: float = FURNITURE_SHARE, chars: int = FURNITURE_CHARS, least: int = FURNITURE_PAGES) -> DataFrame:
-    """(document, line): short lines on more than `share` of a document's pages."""
+    """(document, line): short lines on more than `share` of a document's pages; without_furniture also drops bare page numbers."""
     own = lines(pages, text, document, page).select(document, page, X.collapsed("line").alias("line")).where((F.col("line") != "") & (F.length("line") < chars)).distinct()
     counts = own.groupBy(document, "line").agg(F.count(F.lit(1)).alias("n"))
     sizes = pages.groupBy(document).agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
     return counts.join(sizes, document).where(F.col("n") > F.col("pages") * share).select(document, "line", "n")
 
 
+def without_furniture(pages: DataFrame, document: str, page: str, text: str, **limits) -> DataFrame:
+    """(document, page, pos, line) of the lines that stay: neither repeated on most pages nor, from three pages on, a bare page number."""
+    found = furniture(pages, document, page, text, **limits).select(document, F.col("line").alias("key"))
+    enough = pages.groupBy(document).agg((F.count(F.lit(1)) >= limits.get("least", FURNITURE_PAGES)).alias("enough"))
+    own = lines(pages, text, document, page).withColumn("key", X.collapsed("line")).join(enough, document)
+    kept = own.where(~(F.col("enough") & F.col("line").rlike(r"^\s*\d{1,3}\s*$")))
+    return kept.join(found, [document, "key"], "left_anti").select(document, page, "pos", "line")
+
+
+def meetings_by_issue(links: DataFrame) -> DataFrame:
+    """issue, meetings: those that took it up (doc_id, title, date, heading, chunk_id), in the order of their dates."""
+    row = F.struct(X.meeting_key("date").alias("key"), F.col("place"), *[F.col(c) for c in ("doc_id", "title", "date", "heading", "chunk_id")])
+    found = links.groupBy("issue").agg(F.array_sort(F.collect_list(row)).alias("m"))
+    return found.select("issue", F.transform("m", lambda m: F.struct(*[m[c].alias(c) for c in ("doc_id", "title", "date", "heading", "chunk_id")])).alias("meetings"))
+
+
+def has_page_content(outcome: str = "outcome", background: str = "background", *lists: str) -> Column:
+    """Whether a page has anything to show: a text, or a list that isn't empty."""
+    out = (F.coalesce(F.col(outcome), F.lit("")) != "") | (F.coalesce(F.col(background), F.lit("")) != "")
+    for c in lists:
+        out = out | (F.coalesce(F.size(F.col(c)), F.lit(0)) > 0)
+    return out
+
+
+def threads_in_years(members: DataFrame, first: int, last: int, least: int) -> DataFrame:
+    """thread, n, first_year, last_year of threads (thread, id, date) with a message in the years and at least `least` messages."""
+    year = X.year_of("date")
+    sizes = members.groupBy("thread").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(year > 0, year)).alias("first_year"), F.max(year).alias("last_year"), F.bool_or(year.between(first, last)).alias("there"))
+    return sizes.where(F.col("there") & (F.col("n") >= least)).drop("there")
+
+
+def audit_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """n rows for an audit, the same ones whenever it is asked: those with the least seeded hash of their key."""
+    return df.withColumn("__h", F.xxhash64(F.lit(seed), F.col(key))).orderBy("__h", key).limit(n).drop("__h")
+
+
+def clean_messages(raw: DataFrame, marker: str, known: Column, pattern: str = X.IDENTIFIER) -> DataFrame:
+    """Cleaned messages, one for each Message-ID (the first by place; one without an id is a message of its own).
+
+    raw: place (0, 1, ...), message_id, date, from_name, from_email, subject, in_reply_to, references, body. Adds id (hash of the
+    Message-ID), subject_norm, body without boilerplate and quotations, body_raw, spans, stripped (counts by rule), is_duplicate,
+    and entities: current ones of body and subject; former ones of body, quotations and subject.
+    """
+    own = raw.withColumn("message_id", F.coalesce(F.nullif(F.trim("message_id"), F.lit("")), F.concat(F.lit("__no_id_"), F.col("place").cast("string"))))
+    own = own.join(own.groupBy("message_id").agg(F.min("place").alias("first_place")), "message_id")
+    cleaned = own.withColumn("c", clean_body_udf(marker)("body")).withColumn("subject", F.coalesce("subject", F.lit("")))
+    ids = lambda c: X.known_and_former(X.identifiers(c, pattern), known)
+    found = cleaned.withColumn("b", ids("c.body")).withColumn("s", ids("subject")).withColumn("q", ids("c.quoted"))
+    both = lambda *parts: F.array_sort(F.array_distinct(F.concat(*parts)))
+    spans = F.filter(F.array(X.collapsed("c.quoted")), lambda x: x != "")
+    return found.select(X.hash_id("message_id").alias("id"), "message_id", "date", "from_name", "from_email", "subject", X.subject_key("subject").alias("subject_norm"), "in_reply_to", "references", F.col("c.body").alias("body"), F.col("body").alias("body_raw"), spans.alias("spans"), F.col("c.quote_spans").alias("quote_spans"), F.col("c.stripped").alias("stripped"), both("b.current", "s.current").alias("entities"), both("b.historical", "q.historical", "s.historical").alias("entities_historical"), (F.col("place") != F.col("first_place")).alias("is_duplicate"))
+
+
+def clean_stats(cleaned: DataFrame) -> DataFrame:
+    """messages, duplicates, raw_chars, clean_chars, reduction (percent), and how often each rule applied, over what clean_messages gives."""
+    kept, counts = ~F.col("is_duplicate"), [F.coalesce(F.sum(F.when(~F.col("is_duplicate"), F.col("stripped")[k])), F.lit(0)).alias(k) for k in COUNTERS]
+    raw, clean = F.coalesce(F.sum(F.when(kept, F.length("body_raw"))), F.lit(0)), F.coalesce(F.sum(F.when(kept, F.length("body"))), F.lit(0))
+    return cleaned.agg(F.count(F.lit(1)).alias("messages"), F.count_if("is_duplicate").alias("duplicates"), raw.alias("raw_chars"), clean.alias("clean_chars"), F.round(100.0 * (raw - clean) / F.nullif(raw, F.lit(0)), 3).alias("reduction"), *counts)
+
+
 def whole_days(later: Column, earlier: Column) -> Column:
     """Elapsed days, floored (not midnights crossed)."""
     return F.floor((F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / DAY_MICROS)
@@ -66,22 +127,45 @@ def reference_links(messages: DataFrame) -> DataFrame:
 
 
 def overlap_links(messages: DataFrame, days: int = GAP_DAYS, chars: int = PROBE_CHARS, shingle: int = 5) -> DataFrame:
-    """(id, other): the earliest message, at most `days` before, whose body holds the first `chars` of what a message quotes.
+    """(id, other): for each quoted span of at least `chars` characters, the earliest message, at most `days` before, whose body
+    holds the span's first `chars`. Spans and bodies are compared lower-cased and with white space collapsed.
 
-    messages: id, ts, quoted (lower-cased, null where a header already links the message), body. Candidates share
-    the probe's first whole words, an equi-join; containment is verified on them only.
+    messages: id, ts, spans (array of quoted texts; null or empty where a header links the message already), body. Candidates
+    share a run of the probe's inner words, an equi-join; a probe of few, long words shares the begin of its longest
+    word with a word of the body instead. Containment is verified on candidates only.
     """
-    words = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    long_word = -(-(chars - shingle - 1) // (shingle + 2))  # a probe of at most shingle + 1 words has one as long
     gram = lambda w, i: F.xxhash64(*[F.get(w, i + k) for k in range(shingle)])
-    probes = messages.where(F.col("quoted").isNotNull()).select("id", "ts", F.substring("quoted", 1, chars).alias("probe"))
-    # the first and last word of a probe may be cut
-    whole = probes.withColumn("w", words("probe")).where(F.size("w") >= shingle + 1)
-    keyed = whole.select("id", "ts", "probe", gram(F.col("w"), F.lit(1)).alias("gram"))
-    bodies = messages.select(F.col("id").alias("other"), F.col("ts").alias("other_ts"), F.lower("body").alias("body")).withColumn("w", words("body"))
-    every = F.transform(F.sequence(F.lit(0), F.size("w") - shingle), lambda i: gram(F.col("w"), i))
-    placed = bodies.where(F.size("w") >= shingle).select("other", "other_ts", "body", F.explode(F.array_distinct(every)).alias("gram"))
-    met = keyed.join(placed, "gram").where((F.col("other_ts") < F.col("ts")) & (whole_days(F.col("ts"), F.col("other_ts")) <= days) & F.contains("body", F.col("probe")))
-    return met.groupBy("id").agg(F.min(F.struct("other_ts", "other")).alias("first")).select("id", F.col("first.other").alias("other"))
+    spans = messages.select("id", "ts", F.explode("spans").alias("span")).withColumn("span", F.lower(X.collapsed("span"))).where(F.length("span") >= chars)
+    probes = spans.select("id", "ts", F.substring("span", 1, chars).alias("probe")).distinct().withColumn("w", F.split("probe", " "))
+    longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    key = F.when(F.size("w") >= shingle + 2, gram(F.col("w"), F.lit(1))).otherwise(F.xxhash64(F.lit("long"), F.substring(longest, 1, long_word)))
+    bodies = materialise(messages.select(F.col("id").alias("other"), F.col("ts").alias("other_ts"), F.lower(X.collapsed(F.coalesce("body", F.lit("")))).alias("body")), "bodies")
+    w = F.split("body", " ")
+    grams = F.when(F.size(w) >= shingle, F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: gram(w, i)))
+    parts = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - long_word + 1), lambda k: F.xxhash64(F.lit("long"), F.substring(x, k, F.lit(long_word))))
+    pieces = F.flatten(F.transform(F.filter(w, lambda x: F.length(x) >= long_word), parts))
+    placed = bodies.select("other", "other_ts", F.explode(F.array_distinct(F.concat(F.coalesce(grams, F.array().cast("array<bigint>")), pieces))).alias("key"))
+    near = (F.col("other_ts") < F.col("ts")) & (whole_days(F.col("ts"), F.col("other_ts")) <= days)
+    met = probes.select("id", "ts", "probe", key.alias("key")).join(placed, "key").where(near).select("id", "probe", "other", "other_ts").distinct()
+    held = met.join(bodies.select("other", "body"), "other").where(F.contains("body", F.col("probe")))
+    return held.groupBy("id", "probe").agg(F.min(F.struct("other_ts", "other")).alias("first")).select("id", F.col("first.other").alias("other")).distinct()
+
+
+def build_threads(messages: DataFrame, days: int = GAP_DAYS) -> DataFrame:
+    """thread (t0000 by earliest message), id, index (from 1): components over references, quoted passages and equal subjects
+    that follow within `days`.
+
+    messages: id, message_id, ts, in_reply_to, references, subject, spans, body. An undated message stands before all dated
+    ones; quoted passages only link messages without in_reply_to.
+    """
+    dated = messages.withColumn("ts", F.coalesce(F.col("ts").cast("timestamp"), F.to_timestamp(F.lit("0001-01-01")))).withColumn("subject", X.subject_key("subject"))
+    quoting = dated.select("id", "ts", "body", F.when(F.col("in_reply_to").isNull(), F.col("spans")).alias("spans"))
+    edges = reference_links(messages).unionByName(overlap_links(quoting, days))
+    edges = edges.unionByName(previous_within(dated.where("subject <> ''"), ["subject"], "ts", "id", days).withColumnRenamed("previous", "other"))
+    members = threads(dated.select("id"), edges).join(dated.select("id", "ts"), "id")
+    numbered = numbered_threads(members)
+    return numbered.select(F.concat(F.lit("t"), F.when(F.col("thread_no") < 10_000, F.lpad(F.col("thread_no").cast("string"), 4, "0")).otherwise(F.col("thread_no").cast("string"))).alias("thread"), "id", "index")
 
 
 def threads(nodes: DataFrame, edges: DataFrame) -> DataFrame:

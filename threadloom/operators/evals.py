@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 REVIEW_TERMS = 3  # fixed value: shared terms from which a case counts as known
 
 
@@ -37,6 +39,76 @@ def rank_control(rankings: DataFrame, a: str, b: str) -> DataFrame:
     return own.agg(first.alias("a_first"), second.alias("b_first"), F.count_if(F.abs(at(a) - at(b)) == 1).alias("adjacent"), F.round(F.abs(first - second) / F.count(F.lit(1)), 6).alias("skew"))
 
 
+def first_places(rankings: DataFrame) -> DataFrame:
+    """label, wins: how often each label stands first in a ranking."""
+    return rankings.where(F.size("ranking") > 0).groupBy(F.get("ranking", 0).alias("label")).agg(F.count(F.lit(1)).alias("wins"))
+
+
+def breadth_by_verdict(answers: DataFrame, breadths: list[str]) -> DataFrame:
+    """verdict, and how many answers of each breadth it was given to. answers: verdict, breadth."""
+    return answers.groupBy("verdict").pivot("breadth", breadths).count().na.fill(0)
+
+
+def decoded(rankings: DataFrame, key: DataFrame) -> DataFrame:
+    """case, place (from 1), run of rankings (case, ranking of slots) whose slots a key (case, slot, run) stands behind; unknown slots are left out."""
+    slots = rankings.select("case", F.posexplode("ranking").alias("pos", "slot"))
+    return slots.join(key, ["case", "slot"]).select("case", (F.col("pos") + 1).alias("place"), "run")
+
+
+def class_counts(runs: DataFrame) -> DataFrame:
+    """run, cases, mean, median, most, total of the classes that each run (run, case, class_id) proposed; the median is exact."""
+    n = runs.groupBy("run", "case").agg(F.count_distinct("class_id").alias("n"))
+    return n.groupBy("run").agg(F.count(F.lit(1)).alias("cases"), F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"), F.sum("n").alias("total"))
+
+
+def class_history(runs: DataFrame, order: DataFrame) -> DataFrame:
+    """case, run, n, before, change (percent) over the runs in order (run, ord): how each case's number of classes went on."""
+    n = runs.groupBy("run", "case").agg(F.count_distinct("class_id").alias("n")).join(order, "run")
+    w = Window.partitionBy("case").orderBy("ord")
+    seen = n.withColumn("before", F.lag("n").over(w))
+    return seen.select("case", "run", "n", "before", F.round(100.0 * (F.col("n") - F.col("before")) / F.col("before"), 3).alias("change"))
+
+
+def retrieved(expected: DataFrame, cited: DataFrame) -> DataFrame:
+    """question_id, retrieved: whether any expected source is among the cited ones (arrays gold and cited)."""
+    return expected.join(cited, "question_id", "left").select("question_id", F.coalesce(F.arrays_overlap("gold", "cited"), F.lit(False)).alias("retrieved"))
+
+
+def merged_questions(rows: DataFrame, required: list[str]) -> DataFrame:
+    """question_id (slice-q1, ...) beside the columns of rows (slice, pos, ...): only rows that have all required fields count."""
+    whole = rows
+    for c in required:
+        whole = whole.where(F.coalesce(F.col(c).cast("string"), F.lit("")) != "")
+    n = F.row_number().over(Window.partitionBy("slice").orderBy("pos"))
+    return whole.withColumn("question_id", F.concat("slice", F.lit("-q"), n.cast("string")))
+
+
+def cited_quotes(citations: DataFrame, sources: DataFrame) -> DataFrame:
+    """case_id, cited, unresolvable, quoted, contained of citations (case_id, id, quote) against sources (id, text): a quote counts as contained where its source holds it in match form."""
+    met = citations.join(sources.select("id", F.lower(X.match_form("text")).alias("t")), "id", "left")
+    has = F.coalesce(F.col("quote"), F.lit("")) != ""
+    held = has & F.coalesce(F.contains("t", F.lower(X.match_form("quote"))), F.lit(False))
+    return met.groupBy("case_id").agg(F.count(F.lit(1)).alias("cited"), F.count_if(F.col("t").isNull()).alias("unresolvable"), F.count_if(has).alias("quoted"), F.count_if(held).alias("contained"))
+
+
+def corpus_units(documents: DataFrame, messages: DataFrame) -> DataFrame:
+    """unit (spec:id or mail:id), ord, text in small letters: what a case's terms are looked for in, documents first."""
+    named = documents.select(F.concat(F.lit("spec:"), "chunk_id").alias("unit"), F.lit(0).alias("kind"), F.col("chunk_id").cast("string").alias("key"), F.lower("text").alias("text"))
+    mail = messages.select(F.concat(F.lit("mail:"), F.col("id").cast("string")).alias("unit"), F.lit(1).alias("kind"), F.col("id").cast("string").alias("key"), F.lower("body").alias("text"))
+    return named.unionByName(mail).select("unit", F.struct("kind", "key").alias("ord"), "text")
+
+
+def phrase_novelty(terms: DataFrame, units: DataFrame, least: int = REVIEW_TERMS) -> DataFrame:
+    """The same as novelty for terms of any number of words, which must stand in a row. units: unit, ord, text."""
+    own = terms.select("case", "term", X.tokens("term").alias("w")).where(F.size("w") > 0).distinct()
+    placed = units.select("unit", "ord", F.posexplode(X.tokens("text")).alias("pos", "word"))
+    parts = own.select("case", "term", F.size("w").alias("size"), F.posexplode("w").alias("at", "word"))
+    runs = parts.join(placed, "word").groupBy("case", "term", "size", "unit", "ord", (F.col("pos") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("k")).where("k = size")
+    shared = runs.select("case", "term", "unit", "ord").distinct().groupBy("case", "unit", "ord").agg(F.count(F.lit(1)).alias("shared"))
+    best = shared.groupBy("case").agg(F.min(F.struct((-F.col("shared")).alias("m"), "ord", "unit")).alias("b"))
+    return best.select("case", "b.unit", (-F.col("b.m")).alias("shared")).withColumn("verdict", F.when(F.col("shared") >= least, "REVIEW").otherwise("novel"))
+
+
 def novelty(terms: DataFrame, units: DataFrame, least: int = REVIEW_TERMS) -> DataFrame:
     """case, unit, shared, verdict: the first unit that holds the most of a case's terms. terms: case, term; units: unit, ord, words."""
     words = units.select("unit", "ord", F.explode(F.array_distinct("words")).alias("term"))

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MOST_LEVELS = 64
-UNREACHABLE = 10**6
+from .worktables import materialise
+
+MOST_DOUBLINGS = 40
 REQUIRED = "necessary"  # fixed value: the word that makes a quantification binding
 
 
@@ -24,26 +25,69 @@ class Model:
     qualifiers: DataFrame
 
 
-def walks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, ancestor, hops of every walk up from every node, itself included; a walk never enters a node twice."""
-    text = f"""
-        WITH RECURSIVE up(id, ancestor, hops, path) MAX RECURSION LEVEL {MOST_LEVELS + 2} AS (
-            SELECT id, id, 0, array(id) FROM {{nodes}}
-            UNION ALL
-            SELECT up.id, e.parent, up.hops + 1, array_append(up.path, e.parent) FROM up JOIN {{edges}} e ON e.child = up.ancestor
-            WHERE up.hops < {MOST_LEVELS} AND NOT array_contains(up.path, e.parent))
-        SELECT id, ancestor, hops FROM up"""
-    return nodes.sparkSession.sql(text, nodes=nodes.select("id").distinct(), edges=edges.select("child", "parent").distinct())
+def _steps(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("child").alias("id"), F.col("parent").alias("ancestor")).where("id IS NOT NULL AND ancestor IS NOT NULL AND id <> ancestor").distinct()
+
+
+def reach(edges: DataFrame) -> DataFrame:
+    """id, ancestor, distance (fewest hops, from 1) of all that lies above, by doubling.
+
+    A pair that is between n and 2n hops apart goes through a node at exactly n hops, so each round joins only the pairs
+    found last at that distance with all pairs known: the rounds grow with the logarithm of the longest distance, and every
+    pair is kept once, in diamonds and cycles too.
+    """
+    known, hops = materialise(_steps(edges).select("id", "ancestor", F.lit(1).cast("long").alias("distance")), "reach"), 1
+    for _ in range(MOST_DOUBLINGS):
+        border = known.where(F.col("distance") == hops).select("id", F.col("ancestor").alias("middle"))
+        if border.isEmpty():
+            return known
+        onward = known.select(F.col("id").alias("middle"), "ancestor", F.col("distance").alias("more"))
+        found = border.join(onward, "middle").where("id <> ancestor").groupBy("id", "ancestor").agg((F.min("more") + hops).alias("distance"))
+        known = materialise(known.unionByName(found.join(known.select("id", "ancestor"), ["id", "ancestor"], "left_anti")), "reach")
+        hops *= 2
+    raise RuntimeError(f"a hierarchy of more than 2^{MOST_DOUBLINGS} levels")
 
 
 def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, ancestor, distance (fewest hops); diamonds count once."""
-    return walks(nodes, edges).groupBy("id", "ancestor").agg(F.min("hops").alias("distance"))
+    """id, ancestor, distance (fewest hops) of every node, itself included; diamonds count once."""
+    own = nodes.select("id").distinct()
+    return own.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("distance")).unionByName(reach(edges).join(own, "id", "left_semi"))
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, depth: the longest walk up."""
-    return walks(nodes, edges).groupBy("id").agg(F.max("hops").alias("depth"))
+    """id, depth: the longest walk up; a walk never enters a node twice.
+
+    Longest walks are doubled like shortest ones. That needs a hierarchy without cycles; what can reach a cycle is walked
+    path by path instead, which a sound model has none of.
+    """
+    own, above = nodes.select("id").distinct(), reach(edges)
+    back = above.select(F.col("ancestor").alias("id"), F.col("id").alias("ancestor"))
+    cyclic = above.join(back, ["id", "ancestor"], "left_semi").select("id").distinct()
+    caught = materialise(cyclic.unionByName(above.join(cyclic.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select("id")).distinct(), "cycles")
+    walked, before = materialise(_steps(edges).join(caught, "id", "left_anti").select("id", "ancestor", F.lit(1).cast("long").alias("hops")), "walks"), None
+    for _ in range(MOST_DOUBLINGS):
+        state = walked.agg(F.count(F.lit(1)), F.sum("hops")).first()
+        if state == before:
+            break
+        before = state
+        onward = walked.select(F.col("id").alias("middle"), "ancestor", F.col("hops").alias("more"))
+        longer = walked.withColumnRenamed("ancestor", "middle").join(onward, "middle").select("id", "ancestor", (F.col("hops") + F.col("more")).alias("hops"))
+        walked = materialise(walked.unionByName(longer).groupBy("id", "ancestor").agg(F.max("hops").alias("hops")), "walks")
+    deep = walked.groupBy("id").agg(F.max("hops").alias("depth"))
+    if not caught.isEmpty():
+        deep = deep.unionByName(_simple_walks(caught, edges))
+    return own.join(deep, "id", "left").select("id", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
+
+
+def _simple_walks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, depth by every walk that enters no node twice; too many walks are an error of Spark's recursion limits."""
+    text = """
+        WITH RECURSIVE up(id, ancestor, hops, path) AS (
+            SELECT id, id, 0L, array(id) FROM {nodes}
+            UNION ALL
+            SELECT up.id, e.ancestor, up.hops + 1, array_append(up.path, e.ancestor) FROM up JOIN {steps} e ON e.id = up.ancestor WHERE NOT array_contains(up.path, e.ancestor))
+        SELECT id, max(hops) AS depth FROM up GROUP BY id"""
+    return nodes.sparkSession.sql(text, nodes=nodes, steps=_steps(edges))
 
 
 def resolved(ids: DataFrame, known: DataFrame, column: str = "id") -> DataFrame:
@@ -102,10 +146,18 @@ def skeleton(m: Model) -> DataFrame:
     return out.select("id", "label", F.coalesce("parents", none).alias("parents"), F.coalesce("children", none).alias("children"))
 
 
-def siblings(edges: DataFrame) -> DataFrame:
-    """id, sibling, parent: other children of a common parent."""
-    a, b = edges.select(F.col("child").alias("id"), "parent"), edges.select(F.col("child").alias("sibling"), "parent")
-    return a.join(b, "parent").where("id <> sibling").select("id", "sibling", "parent").distinct()
+def siblings(edges: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, sibling, parent for the ids that are asked: other children of a common parent."""
+    own = edges.select("child", "parent").distinct()
+    a, b = own.withColumnRenamed("child", "id").join(asked.select("id").distinct(), "id", "left_semi"), own.withColumnRenamed("child", "sibling")
+    return a.join(b, "parent").where("id <> sibling").select("id", "sibling", "parent")
+
+
+def sibling_groups(edges: DataFrame) -> DataFrame:
+    """id, parent, siblings (how many) for every child: membership in its parent's group, never all pairs of a large one."""
+    own = edges.select("child", "parent").distinct()
+    sizes = own.groupBy("parent").agg((F.count(F.lit(1)) - 1).alias("siblings"))
+    return own.withColumnRenamed("child", "id").join(sizes, "parent").select("id", "parent", "siblings")
 
 
 def listing(m: Model, historical: DataFrame) -> DataFrame:
@@ -131,6 +183,7 @@ def family_owner(members: DataFrame, overrides: DataFrame) -> DataFrame:
 def family_of(ids: DataFrame, owners: DataFrame, most: int = 99) -> DataFrame:
     """id, prefix, model: the longest prefix whose rest is a number decides; numbers over `most` belong to none."""
     rest = F.expr("substr(id, length(prefix) + 1)")
-    met = ids.join(F.broadcast(owners), F.startswith("id", F.col("prefix"))).where(rest.rlike(r"^\d+$"))
+    parts = ids.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("id"), F.lit(1))), lambda n: F.left("id", n))).alias("prefix"))
+    met = parts.join(owners, "prefix").where(rest.rlike(r"^\d+$"))
     longest = met.groupBy("id").agg(F.max_by(F.struct("prefix", "model", rest.alias("rest")), F.length("prefix")).alias("b"))
     return longest.where(F.col("b.rest").try_cast("int") <= most).select("id", "b.prefix", "b.model")

@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Sequence
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
+
 LEXICON_ROWS = 200_000  # of id and label that query expansion takes to the workers
 
 
@@ -24,38 +27,36 @@ def labels_by_id(names: DataFrame) -> DataFrame:
     return names.groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
 
 
-def expand(text: str, labels: dict[str, list[str]], ids: dict[str, list[str]]) -> list[str]:
-    """What a query lacks: labels of the ids that it names, then ids of the labels that it holds."""
-    lowered, out = text.lower(), []
-
-    def add(term: str) -> None:
-        if term not in out and not re.search(rf"\b{re.escape(term.lower())}\b", lowered):
-            out.append(term)
-
-    for token in re.findall(r"\w+(?:\.\d+)?", text):
-        for label in labels.get(token.upper(), ()):
-            add(label)
-    taken = [False] * len(lowered)
-    for label in sorted(ids, key=lambda x: (-len(x), x)):
-        for m in re.finditer(rf"\b{re.escape(label)}\b", lowered):
-            if not any(taken[m.start() : m.end()]):
-                taken[m.start() : m.end()] = [True] * (m.end() - m.start())
-                for own in ids[label]:
-                    add(own)
-    return out
-
-
-def expanded(queries: DataFrame, names: DataFrame, stops: Sequence[str]) -> DataFrame:
+def expand(text: str, labels: dict[str, list[str]], ids: dict[str, list[str]], pattern: str = X.IDENTIFIER) -> list[str]:
+    """What a query lacks: labels of the ids that it names (`P14.1` and `P25i` name their base), then ids of the labels that it
+    holds. A longer label claims its place, so that a shorter one inside it isn't taken; what the query holds anywhere, in any
+    case, is never added.
+    """
+    lowered = text.lower()
+    named = chain.from_iterable(labels.get(m[1], ()) for m in re.finditer(pattern, text))
+    places = [(m.start(), m.end(), label) for label in ids if (m := re.search(rf"\b{re.escape(label)}\b", lowered))]
+    claimed: list[tuple[int, int, str]] = []
+    for start, end, label in sorted(places, key=lambda p: (-len(p[2]), p[2])):
+        if all(end <= a or z <= start for a, z, _ in claimed):
+            claimed.append((start, end, label))
+    out: dict[str, str] = {}
+    for term in chain(named, chain.from_iterable(ids[label] for _, _, label in claimed)):
+        if term.lower() not in lowered:
+            out.setdefault(term.lower(), term)
+    return list(out.values())
+
+
+def expanded(queries: DataFrame, names: DataFrame, stops: Sequence[str], pattern: str = X.IDENTIFIER) -> DataFrame:
     """query, text, terms for a batch of queries and a lexicon (id, label) of bounded size."""
     if names.limit(LEXICON_ROWS + 1).count() > LEXICON_ROWS:
         raise ValueError(f"a lexicon of more than {LEXICON_ROWS} rows")
     labels: dict[str, list[str]] = defaultdict(list)
     for r in names.select("id", "label").distinct().orderBy("id", "label").collect():
-        labels[r["id"].upper()].append(r["label"])
+        labels[r["id"]].append(r["label"])
     ids = {r["label"]: r["ids"] for r in ids_by_label(names, stops).collect()}
 
     @F.udf(T.ArrayType(T.StringType()), useArrow=True)
     def terms(text: Column):
-        return expand(text or "", labels, ids)
+        return expand(text or "", labels, ids, pattern)
 
     return queries.select("query", "text", F.array_join(terms("text"), ",").alias("terms"))

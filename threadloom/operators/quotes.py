@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +20,9 @@ from .worktables import materialise
 ELISION = r"\s*(?:\.\.\.|…|\[[^\]]*\])\s*"
 FRAGMENT_WORDS, PAD, PARTIAL_CHARS = 4, 60, 25
 GRAM = 5
+MOST_SHORT = 10_000  # short phrases that are looked for in every text
+SPAN_ELISION = r"\s*(?:\.\.\.|\[[^\]]*\])\s*"
+_PLAIN_MARKS = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "—": "-", "–": "-", "…": "...", "\u00a0": " "})
 TERM_LETTERS, RUN = 7, 4  # what a text and a phrase must share to be compared
 
 
@@ -50,8 +56,8 @@ def context(text: Column, start: Column, end: Column, pad: int = PAD) -> Column:
 def contained(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     """phrase_id, text_id, start, context for phrases (phrase_id, phrase) that texts (text_id, text) hold whole, in match form and any case.
 
-    Phrases of seven words or more meet texts by a gram of inner words, an equi-join; shorter ones (rare, and
-    bounded with the phrase set) are checked against every text in one broadcast.
+    Phrases of seven words or more meet texts by a gram of inner words, an equi-join of the texts' grams that are asked for; shorter
+    ones, MOST_SHORT at most, are checked against every text in one broadcast.
     """
     words = lambda c: F.split(c, " ")
     p = phrases.select("phrase_id", F.lower(X.match_form("phrase")).alias("p")).where("p <> ''")
@@ -60,9 +66,12 @@ def contained(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     long = p.where(F.size(words("p")) >= GRAM + 2).withColumn("gram", F.xxhash64(*[F.get(words("p"), k) for k in range(1, GRAM + 1)]))
     own = t.select("text_id", words(F.lower("t")).alias("w")).where(F.size("w") >= GRAM)
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - GRAM), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(GRAM)]))
-    keys = own.select("text_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    keys = own.select("text_id", F.explode(F.array_distinct(grams)).alias("gram")).join(long.select("gram").distinct(), "gram", "left_semi")
     met = long.join(keys, "gram").select("phrase_id", "p", "text_id").distinct().join(t, "text_id")
-    short = p.where(F.size(words("p")) < GRAM + 2).join(t).select("text_id", "phrase_id", "p", "t")
+    few = p.where(F.size(words("p")) < GRAM + 2)
+    if few.limit(MOST_SHORT + 1).count() > MOST_SHORT:
+        raise ValueError(f"more than {MOST_SHORT} phrases of fewer than {GRAM + 2} words; ask in batches")
+    short = t.join(F.broadcast(few), F.contains(F.lower("t"), F.col("p"))).select("text_id", "phrase_id", "p", "t")
     found = met.unionByName(short).withColumn("start", _locate(F.col("p"), F.lower("t"), F.lit(1))).where("start > 0")
     return found.select("phrase_id", "text_id", "start", context(F.col("t"), F.col("start"), F.col("start") + F.length("p")).alias("context"))
 
@@ -92,10 +101,131 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     met = d.select("doc_id", features(F.col("w")).alias("f")).join(F.broadcast(i.select("item_id", features(F.col("w")).alias("f"))), "f").select("doc_id", "item_id")
     padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     short = i.where((F.size("w") > 0) & (F.size("w") < RUN)).select("item_id", padded(F.col("w")).alias("p"))
+    if short.limit(MOST_SHORT + 1).count() > MOST_SHORT:
+        raise ValueError(f"more than {MOST_SHORT} short phrases; ask in batches")
     whole = d.select("doc_id", padded(F.col("w")).alias("t")).join(F.broadcast(short), F.contains("t", "p")).select("doc_id", "item_id")
     return met.unionByName(whole).distinct()
 
 
+def verdicts(spans: DataFrame, units: DataFrame, least: int = PARTIAL_CHARS) -> DataFrame:
+    """span_id, status, how, prefix_chars: matched (literal, or elided where every part of four words or more stands somewhere),
+    else partial with the longest begin of the first missing part that stands somewhere, or absent if that is under `least` characters.
+
+    spans: span_id, span; units: unit_id, text. The form of both folds compatible characters, marks, spaces and case.
+    """
+    units = materialise(units.select("unit_id", norm_udf("text").alias("text")), "units")
+    asked = materialise(spans.select("span_id", norm_udf("span").alias("span")), "spans")
+    parts = asked.select("span_id", F.posexplode(F.filter(F.split("span", SPAN_ELISION), lambda f: F.size(F.split(F.trim(f), " ")) >= FRAGMENT_WORDS)).alias("pos", "part"))
+    needles = asked.select(F.col("span").alias("part")).unionByName(parts.select("part")).distinct()
+    there = _begins(needles, units)
+    whole = asked.join(there.withColumnRenamed("part", "span"), "span").select("span_id", "span", (F.col("prefix") == F.length("span")).alias("literal"), F.col("prefix").alias("own_prefix"))
+    met = parts.join(there, "part").withColumn("held", F.col("prefix") == F.length("part"))
+    fragments = met.groupBy("span_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and("held").alias("all_held"), F.min_by("prefix", F.when(~F.col("held"), F.col("pos"))).alias("missing"))
+    joined = whole.join(fragments, "span_id", "left")
+    elided = (F.coalesce("n", F.lit(0)) > 1) & F.coalesce("all_held", F.lit(False))
+    prefix = F.coalesce("missing", "own_prefix")
+    status = F.when(F.col("literal") | elided, "matched").when(prefix < least, "absent").otherwise("partial")
+    how = F.when(F.col("literal"), "literal").when(elided, "elided")
+    return joined.select("span_id", status.alias("status"), how.alias("how"), F.when(~(F.col("literal") | elided), prefix).alias("prefix_chars"))
+
+
+def _begins(needles: DataFrame, units: DataFrame, gram: int = 12) -> DataFrame:
+    """part, prefix: how many of a needle's first characters stand together in some unit.
+
+    A begin of `gram` characters or more is looked for only in units that hold these characters, an equi-join on all places of
+    a unit; shorter begins than that count as none (they are far below what makes a partial match).
+    """
+    key = lambda c, k: F.xxhash64(F.substring(c, k, F.lit(gram)))
+    asked = needles.where(F.length("part") >= gram).select("part", key(F.col("part"), F.lit(1)).alias("key"))
+    wanted = asked.select("key").distinct()
+    placed = units.where(F.length("text") >= gram).select("unit_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - gram + 1), lambda k: key(F.col("text"), k)))).alias("key")).join(wanted, "key", "left_semi")
+    met = asked.join(placed, "key").select("part", "unit_id").distinct().join(units, "unit_id")
+    found = met.groupBy("part").agg(F.max(_prefix_udf("text", "part")).alias("prefix"))
+    short = needles.where(F.length("part") < gram)
+    whole = needles.join(found, "part", "left").select("part", F.coalesce("prefix", F.lit(0)).alias("prefix"))
+    if short.isEmpty():
+        return whole
+    # spans of fewer characters (no evidence either way) are looked for whole, in a checked number
+    if short.limit(MOST_SHORT + 1).count() > MOST_SHORT:
+        raise ValueError(f"more than {MOST_SHORT} spans of fewer than {gram} characters")
+    held = units.join(F.broadcast(short), F.contains("text", F.col("part"))).select("part", F.length("part").alias("all")).distinct()
+    return whole.join(held, "part", "left").select("part", F.coalesce("all", "prefix").alias("prefix"))
+
+
+def longest_prefix(needle: str, text: str) -> int:
+    """Length of the longest begin of the needle that the text holds, by halving."""
+    return bisect.bisect_left(range(1, len(needle) + 1), True, key=lambda n: needle[:n] not in text)
+
+
+def norm(text: str) -> str:
+    """Form in which spans are compared: compatible characters, plain marks and dashes, single spaces, none before punctuation, small letters."""
+    plain = unicodedata.normalize("NFKD", text or "").translate(_PLAIN_MARKS)
+    return re.sub(r"\s+([.,;:?!])", r"\1", re.sub(r"\s+", " ", plain)).lower()
+
+
+@F.pandas_udf(T.StringType())
+def norm_udf(texts: pd.Series) -> pd.Series:
+    return texts.map(norm, na_action=None)
+
+
+@F.pandas_udf(T.IntegerType())
+def _prefix_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, needles in batches:
+        yield pd.Series([longest_prefix(n, t) for t, n in zip(texts, needles, strict=True)], dtype="int32")
+
+
+def json_strings(document: str) -> list[str]:
+    """Every string value of a JSON document, however deep, in order."""
+    out, todo = [], [json.loads(document)]
+    while todo:
+        value = todo.pop()
+        if isinstance(value, str):
+            out.append(value)
+        elif isinstance(value, (list, dict)):
+            todo += reversed(list(value.values()) if isinstance(value, dict) else value)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_strings_udf(documents: pd.Series) -> pd.Series:
+    return documents.map(lambda d: json_strings(d) if d else [])
+
+
+def find_quotes(asked: DataFrame, members: DataFrame, episodes: DataFrame, messages: DataFrame, documents: DataFrame) -> DataFrame:
+    """source_id, phrase, source_kind, found, text_id, index, start, context, score: whether each source holds the phrase, and where.
+
+    A source is a thread, an episode, a document chunk or a message (by id or Message-ID), in this order; an unknown one has kind
+    null. The first message of a source that holds the phrase counts; if none does, the closest of all its texts is told with its
+    score. An index counts in the whole thread. asked: source_id, phrase; members: thread, id, index; episodes: episode_id, thread,
+    ids; messages: id, message_id, body; documents: chunk_id, text.
+    """
+    if not asked.where(F.trim(F.coalesce("phrase", F.lit(""))) == "").isEmpty():
+        raise ValueError("a phrase must not be empty")
+    own = asked.select("source_id", "phrase", F.trim("source_id").alias("key")).distinct()
+    text_of = messages.select("id", F.coalesce("body", F.lit("")).alias("text"))
+    in_episode = episodes.select("episode_id", "thread", F.posexplode("ids").alias("place", "id")).join(members, ["thread", "id"], "left")
+    row = lambda prio, kind, key, text_id, place, index: [F.lit(prio).alias("prio"), F.lit(kind).alias("source_kind"), F.col(key).alias("key"), F.col(text_id).alias("text_id"), place.alias("place"), index.alias("index")]
+    none = F.lit(None).cast("int")
+    sources = members.select(*row(0, "thread", "thread", "id", F.col("index").cast("int"), F.col("index").cast("int")))
+    sources = sources.unionByName(in_episode.select(*row(1, "episode", "episode_id", "id", F.col("place").cast("int"), F.col("index").cast("int"))))
+    sources = sources.unionByName(documents.select(*row(2, "document", "chunk_id", "chunk_id", F.lit(1), none)))
+    sources = sources.unionByName(messages.select(*row(3, "message", "id", "id", F.lit(1), none))).unionByName(messages.select(*row(4, "message", "message_id", "id", F.lit(1), none)))
+    met = own.join(sources, "key")
+    first = met.groupBy("source_id", "phrase").agg(F.min("prio").alias("prio"))
+    kept = met.join(first, ["source_id", "phrase", "prio"])
+    texts = text_of.unionByName(documents.select(F.col("chunk_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))).withColumnRenamed("id", "text_id")
+    seen = kept.join(texts, "text_id").withColumn("t", X.match_form("text")).withColumn("p", F.lower(X.match_form("phrase")))
+    elided = elided_span(F.lower("t"), F.col("p"))
+    at = _locate(F.col("p"), F.lower("t"), F.lit(1))
+    seen = seen.withColumn("start", F.when(at > 0, at).otherwise(elided["start"])).withColumn("end", F.when(at > 0, at + F.length("p")).otherwise(elided["end"]))
+    judged = seen.withColumn("score", F.when(F.col("start").isNull(), closest_udf("text", "phrase"))).withColumn("context", F.when(F.col("start").isNotNull(), context(F.col("t"), F.col("start"), F.col("end"))))
+    order = F.struct(F.col("start").isNull().alias("miss"), F.when(F.col("start").isNull(), -F.col("score")).alias("far"), "place", "text_id", "index", "start", "context", "score", "source_kind")
+    best = judged.groupBy("source_id", "phrase").agg(F.min(order).alias("b"))
+    out = own.join(best, ["source_id", "phrase"], "left")
+    kinds = first.join(met.select("source_id", "phrase", "prio", F.col("source_kind").alias("kind")).distinct(), ["source_id", "phrase", "prio"]).select("source_id", "phrase", "kind")
+    return out.join(kinds, ["source_id", "phrase"], "left").select("source_id", "phrase", F.col("kind").alias("source_kind"), F.coalesce(~F.col("b.miss"), F.lit(False)).alias("found"), "b.text_id", "b.index", "b.start", "b.context", "b.score")
+
+
 def first_hits(found: DataFrame, order: str) -> DataFrame:
     """The first text in order that holds each phrase."""
     w = Window.partitionBy("phrase_id").orderBy(order, "text_id")

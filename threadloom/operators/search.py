@@ -1,7 +1,8 @@
 """Lexical and dense retrieval, rank fusion, filters and diversity rules.
 
-An index is two tables: postings (field, term, id, positions) and lengths (id, length). A search takes a batch of
-queries, so thousands run in one plan. Every ranking carries an explicit tie-break.
+An index is a table of postings (field, term, id, positions, length) with statistics; stored, it is built once and searched
+many times, and a search reads the folders of its terms only. A search takes a batch of queries, so thousands run in one
+plan. Every ranking carries an explicit tie-break.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .worktables import global_rank, materialise
 
 # Fixed values of ranking.
 RRF_K = 60
@@ -25,24 +27,67 @@ MODES = ("hybrid", "bm25", "vector")
 
 @dataclass
 class LexicalIndex:
-    postings: DataFrame  # field, term, id, positions
-    lengths: DataFrame  # id, length
+    postings: DataFrame  # field, term, id, positions, length (of the whole row)
+    docs: int | None = None  # of a stored index: how many rows it has,
+    mean: float | None = None  # their mean length,
+    buckets: int = 0  # and the number of folders that terms are dealt to
+    lengths: DataFrame | None = None  # id, length of an index that isn't stored
 
 
 def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], keys_unique: bool = False, terms: DataFrame | None = None) -> LexicalIndex:
     """Index some columns; the first row of an id counts (keys_unique: there is only one).
 
-    terms: column `term` of what will be asked; other postings are then not built, so a search of a store without a
-    written index groups only what it needs.
+    A row's positions are gathered by term within the row (its tokens are sorted and cut into runs), so nothing is exchanged.
+    terms: column `term` of what will be asked; other postings are then left out.
     """
     rows = docs if keys_unique else first_of_each(docs, id_col, F.monotonically_increasing_id())
-    cells = rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), X.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))).alias("words")) for f in fields])).alias("cell")).select("id", "cell.*")
-    lengths = cells.groupBy("id").agg(F.sum(F.size("words")).alias("length"))
-    placed = cells.select("id", "field", F.posexplode("words").alias("position", "term"))
+    words = {f: X.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields}
+    own = rows.select(F.col(id_col).alias("id"), *[w.alias(f"w{k}") for k, w in enumerate(words.values())])
+    length = sum((F.size(f"w{k}") for k in range(len(words))), start=F.lit(0)).cast("long")
+    cells = [F.struct(F.lit(f).alias("field"), F.array_sort(F.transform(f"w{k}", lambda w, i: F.struct(w.alias("term"), i.alias("position")))).alias("pairs")) for k, f in enumerate(words)]
+    laid = own.select("id", length.alias("length"), F.explode(F.array(*cells)).alias("cell")).select("id", "length", "cell.*").where(F.size("pairs") > 0)
+    term = lambda i: F.get("pairs", i)["term"]
+    begun = laid.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: (i == 0) | (term(i) != term(i - 1))))
+    run = lambda s, k: F.transform(F.slice("pairs", s + 1, F.coalesce(F.get("begins", k + 1), F.size("pairs")) - s), lambda p: p["position"])
+    postings = begun.select("id", "length", "field", F.explode(F.transform("begins", lambda s, k: F.struct(term(s).alias("term"), run(s, k).alias("positions")))).alias("p")).select("field", "p.term", "id", "p.positions", "length")
     if terms is not None:
-        placed = placed.join(terms.select("term").distinct(), "term", "left_semi")
-    postings = placed.groupBy("field", "term", "id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    return LexicalIndex(postings, lengths)
+        postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
+    return LexicalIndex(postings, lengths=own.select("id", length.alias("length")))
+
+
+def bucket_of(term: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def write_index(index: LexicalIndex, path: str, buckets: int = 64, parts: int = 8) -> int:
+    """Store an index: postings in folders by term, sorted, and one row of statistics. Replaces what was there; gives the number of rows indexed.
+
+    A term's postings are dealt to several files, so a frequent term gathers nowhere. Counts are checked against what is read again.
+    """
+    from ..sources.files import write_counted
+
+    keyed = index.postings.withColumn("bucket", bucket_of("term", buckets)).repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(parts)))
+    keyed.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
+    stats = index.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"), F.count_distinct("id").alias("ids"), F.lit(buckets).alias("buckets"))
+    write_counted(stats, f"{path}/stats")
+    row = index.postings.sparkSession.read.parquet(f"{path}/stats").first()
+    if row["docs"] != row["ids"]:
+        raise RuntimeError(f"{row['docs']} rows of {row['ids']} ids")
+    return row["docs"]
+
+
+def read_index(spark: SparkSession, path: str) -> LexicalIndex:
+    """A stored index: a search reads the folders of its terms only."""
+    row = spark.read.parquet(f"{path}/stats").first()
+    return LexicalIndex(spark.read.parquet(f"{path}/postings"), row["docs"], row["mean"], row["buckets"])
+
+
+def _asked(index: LexicalIndex, phrases: DataFrame) -> DataFrame:
+    """The postings that a batch of queries needs."""
+    if not index.buckets:
+        return index.postings
+    wanted = [r["b"] for r in phrases.select(F.explode("terms").alias("term")).select(bucket_of("term", index.buckets).alias("b")).distinct().collect()]  # as many as folders at most
+    return index.postings.where(F.col("bucket").isin(wanted))
 
 
 def first_of_each(df: DataFrame, key: str, order: Column) -> DataFrame:
@@ -54,23 +99,28 @@ def first_of_each(df: DataFrame, key: str, order: Column) -> DataFrame:
 def occurrences(index: LexicalIndex, phrases: DataFrame) -> DataFrame:
     """query, phrase, id, field, n for phrases (query, phrase, terms): places where all terms stand in a row."""
     parts = phrases.select("query", "phrase", F.size("terms").alias("size"), F.posexplode("terms").alias("at", "term"))
-    met = parts.join(index.postings, "term")
-    single = met.where("size = 1").select("query", "phrase", "id", "field", F.size("positions").alias("n"))
-    starts = met.where("size > 1").select("query", "phrase", "size", "id", "field", "at", F.explode("positions").alias("p"))
-    runs = starts.groupBy("query", "phrase", "size", "id", "field", (F.col("p") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("k")).where("k = size")
-    return single.unionByName(runs.groupBy("query", "phrase", "id", "field").agg(F.count(F.lit(1)).cast("int").alias("n")))
+    met = parts.join(_asked(index, phrases), "term")
+    single = met.where("size = 1").select("query", "phrase", "id", "field", "length", F.size("positions").alias("n"))
+    if phrases.where(F.size("terms") > 1).isEmpty():
+        return single
+    starts = met.where("size > 1").select("query", "phrase", "size", "id", "field", "length", "at", F.explode("positions").alias("p"))
+    runs = starts.groupBy("query", "phrase", "size", "id", "field", "length", (F.col("p") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("k")).where("k = size")
+    return single.unionByName(runs.groupBy("query", "phrase", "id", "field", "length").agg(F.count(F.lit(1)).cast("int").alias("n")))
 
 
 def bm25(index: LexicalIndex, phrases: DataFrame, weights: dict[str, float]) -> DataFrame:
     """query, id, score: any phrase may match; a field's weight scales its frequency, and weight 0 still counts as a match."""
     found = occurrences(index, phrases)
     weight = F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, float(w))])
-    frequency = found.groupBy("query", "phrase", "id").agg(F.sum(weight[F.col("field")] * F.col("n")).alias("f"))
+    frequency = found.groupBy("query", "phrase", "id", "length").agg(F.sum(weight[F.col("field")] * F.col("n")).alias("f"))
     rows = frequency.groupBy("query", "phrase").agg(F.count(F.lit(1)).alias("n"))
-    stats = index.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))  # one row
+    joined = frequency.join(rows, ["query", "phrase"])
+    if index.buckets:
+        joined = joined.withColumns({"docs": F.lit(index.docs), "mean": F.lit(index.mean)})
+    else:
+        joined = joined.crossJoin(F.broadcast(index.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))))  # one row
     plain = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(plain <= 0, F.lit(LEAST_IDF)).otherwise(plain)
-    joined = frequency.join(rows, ["query", "phrase"]).join(index.lengths, "id").crossJoin(F.broadcast(stats))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     return joined.groupBy("query", "id").agg(F.sum(part).alias("score"))
 
@@ -86,14 +136,30 @@ def terms_of(phrases: DataFrame) -> DataFrame:
     return phrases.select(F.explode("terms").alias("term")).distinct()
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """query, id, score for normalised query vectors (query, vector) broadcast in a bounded batch."""
-    if queries.limit(10_001).count() > 10_000:
-        raise ValueError("search in batches of 10,000 query vectors at most")
-    dot = F.aggregate(F.zip_with(F.transform(vector_col, lambda x: x.cast("double")), F.transform("vector", lambda x: x.cast("double")), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(F.transform(c, lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x * x))
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector_col)).join(F.broadcast(queries))
-    return pairs.select("query", "id", (dot / (norm(vector_col) * norm("vector"))).alias("score"))
+def write_vectors(vectors: DataFrame, id_col: str, vector_col: str, path: str) -> int:
+    """Store vectors at unit length, replacing what was there; the number of rows is checked against what is read again."""
+    from ..sources.files import write_counted
+
+    return write_counted(vectors.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("vector")), path)
+
+
+def unit(vector: Column) -> Column:
+    own = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(own, lambda x: x / norm)
+
+
+def cosine(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, block: int = 10_000) -> DataFrame:
+    """query, id, score of query vectors (query, vector) against all vectors: each is brought to unit length once, and the queries
+    are broadcast in blocks of about `block`."""
+    own = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("own"))
+    asked, blocks, out = queries.select("query", unit(F.col("vector")).alias("vector")), max(1, -(-queries.count() // block)), None
+    dot = F.aggregate(F.zip_with("own", "vector", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    for b in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        found = own.join(F.broadcast(part)).select("query", "id", dot.alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def ranked(scores: DataFrame, most: int, list_no: int = 0, digits: int = 6) -> DataFrame:
@@ -103,6 +169,14 @@ def ranked(scores: DataFrame, most: int, list_no: int = 0, digits: int = 6) -> D
     return out.where(F.col("rank") <= most).withColumn("list", F.lit(list_no))
 
 
+def ranked_all(scores: DataFrame, list_no: int = 0, digits: int = 6) -> DataFrame:
+    """The same for every row of a query, by ranges of scores: no task orders a whole query."""
+    rounded = scores.select("query", "id", F.round("score", digits).alias("score"))
+    placed = global_rank(rounded, "__place", "query", F.desc("score"), "id")
+    first = placed.groupBy("query").agg(F.min("__place").alias("__first"))
+    return placed.join(first, "query").select("query", "id", "score", (F.col("__place") - F.col("__first") + 1).cast("int").alias("rank"), F.lit(list_no).alias("list"))
+
+
 def fuse(rankings: Sequence[DataFrame], weights: Sequence[float] | None = None, k: int = RRF_K) -> DataFrame:
     """query, id, score: sum of weight / (k + rank), and where the id came up first, to tie by."""
     weights = list(weights) if weights is not None else [1.0] * len(rankings)
@@ -155,8 +229,7 @@ def hybrid(lexical: DataFrame | None, dense: DataFrame | None, records: DataFram
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     lists = [(x, w) for x, w, m in ((lexical, weights[0], "bm25"), (dense, weights[1], "vector")) if x is not None and mode in ("hybrid", m)]
-    limit = max(store_size or 0, POOL_FACTOR * most)
-    rankings = [ranked(x, limit).cache() if store_size else ranked(x, limit) for x, _ in lists]
+    rankings = [materialise(ranked_all(x), "ranks") if store_size else ranked(x, POOL_FACTOR * most) for x, _ in lists]
     pool = POOL_FACTOR * most
     while True:
         fused = fuse([r.where(F.col("rank") <= pool) for r in rankings], [w for _, w in lists])

@@ -32,7 +32,7 @@ def candidates(m: Model, names: DataFrame) -> DataFrame:
     kinds = [("u", dotted), ("u", ids), ("u", inverses), ("local", dotted.unionByName(either)), ("head", either), ("key", labels)]
     every = None
     for n, (column, source) in enumerate(kinds):
-        met = name.join(F.broadcast(source), (F.col(column) == F.col("up")) & (F.col(column) != "")).select("name", "property_id", "inverse", "qualifier", F.lit(n).alias("kind"))
+        met = name.join(source, (F.col(column) == F.col("up")) & (F.col(column) != "")).select("name", "property_id", "inverse", "qualifier", F.lit(n).alias("kind"))
         every = met if every is None else every.unionByName(met)
     best = F.min("kind").over(Window.partitionBy("name"))
     return every.withColumn("best", best).where("kind = best").select("name", "property_id", "inverse", "qualifier").distinct()
@@ -47,11 +47,11 @@ def readings(m: Model, links: DataFrame) -> DataFrame:
     pairs = links.select("link", "name", F.posexplode(types("subject_types", "subject")).alias("spos", "s"), "object_types", "object")
     pairs = pairs.select("link", "name", "spos", F.upper(F.trim("s")).alias("s"), F.posexplode(types("object_types", "object")).alias("opos", "o")).withColumn("o", F.upper(F.trim("o")))
     known = m.classes.select("id")
-    pairs = pairs.join(F.broadcast(known.select(F.col("id").alias("s"), F.lit(True).alias("s_known"))), "s", "left").join(F.broadcast(known.select(F.col("id").alias("o"), F.lit(True).alias("o_known"))), "o", "left")
+    pairs = pairs.join(known.select(F.col("id").alias("s"), F.lit(True).alias("s_known")), "s", "left").join(known.select(F.col("id").alias("o"), F.lit(True).alias("o_known")), "o", "left")
     pairs = pairs.withColumn("known", F.coalesce("s_known", F.lit(False)) & (F.col("o").isNull() | F.coalesce("o_known", F.lit(False)))).drop("s_known", "o_known")
     read = pairs.join(candidates(m, links), "name", "left")
     p = m.properties.select(F.col("id").alias("property_id"), "domain", "range", is_required(F.col("quantification")).alias("required"))
-    read = read.join(F.broadcast(p), "property_id", "left")
+    read = read.join(p, "property_id", "left")
     read = read.withColumn("needs_s", F.when(F.col("inverse"), F.col("range")).otherwise(F.col("domain"))).withColumn("needs_o", F.when(F.col("inverse"), F.col("domain")).otherwise(F.col("range")))
     up = closure(m.classes, m.class_edges).select("id", "ancestor")
     for side in ("s", "o"):
@@ -80,7 +80,7 @@ def document_verdicts(m: Model, links: DataFrame, owned: DataFrame) -> DataFrame
         F.coalesce(F.bool_or("legal"), F.lit(False)).alias("legal"), F.array_sort(F.collect_set(F.when(F.col("legal"), F.col("reading")))).alias("fits"),
         F.bool_or(F.col("qualifier") & F.col("known")).alias("qualified"), F.count("property_id").alias("n"), F.first("known").alias("known"))
     spoken = pair.groupBy("link").agg(F.min(F.struct((~F.col("legal")).alias("il"), "spos", "opos", "legal", "fits", "qualified", "n", "known")).alias("b")).select("link", "b.*")
-    ns = F.broadcast(owned.select(F.col("ns"), F.lit(True).alias("is_owned")))
+    ns = owned.select(F.col("ns"), F.lit(True).alias("is_owned"))
     whole = links.join(spoken, "link", "left").withColumn("ns", X.namespace_of("predicate_uri")).join(ns, "ns", "left")
     verdict = (
         F.when(F.col("predicate_uri").isNotNull() & (F.col("n") == 0), F.when(F.coalesce("is_owned", F.lit(False)), "unknown_name").otherwise("not_in_model"))
@@ -99,7 +99,7 @@ def document_verdicts(m: Model, links: DataFrame, owned: DataFrame) -> DataFrame
 def label_findings(m: Model, uses: DataFrame) -> DataFrame:
     """raw, path, verdict for uses (raw, path, id, label): malformed, unknown_class or label_mismatch; one per (raw, path)."""
     named = m.classes.select(F.col("id").alias("id"), F.col("label").alias("current")).unionByName(m.properties.select("id", F.col("direct").alias("current")))
-    once = uses.dropDuplicates(["raw", "path"]).join(F.broadcast(named.withColumn("there", F.lit(True))), "id", "left")
+    once = uses.dropDuplicates(["raw", "path"]).join(named.withColumn("there", F.lit(True)), "id", "left")
     verdict = F.when(F.coalesce("id", F.lit("")) == "", "malformed").when(F.col("there").isNull(), "unknown_class").when((F.coalesce("label", F.lit("")) != "") & (F.coalesce("current", F.lit("")) != "") & (F.lower("label") != F.lower(F.trim("current"))), "label_mismatch")
     return once.select("raw", "path", verdict.alias("verdict")).where("verdict IS NOT NULL")
 
@@ -133,12 +133,12 @@ def uri_index(m: Model) -> DataFrame:
 def resolve_uris(m: Model, uris: DataFrame, column: str = "uri") -> DataFrame:
     """Adds id, inverse and kind for full, prefixed and bare forms."""
     local = F.lower(F.regexp_extract(F.col(column), r"([^/#:]+)/?$", 1))
-    return uris.withColumn("__k", local).join(F.broadcast(uri_index(m).withColumnRenamed("key", "__k")), "__k", "left").drop("__k")
+    return uris.withColumn("__k", local).join(uri_index(m).withColumnRenamed("key", "__k"), "__k", "left").drop("__k")
 
 
 def type_findings(m: Model, uses: DataFrame, owned: DataFrame) -> DataFrame:
     """path, raw, verdict of types that are no classes of the model. uses: path, uri."""
-    found = resolve_uris(m, uses).withColumn("ns", X.namespace_of("uri")).join(F.broadcast(owned.withColumn("is_owned", F.lit(True))), "ns", "left")
+    found = resolve_uris(m, uses).withColumn("ns", X.namespace_of("uri")).join(owned.withColumn("is_owned", F.lit(True)), "ns", "left")
     verdict = F.when(F.col("kind") == "class", None).when(F.col("kind") == "property", "not_a_class").when(F.col("is_owned"), "unknown_class").otherwise("not_in_model")
     return found.select("path", F.col("uri").alias("raw"), verdict.alias("verdict")).where("verdict IS NOT NULL")
 
@@ -169,7 +169,7 @@ def rdf_links(triples: DataFrame, claims: DataFrame, m: Model, type_uri: str, sk
     bridge = inverse_claims(m, claims.select("subject", "object")).where("verdict = 'bridge'")
     left = resolve_uris(m, bridge.select(F.col("subject").alias("uri"), F.col("object").alias("other"))).select("uri", "other", "id")
     alias = left.where("id IS NULL").select(F.col("uri").alias("predicate"), F.col("other").alias("stands_for")).unionByName(left.where("id IS NOT NULL").select(F.col("other").alias("predicate"), F.col("uri").alias("stands_for")))
-    rows = triples.where(~F.col("predicate").isin(type_uri, *skip)).join(F.broadcast(alias.distinct()), "predicate", "left")
+    rows = triples.where(~F.col("predicate").isin(type_uri, *skip)).join(alias.distinct(), "predicate", "left")
     turned = F.col("stands_for").isNotNull() & ~F.col("object_is_literal")
     rows = rows.withColumn("from", F.when(turned, F.col("object")).otherwise(F.col("subject"))).withColumn("to", F.when(turned, F.col("subject")).otherwise(F.when(~F.col("object_is_literal"), F.col("object"))))
     rows = rows.withColumn("predicate_uri", F.coalesce("stands_for", "predicate"))

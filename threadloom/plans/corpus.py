@@ -31,7 +31,16 @@ def x9_entities(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(X.identifiers(F.expr(MENTION)), ",").alias("ids"))
 
 
-ISSUES = "concat('Issue ', event_id % 100, ', 3rd draft; issues:', user_id, ' issue ', event_id % 30, 'th; Crm Digest, Vol 5, Issue 7; issue9_5 ISSUE #', event_id % 12345)"
+@query(rf"WITH m AS (SELECT event_id, list_sort(list_distinct(regexp_extract_all({MENTION}, '\b([EP]\d{{1,3}})(?:\.\d)?i?\b', 1))) AS ids FROM events), k AS (SELECT list(DISTINCT concat('E', p_size)) AS known FROM part) SELECT event_id, array_to_string(list_filter(ids, lambda x: list_contains(known, x)), ',') AS current, array_to_string(list_filter(ids, lambda x: NOT list_contains(known, x)), ',') AS historical FROM m, k")
+def x9_known_and_former(spark, sf):
+    """Identifiers of the model (here: sizes of parts) and others."""
+    known = table(spark, sf, "part").select(F.concat(F.lit("E"), F.col("p_size")).alias("id")).agg(F.collect_set("id").alias("known"))  # one row, as many ids as the model has
+    found = table(spark, sf, "events").select("event_id", X.identifiers(F.expr(MENTION)).alias("ids")).crossJoin(F.broadcast(known))
+    split = found.select("event_id", X.known_and_former(F.col("ids"), F.col("known")).alias("s"))
+    return split.select("event_id", F.array_join("s.current", ",").alias("current"), F.array_join("s.historical", ",").alias("historical"))
+
+
+ISSUES = "concat('Issue ', event_id % 100, ', 3rd draft; issues:', user_id, ' issue ', event_id % 30, 'th; Loom Digest, Vol 5, Issue 7; issue9_5 ISSUE #', event_id % 12345)"
 
 
 @query(rf"""WITH m AS (SELECT event_id, unnest(regexp_extract_all(regexp_replace({ISSUES}, '\bdigest,?\s*vol\.?\s*\d+,?\s*issue\s*\d+', ' ', 'gi'), '(?i)\bissues?(?:[ \t]+[:#]?[ \t]*|[:#][ \t]*)(\d+(?:\s*[a-z]+)?)', 1)) AS hit FROM events),
@@ -65,12 +74,17 @@ def x27_x28_names(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.local_name("url").alias("name"), X.namespace_of("url").alias("namespace"), X.label_key("url").alias("key"))
 
 
-HEADS = [(1, "ISSUE 345: something"), (2, "issue:161 how"), (3, "Issue 172, 173 & 174"), (4, "204: done"), (5, "no issue 5"), (6, "issues # 1/2/3 and 4,5,6,7,8,9")]
+HEADS = [(1, "ISSUE 345: something"), (2, "issue:161 how"), (3, "Issue 172, 173 & 174"), (4, "204: done"), (5, "no issue 5"), (6, "issues # 1/2/3 and 4,5,6,7,8,9"), (7, "7) agreed"), (8, "9999: not registered"), (9, "12 people")]
 
 
-@query(rf"SELECT id, array_to_string(list_transform(regexp_extract_all(regexp_extract(t, '(?i)^\s*issues?\s*[:#]?\s*((?:\d{{1,4}})(?:\s*(?:,|&|and|/)\s*\d{{1,4}})*)', 1), '\d{{1,4}}')[1:8], lambda x: x::INT), ',') AS issues FROM {sql_values(HEADS, 'id', 't')}")
+@query(rf"""WITH h AS (SELECT id, list_transform(regexp_extract_all(regexp_extract(t, '(?i)^\s*issues?\s*[:#]?\s*((?:\d{{1,4}})(?:\s*(?:,|&|and|/)\s*\d{{1,4}})*)', 1), '\d{{1,4}}')[1:8], lambda x: x::INT) AS named, TRY_CAST(regexp_extract(t, '^\s*(\d{{1,4}})\s*[:.)]\s*\S', 1) AS INT) AS bare FROM {sql_values(HEADS, 'id', 't')})
+    SELECT id, array_to_string(CASE WHEN len(named) > 0 THEN named WHEN bare IN (SELECT p_partkey FROM part) THEN [bare] ELSE [] END, ',') AS issues FROM h""")
 def x13_heading_issues(spark, sf):
-    return values(spark, "id int, t string", HEADS).select("id", F.array_join(F.transform(X.heading_issues("t"), lambda x: x.cast("string")), ",").alias("issues"))
+    """A bare number heads an issue only where the register (here: parts) knows it."""
+    register = table(spark, sf, "part").select(F.col("p_partkey").cast("int").alias("bare"), F.lit(True).alias("registered"))
+    heads = values(spark, "id int, t string", HEADS).withColumn("bare", X.bare_number("t")).join(register, "bare", "left")
+    found = X.heading_issues("t", F.coalesce("registered", F.lit(False)))
+    return heads.select("id", F.array_join(F.transform(found, lambda x: x.cast("string")), ",").alias("issues"))
 
 
 DATES = [(1, "15/1/2018"), (2, "9/10/2017"), (3, "27 - 30 November, 2018"), (4, "9-10th December 2004"), (5, "1st of May 09, 2009"), (6, "December 2004"), (7, None), (8, "undated"), (9, "18 2018"), (10, "15.09.2008")]
@@ -105,11 +119,11 @@ def a15_duplicate_groups(spark, sf):
     return groups.select("key", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
 
 
-PARAGRAPHS = rf"p AS (SELECT doc_id, pos - 1 AS pos, line, lower({SQL_MATCH.format('line')}) AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE length(line) > 40), f AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY key) AS dropped FROM p)"
+PARAGRAPHS = rf"p AS (SELECT doc_id, pos - 1 AS pos, line, lower({SQL_MATCH.format('line')}) AS key FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(line) <> ''), f AS (SELECT *, doc_id > min(doc_id) OVER (PARTITION BY key) AS dropped FROM p)"
 
 
 def _paragraphs(spark, sf):
-    own = C.lines(table(spark, sf, "documents"), "text", "doc_id").where(F.length("line") > 40)
+    own = C.lines(table(spark, sf, "documents"), "text", "doc_id").where(F.trim("line") != "")
     return C.repeated_paragraphs(own, "doc_id", "line")
 
 
@@ -172,16 +186,42 @@ def a2_thread_stats(spark, sf):
     return sizes.agg(F.count(F.lit(1)).alias("threads"), F.count_if(F.col("n") == 1).alias("singletons"), F.count_if(F.col("n") > 1).alias("multi"), F.max("n").alias("largest"))
 
 
-TURNS = "m AS (SELECT conv_id * 1000 + turn AS id, TIMESTAMP '2024-01-01' + to_hours((conv_id * 7 + turn)::INT) AS ts, text AS body, CASE WHEN turn > 0 THEN lower(substr(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 10, 300)) END AS quoted FROM conversations)"
+TURNS = r"""m AS (SELECT conv_id * 1000 + turn AS id, TIMESTAMP '2024-01-01' + to_hours((conv_id * 7 + turn)::INT) AS ts, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS body,
+    CASE WHEN turn > 0 THEN [replace(substr(lag(text) OVER w, 10, 300), ' ', chr(10)), substr(lag(text, 2) OVER w, 3)] END AS spans FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"""
 
 
-@query(rf"""WITH {TURNS}, p AS (SELECT id, ts, left(quoted, 200) AS probe FROM m WHERE quoted IS NOT NULL AND len(list_filter(string_split_regex(left(quoted, 200), '\s+'), lambda x: x <> '')) >= 6)
-    SELECT p.id, arg_min(o.id, {{'t': o.ts, 'i': o.id}}) AS other FROM p JOIN m o ON o.ts < p.ts AND floor(date_diff('microsecond', o.ts, p.ts) / 86400000000) <= 30 AND contains(lower(o.body), p.probe) GROUP BY p.id""")
-def j3_overlap_link(spark, sf):
+def _turns(spark, sf):
+    """Each turn quotes two earlier ones, the last one with every space a line break."""
     w = Window.partitionBy("conv_id").orderBy("turn")
     hours = (F.col("conv_id") * 7 + F.col("turn")).cast("int")
-    messages = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.timestamp_seconds(F.lit(1_704_067_200) + hours * 3600).alias("ts"), F.col("text").alias("body"), F.when(F.col("turn") > 0, F.lower(F.substring(F.lag("text").over(w), 10, 300))).alias("quoted"))
-    return C.overlap_links(messages)
+    spans = F.array(F.replace(F.substring(F.lag("text").over(w), 10, 300), F.lit(" "), F.lit("\n")), F.expr("substr(lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn), 3)"))
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.timestamp_seconds(F.lit(1_704_067_200) + hours * 3600).alias("ts"), F.col("text").alias("body"), F.when(F.col("turn") > 0, spans).alias("spans"))
+
+
+OVERLAP = rf"""{TURNS}, p AS (SELECT DISTINCT id, ts, left(span, 200) AS probe FROM (SELECT id, ts, lower(trim(regexp_replace(unnest(spans), '\s+', ' ', 'g'))) AS span FROM m WHERE spans IS NOT NULL) WHERE length(span) >= 200),
+    o AS (SELECT DISTINCT id, other FROM (SELECT p.id, probe, arg_min(o.id, {{'t': o.ts, 'i': o.id}}) AS other FROM p JOIN m o ON o.ts < p.ts AND floor(date_diff('microsecond', o.ts, p.ts) / 86400000000) <= 30 AND contains(o.body, p.probe) GROUP BY ALL))"""
+
+
+@query(f"WITH {OVERLAP} SELECT id, other FROM o")
+def j3_overlap_link(spark, sf):
+    return C.overlap_links(_turns(spark, sf))
+
+
+THREADED = f"""WITH RECURSIVE {OVERLAP}, c AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, TIMESTAMP '2024-01-01' + to_hours((conv_id * 7 + turn)::INT) AS ts FROM conversations),
+    s AS (SELECT id, lag(id) OVER (PARTITION BY conv_id % 40 ORDER BY ts, id) AS other, ts, lag(ts) OVER (PARTITION BY conv_id % 40 ORDER BY ts, id) AS before FROM c WHERE turn % 4 = 0),
+    e AS (SELECT id, other FROM o WHERE id % 3 <> 0 UNION SELECT id, id - 1 FROM c WHERE turn > 0 AND id % 3 = 0 UNION SELECT id, other FROM s WHERE other IS NOT NULL AND floor(date_diff('microsecond', before, ts) / 86400000000) <= 30),
+    b AS (SELECT id, other FROM e UNION SELECT other, id FROM e), r(id, other) AS (SELECT id, id FROM c UNION SELECT r.id, b.other FROM r JOIN b ON b.id = r.other), l AS (SELECT id, min(other) AS root FROM r GROUP BY id),
+    t AS (SELECT root, row_number() OVER (ORDER BY min(ts), min(root)) - 1 AS n FROM l JOIN c USING (id) GROUP BY root)"""
+
+
+@query(f"{THREADED} SELECT concat('t', lpad(n::VARCHAR, 4, '0')) AS thread, id, row_number() OVER (PARTITION BY root ORDER BY ts, id) AS index FROM l JOIN t USING (root) JOIN c USING (id)")
+def h1_build_threads(spark, sf):
+    """Whole threads over the three kinds of links: headers, quoted passages, and equal subjects within 30 days."""
+    ident = lambda d: F.concat(F.lit("<"), (F.col("id") - d).cast("string"), F.lit(">"))
+    answers = (F.col("turn") > 0) & (F.col("id") % 3 == 0)
+    subject = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Re: talk "), (F.col("conv_id") % 40).cast("string")))
+    own = _turns(spark, sf).select("id", "ts", "body", "spans", ident(0).alias("message_id"), F.when(answers, ident(1)).alias("in_reply_to"), F.array().cast("array<string>").alias("references"), subject.alias("subject"))
+    return C.build_threads(own)
 
 
 @query("SELECT conv_id * 1000 + turn AS id, conv_id * 1000 + turn - 1 AS other FROM conversations WHERE turn > 0")
@@ -211,12 +251,12 @@ def a6_status_hist(spark, sf):
     return table(spark, sf, "orders").groupBy(F.coalesce(F.nullif(status, F.lit("")), F.lit("(blank)")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {MENTIONED}, d AS (SELECT issue, count(DISTINCT thread) AS threads FROM m GROUP BY 1), r AS (SELECT p_partkey AS issue, p_name AS title FROM part WHERE p_partkey BETWEEN 50 AND 150), p AS (SELECT page_id AS issue, length(html) AS chars FROM pages WHERE page_id % 3 = 0 AND page_id < 200)
+@query(f"""WITH {MENTIONED}, d AS (SELECT issue, count(DISTINCT thread) AS threads FROM m GROUP BY 1), r AS (SELECT p_partkey AS issue, p_name AS title FROM part), p AS (SELECT page_id AS issue, length(html) AS chars FROM pages)
     SELECT issue, title, coalesce(threads, 0) AS threads, chars, title IS NOT NULL AS registered FROM d FULL JOIN r USING (issue) FULL JOIN p USING (issue)""")
 def j5_issue_union(spark, sf):
     discussed = _mentions(spark, sf).groupBy("issue").agg(F.count_distinct("thread").alias("threads"))
-    register = table(spark, sf, "part").where(F.col("p_partkey").between(50, 150)).select(F.col("p_partkey").alias("issue"), F.col("p_name").alias("title"))
-    paged = table(spark, sf, "pages").where("page_id % 3 = 0 AND page_id < 200").select(F.col("page_id").alias("issue"), F.length("html").alias("chars"))
+    register = table(spark, sf, "part").select(F.col("p_partkey").alias("issue"), F.col("p_name").alias("title"))
+    paged = table(spark, sf, "pages").select(F.col("page_id").alias("issue"), F.length("html").alias("chars"))
     every = discussed.join(register, "issue", "full_outer").join(paged, "issue", "full_outer")
     return every.select("issue", "title", F.coalesce("threads", F.lit(0)).alias("threads"), "chars", F.col("title").isNotNull().alias("registered"))
 

@@ -60,10 +60,10 @@ def a21_citations(spark, sf):
     return met.groupBy("conv_id").agg(F.count(F.lit(1)).alias("cited"), F.count_if(F.col("lang").isNull()).alias("unresolvable"), F.count_if(F.coalesce(F.col("lang") == "en", F.lit(False))).alias("grounded"))
 
 
-@query(rf"""WITH t AS (SELECT DISTINCT item_id AS "case", unnest({SQL_TOKENS}[1:8]) AS term FROM benchmark), u AS (SELECT doc_id, unnest(list_distinct({SQL_TOKENS})) AS term FROM documents), s AS (SELECT "case", doc_id AS unit, count(*) AS shared FROM t JOIN u USING (term) GROUP BY ALL)
+@query(rf"""WITH t AS (SELECT DISTINCT item_id AS "case", unnest({SQL_TOKENS}) AS term FROM benchmark), u AS (SELECT doc_id, unnest(list_distinct({SQL_TOKENS})) AS term FROM documents), s AS (SELECT "case", doc_id AS unit, count(*) AS shared FROM t JOIN u USING (term) GROUP BY ALL)
     SELECT "case", unit, shared, CASE WHEN shared >= 3 THEN 'REVIEW' ELSE 'novel' END AS verdict FROM (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY shared DESC, unit) AS r FROM s) WHERE r = 1""")
 def j18_novelty(spark, sf):
-    terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("case"), F.explode(F.slice(X.tokens("text"), 1, 8)).alias("term"))
+    terms = table(spark, sf, "benchmark").select(F.col("item_id").alias("case"), F.explode(X.tokens("text")).alias("term"))
     units = table(spark, sf, "documents").select(F.col("doc_id").alias("unit"), F.col("doc_id").alias("ord"), X.tokens("text").alias("words"))
     return E.novelty(terms, units)
 
@@ -75,7 +75,7 @@ CONSIDERED = [("c1", "K22", "K21"), ("c2", "K7", "K12"), ("c2", "K21", "K22"), (
 @query(f"""WITH e AS (SELECT * FROM {sql_values(EDGES, 'child', 'parent')}), s AS (SELECT DISTINCT a.child AS id, b.child AS sibling FROM e a JOIN e b ON a.parent = b.parent AND a.child <> b.child), p AS (SELECT DISTINCT * FROM {sql_values(PROPOSED, '"case"', 'class_id')}), c AS (SELECT * FROM {sql_values(CONSIDERED, '"case"', 'class_id', 'sibling')})
     SELECT p."case", count_if(EXISTS (SELECT 1 FROM c JOIN s ON s.id = c.class_id AND s.sibling = c.sibling WHERE c."case" = p."case" AND c.class_id = p.class_id)) AS ok, count(*) AS total FROM p WHERE class_id IN (SELECT id FROM s) GROUP BY 1""")
 def a23_siblings(spark, sf):
-    return E.sibling_compliance(values(spark, "case string, class_id string", PROPOSED), H.siblings(model(spark).class_edges), values(spark, "case string, class_id string, sibling string", CONSIDERED))
+    return E.sibling_compliance(values(spark, "case string, class_id string", PROPOSED), H.siblings(model(spark).class_edges, model(spark).classes), values(spark, "case string, class_id string, sibling string", CONSIDERED))
 
 
 @query("WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) SELECT p_brand AS label, p_type AS reading FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) AS r FROM c) WHERE r = 1")

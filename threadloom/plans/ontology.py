@@ -94,7 +94,7 @@ def g7_required(spark, sf):
 def g8_connect(spark, sf):
     m = model(spark)
     ids = m.classes.select(F.col("id").alias("subject"))
-    return H.connecting(m, ids.crossJoin(F.broadcast(ids.select(F.col("subject").alias("object")))))
+    return H.connecting(m, ids.crossJoin(ids.select(F.col("subject").alias("object"))))
 
 
 @query(BASE + " SELECT id, label, array_to_string(coalesce((SELECT list_sort(list(DISTINCT parent)) FROM class_edges WHERE child = id), []), ',') AS parents, array_to_string(coalesce((SELECT list_sort(list(DISTINCT child)) FROM class_edges WHERE parent = id), []), ',') AS children FROM classes")
@@ -108,9 +108,22 @@ def g11_listing(spark, sf):
     return H.listing(model(spark), values(spark, "id string", HISTORICAL))
 
 
-@query(f"WITH {STAR}, e AS (SELECT * FROM edges WHERE child LIKE 'n%' OR child LIKE 's%') SELECT DISTINCT a.child AS id, b.child AS sibling, a.parent FROM e a JOIN e b ON a.parent = b.parent AND a.child <> b.child")
+@query(f"WITH {STAR} SELECT DISTINCT a.child AS id, b.child AS sibling, a.parent FROM edges a JOIN edges b ON a.parent = b.parent AND a.child <> b.child WHERE a.child LIKE 'n%' OR a.child LIKE 'r%'")
 def g12_siblings(spark, sf):
-    return H.siblings(star(spark, sf).where("child LIKE 'n%' OR child LIKE 's%'"))
+    """Siblings of every nation and region."""
+    edges = star(spark, sf)
+    return H.siblings(edges, edges.select(F.col("child").alias("id")).where("id LIKE 'n%' OR id LIKE 'r%'"))
+
+
+@query(f"WITH {STAR}, e AS (SELECT DISTINCT * FROM edges) SELECT child AS id, parent, count(*) OVER (PARTITION BY parent) - 1 AS siblings FROM e")
+def g12_sibling_groups(spark, sf):
+    return H.sibling_groups(star(spark, sf))
+
+
+@query(f"WITH {STAR}, d AS (SELECT child AS id, CASE left(child, 1) WHEN 'r' THEN 1 WHEN 'n' THEN 2 ELSE 3 END AS depth FROM edges) SELECT DISTINCT id, depth FROM d")
+def g3_star_depth(spark, sf):
+    edges = materialise(star(spark, sf), "edges")
+    return H.depths(edges.select(F.col("child").alias("id")), edges)
 
 
 CONCEPTS = [("K22",), ("r8",), ("Contains",), ("knows",), ("R4.1",), ("nothing",), ("artefact",)]
@@ -124,8 +137,8 @@ def g13_concept(spark, sf):
     m = model(spark)
     named = m.classes.select(F.lit(0).alias("prio"), "id", "label").unionByName(m.properties.select(F.lit(1).alias("prio"), "id", F.col("direct").alias("label"))).unionByName(m.qualifiers.select(F.lit(2).alias("prio"), "id", "label")).unionByName(m.properties.where("inverse IS NOT NULL").select(F.lit(1).alias("prio"), "id", F.col("inverse").alias("label")))
     asked = values(spark, "asked string", CONCEPTS)
-    by_id = asked.join(F.broadcast(named), F.upper("asked") == F.col("id")).select("asked", F.lit(0).alias("how"), "prio", "id")
-    by_label = asked.join(F.broadcast(named), F.lower("asked") == F.lower("label")).select("asked", F.lit(1).alias("how"), "prio", "id")
+    by_id = asked.join(named, F.upper("asked") == F.col("id")).select("asked", F.lit(0).alias("how"), "prio", "id")
+    by_label = asked.join(named, F.lower("asked") == F.lower("label")).select("asked", F.lit(1).alias("how"), "prio", "id")
     met = by_id.unionByName(by_label).distinct().withColumn("best", F.min("how").over(Window.partitionBy("asked"))).where("how = best")
     return met.groupBy("asked").agg(F.min(F.struct("prio", "id")).alias("b"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("matches")).select("asked", "b.id", "matches")
 

@@ -129,10 +129,10 @@ def x1_decode(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(M.decode_udf(F.encode("text", "UTF-8"), charset)).alias("decoded"))
 
 
-@query("SELECT event_id, concat('Grüße ', event_type) AS subject FROM events WHERE event_id < 1000")
+@query("SELECT event_id, concat('Grüße ', event_type) AS subject FROM events")
 def x2_headers(spark, sf):
     encoded = F.concat(F.lit("=?utf-8?B?"), F.base64(F.encode(F.concat(F.lit("Grüße "), "event_type"), "UTF-8")), F.lit("?="))
-    return table(spark, sf, "events").where("event_id < 1000").select("event_id", M.header_udf(encoded).alias("subject"))
+    return table(spark, sf, "events").select("event_id", M.header_udf(encoded).alias("subject"))
 
 
 LABELS = [(1, "made (was made by)"), (2, "has note"), (3, "took place (at) (witnessed)"), (4, " knows  (knows)")]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
+from collections import Counter
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -12,10 +14,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRIPLE = "doc_id string, subject string, predicate string, object string, object_is_literal boolean, error string"
+TRIPLE = "doc_id string, subject string, predicate string, object string, object_is_literal boolean, language string, error string"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
-SUFFIXES = {"ttl": "turtle", "n3": "turtle", "nt": "turtle", "rdf": "xml", "owl": "xml", "xml": "xml"}
+SUFFIXES = {"ttl": "turtle", "n3": "turtle", "nt": "turtle", "rdf": "xml", "owl": "xml", "xml": "xml", "jsonld": "json", "json": "json"}
+
+
+class Literal(str):
+    """A literal's text with its language, if it has one."""
+
+    language: str | None = None
+
+    @classmethod
+    def of(cls, text: str, language: str | None) -> Literal:
+        out = cls(text)
+        out.language = language or None
+        return out
 
 _TOKEN = re.compile(r"""\s+|\#[^\n]*|(?P<iri><[^<>\s]*>)|(?P<long>\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3})|(?P<text>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
     |(?P<prefix>@prefix|@base|PREFIX\b|BASE\b)|(?P<lang>@[A-Za-z-]+)|(?P<kind>\^\^)|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<blank>_:[\w.-]*\w)|(?P<name>[A-Za-z][\w.-]*(?<!\.)?:[^\s<>"'()\[\];,]*[^\s<>"'()\[\];,.]|[A-Za-z][\w.-]*:|:[^\s<>"'()\[\];,]*[^\s<>"'()\[\];,.])
@@ -63,6 +77,7 @@ def turtle(source: str) -> Iterator[tuple[str, str, str, bool]]:
             quote = 3 if kind == "long" else 1
             value = re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", lambda m: chr(int(m[1][1:], 16)) if m[1][0] in "uU" and len(m[1]) > 1 else {"n": "\n", "t": "\t", "r": "\r"}.get(m[1], m[1]), text[quote:-quote])
             if i < len(tokens) and tokens[i][0] == "lang":
+                value = Literal.of(value, tokens[i][1][1:])
                 i += 1
             elif i < len(tokens) and tokens[i][0] == "kind":
                 i += 2
@@ -150,7 +165,7 @@ def rdf_xml(source: str) -> Iterator[tuple[str, str, str, bool]]:
                     yield subject, name(child.tag), subjects.pop(), False
                     yield from rows
             else:
-                yield subject, name(child.tag), child.text or "", True
+                yield subject, name(child.tag), Literal.of(child.text or "", child.get("{http://www.w3.org/XML/1998/namespace}lang")), True
 
     subjects: list[str] = []
     for element in root if name(root.tag) == RDF + "RDF" else [root]:
@@ -158,6 +173,72 @@ def rdf_xml(source: str) -> Iterator[tuple[str, str, str, bool]]:
         subjects.clear()
 
 
+def json_ld(source: str) -> Iterator[tuple[str, str, str, bool]]:
+    """Triples of JSON-LD whose context stands in the document: prefixes, terms, @vocab, nested nodes, values and lists."""
+    root = json.loads(source)
+    nodes = root if isinstance(root, list) else [root]
+    count = 0
+
+    def context_of(node: dict, outer: dict) -> dict:
+        own = node.get("@context") or {}
+        merged = dict(outer)
+        for part in own if isinstance(own, list) else [own]:
+            if not isinstance(part, dict):
+                raise ValueError("a context outside the document")
+            merged |= {k: v["@id"] if isinstance(v, dict) and "@id" in v else v for k, v in part.items()}
+        return merged
+
+    def iri(term: str, context: dict, is_key: bool = False) -> str:
+        if is_key and isinstance(context.get(term), str):
+            term = context[term]
+        prefix, colon, local = term.partition(":")
+        if colon and prefix in context and not local.startswith("//"):
+            return context[prefix] + local
+        return term if colon or not is_key else context.get("@vocab", "") + term
+
+    def walk(node: dict, outer: dict) -> Iterator[tuple[str, str, str, bool]]:
+        nonlocal count
+        context = context_of(node, outer)
+        if "@id" not in node and not any(k not in ("@context", "@graph") for k in node):
+            subject = ""
+        elif "@id" in node:
+            subject = iri(node["@id"], context)
+        else:
+            count += 1
+            subject = f"_:j{count}"
+        subjects.append(subject)
+        for kind in _listed(node.get("@type", [])):
+            yield subject, RDF + "type", iri(kind, context, True), False
+        for key, value in node.items():
+            if key == "@graph":
+                for inner in _listed(value):
+                    yield from walk(inner, context)
+                    subjects.pop()
+            elif not key.startswith("@"):
+                for one in _listed(value["@list"] if isinstance(value, dict) and "@list" in value else value):
+                    if isinstance(one, dict) and "@value" in one:
+                        yield subject, iri(key, context, True), Literal.of(_plain(one["@value"]), one.get("@language")), True
+                    elif isinstance(one, dict):
+                        rows = list(walk(one, context))
+                        yield subject, iri(key, context, True), subjects.pop(), False
+                        yield from rows
+                    else:
+                        yield subject, iri(key, context, True), _plain(one), True
+
+    subjects: list[str] = []
+    for node in nodes:
+        yield from walk(node, {})
+        subjects.clear()
+
+
+def _listed(value) -> list:
+    return value if isinstance(value, list) else [value]
+
+
+def _plain(value) -> str:
+    return value if isinstance(value, str) else json.dumps(value)
+
+
 def _per_file(parse, names: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in frames:
@@ -176,7 +257,8 @@ def _triples(path: str, content: bytes):
     if kind is None:
         raise ValueError(f"unsupported format: {path}")
     text = content.decode("utf-8-sig")
-    return turtle(text) if kind == "turtle" else rdf_xml(text)
+    rows = {"turtle": turtle, "xml": rdf_xml, "json": json_ld}[kind](text)
+    return ((s, p, str(o), literal, getattr(o, "language", None)) for s, p, o, literal in rows)
 
 
 def read_rdf(spark: SparkSession, path: str) -> DataFrame:
@@ -188,24 +270,69 @@ def read_rdf(spark: SparkSession, path: str) -> DataFrame:
 LINK = "doc_id string, link string, subject string, name string, object string, path string, via_property string, error string"
 
 
-def element_links(root: ElementTree.Element) -> Iterator[tuple[str, str | None, str, str | None, str, str | None]]:
-    """Links of nested elements named by property, whose `in_class` child names the class; repeated siblings get an index in their paths."""
-    ident = lambda text: m[0] if (m := re.match(r"[A-Za-z]+\d+(?:\.\d+)?", (text or "").strip())) else None
-    own = lambda e: next((ident(c.text) for c in e if c.tag == "in_class"), None)
+#: Elements that are no properties, beside those of records, and how a class is named.
+STRUCTURAL, CLASS_OF, CLASS_ID = ("in_class", "value", "unit"), "in_class", re.compile(r"\s*([A-Za-z]+\d+(?:\.\d)?)\s*[:.]")
 
-    def walk(element: ElementTree.Element, path: str, subject: str | None, via: str | None) -> Iterator[tuple]:
-        tags = [c.tag for c in element]
-        seen: dict[str, int] = {}
-        for child in element:
-            if child.tag == "in_class":
-                continue
-            seen[child.tag] = seen.get(child.tag, 0) + 1
-            here = f"{path}/{child.tag}" + (f"[{seen[child.tag]}]" if tags.count(child.tag) > 1 else "")
-            cls = own(child)
-            yield here, subject, child.tag.replace("_", " "), cls, path, via
-            yield from walk(child, here, cls or subject, None if cls else child.tag.replace("_", " "))
 
-    yield from walk(root, root.tag, own(root), None)
+def _placed(element: ElementTree.Element, path: str) -> Iterator[tuple[ElementTree.Element, str]]:
+    """Children with their paths; a tag that repeats among its siblings is numbered."""
+    repeated, seen = Counter(c.tag for c in element), Counter()
+    for child in element:
+        seen[child.tag] += 1
+        yield child, f"{path}/{child.tag}" + (f"[{seen[child.tag]}]" if repeated[child.tag] > 1 else "")
+
+
+def _class_of(element: ElementTree.Element) -> str | None:
+    found = CLASS_ID.match(element.findtext(CLASS_OF) or "")
+    return found[1] if found else None
+
+
+def element_links(root: ElementTree.Element) -> list[tuple[str, str | None, str, str | None, str, str | None]]:
+    """Links (link, subject, name, object, path, via) of each record's nested elements; records are the root's children that name a class.
+
+    An element is named by its property. One with a class of its own is the subject of what it holds; one without is a literal, so
+    what it holds qualifies the property (via). Structural elements are no links: they hand on what they stand in.
+    """
+    records = [r for r in root if r.find(CLASS_OF) is not None]
+    structural = {*STRUCTURAL, *(r.tag for r in records)}
+    out, todo = [], [(r, f"{r.tag}[{_class_of(r)}]", _class_of(r), None) for r in reversed(records)]
+    while todo:
+        element, path, subject, via = todo.pop()
+        below = []
+        for child, here in _placed(element, path):
+            if child.tag == CLASS_OF:
+                continue
+            cls, name = _class_of(child), child.tag.replace("_", " ")
+            is_link = child.tag not in structural
+            if is_link:
+                out.append((here, subject, name, cls, here, via))
+            below.append((child, here, cls or subject, None if cls else name if is_link else via))
+        todo += reversed(below)
+    return out
+
+
+def class_uses(root: ElementTree.Element) -> list[tuple[str, str | None, str, str]]:
+    """(path, id, label, raw) of every class that an element names, in document order."""
+    out, todo = [], [(root, "")]
+    while todo:
+        element, path = todo.pop()
+        placed = list(_placed(element, path))
+        for child, _ in placed:
+            raw = (child.text or "").strip()
+            if child.tag == CLASS_OF and raw:
+                found = CLASS_ID.match(raw)
+                out.append((path, found[1] if found else None, raw[found.end() :].strip() if found else "", raw))
+        todo += reversed(placed)
+    return out
+
+
+USE = "doc_id string, path string, id string, label string, raw string, error string"
+
+
+def read_class_uses(spark: SparkSession, path: str) -> DataFrame:
+    """What validate.label_findings checks: every class that the documents name, with its label."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(_per_file(lambda _, c: class_uses(ElementTree.fromstring(c)), [x.split()[0] for x in USE.split(", ")]), USE)
 
 
 def read_xml_links(spark: SparkSession, path: str) -> DataFrame:
