@@ -157,8 +157,8 @@ class Models:
         symbols[full] = own.ends - own.starts - 1
         return out, symbols
 
-    def documents(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cross-entropy per symbol of each text in each language, its number of symbols, and a symbol's variance as its words tell."""
+    def documents(self, texts: list[bytes], spread: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Cross-entropy per symbol of each text in each language, its number of symbols, and (spread) a symbol's variance as its words tell."""
         lists = [raw_words(t) for t in texts]
         code: defaultdict[bytes, int] = defaultdict()
         code.default_factory = code.__len__
@@ -166,7 +166,8 @@ class Models:
         codes = np.fromiter(map(code.__getitem__, chain.from_iterable(lists)), np.int64, int(lengths.sum()))
         names = list(code)
         parts = [self.costs([letters(w) for w in names[at : at + 20_000]]) for at in range(0, len(names), 20_000)]
-        total, symbols, variance = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.languages)))
+        total, symbols = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), np.int64)
+        variance = np.zeros_like(total) if spread else None
         full = np.flatnonzero(lengths)
         if len(full):
             bits, sizes = np.concatenate([p[0] for p in parts]).astype(np.float64), np.concatenate([p[1] for p in parts])
@@ -176,9 +177,10 @@ class Models:
             for k in range(len(self.languages)):
                 cost = bits[:, k][codes]
                 total[full, k] = np.add.reduceat(cost, starts)
-                mean = total[full, k] / np.maximum(symbols[full], 1)
-                variance[full, k] = np.add.reduceat((cost - np.repeat(mean, lengths[full]) * own) ** 2, starts)
-        return total / np.maximum(symbols, 1)[:, None], symbols, variance / np.maximum(symbols, 1)[:, None]
+                if spread:
+                    mean = total[full, k] / np.maximum(symbols[full], 1)
+                    variance[full, k] = np.add.reduceat((cost - np.repeat(mean, lengths[full]) * own) ** 2, starts) / np.maximum(symbols[full], 1)
+        return total / np.maximum(symbols, 1)[:, None], symbols, variance
 
     def distance(self, language: np.ndarray, cross: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """How far texts are from what is usual for a language, in standard deviations for their length."""
@@ -236,7 +238,7 @@ def _cross_fit(batches: Iterator[pa.RecordBatch], schema: pa.Schema, languages:
         for half, models in enumerate(reversed(halves)):
             part = batch.filter(pa.array(np.array(batch.column("half").to_pylist()) == half))
             if part.num_rows:
-                found, symbols, variance = models.documents(texts_of(part.column("text")))
+                found, symbols, variance = models.documents(texts_of(part.column("text")), spread=True)
                 cross = np.full((part.num_rows, len(languages)), np.inf)
                 at = [languages.index(x) for x in models.languages]
                 cross[:, at] = found
