@@ -291,12 +291,17 @@ class Learner:
     def __init__(self, weights: np.ndarray):
         self.weights, self.squares, self.counts = weights.copy(), np.full((GATES, WAYS), 1e-6), np.zeros((WAYS, 2 << WAY_BITS), np.int64)
         self.seen, self.met, self.hits = np.zeros(GATES), np.zeros((GATES, BUCKETS)), np.zeros((GATES, BUCKETS))
+        self.block = 1 << 11
 
-    def learn(self, own: Decisions, block: int = 1 << 14) -> None:
-        """Predicts block after block with what was counted before, then counts it and moves the weights on."""
-        for at in range(0, len(own.bit), block):
+    def learn(self, own: Decisions) -> None:
+        """Predicts block after block with what was counted before, then counts it and moves the weights on. Blocks grow to 2^16 decisions."""
+        at = 0
+        while at < len(own.bit):
+            block = self.block
             bit, gate, slots = own.bit[at : at + block], own.gate[at : at + block], [s[at : at + block] for s in own.slots]
-            odds = [np.log((self.counts[k][2 * s + 1] + DELTA) / (self.counts[k][2 * s] + DELTA)) for k, s in enumerate(slots)]
+            at, self.block = at + block, min(2 * block, 1 << 16)
+            tables = np.log((self.counts[:, 1::2] + DELTA) / (self.counts[:, ::2] + DELTA)) if block > 1 << WAY_BITS else None
+            odds = [np.log((self.counts[k][2 * s + 1] + DELTA) / (self.counts[k][2 * s] + DELTA)) if tables is None else tables[k][s] for k, s in enumerate(slots)]
             mixed = sum(self.weights[gate, k] * o for k, o in enumerate(odds))
             error, total = bit - _squash(mixed), np.bincount(gate, minlength=GATES)
             self.seen += total
@@ -325,22 +330,22 @@ class Mixing:
         key = own.text * GATES + own.gate
         there = np.bincount(key) > 0
         names, pair = np.flatnonzero(there), (np.cumsum(there) - 1)[key]
-        weights = self.weights[names % GATES]
+        weights = np.ascontiguousarray(self.weights[names % GATES].T)  # by predictor
         nth = np.arange(n) - np.searchsorted(own.text, np.arange(own.texts))[own.text]
-        stop = _size(nth // FIRST_STOP).astype(np.int64)
+        stop = _size(nth // FIRST_STOP).astype(np.uint8)
         order = np.argsort(stop, kind="stable")
-        ends = np.searchsorted(stop[order], np.arange(stop.max() + 2))
+        ends = np.cumsum([0, *np.bincount(stop)])
         cost = np.zeros(n)
         for a, z in zip(ends[:-1], ends[1:], strict=True):
             at = order[a:z]
             bit, to = own.bit[at], pair[at]
             odds = [self.odds[k][s[at]] for k, s in enumerate(own.slots)]
-            mixed = sum(weights[to, k] * o for k, o in enumerate(odds))
+            mixed = sum(w[to] * o for w, o in zip(weights, odds, strict=True))
             p = np.clip((_squash(mixed) + self.refined[own.gate[at], _bucket(mixed)]) / 2, 1e-6, 1 - 1e-6)
             cost[at] = np.log10(np.where(bit == 1, p, 1 - p))
             error, met = bit - _squash(mixed), np.bincount(to, minlength=len(names)) + FIRST_STOP
             for k, o in enumerate(odds):
-                weights[:, k] += ADAPT * np.bincount(to, error * o, len(names)) / met
+                weights[k] += ADAPT * np.bincount(to, error * o, len(names)) / met
         return out + np.bincount(own.text, cost, own.texts)
 
 
@@ -534,16 +539,19 @@ def _summed(df: DataFrame, work) -> dict[str, np.ndarray]:
     return {r["name"]: _unstated(bytes(r["value"])) for r in whole.collect()}  # a model of fixed size
 
 
-def _known_words(batches: Iterator[pa.RecordBatch], most: int = 50_000) -> Iterator[list[bytes]]:
+def _known_words(batches: Iterator[pa.RecordBatch], most: int = 50_000, once: bool = False) -> Iterator[list[bytes]]:
     for row in chain.from_iterable(b.to_pylist() for b in batches):
-        counts = unpacked(row["counts"])
-        words = [w for w, c in zip(unpacked_words(row["words"], row["n"]), counts.tolist(), strict=True) if c]
+        counts = unpacked(row["counts"]).tolist()
+        words = [w for w, c in zip(unpacked_words(row["words"], row["n"]), counts, strict=True) if (c == 1 if once else c)]
         for at in range(0, len(words), most):
             yield words[at : at + most]
 
 
 def fit_spelling(vocabulary: DataFrame) -> Spelling:
-    """Every token of the training texts counts once: what is spelt later are tokens that are not among them."""
+    """Every token of the training texts counts once: what is spelt later are tokens that are not among them.
+
+    Weights are learnt from those that occur once, each predicted by all others (from all tokens, should none occur once).
+    """
 
     def count(batches):
         counts, any_word = np.zeros((K, 2 << SLOT_BITS), np.int64), False
@@ -565,13 +573,16 @@ def fit_spelling(vocabulary: DataFrame) -> Spelling:
 
     def learn(batches):
         state = spell_weights(), np.full((SPELL_GATES, K), 1e-6), np.zeros(SPELL_GATES), np.zeros((256, BUCKETS)), np.zeros((256, BUCKETS))
-        for words in _known_words(batches):
+        for words in _known_words(batches, once=once):
             learn_spelling(words, given.value.tables, *state)
         weights, _, seen, met, hits = state
         if seen.any():
             yield from {"weights": weights * seen[:, None], "seen": seen, "met": met, "hits": hits}.items()
 
-    found = _summed(vocabulary, learn)
+    once = True
+    if not (found := _summed(vocabulary, learn)):
+        once = False
+        found = _summed(vocabulary, learn)
     given.unpersist()
     if found:
         seen = found["seen"][:, None]
