@@ -54,27 +54,37 @@ def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return own.select("id", F.col("id").alias("ancestor"), F.lit(0).cast("long").alias("distance")).unionByName(reach(edges).join(own, "id", "left_semi"))
 
 
-def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, depth: the longest walk up; a walk never enters a node twice.
-
-    Longest walks are doubled like shortest ones. That needs a hierarchy without cycles; what can reach a cycle is walked
-    path by path instead, which a sound model has none of.
-    """
-    own, above = nodes.select("id").distinct(), reach(edges)
-    back = above.select(F.col("ancestor").alias("id"), F.col("id").alias("ancestor"))
-    cyclic = above.join(back, ["id", "ancestor"], "left_semi").select("id").distinct()
-    caught = materialise(cyclic.unionByName(above.join(cyclic.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select("id")).distinct(), "cycles")
-    walked, before = materialise(_steps(edges).join(caught, "id", "left_anti").select("id", "ancestor", F.lit(1).cast("long").alias("hops")), "walks"), None
+def _longest(steps: DataFrame) -> DataFrame | None:
+    """id, ancestor, hops of the longest walks, by doubling; None as soon as a walk comes back to where it began."""
+    walked, before = materialise(steps.select("id", "ancestor", F.lit(1).cast("long").alias("hops")), "walks"), None
     for _ in range(MOST_DOUBLINGS):
-        state = walked.agg(F.count(F.lit(1)), F.sum("hops")).first()
+        state = walked.agg(F.count(F.lit(1)), F.sum("hops"), F.count_if(F.col("id") == F.col("ancestor"))).first()
+        if state[2]:
+            return None
         if state == before:
-            break
+            return walked
         before = state
         onward = walked.select(F.col("id").alias("middle"), "ancestor", F.col("hops").alias("more"))
         longer = walked.withColumnRenamed("ancestor", "middle").join(onward, "middle").select("id", "ancestor", (F.col("hops") + F.col("more")).alias("hops"))
         walked = materialise(walked.unionByName(longer).groupBy("id", "ancestor").agg(F.max("hops").alias("hops")), "walks")
+    raise RuntimeError(f"a hierarchy of more than 2^{MOST_DOUBLINGS} levels")
+
+
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, depth: the longest walk up; a walk never enters a node twice.
+
+    Longest walks are doubled like shortest ones. That needs a hierarchy without cycles; where there is one, what can reach it is
+    walked path by path instead, and only the rest is doubled.
+    """
+    own, steps, caught = nodes.select("id").distinct(), _steps(edges), None
+    if (walked := _longest(steps)) is None:
+        above = reach(edges)
+        back = above.select(F.col("ancestor").alias("id"), F.col("id").alias("ancestor"))
+        cyclic = above.join(back, ["id", "ancestor"], "left_semi").select("id").distinct()
+        caught = materialise(cyclic.unionByName(above.join(cyclic.withColumnRenamed("id", "ancestor"), "ancestor", "left_semi").select("id")).distinct(), "cycles")
+        walked = _longest(steps.join(caught, "id", "left_anti"))
     deep = walked.groupBy("id").agg(F.max("hops").alias("depth"))
-    if not caught.isEmpty():
+    if caught is not None:
         deep = deep.unionByName(_simple_walks(caught, edges))
     return own.join(deep, "id", "left").select("id", F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
 
