@@ -2,6 +2,11 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir). All but the last return the columns of
 documents. run() applies them to the whole documents table, in the shared work folder.
+
+Defined cases of every stage: null and empty texts have no letters, so language_id drops them; later stages, given such rows,
+treat them as equal to each other (exact_dedup), as near copies of each other (near_dedup), as clean (decontamination) and as
+the end token alone (packing). Very long texts are worked on whole. Of repeated rows and ties exactly one row stays in the two
+deduplicating stages. An empty table stays empty. Further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
