@@ -137,3 +137,28 @@ def test_newer_declarations(spark):
     assert [tuple(r) for r in classes.collect()] == [("E99", "Product Type", ["E55"], "A note in two lines.")]
     (p,) = properties.collect()
     assert (p.id, p.direct, p.inverse, p.domain, p.range, p.sub_property_of, p.quantification) == ("P200", "names", "is named in", "E1", "E55", ["P128"], "many to many")
+
+
+def test_documents_to_verdicts(spark, tmp_path):
+    from threadloom.operators import validate as V
+
+    m = model_of(spark, tmp_path)
+    head = "@prefix k: <http://k/> . @prefix e: <http://e/> . @prefix owl: <http://www.w3.org/2002/07/owl#> .\n"
+    docs = {"good": "e:a a k:K2_Thing . e:b a k:K2_Thing . e:a k:R1_made e:b .", "illegal": "e:a a k:K1_Entity . e:b a k:K1_Entity . e:a k:R1_made e:b .", "name": "e:a a k:K1_Entity . e:a k:R9_gone e:b .", "type": "e:a a k:K77_Gone .", "claim": "k:R1_made owl:inverseOf k:R2_noted .", "foreign": "e:a a k:K1_Entity . e:a e:other e:b .", "broken": "e:a a"}
+    for name, text in docs.items():
+        (tmp_path / f"{name}.ttl").write_text(head + text)
+    owned = spark.createDataFrame([("http://k/",)], "ns string")
+    kind, inverse = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "http://www.w3.org/2002/07/owl#inverseOf"
+    rows = {r.doc_id.rsplit("/", 1)[-1].removesuffix(".ttl"): r for r in V.validate_rdf(G.read_rdf(spark, f"file://{tmp_path}/*.ttl"), m, owned, kind, inverse).collect()}
+    assert {k: r.failed for k, r in rows.items()} == {"good": False, "illegal": True, "name": True, "type": True, "claim": True, "foreign": False, "broken": True}
+    assert rows["good"].verdicts == {"ok": 1} and rows["name"].verdicts == {"unknown_name": 1} and rows["foreign"].verdicts == {"not_in_model": 1} and rows["broken"].error
+    (tmp_path / "x1.xml").write_text("<set><item><in_class>K1: Entity</in_class><made><in_class>K2: Thing</in_class></made></item></set>")
+    (tmp_path / "x2.xml").write_text("<set><item><in_class>K2: Other Name</in_class><gone><in_class>K1: Entity</in_class></gone></item></set>")
+    path = f"file://{tmp_path}/x*.xml"
+    found = {r.doc_id[-6:]: r for r in V.validate_xml(G.read_xml_links(spark, path), G.read_class_uses(spark, path), m, owned).collect()}
+    assert not found["x1.xml"].failed and found["x2.xml"].failed and found["x2.xml"].labels == {"label_mismatch": 1} and found["x2.xml"].verdicts == {"unknown_name": 1}
+
+
+def test_readers_by_suffix(spark, tmp_path):
+    with pytest.raises(ValueError, match="no reader for 'pdf'"):
+        G.read_documents(spark, [f"file://{tmp_path}/a.pdf"])

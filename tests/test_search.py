@@ -86,3 +86,32 @@ def test_expansion():
     assert L.expand("the type E55", labels, ids) == []  # nothing that the query holds already
     assert L.expand("E55.1 and P25i", labels | {"P25": ["moved"]}, ids) == ["Type", "moved"]  # suffixes fold into the base
     assert L.expand("in timespans", labels, ids) == [] and L.expand("spanning E99 span", labels, ids) == []
+
+
+def test_whole_search(spark, index, tmp_path):
+    path = f"file://{tmp_path}/index"
+    assert S.write_index(index, path, buckets=4) == 7
+    stored = S.read_index(spark, path)
+    phrases = S.phrases_of(spark.createDataFrame([(1, "thesaurus of"), (2, "E55 vocabularies")], "query int, text string"))
+    take = lambda i: {(r.query, r.id): round(r.score, 9) for r in S.bm25(i, phrases, WEIGHTS).collect()}
+    assert take(stored) == take(index) and take(stored)
+    assert S.write_index(index, path, buckets=2) == 7  # built anew
+    stored = S.read_index(spark, path)
+    assert take(stored) == take(index)
+    vectors = spark.createDataFrame([(i, [float(i == k) + 0.1 for k in range(7)]) for i in range(1, 8)], "id int, v array<double>")
+    assert S.write_vectors(vectors, "id", "v", f"file://{tmp_path}/vectors") == 7
+    dense = spark.read.parquet(f"file://{tmp_path}/vectors")
+    records = spark.createDataFrame([(i, f"m{i}", f"t{i}", "ann" if i % 2 else "bob", f"{2000 + i}-01-01", ["E55"] if i < 5 else []) for i in range(1, 8)], "id int, message string, thread string, author string, date string, entities array<string>")
+    queries = spark.createDataFrame([(1, "thesaurus", [0.0] * 6 + [1.0]), (2, "about E55", [1.0] + [0.0] * 6)], "query int, text string, vector array<double>")
+    find = lambda **k: {(r.query, r.position): r.id for r in S.search(queries, stored, dense, records, **({"most": 3, "weights": WEIGHTS} | k)).collect()}
+    assert find()[1, 1] in (1, 2, 3, 4) and len(find()) == 6
+    assert find(mode="vector")[1, 1] == 6 and find(mode="bm25")[2, 1] in (1, 3, 4, 7)
+    assert set(find(author="BOB", after=2003).values()) <= {4, 6} and set(find(entity="E55").values()) <= {1, 2, 3, 4}
+    names = spark.createDataFrame([("E55", "vocabularies")], "id string, label string")
+    assert {2, 6} <= set(find(mode="bm25", names=names, most=7).values())
+    with pytest.raises(ValueError):
+        find(mode="fuzzy")
+    kinds = spark.createDataFrame([("a", "narrative"), ("b", "issue")], "id string, kind string")
+    assert [r.id for r in S.of_kinds(kinds, None, ["narrative"], ["narrative", "issue"]).collect()] == ["a"] and S.of_kinds(kinds, "issue", ["narrative"], ["narrative", "issue"]).count() == 1
+    with pytest.raises(ValueError, match="unknown kind x"):
+        S.of_kinds(kinds, ["x"], ["narrative"], ["narrative", "issue"])

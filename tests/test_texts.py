@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.functions import chunking as K
 from threadloom.functions import cleaning as L
@@ -114,3 +115,25 @@ def test_closest_candidates_come_from_whole_texts(spark, sf):
     for d, i in plain:
         a, b = norm(phrases[i]), norm(texts[d])
         assert rows[d, i] == round(SequenceMatcher(None, a, b, autojunk=False).find_longest_match(0, len(a), 0, len(b)).size / len(a), 3)
+
+
+def test_table_rows(spark):
+    page = "<table><tr><th>No</th><th>Title</th></tr><tr><td><a href='/i/7'>Issue 7</a></td><td>On <b>types</b></td><td>Done</td></tr><tr></tr></table>"
+    assert M.html_rows(page)[1] == [{"text": "Issue 7", "href": "/i/7"}, {"text": "On types", "href": None}, {"text": "Done", "href": None}]
+    from threadloom.sources.files import register_rows
+
+    rows = register_rows(spark.createDataFrame([(page,), (None,)], "html string"), "html", {"title": 1, "status": 2}).collect()
+    assert [tuple(r) for r in rows] == [(7, "/i/7", "On types", "Done")]
+
+
+def test_attributions_and_headers():
+    assert L.is_attribution("On Monday A wrote:") and not L.is_attribution("He wrote a book") and not L.is_attribution("x" * 199 + " wrote:") and L.is_attribution("---- Original Message ----")
+    assert M.header("=?utf-8?B?w6k=?=\n =?utf-8?B?w6k=?=") == "éé" and M.header("=?nosuch?Q?abc?=") == "=?nosuch?Q?abc?="
+
+
+def test_line_forms(spark):
+    rows = ["> > a", "| b", "| a | b |", "plain", ">", "   > x"]
+    from threadloom.functions import text as X
+
+    got = [tuple(r) for r in spark.createDataFrame([(x,) for x in rows], "t string").select(X.quote_depth("t"), X.unquoted("t"), X.is_quoted("t"), X.is_apparatus(F.array("t"), F.lit("References"))).collect()]
+    assert got == [(2, "a", True, False), (1, "b", True, False), (1, "a | b |", False, False), (0, "plain", False, False), (1, "", True, False), (1, "x", True, False)]

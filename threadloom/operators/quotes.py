@@ -94,11 +94,11 @@ def closest_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id for all texts (doc_id, text) and phrases (item_id, phrase; few enough to broadcast) that share, anywhere
+    """doc_id, item_id for all texts (doc_id, text) and phrases (item_id, phrase; short phrases are bounded) that share, anywhere
     in either, a term of more than TERM_LETTERS letters or RUN tokens in a row; a phrase of fewer tokens is shared whole."""
     features = lambda words: F.explode(F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w) > TERM_LETTERS), F.when(F.size(words) >= RUN, F.transform(F.sequence(F.lit(1), F.size(words) - RUN + 1), lambda k: F.array_join(F.slice(words, k, RUN), " "))).otherwise(F.array().cast("array<string>")))))
     d, i = docs.select("doc_id", X.tokens("text").alias("w")), items.select("item_id", X.tokens("phrase").alias("w"))
-    met = d.select("doc_id", features(F.col("w")).alias("f")).join(F.broadcast(i.select("item_id", features(F.col("w")).alias("f"))), "f").select("doc_id", "item_id")
+    met = d.select("doc_id", features(F.col("w")).alias("f")).join(i.select("item_id", features(F.col("w")).alias("f")), "f").select("doc_id", "item_id")
     padded = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
     short = i.where((F.size("w") > 0) & (F.size("w") < RUN)).select("item_id", padded(F.col("w")).alias("p"))
     if short.limit(MOST_SHORT + 1).count() > MOST_SHORT:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.chunking import recursive_split_udf
+from .corpus import heading_path
 
 CHUNK = ("chunk_id", "doc_id", "doc_title", "cite", "kind", "concept_id", "section_path", "heading", "text", "entities", "entities_historical")
 
@@ -16,6 +17,29 @@ def _entities(df: DataFrame, known: Column, pattern: str = X.IDENTIFIER) -> Data
     return df.withColumn("__e", found).select("*", F.col("__e.current").alias("entities"), F.col("__e.historical").alias("entities_historical")).select(*CHUNK)
 
 
+def document_blocks(paragraphs: DataFrame, label_styles: list[str], skip_tables_under: tuple[str, ...] = (), levels: int = 4) -> DataFrame:
+    """Blocks (doc_id, pos, kind, concept_id, section_path, heading, text) of paragraphs (doc_id, pos, style, text).
+
+    A heading style (`Heading 2`) opens a narrative block and moves the path; a label style opens the declaration of the concept that
+    its text begins with. All else belongs to the block that is open; what stands before the first one is dropped, as are
+    narrative blocks without text and tables under the headings that are named.
+    """
+    level = F.regexp_extract("style", rf"^Heading ?([1-{levels}])$", 1).try_cast("int")
+    marked = paragraphs.withColumn("style", F.coalesce("style", F.lit(""))).withColumn("level", level).withColumn("is_label", F.col("style").isin(label_styles))
+    placed = heading_path(marked, "doc_id", "pos", "level", "text", levels)
+    own = placed.where(~((F.col("style") == "Table") & F.coalesce(F.get("path", 0).isin(*skip_tables_under), F.lit(False)))) if skip_tables_under else placed
+    opens = F.col("level").isNotNull() | F.col("is_label")
+    cut = own.withColumn("opens", opens).withColumn("nth", F.sum(opens.cast("int")).over(Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).where("nth > 0")
+    line = F.when(~F.col("opens") & (F.trim("text") != ""), F.struct("pos", F.trim("text").alias("text")))
+    head = lambda c: F.max(F.when(F.col("opens"), F.col(c)))
+    blocks = cut.groupBy("doc_id", "nth").agg(head("pos").alias("pos"), head("is_label").alias("is_label"), head("text").alias("heading"), F.max(F.when(F.col("opens"), F.struct("pos", "path"))).alias("p"), F.array_sort(F.collect_list(line)).alias("lines"))
+    text = F.array_join(F.transform("lines", lambda x: x["text"]), "\n")
+    kind = F.when(F.col("is_label"), "declaration").otherwise("narrative")
+    concept = F.when(F.col("is_label"), F.nullif(F.regexp_extract("heading", r"^([A-Z]+\d+)\b", 1), F.lit("")))
+    out = blocks.select("doc_id", "pos", kind.alias("kind"), concept.alias("concept_id"), F.col("p.path").alias("section_path"), F.trim("heading").alias("heading"), text.alias("text"))
+    return out.where((F.col("kind") == "declaration") | (F.col("text") != ""))
+
+
 def _numbered(prefix: Column, number: Column, width: int = 4) -> Column:
     return F.concat(prefix, F.lit("s"), F.when(number < 10**width, F.lpad(number.cast("string"), width, "0")).otherwise(number.cast("string")))
 
@@ -61,6 +85,23 @@ def issue_chunks(pages: DataFrame, register: DataFrame, archive_keys: DataFrame,
     return _entities(shape(outcome).unionByName(shape(pieces)), known, pattern), stats
 
 
+#: How many of a list are told at most.
+MOST_TOLD = {"siblings": 10, "narratives": 3, "entities": 6, "heading_issues": 8}
+
+
+def told(column: Column | str, kind: str) -> Column:
+    """The part of a sorted list that an answer tells."""
+    return F.slice(X.col(column), 1, MOST_TOLD[kind])
+
+
+def all_records(*kinds: DataFrame) -> DataFrame:
+    """Records of several kinds as one table; what a kind lacks is null."""
+    out = kinds[0]
+    for df in kinds[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def episode_text(topic: str = "topic", question: str = "question", positions: str = "positions", detail: str = "outcome_detail", entities: str = "entities") -> Column:
     """What an episode is searched by: topic, question, who said what, how it ended, its concepts; empty parts are left out."""
     said = F.array_join(F.transform(F.col(positions), lambda p: F.concat_ws(": ", F.coalesce(p["who"], F.lit("None")), F.coalesce(p["position"], F.lit("None")))), " ")

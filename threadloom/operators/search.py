@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .lexicon import expanded
 from .worktables import global_rank, materialise
 
 # Fixed values of ranking.
@@ -242,6 +243,46 @@ def hybrid(lexical: DataFrame | None, dense: DataFrame | None, records: DataFram
         pool = min(2 * pool, store_size)
 
 
+def of_kinds(records: DataFrame, kinds: str | Sequence[str] | None, default: Sequence[str], known: Sequence[str]) -> DataFrame:
+    """Records of some kinds (None: the default ones); an unknown kind is an error that tells the known ones."""
+    wanted = list(default) if kinds is None else [kinds] if isinstance(kinds, str) else list(kinds)
+    if wrong := sorted(set(wanted) - set(known)):
+        raise ValueError(f"unknown kind {', '.join(wrong)}; there are {', '.join(sorted(known))}")
+    return records.where(F.col("kind").isin(wanted))
+
+
+def search(
+    queries: DataFrame, index: LexicalIndex | None, vectors: DataFrame | None, records: DataFrame, most: int = 10, mode: str = "hybrid", names: DataFrame | None = None, stops: Sequence[str] = (),
+    author: str | None = None, after: int | None = None, before: int | None = None, entity: str | None = None, weights: dict[str, float] | None = None, per_thread: int | None = HITS_PER_THREAD, widen: bool = True,
+) -> DataFrame:
+    """query, id, position, score, and the records' columns for a batch of queries (query, text, vector): the whole search.
+
+    names (id, label) widens the words by what the query names; an entity that is filtered on is searched for too. A query that names
+    an identifier weighs both lists alike, others the dense one twice. Filters come after ranking and widen the pool up to the
+    store. records: id, message, thread, author, date, entities and what else is asked for.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    text = queries.select("query", "text")
+    if names is not None:
+        more = expanded(text, names, list(stops)).select("query", "terms")
+        text = text.join(more, "query").select("query", F.concat_ws(" ", "text", F.nullif(F.replace("terms", F.lit(","), F.lit(" ")), F.lit(""))).alias("text"))
+    if entity is not None:
+        text = text.select("query", F.concat_ws(" ", "text", F.lit(entity)).alias("text"))
+    lexical = bm25(index, phrases_of(text), weights or {"text": 1.0}) if index is not None and mode != "vector" else None
+    dense = cosine(vectors, queries.select("query", "vector"), "id", "vector") if vectors is not None and mode != "bm25" else None
+    names_one = queries.select("query", F.col("text").rlike(f"(?i){X.IDENTIFIER}").alias("exact"))
+    asked = any(x is not None for x in (author, after, before, entity))
+    size = (max(index.docs or 0, records.count()) if index is not None else records.count()) if asked and widen else None
+    out = None
+    for exact in (True, False):  # the two ways to weigh the lists; every query goes one of them
+        own = names_one.where(F.col("exact") if exact else ~F.col("exact")).select("query")
+        one, two = (None if x is None else x.join(own, "query", "left_semi") for x in (lexical, dense))
+        found = hybrid(one, two, records, most, (1.0, 1.0 if exact else 2.0), mode, per_thread, lambda h: filtered(h, author, after, before, entity), size)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def starved(out: DataFrame, most: int) -> bool:
     """Whether some query got fewer than `most` hits (or none at all did)."""
     least = out.groupBy("query").count().agg(F.min("count")).first()[0]

@@ -13,6 +13,14 @@ VERDICTS = ("not_in_model", "unknown_name", "unchecked", "attached_to_property",
 FAILING = ("illegal", "unknown_name", "unknown_class", "not_a_class_link")
 
 
+#: The order in which each kind of result is told.
+ORDERS = {"links": ("path", "name"), "claims": ("subject", "object"), "findings": ("path", "raw"), "completeness": ("class_id", "property_id")}
+
+
+def ordered(df: DataFrame, kind: str) -> DataFrame:
+    return df.orderBy(*ORDERS[kind])
+
+
 def candidates(m: Model, names: DataFrame) -> DataFrame:
     """name, property_id, inverse, qualifier: readings of names; only the first kind of reading that fits counts.
 
@@ -117,6 +125,53 @@ def completeness(m: Model, links: DataFrame) -> DataFrame:
     return counted.where("missing > 0")
 
 
+# What makes a document of either form fail.
+RDF_FAILING = FAILING
+XML_FAILING = ("unknown_name", "illegal", "unknown_class", "attached_to_property")
+BAD_TYPES, BAD_CLAIMS, BAD_LABELS = ("unknown_class", "not_a_class"), ("not_invertible", "contradicted"), ("malformed", "unknown_class")
+
+
+def _counted(found: DataFrame, value: str, name: str) -> DataFrame:
+    """doc_id and a map of how often each value was found."""
+    counts = found.groupBy("doc_id", value).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(value, "n")))).alias(name))
+
+
+def _verdict(files: DataFrame, parts: list[tuple[DataFrame, str, tuple[str, ...]]]) -> DataFrame:
+    """doc_id, error, the counts of each part, and failed: a document that can't be read fails, as does one with a bad value in any part."""
+    out, bad = files, F.col("error").isNotNull()
+    for counts, name, failing in parts:
+        out = out.join(counts, "doc_id", "left")
+        for value in failing:
+            bad = bad | (F.coalesce(F.try_element_at(name, F.lit(value)), F.lit(0)) > 0)
+    return out.withColumn("failed", bad)
+
+
+def validate_rdf(triples: DataFrame, m: Model, owned: DataFrame, type_uri: str, inverse_uri: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: doc_id, error, verdicts of links, findings of types, verdicts of inverse claims, failed.
+
+    triples as read_rdf gives them; a document's own inverse claims (inverse_uri) also tell how its predicates are read.
+    """
+    own = triples.where("error IS NULL")
+    claims = own.where(F.col("predicate") == inverse_uri)
+    links = rdf_links(own, claims.select("subject", "object"), m, type_uri, (inverse_uri, *skip))
+    verdicts = document_verdicts(m, links, owned).join(links.select("link", "doc_id"), "link")
+    types = type_findings(m, own.where(F.col("predicate") == type_uri).select(F.concat_ws("|", "doc_id", "subject").alias("path"), F.col("object").alias("uri")), owned).select(F.split("path", r"\|")[0].alias("doc_id"), F.col("verdict").alias("finding"))
+    judged = claims.select("doc_id", "subject", "object").join(inverse_claims(m, claims.select("subject", "object").distinct()), ["subject", "object"]).select("doc_id", F.col("verdict").alias("claim"))
+    files = triples.groupBy("doc_id").agg(F.max("error").alias("error"))
+    return _verdict(files, [(_counted(verdicts, "verdict", "verdicts"), "verdicts", RDF_FAILING), (_counted(types, "finding", "types"), "types", BAD_TYPES), (_counted(judged, "claim", "claims"), "claims", BAD_CLAIMS)])
+
+
+def validate_xml(links: DataFrame, uses: DataFrame, m: Model, owned: DataFrame) -> DataFrame:
+    """One row a document: doc_id, error, verdicts of links, findings of class labels, failed. links and uses as read_xml_links and read_class_uses give them."""
+    null = lambda kind: F.lit(None).cast(kind)
+    own = links.where("error IS NULL").select("doc_id", F.concat_ws("|", "doc_id", "link").alias("link"), "subject", null("array<string>").alias("subject_types"), "name", "object", null("array<string>").alias("object_types"), null("string").alias("predicate_uri"), "via_property", "path")
+    verdicts = document_verdicts(m, own, owned).join(own.select("link", "doc_id"), "link")
+    labels = label_findings(m, uses.where("error IS NULL").select("raw", F.concat_ws("|", "doc_id", "path").alias("path"), "id", "label")).select(F.split("path", r"\|")[0].alias("doc_id"), F.col("verdict").alias("finding"))
+    files = links.select("doc_id", "error").unionByName(uses.select("doc_id", "error")).groupBy("doc_id").agg(F.max("error").alias("error"))
+    return _verdict(files, [(_counted(verdicts, "verdict", "verdicts"), "verdicts", XML_FAILING), (_counted(labels, "finding", "labels"), "labels", BAD_LABELS)])
+
+
 def uri_index(m: Model) -> DataFrame:
     """key (lower-cased local name or id), id, inverse, kind; the first writer of a key wins (classes, properties, inverses)."""
     rows = m.classes.select("id", F.lit(False).alias("inverse"), F.lit("class").alias("kind"), F.lower("id").alias("key"), F.lit(0).alias("prio"))

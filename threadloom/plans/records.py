@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.mail import html_rows_udf
 from ..operators import corpus as C
 from ..operators import episodes as P
 from ..operators import evals as E
@@ -387,6 +388,42 @@ def x40_prompts(spark, sf):
     return P.prompts(_members(spark, sf), own, 2).select("thread", "chars")
 
 
+DISCUSSED = "m AS (SELECT conv_id, concat('2024-01-', lpad((1 + turn % 28)::VARCHAR, 2, '0')) AS date, unnest(list_distinct([(conv_id % 70)::INT, (turn * 3 % 40)::INT])) AS issue FROM conversations), k AS (SELECT issue, concat('t', conv_id) AS thread, count(*) AS n, min(date) AS a, max(date) AS z FROM m WHERE issue IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY ALL)"
+
+
+@query(f"WITH {DISCUSSED} SELECT issue, count(*) AS thread_count, sum(n) AS mentions, min(a) AS first_mention, max(z) AS last_mention, md5(string_agg(concat(a, ':', thread, ':', z, ':', n), ',' ORDER BY a, thread)) AS threads FROM k GROUP BY issue")
+def j4_issue_threads(spark, sf):
+    """Numbers that messages name as issues, those that the register knows, through the messages' threads to an index of issues."""
+    own = _messages(spark, sf)
+    text = F.concat(F.lit("on issue "), (F.col("conv_id") % 70).cast("string"), F.lit(" and Issue #"), (F.col("turn") * 3 % 40).cast("string"), F.lit(", 3rd draft"))
+    named = own.select("id", F.concat(F.lit("2024-01-"), F.lpad((F.col("turn") % 28 + 1).cast("string"), 2, "0")).alias("date"), F.explode(X.issue_numbers(text)).alias("issue"))
+    register = table(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").cast("int").alias("issue"))
+    found = named.join(register, "issue", "left_semi").join(_members(spark, sf).select("id", "thread"), "id")
+    index = C.issue_index(found)
+    flat = F.array_join(F.transform("threads", lambda t: F.concat_ws(":", t["first_mention"], t["thread"], t["last_mention"], t["mentions"].cast("string"))), ",")
+    return index.select("issue", "thread_count", "mentions", "first_mention", "last_mention", F.md5(flat).alias("threads"))
+
+
+@query("SELECT lang AS kind, count(*) AS n, count(n_chars) AS with_chars, 0 AS with_turn FROM documents GROUP BY lang UNION ALL SELECT concat('turn ', role), count(*), 0, count(turn) FROM conversations GROUP BY role")
+def u8_all_records(spark, sf):
+    """Records of several kinds as one table."""
+    whole = R.all_records(table(spark, sf, "documents").select(F.col("lang").alias("kind"), "n_chars"), table(spark, sf, "conversations").select(F.concat(F.lit("turn "), "role").alias("kind"), "turn"))
+    return whole.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count("n_chars").alias("with_chars"), F.count("turn").alias("with_turn"))
+
+
+@query("SELECT conv_id, array_to_string(list_sort(list(DISTINCT role || turn))[1:6], ',') AS entities FROM conversations GROUP BY conv_id")
+def t12_told(spark, sf):
+    """The first six of each list, as an answer tells them."""
+    own = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set(F.concat("role", F.col("turn").cast("string")))).alias("all"))
+    return own.select("conv_id", F.array_join(R.told("all", "entities"), ",").alias("entities"))
+
+
+@query(r"SELECT page_id, length(html) - length(replace(lower(html), '<tr', '<t')) AS rows FROM pages")
+def s23_table_rows(spark, sf):
+    """Table rows of every page (a row without cells would not count)."""
+    return table(spark, sf, "pages").select("page_id", F.size(html_rows_udf("html")).cast("long").alias("rows"))
+
+
 @query()
 def t14_audit_sample(spark, sf):
     """The same hundred documents whenever it is asked (an audit's sample is its feature)."""

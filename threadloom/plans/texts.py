@@ -57,7 +57,7 @@ def x20_closest(spark, sf):
     """How much of each benchmark passage each of its candidate documents holds as one run (tested against difflib)."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    return Q.candidates(docs, items).join(docs, "doc_id").join(F.broadcast(items), "item_id").select("doc_id", "item_id", Q.closest_udf("text", "phrase").alias("score"))
+    return Q.candidates(docs, items).join(docs, "doc_id").join(items, "item_id").select("doc_id", "item_id", Q.closest_udf("text", "phrase").alias("score"))
 
 
 MAIL = "concat(text, chr(10), '-- ', chr(10), 'sent from afar')"
@@ -104,10 +104,16 @@ def w11_pack_shards(spark, sf):
     return K.shard_numbers(sizes, "part", "conv_id", "chars")
 
 
-@query("SELECT page_id, false AS has_tags, true AS has_title_word FROM pages")
+#: Pages as plain text by patterns: heads and comments go, block tags break lines, cells are parted, other tags go, entities are resolved.
+PLAIN = r"""regexp_replace(html, '(?is)<head>.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"""
+PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({PLAIN}, '(?i)<(p|br|div|tr|li)(\s[^>]*)?/?>', chr(10), 'g'), '(?i)<(td|th)(\s[^>]*)?>', ' ', 'g'), '<[^>]+>', '', 'g')"
+PLAIN = f"replace(replace(replace(replace(replace(replace({PLAIN}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+PLAIN = rf"trim(regexp_replace(replace({PLAIN}, chr(13), ''), '[ \t]*\n[ \t]*', chr(10), 'g'), concat(' ', chr(10), chr(9)))"
+
+
+@query(f"SELECT page_id, md5({PLAIN}) AS plain FROM pages")
 def x3_html_text(spark, sf):
-    own = table(spark, sf, "pages").select("page_id", "html", M.html_text_udf("html").alias("t"))
-    return own.select("page_id", F.col("t").rlike(r"<(p|div|script|a)[ >]").alias("has_tags"), (F.length("t") > 0).alias("has_title_word"))
+    return table(spark, sf, "pages").select("page_id", F.md5(M.html_text_udf("html")).alias("plain"))
 
 
 @query()
@@ -115,18 +121,21 @@ def x22_paragraphs(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.posexplode(M.html_paragraphs_udf("html")).alias("pos", "paragraph"))
 
 
-@query("SELECT page_id, concat('url ', page_id) AS status, 2 AS fields FROM pages")
+@query("SELECT page_id, concat('url ', page_id) AS status, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<div class=\"ad\">(.*?)</div>', 1), '<[^>]+>', '', 'g'), '&amp;', '&', 'g'), '\\s+', ' ', 'g')) AS ad, 2 AS fields FROM pages")
 def x23_fields(spark, sf):
-    wrapped = F.concat(F.lit('<div class="x field--name-field-status"><div class="in"><p>url '), F.col("page_id").cast("string"), F.lit('</p></div></div><div class="field--name-body"><div>'), F.lit("text</div></div>"))
-    own = table(spark, sf, "pages").select("page_id", M.html_fields_udf(wrapped).alias("f"))
-    return own.select("page_id", F.col("f")["field-status"][0].alias("status"), F.size("f").alias("fields"))
+    """Fields by class: one put around a page, and the advertisement that every page has."""
+    wrapped = F.concat(F.lit('<div class="x ad-field-status"><div class="in"><p>url '), F.col("page_id").cast("string"), F.lit("</p></div></div>"), "html")
+    own = table(spark, sf, "pages").select("page_id", M.html_fields_of("ad")(wrapped).alias("f"))
+    return own.select("page_id", F.col("f")["-field-status"][0].alias("status"), F.array_join(F.col("f")[""], " ").alias("ad"), F.size("f").alias("fields"))
 
 
 @query("SELECT doc_id, md5(text) AS decoded FROM documents")
 def x1_decode(spark, sf):
-    """Bytes whose declared character set is wrong or unknown come back as the text that they were."""
+    """Bytes whose declared character set is wrong or unknown come back as the text that they were; a third of the texts is not in UTF-8."""
     charset = F.when(F.col("doc_id") % 3 == 0, "no-such-charset").when(F.col("doc_id") % 3 == 1, "utf-8")
-    return table(spark, sf, "documents").select("doc_id", F.md5(M.decode_udf(F.encode("text", "UTF-8"), charset)).alias("decoded"))
+    western = (F.col("doc_id") % 3 == 1) & F.col("text").rlike(r"\A[\x00-\x7F\u00A0-\u00FF]*\z")
+    raw = F.when(western, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(M.decode_udf(raw, charset)).alias("decoded"))
 
 
 @query("SELECT event_id, concat('Grüße ', event_type) AS subject FROM events")

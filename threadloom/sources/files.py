@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.mail import MESSAGE, parse_message_udf
+from ..functions.mail import MESSAGE, html_rows_udf, parse_message_udf
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -46,6 +46,14 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.regexp_extract(F.col("_metadata.file_path"), r"/(\d+)\.html$", 1).try_cast("int").alias("id"), F.col("value").alias("html")).where("id IS NOT NULL") if "value" in raw.columns and exists(spark, f"{folder}/*.html") else spark.createDataFrame([], "id int, html string")
 
 
+def register_rows(pages: DataFrame, html: str, columns: dict[str, int], id_pattern: str = r"(\d+)") -> DataFrame:
+    """id, href, and the named cells (name -> place in a row) of every table row of the pages whose first cell holds a number."""
+    rows = pages.select(F.explode(html_rows_udf(html)).alias("r"))
+    ident = F.regexp_extract(F.get("r", 0)["text"], id_pattern, 1).try_cast("int")
+    link = F.get(F.filter(F.transform("r", lambda c: c["href"]), lambda h: h.isNotNull()), 0)
+    return rows.select(ident.alias("id"), link.alias("href"), *[F.get("r", k)["text"].alias(name) for name, k in columns.items()]).where("id IS NOT NULL")
+
+
 def read_mbox(spark: SparkSession, path: str) -> DataFrame:
     """Messages of mbox files, parsed in the workers; a file is split at its `From ` lines, so large archives are read in parallel."""
     raw = spark.read.option("lineSep", "\nFrom ").text(path).where(F.trim("value") != "")

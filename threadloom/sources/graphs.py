@@ -360,11 +360,28 @@ def docx_paragraphs(content: bytes) -> Iterator[tuple[int, str | None, str]]:
                 n += 1
 
 
-def read_docx(spark: SparkSession, path: str) -> DataFrame:
+def read_docx(spark: SparkSession, path: str | list[str]) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(_per_file(lambda _, c: docx_paragraphs(c), [x.split()[0] for x in PARAGRAPH.split(", ")]), PARAGRAPH)
 
 
+READERS = {"docx": read_docx}
+
+
+def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Paragraphs of documents, each by the reader of its suffix; a suffix without one is an error."""
+    by_suffix: dict[str, list[str]] = {}
+    for path in paths:
+        suffix = path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+        if suffix not in READERS:
+            raise ValueError(f"no reader for {suffix!r} ({path}); there are {', '.join(sorted(READERS))}")
+        by_suffix.setdefault(suffix, []).append(path)
+    out = spark.createDataFrame([], PARAGRAPH)
+    for suffix, own in sorted(by_suffix.items()):
+        out = out.unionByName(READERS[suffix](spark, own))
+    return out
+
+
 def schema_rows(triples: DataFrame) -> DataFrame:
     """id, label, kind, parents, domain, range from RDFS triples; a label in English or without language, an id from the local name."""
     local = lambda c: F.regexp_extract(c, r"([^/#]+)$", 1)
