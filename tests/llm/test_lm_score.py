@@ -205,3 +205,11 @@ def test_numbers_come_back():
     assert lm_score.unpacked_words(lm_score.packed_words([b"", b"a"]), 2) == [b"", b"a"] and lm_score.unpacked_words(lm_score.packed_words([b""]), 1) == [b""]
     same = Bits([b"abcab", b"ab"]).contexts[ORDERS.index(5)]
     assert same[0] == same[6] and same[1] == same[7] and same[2] == same[8]  # equal prefixes
+
+
+def test_places_in_order():
+    rng = np.random.default_rng(4)
+    for keys in (np.zeros(0, np.uint64), rng.integers(0, 50, 400).astype(np.uint64), rng.integers(0, 1 << 63, 400).astype(np.uint64) << np.uint64(1)):
+        order, of = lm_score.ranked(keys)
+        names, at = np.unique(keys, return_inverse=True)
+        assert (keys[order] == np.sort(keys)).all() and (at[order] == of).all()

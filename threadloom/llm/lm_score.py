@@ -5,8 +5,8 @@ has it been met after the two tokens before it; after the one before it; at all.
 token's share among what was met there; a token that was never met is spelt bit by bit. Every bit, decision or spelt, is
 predicted by several predictors, each of which looks counts up under another hashed context (WAYS contexts of counts,
 history and runs for decisions; the last 1, 2, 3 and 5 bytes for spelt bits). Their log-odds are mixed with weights that a gate
-chooses; the weights are learnt by online gradient steps, and the mixture is refined by an adaptive map from (gate, log-odds)
-to observed frequency. While a text is coded, its weights go on learning from what was coded of it before (at bits 32, 64, 128
+chooses; the weights are learnt by online gradient steps through each segment of training text (about a million words) and
+averaged over segments, and the mixture is refined by an adaptive map from (gate, log-odds) to observed frequency. While a text is coded, its weights go on learning from what was coded of it before (at bits 32, 64, 128
 and so on) and begin anew with the next text, so a score doesn't depend on how rows are dealt out.
 
 What is gathered from the corpus grows with it and stays distributed: counts of tokens and of two and three tokens in a row.
@@ -68,15 +68,15 @@ def _centres() -> np.ndarray:
     return _squash((np.arange(BUCKETS) / 2 - 8)[None, :])
 
 
-def _compressed(raw: bytes) -> bytes:
-    return pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+def _compressed(raw: bytes, level: int = 3) -> bytes:
+    return pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
-def packed(values: np.ndarray) -> bytes:
+def packed(values: np.ndarray, level: int = 3) -> bytes:
     """Whole numbers >= 0 in as few bytes each as the largest needs, byte by byte of all, compressed."""
     width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << 8 * w)
     raw = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    return bytes([width]) + len(raw).to_bytes(8, "little") + _compressed(raw)
+    return bytes([width]) + len(raw).to_bytes(8, "little") + _compressed(raw, level)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -229,6 +229,7 @@ def learn_spelling(words: list[bytes], tables: np.ndarray, weights: np.ndarray,
 WAYS = 6  # predictors of a decision
 WAY_BITS = 14
 GATES = 3 * 4 * 4
+MIX_STEP = 0.08
 ADAPT = 0.3  # step of a text's own weights
 FIRST_STOP = 32  # decisions of a text after which its weights are first moved on
 
@@ -311,7 +312,7 @@ class Learner:
             for k, o in enumerate(odds):
                 slope = np.bincount(gate, error * o, GATES) / np.maximum(total, 1)
                 self.squares[:, k] += slope**2
-                self.weights[:, k] += STEP * slope / np.sqrt(self.squares[:, k])
+                self.weights[:, k] += MIX_STEP * slope / np.sqrt(self.squares[:, k])
                 self.counts[k] += np.bincount(2 * slots[k] + bit, minlength=2 << WAY_BITS)
 
 
@@ -355,7 +356,7 @@ SEGMENT = T.StructType().add("segment", "long").add("n_tokens", "long").add("n_d
 SENT = T.StructType().add("bucket", "long").add("segment", "long").add("n", "long").add("names", "binary").add("train", "binary")
 VOCABULARY = T.StructType().add("bucket", "long").add("n_train", "long").add("n_types", "long").add("n", "long").add("words", "binary").add("counts", "binary").add("segments", T.ArrayType(T.LongType())).add("members", T.ArrayType(T.BinaryType()))
 VALUES = T.StructType().add("segment", "long").add("kind", "integer").add("bucket", "long").add("counts", "binary").add("spelt", "binary")
-COUNTED = T.StructType().add("doc_ids", T.ArrayType(T.LongType())).add("held", T.ArrayType(T.BooleanType())).add("lengths", "binary").add("sizes", "binary").add("c1", "binary").add("c2", "binary").add("c3", "binary").add("spelt", "binary")
+COUNTED = T.StructType().add("doc_ids", T.ArrayType(T.LongType())).add("held", T.ArrayType(T.BooleanType())).add("lengths", "binary").add("sizes", "binary").add("c1", "binary").add("c2", "binary").add("c3", "binary").add("spelt", "binary").add("state", T.ArrayType(T.BinaryType()))
 OUT = T.StructType().add("doc_id", "long").add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double").add("bits_per_byte", "double")
 
 
@@ -405,6 +406,21 @@ def ngrams(words: list[bytes], codes: np.ndarray, lengths: np.ndarray, width: in
     return np.concatenate([pair, _mixed(_mixed(two, one) + np.uint64(1), own)]) >> np.uint64(64 - width)
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in their order, and there the number of the distinct key (0 for the least).
+
+    Keys and places that fit into 64 bits together are sorted as one number, which is many times faster than by reference.
+    """
+    bits = len(keys).bit_length()
+    if len(keys) and int(keys.max()).bit_length() + bits <= 64:
+        both = np.sort(keys << np.uint64(bits) | np.arange(len(keys), dtype=np.uint64))
+        order, found = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+    else:
+        order = np.argsort(keys, kind="stable")
+        found = keys[order]
+    return order, np.cumsum(np.concatenate([[False], found[1:] != found[:-1]])) if len(keys) else order
+
+
 def _send_words(batches: Iterator[pa.RecordBatch], schema: pa.Schema, buckets: int) -> Iterator[pa.RecordBatch]:
     for row in chain.from_iterable(b.to_pylist() for b in batches):
         words, train = unpacked_words(row["words"], row["n_distinct"]), unpacked(row["train"])
@@ -443,7 +459,7 @@ def _send_ngrams(batches: Iterator[pa.RecordBatch], schema: pa.Schema, buckets:
         ends = np.searchsorted(names, least).tolist()
         parts = [(b, a, z) for b, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if z > a]
         for at in range(0, len(parts), 64):
-            yield _batch(schema, *((b, row["segment"], z - a, packed(np.diff(names[a:z], prepend=least[b])), packed(train[a:z])) for b, a, z in parts[at : at + 64]))
+            yield _batch(schema, *((b, row["segment"], z - a, packed(np.diff(names[a:z], prepend=least[b]), 1), packed(train[a:z])) for b, a, z in parts[at : at + 64]))
 
 
 def _bounds(buckets: int, width: int) -> np.ndarray:
@@ -454,8 +470,9 @@ def _bounds(buckets: int, width: int) -> np.ndarray:
 def _gather_ngrams(table: pa.Table) -> pa.Table:
     rows = table.to_pylist()
     names = np.concatenate([np.cumsum(unpacked(r["names"]).astype(np.uint64), dtype=np.uint64) for r in rows])
-    _, of = np.unique(names, return_inverse=True)
-    counts = np.bincount(of, np.concatenate([unpacked(r["train"]) for r in rows])).astype(np.int64)[of]
+    order, of = ranked(names)
+    counts = np.empty(len(names), np.int64)
+    counts[order] = np.bincount(of, np.concatenate([unpacked(r["train"]) for r in rows])[order]).astype(np.int64)[of]
     ends = np.cumsum([0, *(r["n"] for r in rows)])
     return pa.Table.from_batches([_batch(to_arrow_schema(VALUES), *((r["segment"], 1, r["bucket"], packed(counts[a:z]), None) for r, a, z in zip(rows, ends[:-1], ends[1:], strict=True)))])
 
@@ -474,8 +491,8 @@ def _spell(batches: Iterator[pa.RecordBatch], schema: pa.Schema, model: Spelling
             yield _batch(schema, *((s, 0, row["bucket"], packed(counts[m]), packed(spelt[m].view(np.uint32))) for s, m in members))
 
 
-def _counted(word_buckets: int, width: int):
-    """Puts what the buckets sent back in the places of a segment's tokens."""
+def _counted(word_buckets: int, width: int, n_train: int, n_docs: int):
+    """Puts what the buckets sent back in the places of a segment's tokens, and goes through its training texts online."""
 
     def place(heads: pa.Table, values: pa.Table) -> pa.Table:
         (head,) = heads.to_pylist()
@@ -485,10 +502,15 @@ def _counted(word_buckets: int, width: int):
         of_word, spelt = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint32)
         of_word[order] = np.concatenate([unpacked(r["counts"]) for r in sent if r["kind"] == 0])
         spelt[order] = np.concatenate([unpacked(r["spelt"]) for r in sent if r["kind"] == 0])
-        _, at = np.unique(ngrams(words, codes, lengths, width), return_inverse=True)
-        longer = np.concatenate([unpacked(r["counts"]) for r in sent if r["kind"] == 1])[at]
-        rare = of_word[codes] <= 1
-        row = (head["doc_ids"], head["held"], head["lengths"], head["sizes"], packed(of_word[codes]), packed(longer[: len(codes)]), packed(longer[len(codes) :]), packed(spelt[codes][rare]))
+        order, of = ranked(ngrams(words, codes, lengths, width))
+        longer = np.empty(2 * len(codes), np.int64)
+        longer[order] = np.concatenate([unpacked(r["counts"]) for r in sent if r["kind"] == 1])[of]
+        c1, c2, c3, chance = of_word[codes], longer[: len(codes)], longer[len(codes) :], spelt[codes]
+        own, trains = Learner(np.full((GATES, WAYS), 0.3)), ~np.array(head["held"], bool)
+        for texts, _, _, decisions in _cut(c1, c2, c3, chance.view(np.float32), lengths, trains, n_train, n_docs):
+            own.learn(_of_training(decisions, trains[texts]))
+        state = [_stated(x) for x in (own.weights * own.seen[:, None], own.seen, own.counts, own.met, own.hits)]
+        row = (head["doc_ids"], head["held"], head["lengths"], head["sizes"], packed(c1), packed(c2), packed(c3), packed(chance[c1 <= 1]), state)
         return pa.Table.from_batches([_batch(to_arrow_schema(COUNTED), row)])
 
     return place
@@ -497,8 +519,13 @@ def _counted(word_buckets: int, width: int):
 def _groups(row: dict, n_train: int, n_docs: int, most: int = GROUP_TOKENS) -> Iterator[tuple[slice, np.ndarray, np.ndarray, Decisions]]:
     """A segment's texts, some at a time: which, their tokens' counts, their lengths, their decisions."""
     c1, c2, c3, lengths = (unpacked(row[x]) for x in ("c1", "c2", "c3", "lengths"))
-    spelt, trains, ends = np.zeros(len(c1), np.float32), ~np.array(row["held"], bool), np.cumsum(lengths)
+    spelt = np.zeros(len(c1), np.float32)
     spelt[c1 <= 1] = unpacked(row["spelt"]).astype(np.uint32).view(np.float32)
+    yield from _cut(c1, c2, c3, spelt, lengths, ~np.array(row["held"], bool), n_train, n_docs, most)
+
+
+def _cut(c1: np.ndarray, c2: np.ndarray, c3: np.ndarray, spelt: np.ndarray, lengths: np.ndarray, trains: np.ndarray, n_train: int, n_docs: int, most: int = GROUP_TOKENS) -> Iterator[tuple[slice, np.ndarray, np.ndarray, Decisions]]:
+    ends = np.cumsum(lengths)
     cuts = [*np.unique((ends - 1) // most, return_index=True)[1].tolist(), len(lengths)]
     for a, z in zip(cuts[:-1], cuts[1:], strict=True):
         at = slice(int(ends[a] - lengths[a]), int(ends[z - 1]))
@@ -591,23 +618,21 @@ def fit_spelling(vocabulary: DataFrame) -> Spelling:
     return Spelling(counts, weights, (hits + 2 * _centres()) / (met + 2))
 
 
-def fit_mixing(counted: DataFrame, n_train: int, n_docs: int) -> Mixing:
-    """An online pass over the training texts: each task goes through its share; counts are summed, each gate's weights averaged by what the tasks met."""
+def fit_mixing(counted: DataFrame) -> Mixing:
+    """What the online passes over all segments' training texts learnt: counts are summed, each gate's weights averaged by what they met."""
+    names = ("weights", "seen", "counts", "met", "hits")
 
-    def learn(batches):
-        own = Learner(np.full((GATES, WAYS), 0.3))
-        for row in chain.from_iterable(b.to_pylist() for b in batches):
-            trains = ~np.array(row["held"], bool)
-            for texts, _, _, decisions in _groups(row, n_train, n_docs):
-                own.learn(_of_training(decisions, trains[texts]))
-        if own.seen.any():
-            yield from {"weights": own.weights * own.seen[:, None], "seen": own.seen, "counts": own.counts, "met": own.met, "hits": own.hits}.items()
-
-    weights, counts, met, hits = np.full((GATES, WAYS), 0.3), np.zeros((WAYS, 2 << WAY_BITS)), np.zeros((GATES, BUCKETS)), np.zeros((GATES, BUCKETS))
-    if found := _summed(counted, learn):
-        seen = found["seen"][:, None]
-        weights = np.where(seen > 0, found["weights"].reshape(weights.shape) / np.maximum(seen, 1), weights)
-        counts, met, hits = (found[x].reshape(old.shape) for x, old in (("counts", counts), ("met", met), ("hits", hits)))
+    def add(batches):
+        total: dict[str, np.ndarray] = {}
+        for state in chain.from_iterable(b.column("state").to_pylist() for b in batches):
+            for name, value in zip(names, map(_unstated, state), strict=True):
+                total[name] = total.get(name, 0) + value
+        yield from total.items()
+
+    found = _summed(counted.select("state"), add)
+    shapes = {"weights": (GATES, WAYS), "seen": (GATES,), "counts": (WAYS, 2 << WAY_BITS), "met": (GATES, BUCKETS), "hits": (GATES, BUCKETS)}
+    weights, seen, counts, met, hits = (found[x].reshape(shapes[x]) if found else np.zeros(shapes[x]) for x in names)
+    weights = np.where(seen[:, None] > 0, weights / np.maximum(seen[:, None], 1), 0.3)
     return Mixing(np.log((counts[:, 1::2] + DELTA) / (counts[:, ::2] + DELTA)), weights, (hits + 2 * _centres()) / (met + 2))
 
 
@@ -646,9 +671,9 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tupl
     of_ngrams = dealt(sent, "bucket", buckets).applyInArrow(_gather_ngrams, VALUES)
     values = of_words.unionAll(of_ngrams)
     heads = dealt(segments.drop("train"), "segment", n_segments)
-    counted = heads.cogroup(dealt(values, "segment", n_segments)).applyInArrow(_counted(word_buckets, width), COUNTED)
+    counted = heads.cogroup(dealt(values, "segment", n_segments)).applyInArrow(_counted(word_buckets, width, n_train, n_docs), COUNTED)
     counted = materialise(counted, "counted")
-    return counted, Model(n_train, n_types, n_docs, fit_mixing(counted, n_train, n_docs))
+    return counted, Model(n_train, n_types, n_docs, fit_mixing(counted))
 
 
 def _score(batches: Iterator[pa.RecordBatch], schema: pa.Schema, model: Model) -> Iterator[pa.RecordBatch]:
@@ -666,4 +691,4 @@ def score_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     counted, model = fit(docs, text_col, id_col)
     given, schema = docs.sparkSession.sparkContext.broadcast(model), to_arrow_schema(OUT)
-    return counted.mapInArrow(lambda it: _score(it, schema, given.value), OUT)
+    return counted.drop("state").mapInArrow(lambda it: _score(it, schema, given.value), OUT)
