@@ -269,7 +269,8 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_co
         given, measured = docs.sparkSession.sparkContext.broadcast(halves), T.StructType().add("own", "integer").add("cross", T.ArrayType(T.DoubleType())).add("symbols", "long").add("variance", "double")
         measured_schema, languages = to_arrow_schema(measured), models.languages
         known = sample.where(F.col("lang").isin(languages))  # a label may stand on texts without letters only
-        rows = known.mapInArrow(lambda it: _cross_fit(it, measured_schema, languages, given.value), measured).orderBy("own", "symbols", "cross").collect()
+        found = known.mapInArrow(lambda it: _cross_fit(it, measured_schema, languages, given.value), measured).collect()
+        rows = sorted(found, key=lambda r: (r["own"], r["symbols"], r["cross"]))  # bounded by the sample; sums do not depend on how rows came
         models.calibrate(np.array([r["own"] for r in rows], np.int64), np.array([r["cross"] for r in rows]).reshape(-1, len(languages)), np.array([r["symbols"] for r in rows]), np.array([r["variance"] for r in rows]))
     return models
 
