@@ -207,3 +207,10 @@ def test_document_blocks(spark):
     rows = [("d", 0, None, "cover"), ("d", 1, "Heading 1", "One"), ("d", 2, "Body", "text"), ("d", 3, "Heading2", "Sub"), ("d", 4, "Heading 2", "Sub b"), ("d", 5, "Class Label", "E55 Type"), ("d", 6, None, " note "), ("d", 7, "Table", "a | b"), ("d", 8, "Class Label", "no id"), ("d", 9, "Heading 1", "Tables"), ("d", 10, "Table", "skipped"), ("d", 11, None, "kept")]
     got = {(r.kind, r.concept_id, " > ".join(r.section_path), r.heading, r.text) for r in R.document_blocks(frame(spark, "doc_id string, pos int, style string, text string", *rows), ["Class Label"], ("Tables",)).collect()}
     assert got == {("narrative", None, "One", "One", "text"), ("declaration", "E55", "One > Sub b", "E55 Type", "note\na | b"), ("declaration", None, "One > Sub b", "no id", ""), ("narrative", None, "Tables", "Tables", "kept")}
+
+
+def test_issue_pages(spark):
+    html = '<div class="x field--name-field-outcome"><p>Agreed.</p></div><div class="field--name-field-old"><ul><li>one</li><li>two</li></ul></div>'
+    slugs = {"outcome": "field-outcome", "background": "body", "current": "field-current", "old": "field-old", "references": "refs"}
+    rows = {r.issue: r for r in R.issue_pages(frame(spark, "id int, html string", (7, html), (8, None)), slugs).collect()}
+    assert (rows[7].outcome, rows[7].old, rows[7].background) == ("Agreed.", ["one", "two"], None) and rows[8].outcome is None

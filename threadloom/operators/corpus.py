@@ -182,6 +182,11 @@ def numbered_threads(members: DataFrame) -> DataFrame:
     return members.join(numbers, "thread").withColumn("index", F.row_number().over(w))
 
 
+def thread_of(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Adds thread to rows (id, ...): the one that the message belongs to, empty where it belongs to none. members: thread, id."""
+    return rows.join(members.select("id", "thread"), "id", "left").withColumn("thread", F.coalesce("thread", F.lit("")))
+
+
 def sections(paragraphs: DataFrame, doc: str, pos: str, heading: Column) -> DataFrame:
     """Adds section: how many headings stand at or before the paragraph (0: preamble)."""
     w = Window.partitionBy(doc).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.chunking import recursive_split_udf
+from ..functions.mail import html_fields_of
 from .corpus import heading_path
 
 CHUNK = ("chunk_id", "doc_id", "doc_title", "cite", "kind", "concept_id", "section_path", "heading", "text", "entities", "entities_historical")
@@ -59,6 +60,17 @@ def document_chunks(blocks: DataFrame, specs: DataFrame, known: Column, pattern:
     return _entities(whole.select(*columns).unionByName(pieces.select(*columns)), known, pattern)
 
 
+def issue_pages(pages: DataFrame, slugs: dict[str, str], prefix: str = "field--name-") -> DataFrame:
+    """issue, outcome, background, current, old, references of cached pages (id, html) by the names that the site gives its fields.
+
+    slugs: outcome, background, current, old and references, each to the end of a field's class. The outcome is one text; the others
+    are paragraphs; a field that a page lacks is null.
+    """
+    found = pages.select(F.col("id").alias("issue"), html_fields_of(prefix)("html").alias("f"))
+    part = lambda name: F.try_element_at("f", F.lit(slugs[name]))
+    return found.select("issue", F.nullif(F.array_join(part("outcome"), "\n"), F.lit("")).alias("outcome"), *[part(x).alias(x) for x in ("background", "current", "old", "references")])
+
+
 PARTS = (("background", "Background"), ("current", "Current Proposal"), ("old", "Old Proposal"))
 
 

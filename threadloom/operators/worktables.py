@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,15 @@ def work_folder(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
+@atexit.register
+def _drop_at_exit() -> None:
+    """What a driver wrote for its own use goes when it ends (where its session still lives; else drop_work_tables was for that)."""
+    session = SparkSession.getActiveSession()
+    if _written and session is not None and session.sparkContext._jsc is not None:
+        with contextlib.suppress(Py4JError, OSError):
+            drop_work_tables(session)
+
+
 def drop_work_tables(spark: SparkSession) -> int:
     """Delete the work tables that this driver wrote; results that still read them must be written before."""
     conf, gone = spark.sparkContext._jsc.hadoopConfiguration(), 0

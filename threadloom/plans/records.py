@@ -150,6 +150,13 @@ def i11_show(spark, sf):
     return R.show(asked, own, _chunks(spark, sf)).select("asked", "kind", "id", F.md5("text").alias("text"))
 
 
+@query("SELECT concat('h', conv_id * 1000 + turn) AS id, CASE WHEN turn % 2 = 0 THEN concat('t', conv_id) ELSE '' END AS thread FROM conversations")
+def j1_thread_of(spark, sf):
+    """Messages with their threads; here every other message belongs to none."""
+    own = _messages(spark, sf)
+    return C.thread_of(own.select("id"), _members(spark, sf).where("index % 2 = 1")).select("id", "thread")
+
+
 @query("SELECT concat('t', conv_id) AS thread, turn + 1 AS index, concat('h', conv_id * 1000 + turn) AS id FROM conversations WHERE conv_id % 5 = 0")
 def i11_threads(spark, sf):
     own = _messages(spark, sf)
