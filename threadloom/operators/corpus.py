@@ -182,6 +182,11 @@ def numbered_threads(members: DataFrame) -> DataFrame:
     return members.join(numbers, "thread").withColumn("index", F.row_number().over(w))
 
 
+def value_histogram(df: DataFrame, column: Column, name: str, blank: str = "(blank)") -> DataFrame:
+    """How many rows each value has; null and empty count as blank."""
+    return df.groupBy(F.coalesce(F.nullif(column, F.lit("")), F.lit(blank)).alias(name)).agg(F.count(F.lit(1)).alias("n"))
+
+
 def thread_of(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Adds thread to rows (id, ...): the one that the message belongs to, empty where it belongs to none. members: thread, id."""
     return rows.join(members.select("id", "thread"), "id", "left").withColumn("thread", F.coalesce("thread", F.lit("")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 REVIEW_TERMS = 3  # fixed value: shared terms from which a case counts as known
+BUNDLE = 8  # fixed value: cases that a judge gets at once
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -39,6 +40,23 @@ def rank_control(rankings: DataFrame, a: str, b: str) -> DataFrame:
     return own.agg(first.alias("a_first"), second.alias("b_first"), F.count_if(F.abs(at(a) - at(b)) == 1).alias("adjacent"), F.round(F.abs(first - second) / F.count(F.lit(1)), 6).alias("skew"))
 
 
+def unpaired(a: DataFrame, b: DataFrame, case: str) -> DataFrame:
+    """case, run (a or b): cases that only one of two runs has."""
+    one, two = a.select(case).distinct(), b.select(case).distinct()
+    return one.join(two, case, "left_anti").withColumn("run", F.lit("a")).unionByName(two.join(one, case, "left_anti").withColumn("run", F.lit("b")))
+
+
+def bundles(rows: DataFrame, group: str, order: str, size: int = BUNDLE) -> DataFrame:
+    """Adds bundle: rows of a group in order, so many to a judge."""
+    n = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    return rows.withColumn("bundle", F.floor((n - 1) / size))
+
+
+def case_totals(rows: DataFrame, case: str, **totals: Column) -> DataFrame:
+    """A row of totals for each case, and one for all of them."""
+    return rows.rollup(case).agg(*[c.alias(name) for name, c in totals.items()]).select(F.coalesce(case, F.lit("all")).alias("case_id"), *totals)
+
+
 def first_places(rankings: DataFrame) -> DataFrame:
     """label, wins: how often each label stands first in a ranking."""
     return rankings.where(F.size("ranking") > 0).groupBy(F.get("ranking", 0).alias("label")).agg(F.count(F.lit(1)).alias("wins"))

@@ -197,3 +197,32 @@ def family_of(ids: DataFrame, owners: DataFrame, most: int = 99) -> DataFrame:
     met = parts.join(owners, "prefix").where(rest.rlike(r"^\d+$"))
     longest = met.groupBy("id").agg(F.max_by(F.struct("prefix", "model", rest.alias("rest")), F.length("prefix")).alias("b"))
     return longest.where(F.col("b.rest").try_cast("int") <= most).select("id", "b.prefix", "b.model")
+
+
+def find_concepts(m: Model, asked: DataFrame) -> DataFrame:
+    """asked, id, matches: a concept by id in any case, else by label in either direction; id is the first of classes, properties and
+    qualifiers, matches are all that answer to the same."""
+    named = [(0, m.classes, "label"), (1, m.properties, "direct"), (2, m.qualifiers, "label"), (1, m.properties.where("inverse IS NOT NULL"), "inverse")]
+    every = None
+    for prio, df, label in named:
+        own = df.select(F.lit(prio).alias("prio"), "id", F.col(label).alias("label"))
+        every = own if every is None else every.unionByName(own)
+    own = asked.select("asked").distinct()
+    by_id = own.join(every, F.upper("asked") == F.upper("id")).select("asked", F.lit(0).alias("how"), "prio", "id")
+    by_label = own.join(every, F.lower("asked") == F.lower("label")).select("asked", F.lit(1).alias("how"), "prio", "id")
+    met = by_id.unionByName(by_label).distinct().withColumn("best", F.min("how").over(Window.partitionBy("asked"))).where("how = best")
+    return met.groupBy("asked").agg(F.min(F.struct("prio", "id")).alias("b"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("matches")).select("asked", "b.id", "matches")
+
+
+def orphan_properties(m: Model, proposed: DataFrame) -> DataFrame:
+    """case_id, prop, kind, needs, orphan for proposals (case_id, class_id, prop): whether no proposed class of the case is, or lies
+    below, the property's domain (the range, if it is named by its inverse). Dotted and unknown ids need nothing."""
+    up = closure(m.classes, m.class_edges).select(F.col("id").alias("class_id"), F.col("ancestor").alias("needs"))
+    have = proposed.join(up, "class_id").select("case_id", "needs").distinct().withColumn("met", F.lit(True))
+    dotted = m.qualifiers.select(F.col("id").alias("prop"), F.lit(True).alias("dotted"))
+    asked = resolved(proposed.select("case_id", "prop").distinct(), m.properties, "prop").join(dotted, "prop", "left")
+    kind = F.when(F.col("dotted"), "dotted").when(F.col("base").isNull(), "unknown").when(F.col("inverse"), "inverse").otherwise("plain")
+    sides = m.properties.select(F.col("id").alias("base"), "domain", "range")
+    side = F.when(F.col("kind") == "plain", F.col("domain")).when(F.col("kind") == "inverse", F.col("range"))
+    needed = asked.withColumn("kind", kind).join(sides, "base", "left").withColumn("needs", side)
+    return needed.join(have, ["case_id", "needs"], "left").select("case_id", "prop", "kind", "needs", (F.col("needs").isNotNull() & F.col("met").isNull()).alias("orphan"))

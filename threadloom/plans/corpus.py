@@ -248,7 +248,7 @@ def _mentions(spark, sf):
 @query("SELECT coalesce(nullif(CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE o_orderpriority END, ''), '(blank)') AS status, count(*) AS n FROM orders GROUP BY 1")
 def a6_status_hist(spark, sf):
     status = F.when(F.col("o_orderkey") % 9 == 0, "").otherwise(F.col("o_orderpriority"))
-    return table(spark, sf, "orders").groupBy(F.coalesce(F.nullif(status, F.lit("")), F.lit("(blank)")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return C.value_histogram(table(spark, sf, "orders"), status, "status")
 
 
 @query(f"""WITH {MENTIONED}, d AS (SELECT issue, count(DISTINCT thread) AS threads FROM m GROUP BY 1), r AS (SELECT p_partkey AS issue, p_name AS title FROM part), p AS (SELECT page_id AS issue, length(html) AS chars FROM pages)

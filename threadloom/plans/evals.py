@@ -35,14 +35,13 @@ def a18_jaccard(spark, sf):
 @query("WITH a AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderkey % 2 = 1) SELECT c, 'a' AS run FROM a WHERE c NOT IN (SELECT c FROM b) UNION ALL SELECT c, 'b' FROM b WHERE c NOT IN (SELECT c FROM a)")
 def j16_unpaired(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c"), (F.col("o_orderkey") % 2).alias("odd"))
-    a, b = (o.where(f"odd = {k}").select("c").distinct() for k in (0, 1))
-    return a.join(b, "c", "left_anti").withColumn("run", F.lit("a")).unionByName(b.join(a, "c", "left_anti").withColumn("run", F.lit("b")))
+    return E.unpaired(o.where("odd = 0"), o.where("odd = 1"), "c")
 
 
 @query("WITH n AS (SELECT o_custkey % 5 AS run, o_custkey, count(*) AS k FROM orders GROUP BY ALL) SELECT run, round(avg(k), 6) AS mean, median(k) AS median, max(k) AS most, sum(k) AS total FROM n GROUP BY run")
 def a19_inflation(spark, sf):
-    n = table(spark, sf, "orders").groupBy((F.col("o_custkey") % 5).alias("run"), "o_custkey").agg(F.count(F.lit(1)).alias("k"))
-    return n.groupBy("run").agg(F.round(F.avg("k"), 6).alias("mean"), F.percentile("k", F.lit(0.5)).alias("median"), F.max("k").alias("most"), F.sum("k").alias("total"))
+    runs = table(spark, sf, "orders").select((F.col("o_custkey") % 5).alias("run"), F.col("o_custkey").alias("case"), F.col("o_orderkey").alias("class_id"))
+    return E.class_counts(runs).select("run", F.round("mean", 6).alias("mean"), "median", "most", "total")
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT user_id, list(event_type ORDER BY n DESC, event_type) AS ranking FROM c GROUP BY 1), p AS (SELECT list_position(ranking, 'click') AS a, list_position(ranking, 'view') AS b FROM r)
@@ -93,14 +92,13 @@ def r8_question_merge(spark, sf):
 
 @query("SELECT doc_id, (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) // 8 AS bundle, lang FROM labels LEFT JOIN documents USING (doc_id)")
 def r9_bundles(spark, sf):
-    n = F.row_number().over(Window.partitionBy("quality").orderBy("doc_id"))
-    own = table(spark, sf, "labels").select("doc_id", F.floor((n - 1) / 8).alias("bundle"))
+    own = E.bundles(table(spark, sf, "labels"), "quality", "doc_id").select("doc_id", "bundle")
     return own.join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", "left")
 
 
 @query("SELECT coalesce(role, 'all') AS case_id, count(*) AS n, sum(length(text)) AS chars FROM conversations GROUP BY ROLLUP (role)")
 def r12_case_rollup(spark, sf):
-    return table(spark, sf, "conversations").rollup("role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).select(F.coalesce("role", F.lit("all")).alias("case_id"), "n", "chars")
+    return E.case_totals(table(spark, sf, "conversations"), "role", n=F.count(F.lit(1)), chars=F.sum(F.length("text")))
 
 
 @query("SELECT CASE WHEN lower(trim(o_orderpriority)) LIKE '%urgent%' THEN 'high' WHEN lower(o_orderpriority) LIKE '%low%' THEN 'low' ELSE 'unknown' END AS value, count_if(NOT (lower(o_orderpriority) LIKE '%urgent%' OR lower(o_orderpriority) LIKE '%low%')) AS coerced, count(*) AS n FROM orders GROUP BY 1")

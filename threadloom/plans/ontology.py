@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..operators import hierarchy as H
 from ..operators import validate as V
 from ..operators.worktables import materialise
@@ -134,13 +132,7 @@ CONCEPTS = [("K22",), ("r8",), ("Contains",), ("knows",), ("R4.1",), ("nothing",
     SELECT asked, arg_min(id, {{'p': prio, 'i': id}}) AS id, array_to_string(list_sort(list(DISTINCT id)), ',') AS matches FROM m WHERE how = best GROUP BY asked""")
 def g13_concept(spark, sf):
     """A concept by id in any case, else by label in any direction, with all that share the label."""
-    m = model(spark)
-    named = m.classes.select(F.lit(0).alias("prio"), "id", "label").unionByName(m.properties.select(F.lit(1).alias("prio"), "id", F.col("direct").alias("label"))).unionByName(m.qualifiers.select(F.lit(2).alias("prio"), "id", "label")).unionByName(m.properties.where("inverse IS NOT NULL").select(F.lit(1).alias("prio"), "id", F.col("inverse").alias("label")))
-    asked = values(spark, "asked string", CONCEPTS)
-    by_id = asked.join(named, F.upper("asked") == F.col("id")).select("asked", F.lit(0).alias("how"), "prio", "id")
-    by_label = asked.join(named, F.lower("asked") == F.lower("label")).select("asked", F.lit(1).alias("how"), "prio", "id")
-    met = by_id.unionByName(by_label).distinct().withColumn("best", F.min("how").over(Window.partitionBy("asked"))).where("how = best")
-    return met.groupBy("asked").agg(F.min(F.struct("prio", "id")).alias("b"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("matches")).select("asked", "b.id", "matches")
+    return H.find_concepts(model(spark), values(spark, "asked string", CONCEPTS))
 
 
 URIS = [(NS + "K22_Artefact",), (NS + "k22",), ("m:R8_made",), ("R8i_was_made_by",), (NS + "R99_gone",), ("http://other.example/made",), (NS + "K24_Made_Thing",), ("R11i",)]
@@ -304,11 +296,4 @@ ANSWERS = [("q1", "K12", "R8"), ("q1", "K22", "R8"), ("q2", "K39", "R4"), ("q2",
     SELECT case_id, prop, kind, needs, needs IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h WHERE h.case_id = n.case_id AND ancestor = needs) AS orphan FROM n""")
 def g27_domains(spark, sf):
     """Proposed properties whose domain (range, if inverse) no proposed class of the case satisfies."""
-    m, own = model(spark), values(spark, "case_id string, class_id string, prop string", ANSWERS)
-    up = H.closure(m.classes, m.class_edges).select(F.col("id").alias("class_id"), F.col("ancestor").alias("needs"))
-    have = own.join(up, "class_id").select("case_id", "needs").distinct().withColumn("met", F.lit(True))
-    asked = H.resolved(own.select("case_id", "prop").distinct(), m.properties, "prop").join(m.qualifiers.select(F.col("id").alias("prop"), F.lit(True).alias("dotted")), "prop", "left")
-    kind = F.when(F.col("dotted"), "dotted").when(F.col("base").isNull(), "unknown").when(F.col("inverse"), "inverse").otherwise("plain")
-    sides = m.properties.select(F.col("id").alias("base"), "domain", "range")
-    needed = asked.withColumn("kind", kind).join(sides, "base", "left").withColumn("needs", F.when(F.col("kind") == "plain", F.col("domain")).when(F.col("kind") == "inverse", F.col("range")))
-    return needed.join(have, ["case_id", "needs"], "left").select("case_id", "prop", "kind", "needs", (F.col("needs").isNotNull() & F.col("met").isNull()).alias("orphan"))
+    return H.orphan_properties(model(spark), values(spark, "case_id string, class_id string, prop string", ANSWERS))
