@@ -132,24 +132,43 @@ def verdicts(spans: DataFrame, units: DataFrame, least: int = PARTIAL_CHARS) ->
 def _begins(needles: DataFrame, units: DataFrame, gram: int = 12) -> DataFrame:
     """part, prefix: how many of a needle's first characters stand together in some unit.
 
-    A begin of `gram` characters or more is looked for only in units that hold these characters, an equi-join on all places of
-    a unit; shorter begins than that count as none (they are far below what makes a partial match).
+    One automaton over the needles' first `gram` characters goes once through every unit; each place that it finds is followed as far
+    as the needle goes. A begin of fewer characters counts as none: it is far below what makes a partial match. Needles go out in
+    blocks of a fixed size.
     """
-    key = lambda c, k: F.xxhash64(F.substring(c, k, F.lit(gram)))
-    asked = needles.where(F.length("part") >= gram).select("part", key(F.col("part"), F.lit(1)).alias("key"))
-    wanted = asked.select("key").distinct()
-    placed = units.where(F.length("text") >= gram).select("unit_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - gram + 1), lambda k: key(F.col("text"), k)))).alias("key")).join(wanted, "key", "left_semi")
-    met = asked.join(placed, "key").select("part", "unit_id").distinct().join(units, "unit_id")
-    found = met.groupBy("part").agg(F.max(_prefix_udf("text", "part")).alias("prefix"))
-    short = needles.where(F.length("part") < gram)
-    whole = needles.join(found, "part", "left").select("part", F.coalesce("prefix", F.lit(0)).alias("prefix"))
-    if short.isEmpty():
-        return whole
-    # spans of fewer characters (no evidence either way) are looked for whole, in a checked number
-    if short.limit(MOST_SHORT + 1).count() > MOST_SHORT:
-        raise ValueError(f"more than {MOST_SHORT} spans of fewer than {gram} characters")
-    held = units.join(F.broadcast(short), F.contains("text", F.col("part"))).select("part", F.length("part").alias("all")).distinct()
-    return whole.join(held, "part", "left").select("part", F.coalesce("all", "prefix").alias("prefix"))
+    blocks, found = max(1, -(-needles.count() // MOST_SHORT)), None
+    schema = "part string, prefix int"
+    for block in range(blocks):
+        own = needles if blocks == 1 else needles.where(F.pmod(F.xxhash64("part"), F.lit(blocks)) == block)
+        asked = sorted({r["part"] for r in own.collect() if r["part"]})  # a block
+        part = units.select("text").mapInPandas(lambda it, asked=asked: _followed(it, asked, gram), schema)
+        found = part if found is None else found.unionByName(part)
+    most = found.groupBy("part").agg(F.max("prefix").alias("prefix"))
+    return needles.join(most, "part", "left").select("part", F.coalesce("prefix", F.lit(0)).alias("prefix"))
+
+
+def _followed(frames: Iterator[pd.DataFrame], asked: list[str], gram: int) -> Iterator[pd.DataFrame]:
+    import ahocorasick
+
+    begins: dict[str, list[str]] = {}
+    for needle in asked:
+        begins.setdefault(needle[:gram], []).append(needle)
+    machine = ahocorasick.Automaton()
+    for begin in begins:
+        machine.add_word(begin, begin)
+    machine.make_automaton()
+    best: dict[str, int] = {}
+    for df in frames:
+        for text in df["text"] if asked else ():
+            for end, begin in machine.iter(text or ""):
+                start = end + 1 - len(begin)
+                for needle in begins[begin]:
+                    n = best.get(needle, 0)
+                    while n < len(needle) and text.startswith(needle[: n + 1], start):
+                        n += 1
+                    if n > best.get(needle, 0):
+                        best[needle] = n
+    yield pd.DataFrame({"part": list(best), "prefix": pd.Series(list(best.values()), dtype="int32")})
 
 
 def longest_prefix(needle: str, text: str) -> int:
@@ -168,12 +187,6 @@ def norm_udf(texts: pd.Series) -> pd.Series:
     return texts.map(norm, na_action=None)
 
 
-@F.pandas_udf(T.IntegerType())
-def _prefix_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, needles in batches:
-        yield pd.Series([longest_prefix(n, t) for t, n in zip(texts, needles, strict=True)], dtype="int32")
-
-
 def json_strings(document: str) -> list[str]:
     """Every string value of a JSON document, however deep, in order."""
     out, todo = [], [json.loads(document)]
