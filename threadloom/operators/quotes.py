@@ -9,6 +9,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -141,13 +142,13 @@ def _begins(needles: DataFrame, units: DataFrame, gram: int = 12) -> DataFrame:
     for block in range(blocks):
         own = needles if blocks == 1 else needles.where(F.pmod(F.xxhash64("part"), F.lit(blocks)) == block)
         asked = sorted({r["part"] for r in own.collect() if r["part"]})  # a block
-        part = units.select("text").mapInPandas(lambda it, asked=asked: _followed(it, asked, gram), schema)
+        part = units.select("text").mapInArrow(lambda it, asked=asked: _followed(it, asked, gram), schema)
         found = part if found is None else found.unionByName(part)
     most = found.groupBy("part").agg(F.max("prefix").alias("prefix"))
     return needles.join(most, "part", "left").select("part", F.coalesce("prefix", F.lit(0)).alias("prefix"))
 
 
-def _followed(frames: Iterator[pd.DataFrame], asked: list[str], gram: int) -> Iterator[pd.DataFrame]:
+def _followed(batches: Iterator[pa.RecordBatch], asked: list[str], gram: int) -> Iterator[pa.RecordBatch]:
     import ahocorasick
 
     begins: dict[str, list[str]] = {}
@@ -158,9 +159,9 @@ def _followed(frames: Iterator[pd.DataFrame], asked: list[str], gram: int) -> It
         machine.add_word(begin, begin)
     machine.make_automaton()
     best: dict[str, int] = {}
-    for df in frames:
-        for text in df["text"] if asked else ():
-            for end, begin in machine.iter(text or ""):
+    for batch in batches:
+        for text in filter(None, batch.column("text").to_pylist() if asked else ()):
+            for end, begin in machine.iter(text):
                 start = end + 1 - len(begin)
                 for needle in begins[begin]:
                     n = best.get(needle, 0)
@@ -168,7 +169,7 @@ def _followed(frames: Iterator[pd.DataFrame], asked: list[str], gram: int) -> It
                         n += 1
                     if n > best.get(needle, 0):
                         best[needle] = n
-    yield pd.DataFrame({"part": list(best), "prefix": pd.Series(list(best.values()), dtype="int32")})
+    yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.string()), pa.array(list(best.values()), pa.int32())], names=["part", "prefix"])
 
 
 def longest_prefix(needle: str, text: str) -> int:
