@@ -37,17 +37,17 @@ FUSED = """fused AS (SELECT query, id, sum(w / (60 + rank)) AS score, min({{'l':
     placed AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, first, id) AS place FROM fused)"""
 
 
-_stored: dict[tuple, str] = {}
+_stored: dict[tuple, tuple[str, S.LexicalIndex]] = {}
 
 
 def index_of(spark: SparkSession, sf: str, *fields: str) -> S.LexicalIndex:
     """The stored index of some columns of documents: built at the first search of a session, then only read."""
     key = (spark.sparkContext.applicationId, sf, fields)
-    if key not in _stored or not exists(spark, f"{_stored[key]}/stats"):
+    if key not in _stored or not exists(spark, f"{_stored[key][0]}/stats"):
         path = f"{work_folder(spark)}/index-{uuid.uuid4().hex}"
         S.write_index(S.build_index(table(spark, sf, "documents"), "doc_id", fields, keys_unique=True), path)
-        _stored[key] = path
-    return S.read_index(spark, _stored[key])
+        _stored[key] = path, S.read_index(spark, path)
+    return _stored[key][1]
 
 
 def lexical(spark: SparkSession, sf: str) -> DataFrame:
