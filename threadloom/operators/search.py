@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .dense import Dense
 from .lexicon import expanded
 from .worktables import global_rank, materialise
 
@@ -221,28 +222,61 @@ def diverse(hits: DataFrame, most: int, per_thread: int = HITS_PER_THREAD) -> Da
     return capped.withColumn("position", F.row_number().over(final)).where(F.col("position") <= most).drop("__m", "__t")
 
 
-def hybrid(lexical: DataFrame | None, dense: DataFrame | None, records: DataFrame, most: int, weights: tuple[float, float] = (1.0, 1.0), mode: str = "hybrid", per_thread: int | None = HITS_PER_THREAD, keep=lambda hits: hits, store_size: int | None = None) -> DataFrame:
+def hybrid(lexical: DataFrame | None, dense: DataFrame | Dense | None, records: DataFrame, most: int, weights: tuple[float, float] = (1.0, 1.0), mode: str = "hybrid", per_thread: int | None = HITS_PER_THREAD, keep=lambda hits: hits, store_size: int | None = None) -> DataFrame:
     """Fused search: rank, fuse, read records, filter, diversify. records: id, message, thread and whatever `keep` needs.
 
     The pool of each list is POOL_FACTOR * most; while a query gets fewer than `most` hits and the pool is smaller than the
-    store, it doubles. Both rankings are computed once to the widest pool, so widening is a filter on rank.
+    store, it doubles. Both rankings are computed once to the widest pool, so widening is a filter on rank. With vectors as
+    Dense the whole store is tried first: what is short of hits there is short in every smaller pool.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {', '.join(MODES)}")
     lists = [(x, w) for x, w, m in ((lexical, weights[0], "bm25"), (dense, weights[1], "vector")) if x is not None and mode in ("hybrid", m)]
-    rankings = [materialise(ranked_all(x), "ranks") if store_size else ranked(x, POOL_FACTOR * most) for x, _ in lists]
-    pool = POOL_FACTOR * most
+    pool, queries = POOL_FACTOR * most, 0
+    if store_size and any(isinstance(x, Dense) for x, _ in lists):
+        whole = materialise(_whole_store(lists, records, most, per_thread, keep), "hits")
+        queries = whole.select("query").distinct().count()
+        if pool >= store_size or starved(whole, most):
+            return whole
+    place = lambda x, n: ranked(x.top(n), n) if isinstance(x, Dense) else ranked(x, n)
+    rankings = [x if isinstance(x, Dense) else materialise(ranked_all(x), "ranks") if store_size else ranked(x, pool) for x, _ in lists]
     while True:
-        fused = fuse([r.where(F.col("rank") <= pool) for r in rankings], [w for _, w in lists])
-        order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "first", "id")
-        placed = fused.withColumn("place", F.row_number().over(order))
-        hits = keep(placed.join(records, "id"))
-        out = diverse(hits, most, per_thread) if per_thread else hits.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where(F.col("position") <= most)
-        if not store_size or pool >= store_size or not starved(out, most):
+        fused = fuse([place(r, pool) if isinstance(r, Dense) else r.where(F.col("rank") <= pool) for r in rankings], [w for _, w in lists])
+        hits = keep(_placed(fused).join(records, "id"))
+        out = _best_hits(hits, most, per_thread)
+        if not store_size or pool >= store_size or not starved(out, most, queries):
             return out
         pool = min(2 * pool, store_size)
 
 
+def _placed(fused: DataFrame) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "first", "id")
+    return fused.withColumn("place", F.row_number().over(order))
+
+
+def _best_hits(hits: DataFrame, most: int, per_thread: int | None) -> DataFrame:
+    return diverse(hits, most, per_thread) if per_thread else hits.withColumn("position", F.row_number().over(Window.partitionBy("query").orderBy("place"))).where(F.col("position") <= most)
+
+
+def _whole_store(lists: list, records: DataFrame, most: int, per_thread: int | None, keep) -> DataFrame:
+    """hybrid over the whole store without ranking every pair: kept records are candidates where words find them or where they are
+    among the best of their thread by vector, and only candidates' ranks are counted. `keep` reads records' columns; a message
+    has one thread. `place` counts candidates."""
+    kept = materialise(keep(records), "kept")
+    shared = kept.groupBy("message").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    words = {n: materialise(ranked_all(x), "ranks").join(kept.select("id").distinct(), "id", "left_semi") for n, (x, _) in enumerate(lists) if not isinstance(x, Dense)}
+    rankings = dict(words)
+    for n, (x, _) in enumerate(lists):
+        if isinstance(x, Dense):
+            of_id = kept.groupBy("id").agg(F.min("thread" if per_thread else F.lit("")).alias("part"))
+            found = x.top_in(of_id, ((per_thread or 1) - 1) * shared + 1, (most - 1) * (shared if per_thread else 1) + 1)
+            for w in words.values():
+                found = found.unionByName(x.scored(w))
+            rankings[n] = materialise(x.ranks(materialise(found.distinct(), "scores")), "ranks")
+    fused = fuse([rankings[n] for n in range(len(lists))], [w for _, w in lists])
+    return _best_hits(_placed(fused).join(kept, "id"), most, per_thread)
+
+
 def of_kinds(records: DataFrame, kinds: str | Sequence[str] | None, default: Sequence[str], known: Sequence[str]) -> DataFrame:
     """Records of some kinds (None: the default ones); an unknown kind is an error that tells the known ones."""
     wanted = list(default) if kinds is None else [kinds] if isinstance(kinds, str) else list(kinds)
@@ -270,23 +304,24 @@ def search(
     if entity is not None:
         text = text.select("query", F.concat_ws(" ", "text", F.lit(entity)).alias("text"))
     lexical = bm25(index, phrases_of(text), weights or {"text": 1.0}) if index is not None and mode != "vector" else None
-    dense = cosine(vectors, queries.select("query", "vector"), "id", "vector") if vectors is not None and mode != "bm25" else None
+    dense = Dense(vectors, queries.select("query", "vector"), "id", "vector") if vectors is not None and mode != "bm25" else None
     names_one = queries.select("query", F.col("text").rlike(f"(?i){X.IDENTIFIER}").alias("exact"))
     asked = any(x is not None for x in (author, after, before, entity))
     size = (max(index.docs or 0, records.count()) if index is not None else records.count()) if asked and widen else None
     out = None
     for exact in (True, False):  # the two ways to weigh the lists; every query goes one of them
         own = names_one.where(F.col("exact") if exact else ~F.col("exact")).select("query")
-        one, two = (None if x is None else x.join(own, "query", "left_semi") for x in (lexical, dense))
+        one = None if lexical is None else lexical.join(own, "query", "left_semi")
+        two = None if dense is None else Dense(vectors, dense.queries.join(own, "query", "left_semi"), "id", "vector")
         found = hybrid(one, two, records, most, (1.0, 1.0 if exact else 2.0), mode, per_thread, lambda h: filtered(h, author, after, before, entity), size)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def starved(out: DataFrame, most: int) -> bool:
-    """Whether some query got fewer than `most` hits (or none at all did)."""
-    least = out.groupBy("query").count().agg(F.min("count")).first()[0]
-    return least is None or least < most
+def starved(out: DataFrame, most: int, queries: int = 0) -> bool:
+    """Whether some query got fewer than `most` hits (or none at all did, or fewer than `queries` did)."""
+    least, n = out.groupBy("query").count().agg(F.min("count"), F.count(F.lit(1))).first()
+    return least is None or least < most or n < queries
 
 
 def promoted(fused: DataFrame, declarations: DataFrame) -> DataFrame:
