@@ -7,11 +7,15 @@ plan. Every ranking carries an explicit tie-break.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from .dense import Dense
@@ -36,22 +40,46 @@ class LexicalIndex:
     lengths: DataFrame | None = None  # id, length of an index that isn't stored
 
 
+POSTING = T.StructType().add("field", "string").add("term", "string").add("positions", T.ArrayType(T.IntegerType())).add("length", "long")
+
+
+def _gathering(fields: list[str], tokens: int = 1_000_000):
+    """id, length and lists of words to postings, in slices of rows with about `tokens` words at most."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = np.flatnonzero(np.diff(np.cumsum(batch["length"].to_numpy()) // tokens)) + 1
+            for low, high in zip([0, *cuts], [*cuts, len(batch)], strict=True):
+                part = batch.slice(low, high - low)
+                for k, field in enumerate(fields):
+                    lists = part[f"w{k}"]
+                    words, sizes = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
+                    if not len(words):
+                        continue
+                    rows = np.repeat(np.arange(len(part)), sizes)
+                    places = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                    keys = rows * len(words.dictionary) + words.indices.to_numpy()
+                    order = np.argsort(keys, kind="stable")
+                    begins = np.flatnonzero(np.diff(keys[order], prepend=-1))
+                    firsts = order[begins]
+                    at, offsets = pa.array(rows[firsts]), pa.array(np.append(begins, len(order)).astype(np.int32))
+                    columns = [pa.repeat(field, len(begins)), words.dictionary.take(words.indices.take(pa.array(firsts))), part["id"].take(at), pa.ListArray.from_arrays(offsets, pa.array(places[order].astype(np.int32))), part["length"].take(at)]
+                    yield from pa.table(columns, names=["field", "term", "id", "positions", "length"]).to_batches(max_chunksize=100_000)
+
+    return gather
+
+
 def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], keys_unique: bool = False, terms: DataFrame | None = None) -> LexicalIndex:
     """Index some columns; the first row of an id counts (keys_unique: there is only one).
 
-    A row's positions are gathered by term within the row (its tokens are sorted and cut into runs), so nothing is exchanged.
+    A row's positions are gathered by term within the row, some rows at a time, so nothing is exchanged.
     terms: column `term` of what will be asked; other postings are then left out.
     """
     rows = docs if keys_unique else first_of_each(docs, id_col, F.monotonically_increasing_id())
     words = {f: X.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields}
     own = rows.select(F.col(id_col).alias("id"), *[w.alias(f"w{k}") for k, w in enumerate(words.values())])
     length = sum((F.size(f"w{k}") for k in range(len(words))), start=F.lit(0)).cast("long")
-    cells = [F.struct(F.lit(f).alias("field"), F.array_sort(F.transform(f"w{k}", lambda w, i: F.struct(w.alias("term"), i.alias("position")))).alias("pairs")) for k, f in enumerate(words)]
-    laid = own.select("id", length.alias("length"), F.explode(F.array(*cells)).alias("cell")).select("id", "length", "cell.*").where(F.size("pairs") > 0)
-    term = lambda i: F.get("pairs", i)["term"]
-    begun = laid.withColumn("begins", F.filter(F.sequence(F.lit(0), F.size("pairs") - 1), lambda i: (i == 0) | (term(i) != term(i - 1))))
-    run = lambda s, k: F.transform(F.slice("pairs", s + 1, F.coalesce(F.get("begins", k + 1), F.size("pairs")) - s), lambda p: p["position"])
-    postings = begun.select("id", "length", "field", F.explode(F.transform("begins", lambda s, k: F.struct(term(s).alias("term"), run(s, k).alias("positions")))).alias("p")).select("field", "p.term", "id", "p.positions", "length")
+    postings = own.select("id", length.alias("length"), *[f"w{k}" for k in range(len(words))]).mapInArrow(_gathering(list(words)), T.StructType([*POSTING.fields[:2], T.StructField("id", own.schema["id"].dataType), *POSTING.fields[2:]]))
     if terms is not None:
         postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
     return LexicalIndex(postings, lengths=own.select("id", length.alias("length")))
@@ -70,8 +98,9 @@ def write_index(index: LexicalIndex, path: str, buckets: int = 64, parts: int =
 
     keyed = index.postings.withColumn("bucket", bucket_of("term", buckets)).repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(parts)))
     keyed.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
-    stats = index.lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"), F.count_distinct("id").alias("ids"), F.lit(buckets).alias("buckets"))
-    write_counted(stats, f"{path}/stats")
+    stored = index.postings.sparkSession.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("tokens"))
+    counts = index.lengths.select("id").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("id").alias("ids"))  # no text is read for them
+    write_counted(counts.crossJoin(stored).select("docs", F.try_divide("tokens", "docs").alias("mean"), "ids", F.lit(buckets).alias("buckets")), f"{path}/stats")
     row = index.postings.sparkSession.read.parquet(f"{path}/stats").first()
     if row["docs"] != row["ids"]:
         raise RuntimeError(f"{row['docs']} rows of {row['ids']} ids")
@@ -105,9 +134,10 @@ def occurrences(index: LexicalIndex, phrases: DataFrame) -> DataFrame:
     single = met.where("size = 1").select("query", "phrase", "id", "field", "length", F.size("positions").alias("n"))
     if phrases.where(F.size("terms") > 1).isEmpty():
         return single
-    starts = met.where("size > 1").select("query", "phrase", "size", "id", "field", "length", "at", F.explode("positions").alias("p"))
-    runs = starts.groupBy("query", "phrase", "size", "id", "field", "length", (F.col("p") - F.col("at")).alias("start")).agg(F.count(F.lit(1)).alias("k")).where("k = size")
-    return single.unionByName(runs.groupBy("query", "phrase", "id", "field", "length").agg(F.count(F.lit(1)).cast("int").alias("n")))
+    starts = met.where("size > 1").select("query", "phrase", "size", "id", "field", "length", F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
+    whole = starts.groupBy("query", "phrase", "size", "id", "field", "length").agg(F.collect_list("starts").alias("s")).where(F.size("s") == F.col("size"))
+    common = F.aggregate(F.slice("s", F.lit(2), F.col("size") - 1), F.get("s", 0), lambda found, s: F.array_intersect(found, s))
+    return single.unionByName(whole.select("query", "phrase", "id", "field", "length", F.size(common).alias("n")).where("n > 0"))
 
 
 def bm25(index: LexicalIndex, phrases: DataFrame, weights: dict[str, float]) -> DataFrame:
