@@ -3,18 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, takewhile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
 
-LEXICON_ROWS = 200_000  # of id and label that query expansion takes to the workers
-
 
 def ids_by_label(names: DataFrame, stops: Sequence[str]) -> DataFrame:
     """label (lower-cased), ids: shared labels keep all ids; one-word stop labels and dotted ids lead nowhere."""
@@ -46,17 +43,33 @@ def expand(text: str, labels: dict[str, list[str]], ids: dict[str, list[str]], p
     return list(out.values())
 
 
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
+def _held(text, longest):
+    """What of a text can be a label: everything from one word boundary to another, up to the longest label."""
+    lowered = (text or "").lower()
+    ends = [m.start() for m in re.finditer(r"\b", lowered)]
+    return sorted({lowered[a:z] for n, a in enumerate(ends) for z in takewhile(lambda z: z - a <= longest, ends[n:])})  # noqa: B023
+
+
 def expanded(queries: DataFrame, names: DataFrame, stops: Sequence[str], pattern: str = X.IDENTIFIER) -> DataFrame:
-    """query, text, terms for a batch of queries and a lexicon (id, label) of bounded size."""
-    if names.limit(LEXICON_ROWS + 1).count() > LEXICON_ROWS:
-        raise ValueError(f"a lexicon of more than {LEXICON_ROWS} rows")
-    labels: dict[str, list[str]] = defaultdict(list)
-    for r in names.select("id", "label").distinct().orderBy("id", "label").collect():
-        labels[r["id"]].append(r["label"])
-    ids = {r["label"]: r["ids"] for r in ids_by_label(names, stops).collect()}
+    """query, text, terms for a batch of queries and a lexicon (id, label) of any size: joins find what of it each text names or holds."""
+
+    @F.udf(T.ArrayType(T.StringType()), useArrow=True)
+    def named(text):
+        return sorted({m[1] for m in re.finditer(pattern, text or "")})
 
     @F.udf(T.ArrayType(T.StringType()), useArrow=True)
-    def terms(text: Column):
-        return expand(text or "", labels, ids, pattern)
+    def terms(text, labels, ids):
+        return expand(text or "", {x["id"]: x["labels"] for x in labels or ()}, {x["label"]: x["ids"] for x in ids or ()}, pattern)
 
-    return queries.select("query", "text", F.array_join(terms("text"), ",").alias("terms"))
+    names = names.select("id", "label").where("id IS NOT NULL AND label IS NOT NULL")
+    texts = queries.select("text").where("text IS NOT NULL").distinct()
+    asked = texts.select("text", F.explode(named("text")).alias("id"))
+    own = labels_by_id(names.join(asked.select("id").distinct(), "id", "left_semi"))
+    labels = asked.join(own, "id").groupBy("text").agg(F.collect_list(F.struct("id", "labels")).alias("own_labels"))
+    longest = names.agg(F.coalesce(F.max(F.length(F.lower("label"))), F.lit(0)).alias("longest"))
+    held = texts.crossJoin(longest).select("text", F.explode(_held("text", "longest")).alias("label"))
+    there = names.join(held.select(F.col("label").alias("__l")).distinct(), F.lower("label") == F.col("__l"), "left_semi")
+    ids = held.join(ids_by_label(there, stops), "label").groupBy("text").agg(F.collect_list(F.struct("label", "ids")).alias("own_ids"))
+    known = queries.select("query", "text").join(labels, "text", "left").join(ids, "text", "left")
+    return known.select("query", "text", F.array_join(terms("text", "own_labels", "own_ids"), ",").alias("terms"))
