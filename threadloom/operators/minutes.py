@@ -44,16 +44,18 @@ def headers(paragraphs: DataFrame, title_pattern: str = TITLE) -> DataFrame:
     return found.select("doc", "title", "date", F.when(F.col("title").isNotNull(), venue).alias("venue"))
 
 
-def sections(paragraphs: DataFrame, register: DataFrame | None = None) -> DataFrame:
+def sections(paragraphs: DataFrame, register: DataFrame | None = None, numbered: Column | None = None) -> DataFrame:
     """doc, section (from 0), heading, issues, body of the paragraphs (doc, pos, style, text) under each heading.
 
     A heading has a heading style, names an issue, or begins with a number that the register (issue) knows. What stands before the
-    first heading is the preamble; a heading with neither body nor issues is no section.
+    first heading is the preamble; a heading with neither body nor issues is no section. numbered: which paragraphs may be
+    headings by a bare number, where the source tells (else all may, even one that begins with an address or a time).
     """
     marked = paragraphs.withColumn("bare", X.bare_number("text"))
     if register is not None:
         marked = marked.join(register.select(F.col("issue").cast("int").alias("bare"), F.lit(True).alias("known")).distinct(), "bare", "left")
     known = F.coalesce(F.col("known"), F.lit(False)) if register is not None else F.lit(False)
+    known = known if numbered is None else known & numbered
     own = marked.withColumn("issues", X.heading_issues("text", known))
     heads = F.coalesce(F.startswith("style", F.lit("Heading")), F.lit(False)) | (F.size("issues") > 0)
     so_far = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
