@@ -141,11 +141,11 @@ def overlap_links(messages: DataFrame, days: int = GAP_DAYS, chars: int = PROBE_
     longest = F.array_max(F.transform("w", lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     key = F.when(F.size("w") >= shingle + 2, gram(F.col("w"), F.lit(1))).otherwise(F.xxhash64(F.lit("long"), F.substring(longest, 1, long_word)))
     bodies = materialise(messages.select(F.col("id").alias("other"), F.col("ts").alias("other_ts"), F.lower(X.collapsed(F.coalesce("body", F.lit("")))).alias("body")), "bodies")
-    w = F.split("body", " ")
+    w = F.col("w")  # a column of its own: inside a lambda the text would be split again for every word
     grams = F.when(F.size(w) >= shingle, F.transform(F.sequence(F.lit(0), F.size(w) - shingle), lambda i: gram(w, i)))
     parts = lambda x: F.transform(F.sequence(F.lit(1), F.length(x) - long_word + 1), lambda k: F.xxhash64(F.lit("long"), F.substring(x, k, F.lit(long_word))))
     pieces = F.flatten(F.transform(F.filter(w, lambda x: F.length(x) >= long_word), parts))
-    placed = bodies.select("other", "other_ts", F.explode(F.array_distinct(F.concat(F.coalesce(grams, F.array().cast("array<bigint>")), pieces))).alias("key"))
+    placed = bodies.withColumn("w", F.split("body", " ")).select("other", "other_ts", F.explode(F.array_distinct(F.concat(F.coalesce(grams, F.array().cast("array<bigint>")), pieces))).alias("key"))
     near = (F.col("other_ts") < F.col("ts")) & (whole_days(F.col("ts"), F.col("other_ts")) <= days)
     met = probes.select("id", "ts", "probe", key.alias("key")).join(placed, "key").where(near).select("id", "probe", "other", "other_ts").distinct()
     held = met.join(bodies.select("other", "body"), "other").where(F.contains("body", F.col("probe")))

@@ -193,7 +193,7 @@ TURNS = r"""m AS (SELECT conv_id * 1000 + turn AS id, TIMESTAMP '2024-01-01' + t
 def _turns(spark, sf):
     """Each turn quotes two earlier ones, the last one with every space a line break."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    hours = (F.col("conv_id") * 7 + F.col("turn")).cast("int")
+    hours = (F.col("conv_id") * 7 + F.col("turn")).cast("long")  # seconds since 1970 outgrow an int
     spans = F.array(F.replace(F.substring(F.lag("text").over(w), 10, 300), F.lit(" "), F.lit("\n")), F.expr("substr(lag(text, 2) OVER (PARTITION BY conv_id ORDER BY turn), 3)"))
     return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn", F.timestamp_seconds(F.lit(1_704_067_200) + hours * 3600).alias("ts"), F.col("text").alias("body"), F.when(F.col("turn") > 0, spans).alias("spans"))
 
