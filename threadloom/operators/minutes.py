@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.chunking import MINUTES_SIZE, sentence_pack
+from ..functions.rows import per_row_of_two
 
 # Paragraphs that hold a header, least length of a chunk without issues, patterns of titles, dates and years.
 HEAD_PARAGRAPHS, LEAST_CHARS = 25, 120
@@ -68,10 +66,7 @@ def sections(paragraphs: DataFrame, register: DataFrame | None = None, numbered:
     return kept.select("doc", number.alias("section"), F.coalesce("heading", F.lit(PREAMBLE)).alias("heading"), "issues", body.alias("body"))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _packed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, limits in batches:
-        yield pd.Series([sentence_pack(t or "", int(n)) for t, n in zip(texts, limits, strict=True)])
+_packed = per_row_of_two(lambda text, limit: sentence_pack(text or "", int(limit)), T.ArrayType(T.StringType()))
 
 
 def _chunk_id(part: Column | None = None) -> Column:
