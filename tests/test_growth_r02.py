@@ -4,6 +4,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from threadloom.functions import chunking as K
+from threadloom.functions import cleaning as L
+from threadloom.functions import mail as M
 from threadloom.functions import rows as R
 
 
@@ -31,3 +33,19 @@ def test_functions_of_rows(spark):
     both = R.per_row_of_two(lambda t, n: len(t or "") * n, K.T.LongType())
     got = {r.id: (r.m, r.b) for r in own.select("id", lengths("text").alias("m"), both("text", F.col("id")).alias("b")).collect()}
     assert got == {k: (None if k == 3 else {"n": 3 * k}, 0 if k == 3 else 3 * k * k) for k in range(9)}
+
+
+def test_pages_and_mails_see_bounded_slices(spark, sf, monkeypatch):
+    """Batches of pages and mails used to be turned into Python whole; the functions share one step, which bounds them."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")
+    got = {r.page_id: r.p for r in pages.select("page_id", M.html_paragraphs_udf("html").alias("p")).collect()}
+    assert got == {r.page_id: M.html_paragraphs(r.html) for r in pages.collect()} and len(got) > 20
+    fields = {r.page_id: r.f for r in pages.select("page_id", M.html_fields_of("ad")("html").alias("f")).collect()}
+    assert fields == {r.page_id: M.html_fields(r.html, "ad") for r in pages.collect()}
+    mails = [(1, "Hi\n> one\nbut\n> two\n-- \nA"), (2, None), (3, "plain")]
+    own = spark.createDataFrame(mails, "id int, mail string").select("id", L.clean_body_udf("list")("mail").alias("c"))
+    assert {r.id: r.c.asDict() for r in own.collect()} == {k: L.clean_body(t, "list") for k, t in mails}
+    raw = b"Subject: s\nFrom: A <a@b>\nMIME-Version: 1.0\n\nbody"
+    row = spark.createDataFrame([(bytearray(raw),)], "raw binary").select(M.parse_message_udf("raw").alias("m")).first()
+    assert row.m.asDict(True) == M.parse_message(raw)
+    assert all(f.evalType == K.sentence_pack_udf.evalType for f in (M.html_paragraphs_udf, M.html_text_udf, M.html_rows_udf, M.parse_message_udf, M.decode_udf, M.header_udf))

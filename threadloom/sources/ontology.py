@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.mail import strip_tags, strip_tags_udf
+from ..functions.rows import per_row
 from ..operators.hierarchy import Model
 from ..operators.validate import uri_index
 from .graphs import RDF, RDFS
@@ -26,13 +26,8 @@ _QUALIFIER = f"array<struct<_id: string, labelText: string, range: {_POINTER}>>"
 _PROPERTY = f"_id string, fullName string, directName string, inverseName string, domain {_POINTER}, range {_POINTER}, subPropertyOf {_POINTER}, scopeNote string, examples string, quantification string, propertyOfProperty {_QUALIFIER}"
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _examples(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """List items of a marked-up text, without marks; empty ones go."""
-    import re
-
-    for raw in batches:
-        yield raw.map(lambda x: [t for t in map(strip_tags, re.split(r"<li[^>]*>", x)) if t] if x else [])
+#: List items of a marked-up text, without marks; empty ones go.
+_examples = per_row(lambda x: [t for t in map(strip_tags, re.split(r"<li[^>]*>", x)) if t] if x else [], T.ArrayType(T.StringType()))
 
 
 def _ids(pointers: str) -> Column:
