@@ -7,6 +7,7 @@ from threadloom.functions import chunking as K
 from threadloom.functions import cleaning as L
 from threadloom.functions import mail as M
 from threadloom.functions import rows as R
+from threadloom.operators import quotes as Q
 
 
 def test_slices_are_bounded(monkeypatch):
@@ -49,3 +50,23 @@ def test_pages_and_mails_see_bounded_slices(spark, sf, monkeypatch):
     row = spark.createDataFrame([(bytearray(raw),)], "raw binary").select(M.parse_message_udf("raw").alias("m")).first()
     assert row.m.asDict(True) == M.parse_message(raw)
     assert all(f.evalType == K.sentence_pack_udf.evalType for f in (M.html_paragraphs_udf, M.html_text_udf, M.html_rows_udf, M.parse_message_udf, M.decode_udf, M.header_udf))
+
+
+def test_verdicts_follow_bounded_slices(monkeypatch):
+    """Units used to be turned into Python a batch at a time."""
+    seen = []
+
+    def watched(*columns):
+        for part in slices(*columns):
+            seen.append(sum(len(x or "") for x in part[0]))
+            yield part
+
+    slices = R.slices
+    monkeypatch.setattr(R, "SLICE", 300)
+    monkeypatch.setattr(Q, "slices", watched)
+    texts = ["it was a fine day for a walk", None, "x" * 500, "a fine day for all of us"] * 20
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    asked = ["a fine day for all", "fine day for a wal", "nowhere to be found"]
+    got = {r["part"]: r["prefix"] for b in Q._followed(iter([batch]), asked, 12) for r in b.to_pylist()}
+    assert got == {n: max(Q.longest_prefix(n, t or "") for t in texts) for n in asked if n[:12] in " ".join(t or "" for t in texts)}
+    assert len(seen) > 20 and max(seen) <= 1000

@@ -7,6 +7,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.rows import per_row, slices
 from .worktables import materialise
 
 # Elision marks, words that a fragment needs, characters of context, least partial match.
@@ -160,7 +162,7 @@ def _followed(batches: Iterator[pa.RecordBatch], asked: list[str], gram: int) ->
     machine.make_automaton()
     best: dict[str, int] = {}
     for batch in batches:
-        for text in filter(None, batch.column("text").to_pylist() if asked else ()):
+        for text in filter(None, chain.from_iterable(values for (values,) in slices(batch.column("text"))) if asked else ()):
             for end, begin in machine.iter(text):
                 start = end + 1 - len(begin)
                 for needle in begins[begin]:
@@ -183,9 +185,7 @@ def norm(text: str) -> str:
     return re.sub(r"\s+([.,;:?!])", r"\1", re.sub(r"\s+", " ", plain)).lower()
 
 
-@F.pandas_udf(T.StringType())
-def norm_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(norm, na_action=None)
+norm_udf = per_row(norm, T.StringType())
 
 
 def json_strings(document: str) -> list[str]:
@@ -200,9 +200,7 @@ def json_strings(document: str) -> list[str]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def json_strings_udf(documents: pd.Series) -> pd.Series:
-    return documents.map(lambda d: json_strings(d) if d else [])
+json_strings_udf = per_row(lambda d: json_strings(d) if d else [], T.ArrayType(T.StringType()))
 
 
 def find_quotes(asked: DataFrame, members: DataFrame, episodes: DataFrame, messages: DataFrame, documents: DataFrame) -> DataFrame:
