@@ -7,16 +7,17 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..functions.rows import per_row, slices
+from ..functions.rows import per_row, per_row_of_two, slices
 from .worktables import materialise
 
 # Elision marks, words that a fragment needs, characters of context, least partial match.
@@ -27,6 +28,7 @@ MOST_SHORT = 10_000  # short phrases that are looked for in every text
 SPAN_ELISION = r"\s*(?:\.\.\.|\[[^\]]*\])\s*"
 _PLAIN_MARKS = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "—": "-", "–": "-", "…": "...", "\u00a0": " "})
 TERM_LETTERS, RUN = 7, 4  # what a text and a phrase must share to be compared
+TAIL, SLOTS = 8, 20  # characters of a window that are looked for first, bits of the numbers that they get
 
 
 def _locate(part: Column, text: Column, start: Column) -> Column:
@@ -79,21 +81,66 @@ def contained(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     return found.select("phrase_id", "text_id", "start", context(F.col("t"), F.col("start"), F.col("start") + F.length("p")).alias("context"))
 
 
+def _form(text: str) -> str:
+    for mark, plain in zip(X.TYPOGRAPHIC, X.PLAIN, strict=True):
+        text = text.replace(mark, plain)
+    return re.sub(r"\s+([.,;:?!])", r"\1", re.sub(r"\s+", " ", text)).strip().lower()
+
+
+def _tails(text: str) -> np.ndarray:
+    """A number of SLOTS for every TAIL characters in a row."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(codes) - TAIL + 1)
+    mixed = np.zeros(n, np.uint64)
+    for k in range(TAIL):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + codes[k : k + n]
+    return ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+@lru_cache(maxsize=1)
+def _text_form(text: str) -> tuple[str, np.ndarray]:
+    """A text's form and which numbers its runs of TAIL characters have."""
+    form, there = _form(text), np.zeros(1 << SLOTS, bool)
+    there[_tails(form)] = True
+    return form, there
+
+
+@lru_cache(maxsize=1000)
+def _phrase_form(phrase: str) -> tuple[str, np.ndarray]:
+    form = _form(phrase)
+    return form, _tails(form)
+
+
+def longest_run(a: str, b: str, maybe: list[bool] | None = None) -> int:
+    """Length of the longest run of characters that stands in both.
+
+    A window is one longer than the best run so far. Where b lacks the window's last characters, no window that holds them can be
+    there, so the search goes on behind their begin. maybe: for every TAIL characters of a, False where b lacks them for sure.
+    """
+    if a in b:
+        return len(a)
+    best = at = 0
+    if maybe and any(m and a[i : i + TAIL] in b for i, m in enumerate(maybe)):
+        best = TAIL
+    while at + best < len(a):
+        end, tail = at + best + 1, min(TAIL, best + 1)
+        if (maybe and tail == TAIL and not maybe[end - TAIL]) or a[end - tail : end] not in b:
+            at = end - tail + 1
+        elif a[at:end] in b:
+            best = bisect.bisect_left(range(best + 2, len(a) - at + 1), True, key=lambda n: a[at : at + n] not in b) + best + 1  # noqa: B023
+            at += 1
+        else:
+            at = end - tail - bisect.bisect_left(range(tail + 1, best + 1), True, key=lambda n: a[end - n : end] not in b)  # noqa: B023
+    return best
+
+
 def closest(text: str, phrase: str) -> float:
     """Share of the phrase that the text holds as one run of characters."""
-    norm = lambda s: re.sub(r"\s+([.,;:?!])", r"\1", re.sub(r"\s+", " ", s.translate(str.maketrans(X.TYPOGRAPHIC, X.PLAIN)))).strip().lower()
-    a, b = norm(phrase), norm(text)
-    best = 0
-    for i in range(len(a)):
-        while i + best < len(a) and a[i : i + best + 1] in b:
-            best += 1
-    return round(best / len(a), 3) if a and b else 0.0
-
-
-@F.pandas_udf(T.DoubleType())
-def closest_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for texts, phrases in batches:
-        yield pd.Series([closest(t or "", p or "") for t, p in zip(texts, phrases, strict=True)])
+    (a, tails), (b, there) = _phrase_form(phrase), _text_form(text)
+    return round(longest_run(a, b, there[tails].tolist()) / len(a), 3) if a and b else 0.0
+
+
+closest_udf = per_row_of_two(lambda text, phrase: closest(text or "", phrase or ""), T.DoubleType())
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
