@@ -10,6 +10,7 @@ from threadloom.functions import chunking as K
 from threadloom.functions import cleaning as L
 from threadloom.functions import mail as M
 from threadloom.functions import rows as R
+from threadloom.operators import evals as E
 from threadloom.operators import quotes as Q
 
 
@@ -99,3 +100,30 @@ def test_longest_runs_take_few_looks():
     a = letters(150) + b[1000:1060] + letters(150)
     (one, tails), (two, there) = Q._phrase_form(a), Q._text_form(b)
     assert Q.longest_run(one, Text(two), there[tails].tolist()) >= 50 and Text.looks < len(one) / 2
+
+
+def test_terms_in_a_row_are_found_within_units(spark, monkeypatch):
+    """All words of all units used to be exploded and grouped by place."""
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice("abcd") for _ in range(n))
+    texts = [(k, words(rng.randrange(12))) for k in range(120)] + [(200, None), (201, "A B, a. b"), (202, "a a a a a")]
+    terms = [(f"c{k % 5}", words(1 + k % 4)) for k in range(25)] + [("c5", "A-b"), ("c5", "a a a"), ("c5", "zz"), ("c6", "zz a"), ("c7", "."), ("c5", "a b")]
+    tokens = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    padded = lambda t: f" {' '.join(tokens(t))} "
+    want = {}
+    for case in {c for c, _ in terms}:
+        own = {t for c, t in terms if c == case and tokens(t)}
+        counts = [(-sum(padded(t) in padded(text) for t in own), k) for k, text in texts]
+        if min(counts)[0]:
+            want[case] = (min(counts)[1], -min(counts)[0])
+    units = spark.createDataFrame(texts, "unit int, text string").selectExpr("unit", "unit AS ord", "text")
+    asked = spark.createDataFrame(terms, "case string, term string")
+    for block in (10_000, 7):
+        monkeypatch.setattr(E, "BLOCK", block)
+        found = E.phrase_novelty(asked, units)
+        assert {r.case: (r.unit, r.shared) for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array([["a", "b"], ["c"], ["b", "a", "b"]])], names=["unit", "ord", "words"])
+    for tokens_held in (1, 1_000_000):
+        got = [tuple(r.values()) for b in E._in_a_row(iter([batch]), [["a", "b"], ["b", "c"], ["b"]], tokens_held) for r in b.to_pylist()]
+        assert sorted(got) == [("a b", 1, 1), ("a b", 3, 3), ("b", 1, 1), ("b", 3, 3)]
