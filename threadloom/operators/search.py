@@ -7,6 +7,7 @@ plan. Every ranking carries an explicit tie-break.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -38,19 +39,27 @@ class LexicalIndex:
     mean: float | None = None  # their mean length,
     buckets: int = 0  # and the number of folders that terms are dealt to
     lengths: DataFrame | None = None  # id, length of an index that isn't stored
+    some: bool = False  # whether it has the postings of some terms only (lengths are of all)
 
 
 POSTING = T.StructType().add("field", "string").add("term", "string").add("positions", T.ArrayType(T.IntegerType())).add("length", "long")
 
 
-def _gathering(fields: list[str], tokens: int = 1_000_000):
-    """id, length and lists of words to postings, in slices of rows with about `tokens` words at most."""
+def _gathering(fields: list[str], tokens: int = 1_000_000, asked: Sequence[str] | None = None):
+    """id, length and lists of words to postings, in slices of rows with about `tokens` words at most.
+
+    asked: other terms are passed over, and each row's length comes as a row without term.
+    """
+    names = ["field", "term", "id", "positions", "length"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = np.flatnonzero(np.diff(np.cumsum(batch["length"].to_numpy()) // tokens)) + 1
             for low, high in zip([0, *cuts], [*cuts, len(batch)], strict=True):
                 part = batch.slice(low, high - low)
+                if asked is not None:
+                    empty = [pa.nulls(len(part), kind) for kind in (pa.string(), pa.string(), pa.list_(pa.int32()))]
+                    yield from pa.table([empty[0], empty[1], part["id"], empty[2], part["length"]], names=names).to_batches(max_chunksize=100_000)
                 for k, field in enumerate(fields):
                     lists = part[f"w{k}"]
                     words, sizes = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
@@ -58,30 +67,39 @@ def _gathering(fields: list[str], tokens: int = 1_000_000):
                         continue
                     rows = np.repeat(np.arange(len(part)), sizes)
                     places = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    keys = rows * len(words.dictionary) + words.indices.to_numpy()
+                    codes = words.indices.to_numpy()
+                    if asked is not None:
+                        met = pc.is_in(words.dictionary, value_set=pa.array(asked, words.dictionary.type)).to_numpy(zero_copy_only=False)[codes]
+                        rows, places, codes = rows[met], places[met], codes[met]
+                        if not len(codes):
+                            continue
+                    keys = rows * len(words.dictionary) + codes
                     order = np.argsort(keys, kind="stable")
                     begins = np.flatnonzero(np.diff(keys[order], prepend=-1))
                     firsts = order[begins]
                     at, offsets = pa.array(rows[firsts]), pa.array(np.append(begins, len(order)).astype(np.int32))
-                    columns = [pa.repeat(field, len(begins)), words.dictionary.take(words.indices.take(pa.array(firsts))), part["id"].take(at), pa.ListArray.from_arrays(offsets, pa.array(places[order].astype(np.int32))), part["length"].take(at)]
-                    yield from pa.table(columns, names=["field", "term", "id", "positions", "length"]).to_batches(max_chunksize=100_000)
+                    columns = [pa.repeat(field, len(begins)), words.dictionary.take(pa.array(codes[firsts])), part["id"].take(at), pa.ListArray.from_arrays(offsets, pa.array(places[order].astype(np.int32))), part["length"].take(at)]
+                    yield from pa.table(columns, names=names).to_batches(max_chunksize=100_000)
 
     return gather
 
 
-def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], keys_unique: bool = False, terms: DataFrame | None = None) -> LexicalIndex:
+def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], keys_unique: bool = False, terms: Sequence[str] | None = None) -> LexicalIndex:
     """Index some columns; the first row of an id counts (keys_unique: there is only one).
 
     A row's positions are gathered by term within the row, some rows at a time, so nothing is exchanged.
-    terms: column `term` of what will be asked; other postings are then left out.
+    terms: what will be asked. Every text is split whole for its length and for these terms, but other postings are left out;
+    what is found is written to a work table, so texts are read once.
     """
     rows = docs if keys_unique else first_of_each(docs, id_col, F.monotonically_increasing_id())
     words = {f: X.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields}
     own = rows.select(F.col(id_col).alias("id"), *[w.alias(f"w{k}") for k, w in enumerate(words.values())])
     length = sum((F.size(f"w{k}") for k in range(len(words))), start=F.lit(0)).cast("long")
-    postings = own.select("id", length.alias("length"), *[f"w{k}" for k in range(len(words))]).mapInArrow(_gathering(list(words)), T.StructType([*POSTING.fields[:2], T.StructField("id", own.schema["id"].dataType), *POSTING.fields[2:]]))
+    gather = _gathering(list(words)) if terms is None else _gathering(list(words), asked=sorted(set(terms)))
+    postings = own.select("id", length.alias("length"), *[f"w{k}" for k in range(len(words))]).mapInArrow(gather, T.StructType([*POSTING.fields[:2], T.StructField("id", own.schema["id"].dataType), *POSTING.fields[2:]]))
     if terms is not None:
-        postings = postings.join(terms.select("term").distinct(), "term", "left_semi")
+        found = materialise(postings, "asked")
+        return LexicalIndex(found.where("term IS NOT NULL"), lengths=found.where("term IS NULL").select("id", "length"), some=True)
     return LexicalIndex(postings, lengths=own.select("id", length.alias("length")))
 
 
@@ -98,9 +116,12 @@ def write_index(index: LexicalIndex, path: str, buckets: int = 64, parts: int =
 
     keyed = index.postings.withColumn("bucket", bucket_of("term", buckets)).repartition(F.col("bucket"), F.pmod(F.xxhash64("id"), F.lit(parts)))
     keyed.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
-    stored = index.postings.sparkSession.read.parquet(f"{path}/postings").agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("tokens"))
+    if index.some:
+        stored = index.lengths.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
+    else:
+        stored = index.postings.sparkSession.read.schema(keyed.schema).parquet(f"{path}/postings").agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)).alias("tokens"))
     counts = index.lengths.select("id").agg(F.count(F.lit(1)).alias("docs"), F.count_distinct("id").alias("ids"))  # no text is read for them
-    write_counted(counts.crossJoin(stored).select("docs", F.try_divide("tokens", "docs").alias("mean"), "ids", F.lit(buckets).alias("buckets")), f"{path}/stats")
+    write_counted(counts.crossJoin(stored).select("docs", F.try_divide("tokens", "docs").alias("mean"), "ids", F.lit(buckets).alias("buckets"), F.lit(keyed.schema.json()).alias("schema")), f"{path}/stats")
     row = index.postings.sparkSession.read.parquet(f"{path}/stats").first()
     if row["docs"] != row["ids"]:
         raise RuntimeError(f"{row['docs']} rows of {row['ids']} ids")
@@ -110,7 +131,8 @@ def write_index(index: LexicalIndex, path: str, buckets: int = 64, parts: int =
 def read_index(spark: SparkSession, path: str) -> LexicalIndex:
     """A stored index: a search reads the folders of its terms only."""
     row = spark.read.parquet(f"{path}/stats").first()
-    return LexicalIndex(spark.read.parquet(f"{path}/postings"), row["docs"], row["mean"], row["buckets"])
+    kinds = T.StructType.fromJson(json.loads(row["schema"]))  # folders without a posting tell none
+    return LexicalIndex(spark.read.schema(kinds).parquet(f"{path}/postings"), row["docs"], row["mean"], row["buckets"])
 
 
 def _asked(index: LexicalIndex, phrases: DataFrame) -> DataFrame:
@@ -176,9 +198,11 @@ def write_vectors(vectors: DataFrame, id_col: str, vector_col: str, path: str) -
 
 
 def unit(vector: Column) -> Column:
+    """The vector over its norm, which is bound by a lambda: as a plain expression it would be summed again for every element."""
     own = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(own, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(own, lambda x: x / norm)
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    both = F.transform(F.array(own), lambda v: F.struct(v.alias("v"), norm(v).alias("n")))
+    return F.get(F.transform(both, lambda b: F.transform(b["v"], lambda x: x / b["n"])), F.lit(0))
 
 
 def cosine(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, block: int = 10_000) -> DataFrame:
