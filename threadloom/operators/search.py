@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions.splitting import folds, places_of
 from .dense import Dense
 from .lexicon import expanded
 from .worktables import global_rank, materialise
@@ -45,41 +47,64 @@ class LexicalIndex:
 POSTING = T.StructType().add("field", "string").add("term", "string").add("positions", T.ArrayType(T.IntegerType())).add("length", "long")
 
 
-def _gathering(fields: list[str], tokens: int = 1_000_000, asked: Sequence[str] | None = None):
+NAMES = ["field", "term", "id", "positions", "length"]
+
+
+def _postings(field: str, part: pa.RecordBatch, length: pa.Array, terms: pa.Array, rows: np.ndarray, places: np.ndarray, codes: np.ndarray) -> list[pa.RecordBatch]:
+    """Postings of words that stand at `places` of `rows`, in the order of rows and places; a word is a number in `terms`."""
+    if not len(codes):
+        return []
+    keys = rows * len(terms) + codes
+    order = np.argsort(keys, kind="stable")
+    begins = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    firsts = order[begins]
+    at, offsets = pa.array(rows[firsts]), pa.array(np.append(begins, len(order)).astype(np.int32))
+    columns = [pa.repeat(field, len(begins)), terms.take(pa.array(codes[firsts])), part["id"].take(at), pa.ListArray.from_arrays(offsets, pa.array(places[order].astype(np.int32))), length.take(at)]
+    return pa.table(columns, names=NAMES).to_batches(max_chunksize=100_000)
+
+
+def _listed(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The different words of lists, and row, place and number of each word."""
+    words, sizes = lists.flatten().dictionary_encode(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    rows = np.repeat(np.arange(len(lists)), sizes)
+    places = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return words.dictionary, rows, places, words.indices.to_numpy()
+
+
+def _gathering(fields: list[str], tokens: int = 1_000_000, asked: Sequence[str] | None = None, packed: bytes = b""):
     """id, length and lists of words to postings, in slices of rows with about `tokens` words at most.
 
-    asked: other terms are passed over, and each row's length comes as a row without term.
+    asked: other terms are passed over, and each row's length comes as a row without term. A field then comes as text, or as a list
+    where only the engine can split it (functions/splitting.py), and length is a bound of the row's words.
     """
-    names = ["field", "term", "id", "positions", "length"]
+
+    def whole(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for k, field in enumerate(fields):
+            terms, rows, places, codes = _listed(part[f"w{k}"])
+            yield from _postings(field, part, part["length"], terms, rows, places, codes)
+
+    def some(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        terms, found, sizes = pa.array(asked, pa.string()), [], np.zeros(len(part), np.int64)
+        for k in range(len(fields)):
+            counts, *met = places_of(pc.fill_null(part[f"t{k}"].cast(pa.string()), ""), asked, packed)
+            sizes += counts
+            lists = part[f"w{k}"]
+            if lists.null_count < len(lists):
+                words, rows, places, codes = _listed(lists)
+                sizes += np.bincount(rows, minlength=len(part))
+                number = pc.fill_null(pc.index_in(words, value_set=terms.cast(words.type)), -1).to_numpy()[codes].astype(np.int64)
+                met = [np.append(a, b[number >= 0]) for a, b in zip(met, (rows, places, number), strict=True)]
+            found.append(met)
+        length, empty = pa.array(sizes), [pa.nulls(len(part), kind) for kind in (pa.string(), pa.string(), pa.list_(pa.int32()))]
+        yield from pa.table([empty[0], empty[1], part["id"], empty[2], length], names=NAMES).to_batches(max_chunksize=100_000)
+        for field, met in zip(fields, found, strict=True):
+            yield from _postings(field, part, length, terms, *met)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cuts = np.flatnonzero(np.diff(np.cumsum(batch["length"].to_numpy()) // tokens)) + 1
             for low, high in zip([0, *cuts], [*cuts, len(batch)], strict=True):
-                part = batch.slice(low, high - low)
-                if asked is not None:
-                    empty = [pa.nulls(len(part), kind) for kind in (pa.string(), pa.string(), pa.list_(pa.int32()))]
-                    yield from pa.table([empty[0], empty[1], part["id"], empty[2], part["length"]], names=names).to_batches(max_chunksize=100_000)
-                for k, field in enumerate(fields):
-                    lists = part[f"w{k}"]
-                    words, sizes = lists.flatten().dictionary_encode(), pc.list_value_length(lists).to_numpy()
-                    if not len(words):
-                        continue
-                    rows = np.repeat(np.arange(len(part)), sizes)
-                    places = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    codes = words.indices.to_numpy()
-                    if asked is not None:
-                        met = pc.is_in(words.dictionary, value_set=pa.array(asked, words.dictionary.type)).to_numpy(zero_copy_only=False)[codes]
-                        rows, places, codes = rows[met], places[met], codes[met]
-                        if not len(codes):
-                            continue
-                    keys = rows * len(words.dictionary) + codes
-                    order = np.argsort(keys, kind="stable")
-                    begins = np.flatnonzero(np.diff(keys[order], prepend=-1))
-                    firsts = order[begins]
-                    at, offsets = pa.array(rows[firsts]), pa.array(np.append(begins, len(order)).astype(np.int32))
-                    columns = [pa.repeat(field, len(begins)), words.dictionary.take(pa.array(codes[firsts])), part["id"].take(at), pa.ListArray.from_arrays(offsets, pa.array(places[order].astype(np.int32))), part["length"].take(at)]
-                    yield from pa.table(columns, names=names).to_batches(max_chunksize=100_000)
+                yield from (whole if asked is None else some)(batch.slice(low, high - low))
 
     return gather
 
@@ -88,18 +113,22 @@ def build_index(docs: DataFrame, id_col: str, fields: Sequence[str], keys_unique
     """Index some columns; the first row of an id counts (keys_unique: there is only one).
 
     A row's positions are gathered by term within the row, some rows at a time, so nothing is exchanged.
-    terms: what will be asked. Every text is split whole for its length and for these terms, but other postings are left out;
-    what is found is written to a work table, so texts are read once.
+    terms: what will be asked. Every text is split whole for its length and for these terms, but other postings are left out and
+    other words don't become strings; what is found is written to a work table, so texts are read once.
     """
     rows = docs if keys_unique else first_of_each(docs, id_col, F.monotonically_increasing_id())
-    words = {f: X.tokens(F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields}
-    own = rows.select(F.col(id_col).alias("id"), *[w.alias(f"w{k}") for k, w in enumerate(words.values())])
-    length = sum((F.size(f"w{k}") for k in range(len(words))), start=F.lit(0)).cast("long")
-    gather = _gathering(list(words)) if terms is None else _gathering(list(words), asked=sorted(set(terms)))
-    postings = own.select("id", length.alias("length"), *[f"w{k}" for k in range(len(words))]).mapInArrow(gather, T.StructType([*POSTING.fields[:2], T.StructField("id", own.schema["id"].dataType), *POSTING.fields[2:]]))
+    texts = {f: F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields}
+    sum_of = lambda sizes: sum(sizes, start=F.lit(0).cast("long"))
+    kind = lambda own: T.StructType([*POSTING.fields[:2], T.StructField("id", own.schema["id"].dataType), *POSTING.fields[2:]])
     if terms is not None:
-        found = materialise(postings, "asked")
+        split = folds(docs.sparkSession)
+        plain = {f: reduce(lambda a, c: a & ~F.contains(texts[f], F.lit(c)), split.odd, F.is_valid_utf8(texts[f])) for f in fields}
+        own = rows.select(F.col(id_col).alias("id"), sum_of(F.octet_length(t) for t in texts.values()).alias("length"), *[c for k, f in enumerate(fields) for c in (F.when(plain[f], texts[f]).alias(f"t{k}"), F.when(~plain[f], X.tokens(texts[f])).alias(f"w{k}"))])
+        found = materialise(own.mapInArrow(_gathering(list(fields), asked=sorted(set(terms)), packed=split.packed), kind(own)), "asked")
         return LexicalIndex(found.where("term IS NOT NULL"), lengths=found.where("term IS NULL").select("id", "length"), some=True)
+    own = rows.select(F.col(id_col).alias("id"), *[X.tokens(t).alias(f"w{k}") for k, t in enumerate(texts.values())])
+    length = sum_of(F.size(f"w{k}") for k in range(len(texts)))
+    postings = own.select("id", length.alias("length"), *[f"w{k}" for k in range(len(texts))]).mapInArrow(_gathering(list(fields)), kind(own))
     return LexicalIndex(postings, lengths=own.select("id", length.alias("length")))
 
 
