@@ -8,7 +8,7 @@ again in order.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 VECTORS, QUERIES = 100_000, 8_000  # of a group, about
+TOGETHER, LANES = 64, 64  # queries multiplied at once, and vectors of which one maximum is kept
 LAST = 1 << 30
 
 
@@ -57,19 +58,40 @@ class _Block:
         own, self.sizes = _matrix(self.table["own"])
         self.own = np.pad(own, ((0, 0), (0, max(0, wide - own.shape[1]))))
         self.places = np.arange(len(self.own), dtype=np.int64)
-
-    def keys(self, query: np.ndarray, size: int) -> np.ndarray:
+        self.norm = np.sqrt(np.einsum("ij,ij->i", self.own, self.own)).max(initial=0.0)
+
+    def likely(self, asked: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+        """Places among which the best `most` of each query are: all whose score in single precision could reach that of the last of
+        them. Where widths differ or a value isn't finite, all places."""
+        n, wide = self.own.shape
+        lines, rough = n // LANES, self.own.astype(np.float32)
+        alike = lines >= most and np.isfinite(self.norm) and self.norm < 1e3 and (self.sizes == self.sizes[0]).all()
+        for begin in range(0, len(asked), TOGETHER):
+            block, own = asked[begin : begin + TOGETHER], sizes[begin : begin + TOGETHER]
+            norms = np.sqrt(np.einsum("ij,ij->i", block, block))
+            if not (alike and (own == self.sizes[0]).all() and (norms < 1e3).all()):
+                yield from [self.places] * len(block)
+                continue
+            scores = np.pad(block, ((0, 0), (0, wide - block.shape[1]))).astype(np.float32) @ rough.T
+            highest = scores[:, : lines * LANES].reshape(len(block), LANES, lines).max(1)  # of `most` groups or more, so the last of these is no better than that of all
+            error = (wide + 4) * 2.0**-23 * max(1.0, self.norm) * np.maximum(1.0, norms)
+            least = np.partition(highest, lines - most, 1)[:, lines - most] - (2 * error + 2 * 10.0**-self.digits)
+            for row, limit in zip(scores, least, strict=True):
+                yield np.flatnonzero(row >= limit)
+
+    def keys(self, query: np.ndarray, size: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         query = np.pad(query, (0, self.own.shape[1] - len(query)))
-        scores, unit = self.own @ query, 10.0**self.digits
+        own, sizes, places = self.own[at], self.sizes[at], self.places[at]
+        scores, unit = own @ query, 10.0**self.digits
         scaled = np.abs(scores) * unit
         whole = np.floor(scaled + 0.5)
         for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-7):
-            exact = Decimal(repr(float(_dots(query, self.own[i : i + 1])[0])))
+            exact = Decimal(repr(float(_dots(query, own[i : i + 1])[0])))
             whole[i] = float(abs(exact).scaleb(self.digits).quantize(Decimal(1), ROUND_HALF_UP))
         strange = np.isnan(scores)
         worst = -np.where(strange, LAST, np.copysign(whole, scores)).astype(np.int64)
-        worst[(self.sizes != size) | (self.sizes < 0)] = LAST
-        return (worst << 32) | self.places
+        worst[(sizes != size) | (sizes < 0)] = LAST
+        return (worst << 32) | places
 
     def scores(self, query: np.ndarray, size: int, at: np.ndarray) -> list[float | None]:
         query = np.pad(query, (0, self.own.shape[1] - len(query)))
@@ -127,8 +149,8 @@ class Dense:
 
         def rows(block, asked, sizes, queries):
             at, who, scores = [], [], []
-            for q, (vector, size) in enumerate(zip(asked, sizes, strict=True)):
-                best = _least(block.keys(vector, size), most)
+            for q, (vector, size, likely) in enumerate(zip(asked, sizes, block.likely(asked, sizes, most), strict=True)):
+                best = _least(block.keys(vector, size, slice(None) if likely is block.places else likely), most)
                 at.append(best)
                 who.append(np.full(len(best), q))
                 scores += block.scores(vector, size, best)
